@@ -115,11 +115,3 @@ def numbers(values: Column, width: int) -> Column:
     """An array of numbers as consecutive big-endian fields."""
     field = lambda v: F.substring(F.lpad(F.hex(v.cast("bigint")), 16, "0"), 17 - 2 * width, 2 * width)
     return F.unhex(F.array_join(F.transform(values, field), ""))
-
-
-def box(kind: str, *parts: Column) -> Column:
-    """A box: size, code, payload."""
-    return let(
-        F.concat(*parts) if parts else raw(""),
-        lambda payload: F.concat(big_endian(F.length(payload) + 8, 4), code(kind), payload),
-    )

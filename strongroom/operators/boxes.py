@@ -93,7 +93,9 @@ def header(head: Column, at: Column, limit: Column) -> Column:
     """A box header from its first bytes: code, size, header width, and what is wrong with it."""
 
     def decode(size32: Column) -> Column:
-        large = F.least(u64(head, 8), F.lit(str((1 << 63) - 1)).cast("decimal(20,0)")).cast("bigint")
+        # A size past the signed range is past any file: held at the largest number there is.
+        wide, most = u64(head, 8), F.lit(str((1 << 63) - 1)).cast("decimal(20,0)")
+        large = F.when(wide > most, most).otherwise(wide).cast("bigint")
         size = F.when(size32 == 0, limit - at).when(size32 == 1, large).otherwise(size32)
         width = F.when(size32 == 1, 16).otherwise(8)
         return let(
@@ -391,12 +393,28 @@ def children_of(parents: DataFrame, rows: DataFrame, kind: str | None = None, fi
     return found.join(picked, ["file_id", "parent", "offset"], "left_semi")
 
 
-def descend(starts: DataFrame, rows: DataFrame, path: list[str]) -> DataFrame:
-    """Follows a path of kinds, the first match at each step."""
-    found = starts
-    for kind in path:
-        found = children_of(found, rows, kind, first=True)
-    return found
+def descend(walked: DataFrame, start: str, path: list[str]) -> DataFrame:
+    """Follows a path of kinds from the first top-level box of a kind, the first match at each step.
+
+    The boxes of a file are in one row, so each step is a filter inside it.
+    """
+    usable = F.filter("boxes", lambda b: b["error"].isNull())
+    first = F.get(F.filter(usable, lambda b: (b["depth"] == 0) & (b["kind"] == code(start))), F.lit(0))
+
+    def follow(parent: Column, kinds: list[str]) -> Column:
+        if not kinds:
+            return parent
+        below = F.filter(
+            "boxes", lambda b: (b["parent"] == parent["offset"]) & (b["kind"] == code(kinds[0])) & b["error"].isNull()
+        )
+        return let(F.get(below, F.lit(0)), lambda b: follow(b, kinds[1:]))
+
+    found = let(first, lambda b: follow(b, path))
+    return (
+        walked.select("file_id", F.inline_outer(F.array(found)))
+        .where("offset IS NOT NULL")
+        .select("file_id", "kind", "offset", "size", "header", "path")
+    )
 
 
 def gaps(rows: DataFrame, parents: DataFrame) -> DataFrame:

@@ -235,7 +235,7 @@ def sample_entries(parts: DataFrame) -> DataFrame:
         F.when(audio, or_zero(u16(e, at + 18))).alias("sample_size"),
         F.when(audio, F.shiftright(or_zero(u32(e, at + 24)), 16)).alias("sample_rate"),
         shown(F.col("configuration.kind")).alias("configuration_kind"),
-        F.col("configuration.payload").alias("configuration"),
+        F.col("configuration.payload").alias("configuration_payload"),
         F.when(
             avc & a["valid"],
             F.format_string("%s.%02X%02X%02X", shown(F.col("entry_kind")), a["profile"], a["compatibility"], a["level"]),
@@ -471,7 +471,7 @@ def tracks(parts: DataFrame) -> DataFrame:
         without_trailing_zeros(lossy_text(slice_(F.col("hdlr"), 24, F.length("hdlr") - 24))).alias("handler_name"),
         F.when(visual, without_trailing_zeros(lossy_text(slice_(entry, at + 43, named)))).alias("compressor"),
         shown(F.col("configuration.kind")).alias("configuration_kind"),
-        F.col("configuration.payload").alias("configuration"),
+        F.col("configuration.payload").alias("configuration_payload"),
         F.when(avc, a["length_size"]).alias("nal_length_size"),
         "track_children",
         "table_children",

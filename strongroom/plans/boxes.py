@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strongroom.functions.bytes import shown
+from strongroom.functions.bytes import shown, slice_
 from strongroom.operators import boxes as B
-from strongroom.plans.recordings import LAYOUT, ROWS, walked
+from strongroom.plans.recordings import FAULTS, LAYOUT, ROWS, damaged, walked
 from strongroom.plans.registry import query
 
 
@@ -66,9 +66,7 @@ def paths_in_file_order(spark, d):
     f"""WITH {ROWS} SELECT file_id, min("offset") AS "offset" FROM b WHERE path = 'moov/trak/mdia/minf/stbl/stsd' GROUP BY 1""",
 )
 def descend(spark, d):
-    found = rows(spark, d).persist()
-    starts = found.where("path = 'moov'")
-    return B.descend(starts, found, ["trak", "mdia", "minf", "stbl", "stsd"]).select("file_id", "offset")
+    return B.descend(walked(spark, d), "moov", ["trak", "mdia", "minf", "stbl", "stsd"]).select("file_id", "offset")
 
 
 @query(
@@ -129,3 +127,41 @@ def kind_display(spark, d):
 )
 def held_bytes(spark, d):
     return B.held_bytes(walked(spark, d)).select("file_id", "path", "offset", F.length("bytes").cast("bigint").alias("held"))
+
+
+def broken(spark, d):
+    return B.walk(B.whole_files(damaged(spark, d)))
+
+
+@query(
+    "b5_opening_check",
+    f"WITH {LAYOUT}, {FAULTS} SELECT file_id, coalesce(e.code <> 'not_a_container', true) AS opens FROM e",
+)
+def opening_check(spark, d):
+    return damaged(spark, d).select("file_id", B.opens_a_file(slice_(F.col("content"), 0, 16)).alias("opens"))
+
+
+@query(
+    "b7_caps",
+    f"WITH {LAYOUT}, {FAULTS} SELECT file_id, e.code AS code, e.at::BIGINT AS \"offset\" FROM e WHERE e.code = 'too_deep'",
+)
+def caps(spark, d):
+    found = B.errors(broken(spark, d)).where(F.col("code").isin("too_deep", "too_many", "oversized"))
+    return found.select("file_id", "code", "offset")
+
+
+@query(
+    "b8_one_movie_box",
+    f"WITH {LAYOUT}, {FAULTS} SELECT file_id, e.code AS code, e.at::BIGINT AS \"offset\" FROM e WHERE e.code IN ('no_movie_box', 'two_movie_boxes')",
+)
+def one_movie_box(spark, d):
+    found = B.errors(broken(spark, d)).where(F.col("code").isin("no_movie_box", "two_movie_boxes"))
+    return found.select("file_id", "code", "offset")
+
+
+@query(
+    "b18_errors",
+    f"WITH {LAYOUT}, {FAULTS} SELECT file_id, e.code AS code, e.kind AS kind, e.at::BIGINT AS \"offset\" FROM e WHERE e.code IS NOT NULL",
+)
+def errors(spark, d):
+    return B.errors(broken(spark, d))

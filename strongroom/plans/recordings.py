@@ -5,9 +5,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strongroom.functions.bytes import big_endian, code, slice_, u32
 from strongroom.operators import boxes as B
 from strongroom.sources import corpus
 from strongroom.plans.registry import table
@@ -44,10 +47,12 @@ def specifications(spark, d: str) -> DataFrame:
     return specs.repartition(spark.sparkContext.defaultParallelism, "file_id")
 
 
+@lru_cache(maxsize=8)
 def files(spark, d: str) -> DataFrame:
     return corpus.build(specifications(spark, d))
 
 
+@lru_cache(maxsize=8)
 def walked(spark, d: str) -> DataFrame:
     return B.walk(B.whole_files(files(spark, d)))
 
@@ -68,6 +73,12 @@ o6 AS (SELECT *, 8 + 108 + tv + ta + ud AS moov, CASE st WHEN 'F' THEN 10 ELSE 0
 f AS (SELECT *, CASE st WHEN 'P' THEN 24 + mdat ELSE 24 END AS moov_at, CASE st WHEN 'P' THEN 24 ELSE 24 + moov + zz END AS mdat_at,
         24 + moov + zz + mdat + tail AS length FROM o6)"""
 
+SAMPLES = """
+sm AS (SELECT file_id, st, pr, w, m, n, i, mdat_at + 8 AS media, vb, i % 3 = 0 AS sync, st = 'F' AND i = 3 AS inner_set,
+         (w + 8) * m + CASE WHEN st = 'F' AND i = 3 THEN w + 4 ELSE 0 END AS size,
+         printf('%08X', file_id) || printf('%04X', i) AS tail
+       FROM (SELECT *, unnest(range(n)) AS i FROM f))"""
+
 # Every box of the corpus: path, whether it is there, where it starts and how large it is.
 _V = "moov_at + 116"
 _MV = f"{_V} + 100 + ed + tr"
@@ -130,3 +141,43 @@ ROWS = LAYOUT + ", b AS (" + " UNION ALL ".join(
     f"""SELECT file_id, '{path}' AS path, ({at})::BIGINT AS "offset", ({size})::BIGINT AS size, {width} AS header, {own} AS fields, st, pr, moov_at FROM f WHERE {there}"""
     for path, there, at, size, width, own in _BOXES
 ) + ")"
+
+
+@lru_cache(maxsize=8)
+def damaged(spark, d: str) -> DataFrame:
+    """The corpus with a fault in some files, which one told by status and priority."""
+    c, st, pr = F.col("content"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    told = table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), st, pr)
+    moov = u32(c, 24)
+    rest = lambda at: F.substring(c, F.lit(at + 1) if isinstance(at, int) else (at + 1).cast("int"), F.length(c))
+    nested = F.concat(*[F.concat(big_endian(8 * left, 4), code("moov")) for left in range(14, 0, -1)])
+    fault = (
+        F.when((pr == "1-URGENT") & (st == "O"), F.concat(F.lit(b"plain text"), rest(10)))
+        .when((pr == "1-URGENT") & (st == "P"), F.concat(slice_(c, 0, moov + 28), code("free"), rest(moov + 32)))
+        .when((pr == "1-URGENT") & (st == "F"), F.concat(c, slice_(c, 24, moov)))
+        .when((pr == "2-HIGH") & (st == "P"), slice_(c, 0, 44))
+        .when((pr == "2-HIGH") & (st == "O"), F.concat(slice_(c, 0, 24), big_endian(4, 4), code("free"), rest(24)))
+        .when((pr == "2-HIGH") & (st == "F"), F.concat(slice_(c, 0, 24), big_endian(1, 4), code("free"), big_endian(0, 4)))
+        .when(
+            (pr == "3-MEDIUM") & (st == "O"),
+            F.concat(slice_(c, 0, 24), big_endian(moov + 3, 4), slice_(c, 28, moov - 4), F.lit(b"\0\0\0"), rest(moov + 24)),
+        )
+        .when((pr == "3-MEDIUM") & (st == "F"), F.concat(slice_(c, 0, 32), big_endian(0x7FFFFFFF, 4), rest(36)))
+        .when((pr == "3-MEDIUM") & (st == "P"), F.concat(slice_(c, 0, 24), nested))
+        .otherwise(c)
+    )
+    broken = files(spark, d).join(told, "file_id").select("file_id", fault.alias("content"))
+    return broken.select("file_id", F.length("content").cast("bigint").alias("length"), "content")
+
+
+FAULTS = """
+e AS (SELECT file_id, length, CASE
+    WHEN pr = '1-URGENT' AND st = 'O' THEN {'code': 'not_a_container', 'kind': NULL, 'at': 0}
+    WHEN pr = '1-URGENT' AND st = 'P' THEN {'code': 'no_movie_box', 'kind': NULL, 'at': NULL}
+    WHEN pr = '1-URGENT' AND st = 'F' THEN {'code': 'two_movie_boxes', 'kind': 'moov', 'at': length}
+    WHEN pr = '2-HIGH' AND st = 'P' THEN {'code': 'overrun', 'kind': 'mdat', 'at': 24}
+    WHEN pr = '2-HIGH' AND st = 'O' THEN {'code': 'undersized', 'kind': 'free', 'at': 24}
+    WHEN pr = '2-HIGH' AND st = 'F' THEN {'code': 'truncated', 'kind': 'free', 'at': 24}
+    WHEN pr = '3-MEDIUM' AND st = 'O' THEN {'code': 'truncated', 'kind': 'moov', 'at': 24}
+    WHEN pr = '3-MEDIUM' AND st = 'F' THEN {'code': 'overrun', 'kind': 'mvhd', 'at': 32}
+    WHEN pr = '3-MEDIUM' AND st = 'P' THEN {'code': 'too_deep', 'kind': NULL, 'at': 128} END AS e FROM f)"""

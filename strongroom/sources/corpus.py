@@ -8,11 +8,12 @@ not coded pictures.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strongroom.functions.binding import let
-from strongroom.functions.bytes import ascii_, big_endian, box, code, column, numbers, raw
+from strongroom.functions.bytes import ascii_, big_endian, code, column, numbers, raw
 
 # Clocks and scales of a recording.
 EPOCH_1904 = 2082844800
@@ -52,8 +53,68 @@ def specifications(table: DataFrame, file_id: Column, seed: Column, **varied: Co
     )
 
 
-def _zeros(count: int) -> Column:
-    return raw("00" * count)
+@dataclass(frozen=True)
+class Piece:
+    """Bytes with their size: a constant part, and a column for what varies.
+
+    Knowing sizes ahead of bytes is what lets a box be written without building its payload twice.
+    """
+
+    data: Column
+    fixed: int
+    varying: Column | None = None
+
+    def size(self) -> Column:
+        return F.lit(self.fixed) if self.varying is None else self.varying + self.fixed
+
+
+def _fixed(data: Column, size: int) -> Piece:
+    return Piece(data, size)
+
+
+def _hex(digits: str) -> Piece:
+    return Piece(raw(digits), len(digits) // 2)
+
+
+def _zeros(count: int) -> Piece:
+    return _hex("00" * count)
+
+
+def _number(value, width: int) -> Piece:
+    return Piece(big_endian(value, width), width)
+
+
+def _text(text: str) -> Piece:
+    data = text.encode("latin-1")
+    return Piece(F.lit(data), len(data))
+
+
+def _list(values: Column, width: int, count) -> Piece:
+    if isinstance(count, int):
+        return Piece(numbers(values, width), width * count)
+    return Piece(numbers(values, width), 0, count * width)
+
+
+def _join(*pieces: Piece) -> Piece:
+    varying = None
+    for piece in pieces:
+        if piece.varying is not None:
+            varying = piece.varying if varying is None else varying + piece.varying
+    return Piece(F.concat(*[p.data for p in pieces]), sum(p.fixed for p in pieces), varying)
+
+
+def _only(condition: Column, piece: Piece) -> Piece:
+    return Piece(F.when(condition, piece.data).otherwise(raw("")), 0, F.when(condition, piece.size()).otherwise(0))
+
+
+def _box(kind: str, *pieces: Piece) -> Piece:
+    inside = _join(*pieces)
+    whole = Piece(inside.data, inside.fixed + 8, inside.varying)
+    return Piece(F.concat(big_endian(whole.size(), 4), code(kind), inside.data), whole.fixed, whole.varying)
+
+
+def _counted(kind: str, count, body: Piece, version: str = "00000000") -> Piece:
+    return _box(kind, _hex(version), _number(count, 4), body)
 
 
 def _indices() -> Column:
@@ -64,10 +125,8 @@ def _sample(i: Column) -> Column:
     """The stored bytes of one video sample: length-prefixed units."""
 
     def unit(body: Column, size: int) -> Column:
-        prefix = F.when(F.col("width") == 2, big_endian(F.lit(size), 2)).when(
-            F.col("width") == 1, big_endian(F.lit(size), 1)
-        ).otherwise(big_endian(F.lit(size), 4))
-        return F.concat(prefix, body)
+        prefix = F.when(F.col("width") == 2, big_endian(size, 2)).when(F.col("width") == 1, big_endian(size, 1))
+        return F.concat(prefix.otherwise(big_endian(size, 4)), body)
 
     sync = i % PER_CHUNK == 0
     body = F.concat(big_endian(F.col("seed"), 4), big_endian(i, 2))
@@ -85,211 +144,180 @@ def _concat_bytes(parts: Column) -> Column:
     return F.unhex(F.array_join(F.transform(parts, F.hex), ""))
 
 
-def _track_header(track_id: int, width: int, height: int) -> Column:
-    return box(
+def _track_header(track_id: int, width: int, height: int) -> Piece:
+    created = F.col("created")
+    return _box(
         "tkhd",
-        raw("00000003"),
-        big_endian(F.col("created"), 4),
-        big_endian(F.col("created"), 4),
-        big_endian(track_id, 4),
+        _hex("00000003"),
+        _number(created, 4),
+        _number(created, 4),
+        _number(track_id, 4),
         _zeros(4),
-        big_endian(F.col("samples") * 2000, 4),
-        _zeros(8),
-        big_endian(F.lit(-1), 2),
-        _zeros(2),
-        raw("0100"),
+        _number(F.col("samples") * 2000, 4),
+        _hex("0000000000000000FFFF00000100"),
         _zeros(2 + 36),
-        big_endian(width << 16, 4),
-        big_endian(height << 16, 4),
+        _number(width << 16, 4),
+        _number(height << 16, 4),
     )
 
 
-def _media_header(scale: int, duration: Column) -> Column:
+def _media_header(scale: int, duration: Column) -> Piece:
     # The language is und, three letters of five bits.
-    return box(
-        "mdhd",
-        _zeros(4),
-        big_endian(F.col("created"), 4),
-        big_endian(F.col("created"), 4),
-        big_endian(scale, 4),
-        big_endian(duration, 4),
-        raw("55C40000"),
+    created = F.col("created")
+    return _box(
+        "mdhd", _zeros(4), _number(created, 4), _number(created, 4), _number(scale, 4), _number(duration, 4), _hex("55C40000")
     )
 
 
-def _handler(kind: str, name: str) -> Column:
-    return box("hdlr", _zeros(8), code(kind), _zeros(12), ascii_(name), _zeros(1))
-
+def _handler(kind: str, name: str) -> Piece:
+    return _box("hdlr", _zeros(8), _text(kind), _zeros(12), _text(name), _zeros(1))
 
-def _counted(kind: str, count: Column, body: Column, version: str = "00000000") -> Column:
-    return box(kind, raw(version), big_endian(count, 4), body)
 
-
-def _video_sizes() -> Column:
-    compact = F.col("compact_bits")
-    plain = box("stsz", _zeros(8), big_endian(F.col("samples"), 4), numbers(F.col("sizes"), 4))
-    nibbles = F.array_join(F.transform(F.col("sizes"), lambda s: F.substring(F.hex(s), -1, 1)), "")
-    padded = F.concat(nibbles, F.when(F.col("samples") % 2 == 1, "0").otherwise(""))
-    fields = (
-        F.when(compact == 4, F.unhex(padded)).when(compact == 8, numbers(F.col("sizes"), 1)).otherwise(numbers(F.col("sizes"), 2))
-    )
-    small = box("stz2", _zeros(7), big_endian(compact, 1), big_endian(F.col("samples"), 4), fields)
-    return F.when(compact == 0, plain).otherwise(small)
+def _video_sizes() -> Piece:
+    count, sizes, bits = F.col("samples"), F.col("sizes"), F.col("compact_bits")
+    plain = _box("stsz", _zeros(8), _number(count, 4), _list(sizes, 4, count))
+    nibbles = F.array_join(F.transform(sizes, lambda s: F.substring(F.hex(s), -1, 1)), "")
+    padded = F.concat(nibbles, F.when(count % 2 == 1, "0").otherwise(""))
+    fields = F.when(bits == 4, F.unhex(padded)).when(bits == 8, numbers(sizes, 1)).otherwise(numbers(sizes, 2))
+    taken = F.when(bits == 4, F.floor((count + 1) / 2)).when(bits == 8, count).otherwise(count * 2).cast("int")
+    small = _box("stz2", _zeros(7), _number(bits, 1), _number(count, 4), Piece(fields, 0, taken))
+    return _join(_only(bits == 0, plain), _only(bits != 0, small))
 
 
-def _video_track(base: Column) -> Column:
-    """The video track with chunk offsets counted from the start of the media."""
-    chunks = F.expr(f"(samples + {PER_CHUNK - 1}) DIV {PER_CHUNK}").cast("int")
+def _video_track(base: Column) -> Piece:
+    """The video track, its chunks placed from where the media starts."""
+    chunks = F.floor((F.col("samples") + (PER_CHUNK - 1)) / PER_CHUNK).cast("int")
     full = chunks - 1
     rest = F.col("samples") - full * PER_CHUNK
     before = lambda i: F.aggregate(
         F.slice(F.col("sizes"), 1, (i * PER_CHUNK).cast("int")), F.lit(0).cast("bigint"), lambda a, s: a + s
     )
     offsets = F.transform(F.sequence(F.lit(0), full), lambda i: base + before(i))
-    entry = box(
+    lengths = F.when(F.col("width") == 4, raw(LENGTH_4)).when(F.col("width") == 2, raw(LENGTH_2)).otherwise(raw("FC"))
+    name = F.substring(F.concat(ascii_(F.col("compressor")), raw("00" * 31)), 1, 31)
+    entry = _box(
         "avc1",
-        _zeros(6),
-        raw("0001"),
+        _hex("0000000000000001"),
         _zeros(16),
-        big_endian(64, 2),
-        big_endian(48, 2),
+        _hex("00400030"),
         _zeros(12),
-        raw("0001"),
-        big_endian(F.length("compressor"), 1),
-        F.substring(F.concat(ascii_(F.col("compressor")), _zeros(31)), 1, 31),
-        raw("0018FFFF"),
-        box(
-            "avcC",
-            raw("01640028"),
-            F.when(F.col("width") == 4, raw(LENGTH_4)).when(F.col("width") == 2, raw(LENGTH_2)).otherwise(raw("FC")),
-            raw("E1" + "0004" + SPS + "01" + "0003" + PPS),
-        ),
+        _hex("0001"),
+        _number(F.length("compressor"), 1),
+        Piece(name, 31),
+        _hex("0018FFFF"),
+        _box("avcC", _hex("01640028"), Piece(lengths, 1), _hex("E1" + "0004" + SPS + "01" + "0003" + PPS)),
     )
     sync = F.transform(F.sequence(F.lit(0), full), lambda i: i * PER_CHUNK + 1)
-    table = box(
+    count = F.col("samples")
+    times = _list(F.array(F.lit(1), F.lit(500), count - 1, F.lit(1000)), 4, 4)
+    runs = _list(F.array(F.lit(1), F.lit(PER_CHUNK), F.lit(1), chunks, rest, F.lit(1)), 4, 6)
+    moved = _list(F.array(F.lit(1), F.lit(0), count - 1, F.lit(-5)), 4, 4)
+    table = _box(
         "stbl",
-        _counted("stsd", F.lit(1), entry),
-        _counted("stts", F.lit(2), numbers(F.array(F.lit(1), F.lit(500), F.col("samples") - 1, F.lit(1000)), 4)),
-        _counted(
-            "stsc",
-            F.lit(2),
-            numbers(F.array(F.lit(1), F.lit(PER_CHUNK), F.lit(1), chunks, rest, F.lit(1)), 4),
-        ),
+        _counted("stsd", 1, entry),
+        _counted("stts", 2, times),
+        _counted("stsc", 2, runs),
         _video_sizes(),
-        F.when(F.col("wide_offsets"), _counted("co64", chunks, numbers(offsets, 8))).otherwise(
-            _counted("stco", chunks, numbers(offsets, 4))
-        ),
-        _counted("stss", chunks, numbers(sync, 4)),
-        F.when(
-            F.col("composition"),
-            _counted("ctts", F.lit(2), numbers(F.array(F.lit(1), F.lit(0), F.col("samples") - 1, F.lit(-5)), 4), "01000000"),
-        ).otherwise(raw("")),
+        _only(~F.col("wide_offsets"), _counted("stco", chunks, _list(offsets, 4, chunks))),
+        _only(F.col("wide_offsets"), _counted("co64", chunks, _list(offsets, 8, chunks))),
+        _counted("stss", chunks, _list(sync, 4, chunks)),
+        _only(F.col("composition"), _counted("ctts", 2, moved, "01000000")),
     )
-    edits = box("edts", _counted("elst", F.lit(1), F.concat(big_endian(F.col("samples") * 2000, 4), big_endian(F.lit(-1), 4), raw("00010000"))))
-    links = box("tref", box("cdsc", raw("00000002" + "00000009")))
-    return box(
+    edits = _counted("elst", 1, _join(_number(count * 2000, 4), _hex("FFFFFFFF00010000")))
+    return _box(
         "trak",
         _track_header(1, 64, 48),
-        F.when(F.col("edit_list"), edits).otherwise(raw("")),
-        F.when(F.col("references"), links).otherwise(raw("")),
-        box(
+        _only(F.col("edit_list"), _box("edts", edits)),
+        _only(F.col("references"), _box("tref", _box("cdsc", _hex("0000000200000009")))),
+        _box(
             "mdia",
-            _media_header(VIDEO_SCALE, F.col("samples") * 1000 - 500),
+            _media_header(VIDEO_SCALE, count * 1000 - 500),
             _handler("vide", "VideoHandler"),
-            box("minf", table),
+            _box("minf", table),
         ),
     )
 
 
-def _audio_track(base: Column) -> Column:
-    entry = box(
+def _audio_track(base: Column) -> Piece:
+    count = F.col("samples")
+    entry = _box(
         "mp4a",
-        _zeros(6),
-        raw("0001"),
+        _hex("0000000000000001"),
         _zeros(8),
-        raw("00020010"),
-        _zeros(4),
-        big_endian(AUDIO_SCALE, 2),
+        _hex("0002001000000000"),
+        _number(AUDIO_SCALE, 2),
         _zeros(2),
-        box("esds", _zeros(4), raw("0380")),
+        _box("esds", _zeros(4), _hex("0380")),
     )
-    table = box(
+    table = _box(
         "stbl",
-        _counted("stsd", F.lit(1), entry),
-        _counted("stts", F.lit(1), numbers(F.array(F.col("samples"), F.lit(AUDIO_FRAME)), 4)),
-        _counted("stsc", F.lit(1), numbers(F.array(F.lit(1), F.col("samples"), F.lit(1)), 4)),
-        box("stsz", _zeros(4), big_endian(8, 4), big_endian(F.col("samples"), 4)),
-        _counted("stco", F.lit(1), big_endian(base, 4)),
+        _counted("stsd", 1, entry),
+        _counted("stts", 1, _list(F.array(count, F.lit(AUDIO_FRAME)), 4, 2)),
+        _counted("stsc", 1, _list(F.array(F.lit(1), count, F.lit(1)), 4, 3)),
+        _box("stsz", _zeros(4), _number(8, 4), _number(count, 4)),
+        _counted("stco", 1, _number(base, 4)),
     )
-    return box(
+    return _box(
         "trak",
         _track_header(2, 0, 0),
-        box(
+        _box(
             "mdia",
-            _media_header(AUDIO_SCALE, F.col("samples") * AUDIO_FRAME),
+            _media_header(AUDIO_SCALE, count * AUDIO_FRAME),
             _handler("soun", "SoundHandler"),
-            box("minf", table),
+            _box("minf", table),
         ),
     )
 
 
-def _user_data() -> Column:
-    vendor = box("zvnd", big_endian(F.col("seed"), 4))
+def _user_data() -> Piece:
     kind = F.col("user_data")
-    return (
-        F.when(kind == "vendor", box("udta", vendor))
-        .when(kind == "both", box("udta", box("name", ascii_("cam")), vendor))
-        .when(kind == "foreign", box("udta", box("\xa9too", ascii_("Lavf60.3.100"))))
-        .otherwise(raw(""))
+    vendor = _box("zvnd", _number(F.col("seed"), 4))
+    return _join(
+        _only(kind == "vendor", _box("udta", vendor)),
+        _only(kind == "both", _box("udta", _box("name", _text("cam")), vendor)),
+        _only(kind == "foreign", _box("udta", _box("\xa9too", _text("Lavf60.3.100")))),
     )
 
 
-def _movie(media_start: Column) -> Column:
-    header = box(
+def _movie(media_start: Column) -> Piece:
+    created = F.col("created")
+    header = _box(
         "mvhd",
         _zeros(4),
-        big_endian(F.col("created"), 4),
-        big_endian(F.col("created"), 4),
-        big_endian(MOVIE_SCALE, 4),
-        big_endian(F.col("samples") * 2000, 4),
+        _number(created, 4),
+        _number(created, 4),
+        _number(MOVIE_SCALE, 4),
+        _number(F.col("samples") * 2000, 4),
         _zeros(76),
-        raw("00000003"),
+        _hex("00000003"),
     )
     audio_start = media_start + F.length("video")
-    return box(
-        "moov",
-        header,
-        _video_track(media_start),
-        F.when(F.col("audio"), _audio_track(audio_start)).otherwise(raw("")),
-        _user_data(),
+    return _box(
+        "moov", header, _video_track(media_start), _only(F.col("audio"), _audio_track(audio_start)), _user_data()
     )
 
 
 def build(specs: DataFrame) -> DataFrame:
     """The files of a table of specifications."""
-    stored = specs.withColumn("stored", F.transform(_indices(), _sample)).withColumns(
-        {
-            "sizes": F.transform("stored", lambda s: F.length(s).cast("bigint")),
-            "video": _concat_bytes(F.col("stored")),
-            "sound": F.when(
-                F.col("audio"),
-                _concat_bytes(F.transform(_indices(), lambda i: F.concat(big_endian(F.col("seed"), 4), big_endian(i, 4)))),
-            ).otherwise(raw("")),
-        }
+    stored = specs.withColumn("stored", F.transform(_indices(), _sample))
+    sound = _concat_bytes(F.transform(_indices(), lambda i: F.concat(big_endian(F.col("seed"), 4), big_endian(i, 4))))
+    media = stored.select(
+        *specs.columns,
+        F.transform("stored", lambda s: F.length(s).cast("bigint")).alias("sizes"),
+        _concat_bytes(F.col("stored")).alias("video"),
+        F.when(F.col("audio"), sound).otherwise(raw("")).alias("sound"),
     )
-    # The movie box does not change size with the offsets in it: laid out once to learn its size.
-    sized = stored.withColumn("moov_size", F.length(_movie(F.lit(0).cast("bigint"))))
-    first = box("ftyp", code("isom"), big_endian(512, 4), code("isom"), code("avc1"))
-    vendor = F.when(F.col("top_vendor"), box("zzzz", raw("6350"))).otherwise(raw(""))
-    media = box("mdat", F.col("video"), F.col("sound"))
-    start = F.lit(24 + 8) + F.when(
-        F.col("moov_first"), F.col("moov_size") + F.when(F.col("top_vendor"), 10).otherwise(0)
-    ).otherwise(0)
-    placed = sized.withColumn("moov", _movie(start.cast("bigint")))
+    # Sizes do not depend on offsets, so the movie box's own size is known before it is written.
+    moov_size = _movie(F.lit(0)).size()
+    vendor = _only(F.col("top_vendor"), _box("zzzz", _hex("6350")))
+    start = F.lit(24 + 8) + F.when(F.col("moov_first"), moov_size + vendor.size()).otherwise(0)
+    placed = media.withColumn("media_start", start.cast("bigint")).withColumn("moov", _movie(F.col("media_start")).data)
+    first = _box("ftyp", _text("isom"), _number(512, 4), _text("isomavc1")).data
+    mdat = F.concat(big_endian(F.length("video") + F.length("sound") + 8, 4), code("mdat"), F.col("video"), F.col("sound"))
     content = F.concat(
         first,
-        F.when(F.col("moov_first"), F.concat("moov", vendor, media)).otherwise(F.concat(media, F.col("moov"), vendor)),
-        F.when(F.col("tail") > 0, F.substring(_zeros(7), F.lit(1), F.col("tail"))).otherwise(raw("")),
+        F.when(F.col("moov_first"), F.concat("moov", vendor.data, mdat)).otherwise(F.concat(mdat, F.col("moov"), vendor.data)),
+        F.when(F.col("tail") > 0, F.substring(raw("00" * 7), F.lit(1), F.col("tail"))).otherwise(raw("")),
     )
     return placed.select("file_id", content.alias("content")).select(
         "file_id", F.length("content").cast("bigint").alias("length"), "content"
