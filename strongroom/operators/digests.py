@@ -16,6 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strongroom.functions.bytes import one_of, shown
+from strongroom.operators.boxes import KNOWN_TOP_LEVEL
+from strongroom.operators.headers import file_types, movie_headers
+from strongroom.operators.headers import tracks as typed_tracks
 from strongroom.operators.running import by_rows, running_totals
 
 # The most bytes of one group that are concatenated into a row.
@@ -148,6 +152,61 @@ def listing_digests(lines: DataFrame, keys: list[str], order: list[str], line: s
     return ordered_digests(bytes_, keys, order, "__line")
 
 
+_UNITS = "array<struct<at:int,size:int>>"
+_STRETCH = 32
+
+
+def unit_places(data: Column, width: Column) -> Column:
+    """Places of the length-prefixed units of a sample, and whether a prefix ran past its end.
+
+    Folded in stretches inside the row; a sample is bounded by what is read at once.
+    """
+    length = F.length(data)
+
+    def step(state: Column, _: Column) -> Column:
+        at = state["at"]
+        prefix = F.conv(F.hex(F.substring(data, at + 1, width)), 16, 10).cast("bigint")
+        fits = (at + width <= length) & (at + width + prefix <= length)
+        unit = F.array(F.struct((at + width).cast("int").alias("at"), prefix.cast("int").alias("size"))).cast(_UNITS)
+        return F.when(at >= length, state).otherwise(
+            F.struct(
+                F.when(fits, at + width + prefix).otherwise(length).cast("int").alias("at"),
+                F.when(fits, F.concat(state["units"], unit)).otherwise(state["units"]).alias("units"),
+                (state["broken"] | ~F.coalesce(fits, F.lit(False))).alias("broken"),
+            )
+        )
+
+    def stretch(state: Column, _: Column) -> Column:
+        return F.when(state["at"] >= length, state).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(_STRETCH)), state, step))
+
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_UNITS).alias("units"), F.lit(False).alias("broken"))
+    return F.aggregate(F.sequence(F.lit(0), F.floor(length / width / _STRETCH).cast("int")), empty, stretch)
+
+
+def units(samples: DataFrame) -> DataFrame:
+    """Units of ``samples(file_id, track_index, sample_idx, bytes, nal_length_size)``, one row each."""
+    placed = samples.withColumn("places", unit_places(F.col("bytes"), F.col("nal_length_size").cast("int")))
+    rows = placed.select(
+        "file_id", "track_index", "sample_idx", F.col("bytes").alias("sample"), F.posexplode_outer("places.units").alias("unit", "u")
+    ).where("u IS NOT NULL")
+    data = F.substring(F.col("sample"), F.col("u.at") + 1, F.col("u.size"))
+    byte = lambda at: F.conv(F.hex(F.substring(F.col("bytes"), F.lit(at + 1), F.lit(1))), 16, 10).cast("int")
+    return rows.select("file_id", "track_index", "sample_idx", "unit", data.alias("bytes")).withColumns(
+        {
+            "type": F.coalesce(byte(0).bitwiseAND(0x1F), F.lit(0)),
+            "opens_picture": F.coalesce(byte(1).bitwiseAND(0x80) != 0, F.lit(False)),
+        }
+    )
+
+
+def malformed_samples(samples: DataFrame) -> DataFrame:
+    """Samples that do not split under their declared prefix."""
+    broken = unit_places(F.col("bytes"), F.col("nal_length_size").cast("int"))["broken"]
+    return samples.where(broken).select(
+        "file_id", "track_index", "sample_idx", F.lit("a unit's length prefix runs past the sample").alias("reason")
+    )
+
+
 # The unit types that steer parameter-set insertion and the two start codes.
 SEQUENCE_SET, PICTURE_SET, REFRESH_SLICE = 7, 8, 5
 LONG_START, SHORT_START = "00000001", "000001"
@@ -238,3 +297,85 @@ def stream_digests(stream: DataFrame) -> DataFrame:
         F.count(F.when(F.col("inserted") == "both", 1)).alias("insertions"),
     )
     return digest.join(counts, keys)
+
+
+def _quoted(text: Column) -> Column:
+    """A text in double quotes, quotes and backslashes escaped."""
+    return F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\])', r"\\$1"), F.lit('"'))
+
+
+def structural_fingerprints(walked: DataFrame, parts: DataFrame) -> DataFrame:
+    """What a container's shape shows, one observation per line, and the digest of the lines.
+
+    A listing is bounded by the caps of the walk, so it is built in the file's own row; the tracks
+    join it once.
+    """
+    usable = F.filter("boxes", lambda b: b["error"].isNull())
+    top = F.filter(usable, lambda b: b["depth"] == 0)
+    kinds = lambda boxes: F.array_join(F.transform(boxes, lambda b: shown(b["kind"])), " ")
+    listed = lambda prefix, boxes: F.transform(
+        boxes, lambda b: F.concat(F.lit(prefix), shown(b["kind"]), F.lit(" "), b["size"].cast("string"))
+    )
+    unknown = F.filter(top, lambda b: ~one_of(b["kind"], KNOWN_TOP_LEVEL) & ~b["clipped"])
+    tail = F.filter(F.slice(top, -1, 1), lambda b: b["clipped"])
+    under = lambda path: F.filter(usable, lambda b: (b["path"] == F.concat(F.lit(path), shown(b["kind"]))) & (b["depth"] > 0))
+    shape = walked.select(
+        "file_id",
+        F.concat(F.lit("top-level "), kinds(top)).alias("order"),
+        listed("top-level-unknown ", unknown).alias("unknown"),
+        listed("top-level-clipped ", tail).alias("tail"),
+        F.concat(F.lit("moov "), kinds(under("moov/"))).alias("movie_children"),
+        listed("udta ", under("moov/udta/")).alias("user_data"),
+    )
+    brands = file_types(walked).select(
+        "file_id",
+        F.array(
+            F.concat(F.lit("brand "), F.col("major_brand")),
+            F.concat(F.lit("compatible "), F.array_join("compatible_brands", " ")),
+        ).alias("brands"),
+    )
+    scales = movie_headers(walked).where("error IS NULL").select(
+        "file_id", F.array(F.concat(F.lit("movie-timescale "), F.col("timescale").cast("string"))).alias("scale")
+    )
+    t = typed_tracks(parts)
+    line = F.concat_ws(
+        " ",
+        F.lit("track"),
+        "track_index",
+        "kind",
+        "coding",
+        F.concat(F.lit("["), F.col("entry_children"), F.lit("]")),
+        F.lit("compressor"),
+        _quoted(F.coalesce("compressor", F.lit(""))),
+        F.lit("handler"),
+        _quoted(F.col("handler_name")),
+        F.lit("flags"),
+        F.concat(F.lit("0x"), F.lower(F.hex("flags"))),
+        F.lit("timescale"),
+        "timescale",
+        F.concat(F.lit("trak ["), F.col("track_children"), F.lit("]")),
+        F.concat(F.lit("stbl ["), F.col("table_children"), F.lit("]")),
+    )
+    tracks = (
+        t.select("file_id", F.struct("track_index", line.alias("line")).alias("t"))
+        .groupBy("file_id")
+        .agg(F.transform(F.sort_array(F.collect_list("t")), lambda x: x["line"]).alias("tracks"))
+    )
+    none = F.array().cast("array<string>")
+    lines = F.concat(
+        F.coalesce("brands", F.array(F.lit("brand none"))),
+        F.array("order"),
+        "unknown",
+        "tail",
+        F.coalesce("scale", none),
+        F.array("movie_children"),
+        "user_data",
+        F.coalesce("tracks", none),
+    )
+    return (
+        shape.join(brands, "file_id", "left")
+        .join(scales, "file_id", "left")
+        .join(tracks, "file_id", "left")
+        .select("file_id", lines.alias("observations"))
+        .withColumn("sha256", sha256(F.array_join("observations", "\n")))
+    )

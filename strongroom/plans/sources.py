@@ -9,6 +9,7 @@ from strongroom.operators import library as L
 from strongroom.operators import manifest as M
 from strongroom.operators import headers as C
 from strongroom.operators import samples as S
+from strongroom.plans.digests import stored_parts
 from strongroom.plans.headers import parts
 from strongroom.plans.recordings import FAULTS, LAYOUT, SAMPLES, damaged, files, walked
 from strongroom.plans.registry import query, table
@@ -31,7 +32,7 @@ def discovery(spark, d):
 )
 def range_reads(spark, d):
     """Every video sample by its place in the file, and one range past the end of each file."""
-    p = parts(spark, d).where("track_index = 0")
+    p = stored_parts(spark, d).where("track_index = 0")
     _, stsc, stsz, stco, _, _ = C.run_tables(p)
     wanted = S.locate(stsc, stco, stsz).select("file_id", F.col("idx").alias("range_id"), "offset", "size")
     f = files(spark, d)
