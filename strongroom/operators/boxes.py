@@ -245,7 +245,7 @@ def _siblings(fetch, start: Column, end: Column, parent, top: bool) -> Column:
             )
 
         headed = let(
-            fetch(at, F.least(F.lit(20).cast("bigint"), left)),
+            fetch(at, F.least(F.lit(16 if top else 20).cast("bigint"), left)),
             lambda head: let(header(head, at, end), lambda h: F.struct(head.alias("head"), h.alias("h"))),
         )
         return let(let(headed, read_one), advance)

@@ -67,8 +67,8 @@ def average_bit_rate(spark, d):
 
 @query(
     "f3_first_seen_tags",
-    """WITH t AS (SELECT l_orderkey AS file_id, l_returnflag || l_linestatus AS tag, min((l_linenumber, l_partkey, l_suppkey)) AS at FROM lineitem WHERE l_discount > 0 GROUP BY ALL)
-       SELECT file_id, string_agg(tag, ' ' ORDER BY at, tag) AS tags FROM t GROUP BY 1""",
+    """WITH t AS (SELECT l_orderkey AS file_id, l_returnflag || l_linestatus AS tag, min((l_linenumber, l_partkey, l_suppkey)) AS first_at FROM lineitem WHERE l_discount > 0 GROUP BY ALL)
+       SELECT file_id, string_agg(tag, ' ' ORDER BY first_at, tag) AS tags FROM t GROUP BY 1""",
 )
 def first_seen_tags(spark, d):
     tags = table(spark, d, "lineitem").select(

@@ -70,7 +70,7 @@ def _segments(stream, length: int) -> list[dict]:
         size = length - at if size == 0 else int.from_bytes(head[8:16], "big") if size == 1 else size
         whole = 8 <= size <= length - at
         cap = {b"moov": MOVIE_BOX_CAP, b"ftyp": FILE_TYPE_BOX_CAP}.get(kind, UNKNOWN_BOX_HOLD_CAP)
-        if whole and kind not in stepped and size <= cap:
+        if whole and kind not in stepped and len(head) < size <= cap:
             stream.seek(at)
             head = stream.read(size)
         held.append({"offset": at, "bytes": head})
