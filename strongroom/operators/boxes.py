@@ -263,47 +263,58 @@ def _siblings(fetch, start: Column, end: Column, parent, top: bool) -> Column:
 
 
 def walk(files: DataFrame) -> DataFrame:
-    """Adds ``boxes``: every box of each file, breadth first."""
-    top = files.withColumn(
-        "top",
-        _siblings(
-            lambda at, size: read(F.col("segments"), at, size), F.lit(0).cast("bigint"), F.col("length"), None, True
-        ),
-    )
-    movie = F.get(F.filter("top", lambda b: b["child"].isNotNull()), F.lit(0))
-    held = top.withColumn("movie", let(movie, lambda b: F.struct(b["offset"].alias("offset"), read(F.col("segments"), b["offset"], b["size"]).alias("bytes"))))
-
-    def fetch(at: Column, size: Column) -> Column:
-        return slice_(F.col("movie.bytes"), at - F.col("movie.offset"), size)
-
-    def level(state: Column, depth: Column) -> Column:
-        parents = F.filter(state["frontier"], lambda b: b["child"].isNotNull())
-        too_deep = F.transform(
-            parents,
-            lambda b: _entry(
-                kind=b["kind"],
-                offset=b["offset"],
-                error=F.lit("too_deep"),
-                detail_offset=b["child"],
-                parent=b["offset"],
-                depth=b["depth"] + 1,
-                path=b["path"],
-            ),
-        )
-        below = F.flatten(
-            F.transform(parents, lambda b: _siblings(fetch, b["child"], b["offset"] + b["size"], b, False))
+    """Adds ``boxes``, every box of each file breadth first, and ``movie``, the bytes of its movie box.
+
+    The bytes are bound once per file: a field read out of a row copies it, a bound value does not, and
+    a movie box is read a few times per box it holds.
+    """
+
+    def tree(segments: Column) -> Column:
+        top = _siblings(
+            lambda at, size: read(segments, at, size), F.lit(0).cast("bigint"), F.col("length"), None, True
         )
+        return let(top, lambda found: let(movie_of(segments, found), lambda movie: below(found, movie)))
+
+    def movie_of(segments: Column, top: Column) -> Column:
+        first = F.get(F.filter(top, lambda b: b["child"].isNotNull()), F.lit(0))
         return let(
-            F.when(depth > MAX_DEPTH, too_deep).otherwise(below),
-            lambda found: F.struct(found.alias("frontier"), F.concat(state["all"], found).alias("all")),
+            first,
+            lambda b: F.struct(b["offset"].alias("offset"), read(segments, b["offset"], b["size"]).alias("bytes")),
         )
 
-    tree = F.aggregate(
-        F.sequence(F.lit(1), F.lit(MAX_DEPTH + 1)),
-        F.struct(F.col("top").alias("frontier"), F.col("top").alias("all")),
-        level,
-    )["all"]
-    return held.withColumn("boxes", tree).drop("top")
+    def below(top: Column, movie: Column) -> Column:
+        def fetch(at: Column, size: Column) -> Column:
+            return slice_(movie["bytes"], at - movie["offset"], size)
+
+        def level(state: Column, depth: Column) -> Column:
+            parents = F.filter(state["frontier"], lambda b: b["child"].isNotNull())
+            too_deep = F.transform(
+                parents,
+                lambda b: _entry(
+                    kind=b["kind"],
+                    offset=b["offset"],
+                    error=F.lit("too_deep"),
+                    detail_offset=b["child"],
+                    parent=b["offset"],
+                    depth=b["depth"] + 1,
+                    path=b["path"],
+                ),
+            )
+            children = F.flatten(
+                F.transform(parents, lambda b: _siblings(fetch, b["child"], b["offset"] + b["size"], b, False))
+            )
+            return let(
+                F.when(depth > MAX_DEPTH, too_deep).otherwise(children),
+                lambda found: F.struct(found.alias("frontier"), F.concat(state["all"], found).alias("all")),
+            )
+
+        start = F.struct(top.alias("frontier"), top.alias("all"))
+        boxes = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_DEPTH + 1)), start, level)["all"]
+        return F.struct(boxes.alias("boxes"), movie.alias("movie"))
+
+    held = F.transform("segments", lambda s: F.struct(s["offset"].alias("offset"), s["bytes"].alias("bytes")))
+    walked = files.withColumn("__w", let(held, tree))
+    return walked.select(*files.columns, "__w.boxes", "__w.movie")
 
 
 def boxes(walked: DataFrame, *keep: str) -> DataFrame:

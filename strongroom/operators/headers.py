@@ -37,19 +37,22 @@ def _child(parent: Column, *kinds: str) -> Column:
     return F.get(found, F.lit(0))
 
 
-def _payload(box: Column) -> Column:
-    return slice_(F.col("movie.bytes"), box["offset"] + box["header"] - F.col("movie.offset"), box["size"] - box["header"])
+def _payload(box: Column, movie: Column) -> Column:
+    return slice_(movie["bytes"], box["offset"] + box["header"] - movie["offset"], box["size"] - box["header"])
 
 
-def _whole(box: Column) -> Column:
-    return slice_(F.col("movie.bytes"), box["offset"] - F.col("movie.offset"), box["size"])
+def _whole(box: Column, movie: Column) -> Column:
+    return slice_(movie["bytes"], box["offset"] - movie["offset"], box["size"])
 
 
 def track_parts(walked: DataFrame) -> DataFrame:
     """One row per track with the payload of every box its description needs, NULL where absent."""
     tracks = F.filter("boxes", lambda b: (b["path"] == "moov/trak") & b["error"].isNull())
 
-    def parts(track: Column, index: Column) -> Column:
+    # Bound once: a field read out of a row is a copy of it.
+    movie_box = F.struct(F.col("movie.offset").alias("offset"), F.col("movie.bytes").alias("bytes"))
+
+    def parts(track: Column, index: Column, movie: Column) -> Column:
         def media(mdia: Column) -> Column:
             return let(_child(mdia, "minf"), lambda minf: let(_child(minf, "stbl"), lambda stbl: table(mdia, stbl)))
 
@@ -62,22 +65,22 @@ def track_parts(walked: DataFrame) -> DataFrame:
 
         def fields(mdia: Column, stbl: Column, stsd: Column, entry: Column) -> Column:
             configuration = _child(entry, *CONFIGURATIONS)
-            tables = [_payload(_child(stbl, kind)).alias(kind) for kind in RUN_TABLES]
+            tables = [_payload(_child(stbl, kind), movie).alias(kind) for kind in RUN_TABLES]
             return F.struct(
                 index.alias("track_index"),
                 track["offset"].alias("trak_offset"),
-                _payload(_child(track, "tkhd")).alias("tkhd"),
-                _payload(_child(mdia, "mdhd")).alias("mdhd"),
-                _payload(_child(mdia, "hdlr")).alias("hdlr"),
-                let(_child(track, "edts"), lambda e: _payload(_child(e, "elst"))).alias("elst"),
+                _payload(_child(track, "tkhd"), movie).alias("tkhd"),
+                _payload(_child(mdia, "mdhd"), movie).alias("mdhd"),
+                _payload(_child(mdia, "hdlr"), movie).alias("hdlr"),
+                let(_child(track, "edts"), lambda e: _payload(_child(e, "elst"), movie)).alias("elst"),
                 stbl["offset"].alias("stbl"),
-                _payload(stsd).alias("stsd"),
+                _payload(stsd, movie).alias("stsd"),
                 entry["kind"].alias("entry_kind"),
                 entry["header"].alias("entry_header"),
-                _whole(entry).alias("entry"),
+                _whole(entry, movie).alias("entry"),
                 let(
                     configuration,
-                    lambda c: F.struct(c["kind"].alias("kind"), _payload(c).alias("payload")),
+                    lambda c: F.struct(c["kind"].alias("kind"), _payload(c, movie).alias("payload")),
                 ).alias("configuration"),
                 _listed(track).alias("track_children"),
                 _listed(stbl).alias("table_children"),
@@ -87,7 +90,8 @@ def track_parts(walked: DataFrame) -> DataFrame:
 
         return let(_child(track, "mdia"), media)
 
-    return walked.select("file_id", F.inline_outer(F.transform(tracks, parts))).where("track_index IS NOT NULL")
+    described = let(movie_box, lambda movie: F.transform(tracks, lambda track, index: parts(track, index, movie)))
+    return walked.select("file_id", F.inline_outer(described)).where("track_index IS NOT NULL")
 
 
 def _listed(parent: Column) -> Column:
@@ -118,7 +122,8 @@ def file_types(walked: DataFrame) -> DataFrame:
 def movie_headers(walked: DataFrame) -> DataFrame:
     """Times, timescale, duration and next identifier; versions 0 and 1 only."""
     payload = let(
-        F.get(F.filter("boxes", lambda b: (b["path"] == "moov/mvhd") & b["error"].isNull()), F.lit(0)), _payload
+        F.get(F.filter("boxes", lambda b: (b["path"] == "moov/mvhd") & b["error"].isNull()), F.lit(0)),
+        lambda b: _payload(b, F.col("movie")),
     )
     rows = walked.select("file_id", F.inline_outer(F.array(F.struct(payload.alias("payload")))))
     p, version = F.col("payload"), u8(F.col("payload"), 0)

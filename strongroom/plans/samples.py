@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from strongroom.operators import samples as S
 from strongroom.operators.running import numbered
 from strongroom.plans.registry import query, table
+from strongroom.sources.stored import stored
 
 LINE_ORDER = [
     "l_linenumber",
@@ -49,8 +50,11 @@ def per_number(spark, d):
     return grouped.withColumn("run", F.row_number().over(Window.partitionBy(*S.TRACK).orderBy("ln")).cast("bigint") - 1)
 
 
-def consistent(spark, d):
-    """Run tables that agree with each other, as a recorder writes them."""
+def consistent(spark, d, keep=lambda df: df):
+    """Run tables that agree with each other, as a recorder writes them.
+
+    ``keep`` is applied to the numbered lines, which sizes and sync numbers both come from.
+    """
     runs = per_number(spark, d)
     stts = runs.select(*S.TRACK, "run", "n", (F.col("ln") * 10).alias("delta"))
     ctts = runs.select(*S.TRACK, "run", "n", (F.col("ln") - 4).alias("offset"))
@@ -66,8 +70,10 @@ def consistent(spark, d):
         F.col("n").alias("per_chunk"),
         F.lit(1).alias("description"),
     )
-    indexed = lines(spark, d)
-    stsz = indexed.select(*S.TRACK, "idx", F.col("l_quantity").cast("bigint").alias("size"))
+    indexed = keep(
+        lines(spark, d).select(*S.TRACK, "ln", "idx", F.col("l_quantity").cast("bigint").alias("size"), "l_returnflag")
+    )
+    stsz = indexed.select(*S.TRACK, "idx", "size")
     returned = indexed.where("l_returnflag = 'R'").select(*S.TRACK, "ln", "idx", (F.col("idx") + 1).alias("sample_number"))
     stss = numbered(returned, S.TRACK, ["idx"], F.col("ln"), "position").select(*S.TRACK, "position", "sample_number")
     return stts, stsc, stsz, stco, stss, ctts
@@ -185,7 +191,7 @@ def decode_times(spark, d):
 
 @query("d10_d13_sample_table", f"WITH {BASE} SELECT * EXCLUDE (track_index) FROM s")
 def sample_table(spark, d):
-    return S.samples(*consistent(spark, d)).drop("track_index")
+    return S.samples(*consistent(spark, d, stored)).drop("track_index")
 
 
 @query(
