@@ -334,6 +334,17 @@ def held(kind: Column, size: Column) -> Column:
     return one_of(kind, ("moov", "ftyp")) | (~one_of(kind, STEPPED_OVER) & (size <= UNKNOWN_BOX_HOLD_CAP))
 
 
+def held_only(walked: DataFrame) -> DataFrame:
+    """The walk without the media: only the bytes of held boxes stay, which is what is worth storing."""
+    kept = F.filter(
+        "boxes", lambda b: (b["depth"] == 0) & b["error"].isNull() & ~b["clipped"] & held(b["kind"], b["size"])
+    )
+    bytes_ = F.transform(
+        kept, lambda b: F.struct(b["offset"].alias("offset"), read(F.col("segments"), b["offset"], b["size"]).alias("bytes"))
+    )
+    return walked.select("file_id", "length", bytes_.alias("segments"), "boxes", "movie")
+
+
 def held_bytes(walked: DataFrame) -> DataFrame:
     """Every box with its bytes, header included, when a held top-level box contains it; else NULL."""
     rows = walked.select("file_id", "segments", "movie", F.inline_outer("boxes")).where("error IS NULL AND offset IS NOT NULL")

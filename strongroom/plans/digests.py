@@ -11,7 +11,7 @@ from strongroom.operators import digests as E
 from strongroom.operators import headers as C
 from strongroom.operators import samples as S
 from strongroom.plans.headers import CONFIGURATION, TRACKS, parts
-from strongroom.plans.recordings import LAYOUT, ROWS, SAMPLES, files, walked
+from strongroom.plans.recordings import LAYOUT, ROWS, SAMPLES, files, inventory, walked
 from strongroom.plans.registry import query, table
 from strongroom.sources import archive
 from strongroom.sources.stored import stored
@@ -103,7 +103,7 @@ def structural_listing(spark, d):
         SELECT file_id, sha256(string_agg(line, chr(10) ORDER BY r, s)) AS sha256, count(*) AS lines FROM l GROUP BY 1""",
 )
 def structural_fingerprint(spark, d):
-    return E.structural_fingerprints(walked(spark, d), parts(spark, d)).select(
+    return E.structural_fingerprints(inventory(spark, d), stored_parts(spark, d)).select(
         "file_id", "sha256", F.size("observations").cast("bigint").alias("lines")
     )
 
@@ -111,7 +111,7 @@ def structural_fingerprint(spark, d):
 @lru_cache(maxsize=4)
 def stored_parts(spark, d):
     """Track parts, the few bytes of every movie box, written once for the joins that need them often."""
-    return stored(parts(spark, d))
+    return stored(C.track_parts(inventory(spark, d)))
 
 
 @lru_cache(maxsize=4)

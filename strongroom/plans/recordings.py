@@ -14,6 +14,7 @@ from strongroom.functions.bytes import big_endian, code, slice_, u32
 from strongroom.operators import boxes as B
 from strongroom.sources import corpus
 from strongroom.plans.registry import table
+from strongroom.sources.stored import stored
 
 
 def specifications(spark, d: str) -> DataFrame:
@@ -57,6 +58,12 @@ def walked(spark, d: str) -> DataFrame:
     return B.walk(B.whole_files(files(spark, d)))
 
 
+@lru_cache(maxsize=8)
+def inventory(spark, d: str) -> DataFrame:
+    """The walk with headers and small boxes only, written once for queries that read it several times."""
+    return stored(B.held_only(walked(spark, d)))
+
+
 LAYOUT = """
 o1 AS (SELECT o_orderkey AS file_id, o_orderstatus AS st, o_orderpriority AS pr, length(o_orderpriority) + 2 AS n,
          CASE o_orderpriority WHEN '2-HIGH' THEN 2 ELSE 4 END AS w, CASE o_orderpriority WHEN '1-URGENT' THEN 2 ELSE 1 END AS m,

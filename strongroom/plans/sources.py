@@ -10,8 +10,7 @@ from strongroom.operators import manifest as M
 from strongroom.operators import headers as C
 from strongroom.operators import samples as S
 from strongroom.plans.digests import stored_parts
-from strongroom.plans.headers import parts
-from strongroom.plans.recordings import FAULTS, LAYOUT, SAMPLES, damaged, files, walked
+from strongroom.plans.recordings import FAULTS, LAYOUT, SAMPLES, damaged, files, inventory
 from strongroom.plans.registry import query, table
 from strongroom.plans.samples import lines
 from strongroom.sources import archive, cache
@@ -163,7 +162,7 @@ def corpus_files(spark, d):
 
 
 def probe_tables(spark, d):
-    w = walked(spark, d)
+    w = inventory(spark, d)
     held = B.held_bytes(w)
     place = (
         F.when(F.col("path").startswith("moov/udta/"), "user_data")
@@ -179,7 +178,7 @@ def probe_tables(spark, d):
         F.when(place == "user_data", F.col("bytes")).alias("content"),
     ).where("place IS NOT NULL")
     movies = C.movie_headers(w).select("file_id", M.civil_1904(F.col("creation_time").cast("bigint")).alias("container_time"))
-    return C.tracks(parts(spark, d)), boxes, movies
+    return C.tracks(stored_parts(spark, d)), boxes, movies
 
 
 @query(
