@@ -92,3 +92,36 @@ def map_texts(
                 )
 
     return df.mapInArrow(run, schema)
+
+
+# Everything in ASCII that is neither a digit nor a letter in lower case parts words.
+BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def words_of(text: Column) -> Column:
+    """The lower-cased words of a text, without empty ones; null has none."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN_WORDS), lambda w: w != "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once: without it the optimiser may put it into every inner function."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def with_shingles(df: DataFrame, words: str, name: str, size: int = 5) -> DataFrame:
+    """df with the 64-bit hash of every run of ``size`` words, in order; of fewer words the one of them all, of none none.
+
+    Words are hashed first and runs of hashes then, so that the inner function touches numbers only.
+    """
+
+    def runs(hashes: Column) -> Column:
+        each = F.transform(
+            F.sequence(F.lit(0), F.size(hashes) - size), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(size)))
+        )
+        return (
+            F.when(F.size(hashes) >= size, each)
+            .when(F.size(hashes) > 0, F.array(F.xxhash64(hashes)))
+            .otherwise(F.array().cast("array<bigint>"))
+        )
+
+    return df.withColumn(name, let(F.transform(words, lambda w: F.xxhash64(w)), runs))

@@ -1 +1,240 @@
-"""To come."""
+"""SentencePiece encoding and decoding.
+
+An Aho-Corasick automaton over the vocabulary's pieces reads a stretch of text once. At each position its output links
+give every piece that ends there, and each relaxes the best score of that position from the best score where the piece
+begins: a single-pass Viterbi for the segmentation with the highest sum of scores. A character that no piece covers
+costs the unknown penalty and becomes bytes.
+
+Where no piece of the vocabulary crosses a border, the best segmentation of the whole is that of the parts, so each
+different stretch between such borders is segmented once a slice.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+import ahocorasick
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from strongroom.llm.common import map_texts
+
+SPACE = "▁"
+# Fixed values of the model format: kinds of pieces, and by how much an unknown character is worse than the worst piece.
+NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+UNKNOWN_PENALTY = 10.0
+# Stretches that a task remembers.
+REMEMBERED = 300_000
+_BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
+# Spaces and then letters, signs or one digit; a superscript numeral goes with the signs. See Encoder.splits.
+_STRETCH = re.compile(rf"{SPACE}*[^\W\d_²]+|{SPACE}*(?:[^\w{SPACE}]|[_²])+|{SPACE}*\d|{SPACE}+")
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """pieces: (piece, score) by identifier, None for identifiers that text can't give; byte_ids: by byte, if the model
+    has them; dummy_prefix: whether a space is put before the text."""
+
+    pieces: tuple[tuple[str, float] | None, ...]
+    byte_ids: tuple[int, ...] | None
+    unknown: int
+    dummy_prefix: bool = True
+
+
+def _fields(data: bytes):
+    """(number, value) of a protocol buffer message: integers, and bytes for strings, messages and fixed numbers."""
+    at = 0
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            byte = data[at]
+            value |= (byte & 127) << shift
+            at, shift = at + 1, shift + 7
+            if byte < 128:
+                return value, at
+
+    while at < len(data):
+        key, at = varint(at)
+        kind = key & 7
+        if kind == 0:
+            value, at = varint(at)
+        else:
+            if kind == 2:
+                size, at = varint(at)
+            else:
+                size = 4 if kind == 5 else 8
+            value, at = data[at : at + size], at + size
+        yield key >> 3, value
+
+
+def read_vocabulary(path: str) -> Vocabulary:
+    """The vocabulary of a SentencePiece model file, read once on the driver.
+
+    Of the normaliser only the identity with white space kept is supported; any other is an error.
+    """
+    with open(path, "rb") as file:
+        data = file.read()
+    pieces, bytes_of, unknown, prefix = [], {}, 0, True
+    for number, value in _fields(data):
+        if number == 1:
+            piece, score, kind = "", 0.0, NORMAL
+            for field, inner in _fields(value):
+                if field == 1:
+                    piece = inner.decode()
+                elif field == 2:
+                    score = float(np.frombuffer(inner, "<f4")[0])
+                elif field == 3:
+                    kind = inner
+            if kind == BYTE:
+                bytes_of[int(_BYTE_PIECE.fullmatch(piece)[1], 16)] = len(pieces)
+            elif kind == UNKNOWN:
+                unknown = len(pieces)
+            pieces.append((piece, score) if kind in (NORMAL, USER) else None)
+        elif number == 3:
+            spec = dict(_fields(value))
+            if spec.get(1, b"identity") != b"identity" or spec.get(4, 1):
+                raise ValueError("only the identity normaliser that keeps white space is supported")
+            prefix = bool(spec.get(3, 1))
+    return Vocabulary(tuple(pieces), tuple(bytes_of[b] for b in range(256)) if len(bytes_of) == 256 else None, unknown, prefix)
+
+
+class Encoder:
+    """Text to identifiers and back."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
+        self.automaton = ahocorasick.Automaton()
+        self.single = set()
+        for identifier, piece in enumerate(vocabulary.pieces):
+            if piece is not None:
+                self.automaton.add_word(piece[0], (len(piece[0]), piece[1], identifier))
+                if len(piece[0]) == 1:
+                    self.single.add(piece[0])
+        self.automaton.make_automaton()
+        scores = [p[1] for p in vocabulary.pieces if p is not None]
+        self.unknown_score = min(scores, default=0.0) - UNKNOWN_PENALTY
+        # Borders may be cut at only if no piece holds two stretches, but for runs of spaces, which a cut ends anyway.
+        self.splits = all(len(_STRETCH.findall(p[0])) == 1 for p in vocabulary.pieces if p is not None)
+        self.known: dict[str, tuple[list[int], float]] = {}
+
+    def segment(self, text: str) -> tuple[list[int], float]:
+        """Identifiers and score of the best segmentation; of equal scores the one whose last piece begins first."""
+        n = len(text)
+        best = [0.0] + [float("-inf")] * n
+        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        reached = 0
+
+        def cover(upto: int) -> None:
+            nonlocal reached
+            # Characters that are no piece are crossed as unknown, in order, before anything further on is relaxed.
+            while reached < upto:
+                if text[reached] not in self.single:
+                    score = best[reached] + self.unknown_score
+                    if score > best[reached + 1]:
+                        best[reached + 1], back[reached + 1] = score, (reached, -1)
+                reached += 1
+
+        for last, (length, score, identifier) in self.automaton.iter(text):
+            cover(last)
+            start = last + 1 - length
+            total = best[start] + score
+            if total > best[last + 1] or (total == best[last + 1] and start < back[last + 1][0]):
+                best[last + 1], back[last + 1] = total, (start, identifier)
+        cover(n)
+        found, at = [], n
+        while at:
+            start, identifier = back[at]
+            if identifier >= 0:
+                found.append(identifier)
+            elif self.vocabulary.byte_ids:
+                found += [self.vocabulary.byte_ids[b] for b in reversed(text[start:at].encode("utf-8", "surrogatepass"))]
+            else:
+                found.append(self.vocabulary.unknown)
+            at = start
+        return found[::-1], best[n]
+
+    def encode(self, text: str) -> tuple[list[int], float]:
+        """Identifiers and score of a text; the empty text has none and 0."""
+        if not text:
+            return [], 0.0
+        text = (SPACE if self.vocabulary.dummy_prefix else "") + text.replace(" ", SPACE)
+        if not self.splits:
+            return self.segment(text)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known, ids, total = self.known, [], 0.0
+        for stretch in _STRETCH.findall(text):
+            found = known.get(stretch)
+            if found is None:
+                found = self.segment(stretch)
+                if len(stretch) <= 64:
+                    known[stretch] = found
+            ids += found[0]
+            total += found[1]
+        return ids, total
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The columns of docs but the text, with ids (array of int) and piece_score (the sum of the pieces' scores).
+
+    A null or empty text has no identifiers and 0. One row for each row of docs; whole texts. The vocabulary is
+    broadcast: its size is the model file's.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def make():
+        encoder = Encoder(sent.value)
+
+        def work(texts: list[str]) -> list[pa.Array]:
+            ids, offsets, scores = [], [0], []
+            for text in texts:
+                found, total = encoder.encode(text)
+                ids += found
+                offsets.append(len(ids))
+                scores.append(total)
+            flat = pa.array(np.array(ids, np.int32))
+            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array(scores, pa.float64())]
+
+        return work
+
+    return map_texts(
+        docs,
+        make,
+        [
+            T.StructField("ids", T.ArrayType(T.IntegerType(), False), False),
+            T.StructField("piece_score", T.DoubleType(), False),
+        ],
+    )
+
+
+def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """The columns of encoded but ids, with text. Null ids give the empty text; unknown identifiers give nothing."""
+    sent = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    kept = [f for f in encoded.schema.fields if f.name != "ids"]
+    schema = T.StructType([*kept, T.StructField("text", T.StringType(), False)])
+
+    def run(batches):
+        vocabulary = sent.value
+        # Pieces as bytes by identifier, so that a row is one join.
+        spell = [p[0].encode() if p else b"" for p in vocabulary.pieces]
+        for byte, identifier in enumerate(vocabulary.byte_ids or ()):
+            spell[identifier] = bytes([byte])
+        space = SPACE.encode()
+        for batch in batches:
+            for first in range(0, batch.num_rows, 256):
+                part = batch.slice(first, 256)
+                texts = []
+                for ids in part.column("ids").to_pylist():
+                    data = b"".join([spell[i] for i in ids or () if 0 <= i < len(spell)]).replace(space, b" ")
+                    if vocabulary.dummy_prefix and data.startswith(b" "):
+                        data = data[1:]
+                    texts.append(data.decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(f.name) for f in kept), pa.array(texts, pa.string())], names=[f.name for f in schema.fields]
+                )
+
+    return encoded.mapInArrow(run, schema)

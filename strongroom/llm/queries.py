@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strongroom.llm import license_scan, ring, secret_scan, toxicity
+from strongroom.llm import decontaminate, fingerprint, license_scan, pieces, ppm, ring, secret_scan, toxicity, warc
 from strongroom.llm.common import id_remainder
 from strongroom.plans.registry import Query, table
 
+TOKENIZERS = "/opt/tokenizers"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,6 +19,26 @@ def registered(function: Query) -> Query:
     return function
 
 
+def vocabulary(path: str | None = None) -> pieces.Vocabulary:
+    """Of the model file at a path; without one, the public model of this machine's tokenizer folder."""
+    return pieces.read_vocabulary(path or f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
+@registered
+def op1_pieces(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    known = vocabulary()
+    encoded = pieces.encode(docs, known).withColumn("n_ids", F.size("ids")).withColumn("kept_ids", F.col("ids"))
+    decoded = pieces.decode(encoded, known)
+    return decoded.select(
+        "doc_id",
+        "n_ids",
+        "piece_score",
+        F.col("kept_ids").alias("ids"),
+        (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"),
+    )
+
+
 def toxicity_model(spark: SparkSession, directory: str) -> toxicity.Model:
     """Fitted on labelled rows that aren't held out."""
     labels = table(spark, directory, "labels").where(id_remainder(F.col("doc_id"), 5) != 0)
@@ -38,6 +59,12 @@ def op2_toxicity(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@registered
+def op3_archives(spark: SparkSession, directory: str) -> DataFrame:
+    index = warc.write(table(spark, directory, "pages").select("page_id", "url", "html"))
+    return warc.read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @registered
 def op4_license_notices(spark: SparkSession, directory: str) -> DataFrame:
     found = license_scan.scan(table(spark, directory, "documents").select("doc_id", "text"))
@@ -76,6 +103,34 @@ def op5_secret_parts(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+@registered
+def op6_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    return decontaminate.matches(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
+@registered
+def op8_matching(spark: SparkSession, directory: str) -> DataFrame:
+    held_out = id_remainder(F.col("doc_id"), 7) == 2
+    scored = ppm.score(table(spark, directory, "documents"), ~held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+@registered
+def op9_fingerprints(spark: SparkSession, directory: str) -> DataFrame:
+    made = fingerprint.fingerprints(table(spark, directory, "documents"))
+    return made.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint.spelled(F.col("sketch")).alias("fingerprint"),
+        fingerprint.spelled(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprint.jaccard(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        fingerprint.jaccard(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+    )
+
+
 @registered
 def op10_bounded_ring(spark: SparkSession, directory: str) -> DataFrame:
     placed = ring.assign(table(spark, directory, "documents").select("doc_id", "text"), shards=40)

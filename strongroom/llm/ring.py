@@ -11,7 +11,6 @@ its own with the totals of the blocks before it added, so an arc that holds a th
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import math
 from dataclasses import dataclass
@@ -21,10 +20,6 @@ from pyspark.sql import functions as F
 
 from strongroom.llm.common import stored, whole_text
 
-# A ring point and an arc's upper end, as signed 64-bit numbers.
-LOWEST = -(1 << 63)
-
-
 @dataclass(frozen=True)
 class Ring:
     """points: sorted (hash, shard); an arc reaches from the point before it, exclusive, to its own, inclusive."""
@@ -46,16 +41,15 @@ def build(shards: int, vnodes: int = 64) -> Ring:
 def arc_of(ring: Ring, key: Column) -> Column:
     """The index of the arc that a 64-bit key falls on; past the last point it is the first arc's."""
     ends = [p for p, _ in ring.points]
-    # Equal slots of the hash space narrow the search: each holds the few arcs that end in it.
-    bits = max(1, (2 * len(ends)).bit_length())
-    starts = [bisect.bisect_left(ends, LOWEST + (slot << (64 - bits))) for slot in range(1 << bits)]
-    most = max(b - a for a, b in zip(starts, [*starts[1:], len(ends)]))
-    slot = (F.shiftrightunsigned(key, 64 - bits).bitwiseXOR(F.lit(1 << (bits - 1)))).cast("int")
-    at = F.element_at(F.lit(starts), slot + 1)
-    last = F.lit(ends)
-    for _ in range(most):
-        at = F.when((at < len(ends)) & (F.get(last, at) < key), at + 1).otherwise(at)
-    return (at % len(ends)).cast("int")
+    steps = [1 << i for i in reversed(range(len(ends).bit_length()))]
+    held = F.lit(ends)
+    # Binary search for the number of ends below the key.
+    below = F.aggregate(
+        F.lit(steps),
+        F.lit(0),
+        lambda at, step: F.when((at + step <= len(ends)) & (F.get(held, at + step - 1) < key), at + step).otherwise(at),
+    )
+    return (below % len(ends)).cast("int")
 
 
 def settle(ring: Ring, loads: list[int], capacity: list[int]) -> list[tuple[int, int, int, int, int]]:
@@ -111,13 +105,12 @@ def assign(
         "doc_id",
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        arc_of(ring, F.xxhash64(text)).alias("_arc"),
         F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text), F.lit(blocks))
         .cast("int")
         .alias("_block"),
         F.xxhash64(text).alias("_key"),
         *keep,
-    )
+    ).withColumn("_arc", arc_of(ring, F.col("_key")))
     narrow = stored(narrow, "ring-rows")
     counts = narrow.groupBy("_arc", "_block").agg(F.count("*").alias("n"))
     loads, before = [0] * len(ring.points), {}
