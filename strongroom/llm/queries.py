@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strongroom.llm import decontaminate, fingerprint, license_scan, pieces, ppm, ring, secret_scan, toxicity, warc
+from strongroom.llm import decontaminate, fingerprint, license_scan, ngram_join, pieces, ppm, ring, secret_scan, toxicity, warc
 from strongroom.llm.common import id_remainder
 from strongroom.plans.registry import Query, table
 
@@ -108,6 +108,11 @@ def op6_decontamination(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.matches(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
 
+@registered
+def op7_ngram_join(spark: SparkSession, directory: str) -> DataFrame:
+    return ngram_join.links(table(spark, directory, "documents"))
+
+
 @registered
 def op8_matching(spark: SparkSession, directory: str) -> DataFrame:
     held_out = id_remainder(F.col("doc_id"), 7) == 2
