@@ -32,8 +32,8 @@ ORDER = 4
 BITS, BORDER, SYMBOLS = 9, 256, 257
 MASK = (1 << BITS) - 1
 # Compressed bytes of input that make a chunk, and symbols that a worker takes at once.
-CHUNK_BYTES = 16 * 1024 * 1024
-AT_ONCE = 2_000_000
+CHUNK_BYTES = 8 * 1024 * 1024
+AT_ONCE = 500_000
 # Keys: a word, the end of a text, a gram.
 WORD, END, GRAM = b"w", b"e", b"g"
 
@@ -264,7 +264,8 @@ def score(docs: DataFrame, trained: Column, order: int = ORDER) -> DataFrame:
     spread = math.log10(n_train + kinds + 1)
 
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        count: dict[bytes, float] = {}
+        count: dict[bytes, int] = {}
+        ends = 0.0
         gram_parts, log_parts = [], []
         for batch in answers.to_batches(max_chunksize=100_000):
             listed, value = batch.column("key").to_pylist(), batch.column("value").to_numpy()
@@ -272,14 +273,13 @@ def score(docs: DataFrame, trained: Column, order: int = ORDER) -> DataFrame:
             data = b"".join([k[1:] for k in listed if k[:1] == GRAM])
             gram_parts.append(np.frombuffer(data, ">i8").astype(np.int64))
             log_parts.append(value[is_gram])
-            count.update((k, v) for k, v in zip(listed, value.tolist()) if k[:1] != GRAM)
-        ends = count.pop(END, 0.0)
-        count = {k[1:]: v for k, v in count.items() if v}
+            count.update((k[1:], int(v)) for k, v in zip(listed, value.tolist()) if v > 0 and k[:1] == WORD)
+            ends += sum(v for k, v in zip(listed, value.tolist()) if k == END)
         grams = np.concatenate(gram_parts) if gram_parts else np.zeros(0, np.int64)
         ranked = np.argsort(grams)
         grams, logs = grams[ranked], (np.concatenate(log_parts) if log_parts else np.zeros(0))[ranked]
         done = []
-        for batch in texts.select(["doc_id", "text"]).to_batches(max_chunksize=2_000):
+        for batch in texts.select(["doc_id", "text"]).to_batches(max_chunksize=500):
             lowered = _lowered(batch.column("text"))
             n_tokens, n_known, base, model = [], [], [], []
             for first, end in _parts(lowered):
@@ -290,7 +290,7 @@ def score(docs: DataFrame, trained: Column, order: int = ORDER) -> DataFrame:
                 model += (sums[bounds[1:]] - sums[bounds[:-1]]).tolist()
                 for text in part:
                     tokens = tokens_of(text)
-                    known = np.array([count.get(t, 0.0) for t in tokens] + [ends])
+                    known = np.array([count.get(t, 0) for t in tokens] + [ends], float)
                     n_tokens.append(len(known))
                     n_known.append(int((known > 0).sum()))
                     base.append(float(np.log10(known + 1).sum() - len(known) * spread))
