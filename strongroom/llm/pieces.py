@@ -126,25 +126,23 @@ class Encoder:
         n = len(text)
         best = [0.0] + [float("-inf")] * n
         back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
-        reached = 0
-
-        def cover(upto: int) -> None:
-            nonlocal reached
-            # Characters that are no piece are crossed as unknown, in order, before anything further on is relaxed.
-            while reached < upto:
-                if text[reached] not in self.single:
-                    score = best[reached] + self.unknown_score
-                    if score > best[reached + 1]:
-                        best[reached + 1], back[reached + 1] = score, (reached, -1)
-                reached += 1
-
+        single = self.single
+        # Characters that are no piece, in order; they are crossed as unknown before anything further on is relaxed.
+        strange = [] if single.issuperset(text) else [i for i, c in enumerate(text) if c not in single]
+        strange.append(n)
+        crossed = 0
         for last, (length, score, identifier) in self.automaton.iter(text):
-            cover(last)
+            while strange[crossed] < last:
+                self._cross(strange[crossed], best, back)
+                crossed += 1
             start = last + 1 - length
             total = best[start] + score
-            if total > best[last + 1] or (total == best[last + 1] and start < back[last + 1][0]):
-                best[last + 1], back[last + 1] = total, (start, identifier)
-        cover(n)
+            end = last + 1
+            if total > best[end] or (total == best[end] and start < back[end][0]):
+                best[end] = total
+                back[end] = (start, identifier)
+        for at in strange[crossed:-1]:
+            self._cross(at, best, back)
         found, at = [], n
         while at:
             start, identifier = back[at]
@@ -157,6 +155,11 @@ class Encoder:
             at = start
         return found[::-1], best[n]
 
+    def _cross(self, at: int, best: list[float], back: list[tuple[int, int]]) -> None:
+        score = best[at] + self.unknown_score
+        if score > best[at + 1]:
+            best[at + 1], back[at + 1] = score, (at, -1)
+
     def encode(self, text: str) -> tuple[list[int], float]:
         """Identifiers and score of a text; the empty text has none and 0."""
         if not text:

@@ -1,0 +1,616 @@
+"""Every operator of the llm subpackage against brute force on small tables, and on awkward ones."""
+
+import hashlib
+import itertools
+import math
+import random
+import re
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+from strongroom.llm import (
+    decontaminate,
+    fingerprint,
+    license_scan,
+    ngram_join,
+    pieces,
+    ppm,
+    queries,
+    ring,
+    secret_scan,
+    toxicity,
+    warc,
+)
+
+SMALL = "/root/testdata/sf0.001"
+# Columns whose names operators use themselves.
+EXTRA = "doc_id long, text string, score double, key string, shard int, parts string, words string, _range int, n long"
+
+
+def awkward(spark):
+    """Nulls in any column, empty and long texts, ties, repeated rows, clashing names."""
+    rows = [
+        (1, "the quick brown fox jumps over the lazy dog again and again"),
+        (1, "the quick brown fox jumps over the lazy dog again and again"),
+        (2, None),
+        (3, ""),
+        (None, "nobody knows this text by its number but it is here"),
+        (4, "a " * 60_000),
+        (5, "!!! ... ???"),
+        (6, "The Quick brown fox, jumps over the lazy dog again and again!"),
+        (7, "żółć ☃ \U0001f600 ümläut"),
+    ]
+    return spark.createDataFrame([(i, t, None, "k", 1, None, "w", 0, None) for i, t in rows], EXTRA)
+
+
+def none(spark):
+    return spark.createDataFrame([], EXTRA)
+
+
+def documents():
+    return duckdb.sql(f"SELECT doc_id, text FROM '{SMALL}/documents.parquet'").fetchall()
+
+
+def words(text):
+    return [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower()) if w]
+
+
+def shingles(text, size=5):
+    w = words(text)
+    return {" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+# The ring.
+
+
+def test_ring_settles_row_by_row():
+    points = ring.build(5, 4)
+    loads = [random.Random(i).randrange(9) for i in range(20)]
+    loads[3] = 60
+    capacity = ring.exact_capacity(sum(loads), 5)
+    got = {}
+    for arc, first, end, shard, slot in ring.settle(points, loads, capacity):
+        for rank in range(first, end):
+            got[arc, rank] = (shard, slot + rank - first)
+    assert set(got) == {(a, r) for a, n in enumerate(loads) for r in range(n)}
+    by_shard = defaultdict(list)
+    for shard, slot in got.values():
+        by_shard[shard].append(slot)
+    assert {s: sorted(v) == list(range(capacity[s])) for s, v in by_shard.items()} == {s: True for s in range(5)}
+    room, queue, want = list(capacity), [], {}
+    for turn, (arc, (_, shard)) in itertools.product(range(2), enumerate(points.points)):
+        if turn == 0:
+            queue += [(arc, rank) for rank in range(loads[arc])]
+        while queue and room[shard]:
+            want[queue.pop(0)] = shard
+            room[shard] -= 1
+    assert {k: s for k, (s, _) in got.items()} == want
+
+
+def test_ring_moves_little_and_is_even(spark):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    placed = {s: {r.doc_id: r.shard for r in ring.assign(docs, s, headroom=0.25).collect()} for s in (10, 11)}
+    moved = sum(placed[10][i] != placed[11][i] for i in placed[10])
+    assert moved < 1400
+    exact = Counter(r.shard for r in ring.assign(docs, 7).collect())
+    assert max(exact.values()) - min(exact.values()) <= 1
+
+
+def test_ring_awkward(spark):
+    rows = ring.assign(awkward(spark), 4).collect()
+    assert len(rows) == 9
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert {r.size for r in rows if r.doc_id == 2} == {16}
+    assert ring.assign(none(spark), 4).count() == 0
+
+
+def test_arc_of_equals_search(spark):
+    import bisect
+
+    points = ring.build(40, 64)
+    ends = [p for p, _ in points.points]
+    keys = [random.Random(1).randrange(-(1 << 63), 1 << 63) for _ in range(200)] + ends[:3] + [ends[-1], (1 << 63) - 1]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").select("k", ring.arc_of(points, F.col("k")).alias("a"))
+    assert all(r.a == bisect.bisect_left(ends, r.k) % len(ends) for r in df.collect())
+
+
+# Secrets.
+
+
+def test_strong_secrets_are_those_of_the_patterns():
+    kelvin = "Key"
+    text = f'token = "abc" password:hunter22 api{kelvin}=abcdefgh AKIA{"A" * 16} {"0123456789abcdef" * 2} SECRET=token=abcdef'
+    naive = []
+    for m in re.finditer(
+        r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text
+    ):
+        if len(m[2]) >= 6:
+            naive.append(("assign", *m.span()))
+    naive += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    naive += [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    assert sorted(secret_scan.strong_parts(text)) == sorted(naive)
+    assert len(naive) == 4
+
+
+def test_weak_parts_count_only_together():
+    weak = "Zx81kQpW02mNvB73tYhD"
+    assert secret_scan.find_parts(f"some {weak} alone") == []
+    assert secret_scan.find_parts("host db.example.com alone, user_id: alice77") == []
+    linked = secret_scan.find_parts(f"user_id: alice77 with {weak} at db.example.com:5432")
+    assert [p[0] for p in linked] == ["identifier", "secret", "endpoint"]
+    far = f"user_id: alice77 {'word ' * 200} {weak}"
+    assert secret_scan.find_parts(far) == []
+    assert secret_scan.find_parts(f"user_id: alice77\n\n{weak}") == []
+    assert secret_scan.redacted(f"user_id: alice77 with {weak}!") == "[secret] with [secret]!"
+
+
+def test_secret_linking_equals_all_pairs():
+    rng = random.Random(5)
+    parts = ["user_id: bob%d", "Zx81kQpW02mNvB73tY%d", "h%d.example.com", "plain words here %d", "\n\n", "word " * 30]
+    for _ in range(60):
+        text = " ".join(p % rng.randrange(9) if "%d" in p else p for p in rng.choices(parts, k=12))
+        mixed = [m.span() for m in secret_scan.MIXED.finditer(text) if secret_scan._is_mixed(m[0])]
+        named = [m.span() for m in secret_scan.IDENTIFIER.finditer(text)]
+        hosts = [m.span() for m in secret_scan.ENDPOINT.finditer(text)]
+        scope = lambda s, text=text: len([1 for m in secret_scan.SCOPE_END.finditer(text) if m.end() <= s])
+        near = lambda a, b: scope(a[0]) == scope(b[0]) and max(a[0] - b[1], b[0] - a[1], 0) <= 200
+        want = {("secret", *s) for s in mixed if any(near(s, o) for o in named + hosts)}
+        want |= {("identifier", *s) for s in named if any(near(s, o) for o in mixed)}
+        want |= {("endpoint", *s) for s in hosts if any(near(s, o) for o in mixed)}
+        assert {p[:3] for p in secret_scan.find_parts(text)} == want
+
+
+def test_secrets_awkward(spark):
+    docs = awkward(spark).drop("parts")
+    assert [r.parts for r in secret_scan.scan(docs).collect()] == [[]] * 9
+    masked = {(r.doc_id, r.text) for r in secret_scan.redact(docs).collect()}
+    assert masked == {(r.doc_id, r.text) for r in docs.collect()}
+    assert secret_scan.scan(none(spark).drop("parts")).count() == 0
+
+
+# Licenses.
+
+
+def test_notice_pieces_cover_it():
+    for notice in license_scan.NOTICES:
+        assert "".join(p for _, p in license_scan.pieces(notice)) == notice.text
+        assert len(license_scan.pieces(notice)) == notice.errors + 1
+
+
+def test_fuzzy_search_finds_every_bounded_edit():
+    search, rng = license_scan.FuzzySearch(license_scan.NOTICES), random.Random(3)
+    for at, notice in enumerate(license_scan.NOTICES):
+        for _ in range(30):
+            text = list(notice.text)
+            for _ in range(notice.errors):
+                i = rng.randrange(len(text))
+                kind = rng.randrange(3)
+                if kind == 0:
+                    text[i] = "#"
+                elif kind == 1:
+                    del text[i]
+                else:
+                    text.insert(i, "#")
+            found = search.find("before it " + "".join(text) + " and after")
+            assert any(f[0] == at and f[3] <= notice.errors for f in found), "".join(text)
+    assert search.find("nothing of the kind") == []
+
+
+def test_license_places(spark):
+    docs = spark.createDataFrame(
+        [(1, "Under the MIT\nLicense; see CC-BY, or the APACHE license. mit licenses"), (2, None), (3, "émit license")],
+        "doc_id long, text string",
+    )
+    rows = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert [(p.label, p.word) for p in rows[1].places] == [("mit", 2), ("cc-by", 5), ("apache", 9)]
+    assert rows[1].n_words == 13 and rows[2].n_words == 0 and rows[3].places == [] and rows[3].n_words == 2
+    assert license_scan.scan(none(spark)).count() == 0
+    assert license_scan.scan(awkward(spark)).count() == 9
+
+
+# Toxicity.
+
+
+def test_toxicity_holds_out(spark):
+    rng = random.Random(2)
+    common = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(1200):
+        toxic = i % 6 == 0
+        text = [rng.choice(common) for _ in range(rng.randrange(30, 120))]
+        for _ in range(3 if toxic else 0):
+            text.insert(rng.randrange(len(text)), rng.choice(["vile", "foul", "nasty", "rotten"]))
+        rows.append((i, " ".join(text), int(toxic)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(frame.where("doc_id < 900"))
+    got = toxicity.score(frame.where("doc_id >= 900"), model).collect()
+    assert sum(r.predicted == r.toxic for r in got) >= 0.97 * len(got)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_toxicity_awkward(spark):
+    empty = toxicity.fit(spark.createDataFrame([], "doc_id long, text string, toxic int"))
+    docs = awkward(spark).drop("score")
+    assert {r.score for r in toxicity.score(docs, empty).collect()} == {0.5}
+    one_class = toxicity.fit(spark.createDataFrame([(1, "a b", 1), (2, None, 1)], "doc_id long, text string, toxic int"))
+    assert toxicity.score(docs, one_class).count() == 9
+    assert toxicity.score(none(spark).drop("score"), empty).count() == 0
+
+
+# Archives.
+
+
+def test_archives_round_trip(spark):
+    long = "x" * 5000
+    rows = [
+        (1, "http://a/", long),
+        (9, "http://b/ \n", long),
+        (5, None, long),
+        (None, "http://c/", long),
+        (2, "http://d/", None),
+        (3, "http://e/", ""),
+        (4, "u", "short"),
+        (6, "u", "short"),
+        (7, "u", "é" * 499),
+        (8, "u", "é" * 499),
+        (10, "u", "é" * 500),
+        (11, "u", "é" * 500),
+        (11, "u", "é" * 500),
+    ]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, payload string")
+    index = warc.write(pages)
+    got = Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(index).collect())
+    want = Counter()
+    for page, _, html in rows:
+        data = (html or "").encode()
+        same = [p for p, _, h in rows if (h or "").encode() == data and p is not None]
+        first = max(same) if len(data) >= 1000 else page
+        revisit = page != first
+        want[page, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", first if revisit else None] += 1
+    assert got == want
+    # Any reader of Zstandard reads a bundle through, the seek table being a skippable frame.
+    whole = {}
+    for row in index.collect():
+        if row.bundle not in whole:
+            store, place = warc.opened(row.bundle)
+            with store.open_input_file(place) as file:
+                data, table = file.read(), warc.read_seek_table(file)
+            whole[row.bundle] = (zstandard.ZstdDecompressor().stream_reader(data, read_across_frames=True).read(), table)
+        plain, table = whole[row.bundle]
+        start = sum(size for _, _, size in table[: row.frame]) + row.offset
+        fields, _, _ = warc.parse(plain[start : start + row.length])
+        assert fields["WARC-Record-ID"] == f"<urn:page:{'' if row.page_id is None else row.page_id}>"
+    assert warc.read(warc.write(pages.where("false"))).count() == 0
+
+
+# Pieces.
+
+
+def vocabulary():
+    return queries.vocabulary()
+
+
+def best_score(known, text):
+    """Plain dynamic programming over all pieces by their length."""
+    by_text = {p[0]: p[1] for p in known.pieces if p}
+    longest = max(map(len, by_text))
+    floor = min(by_text.values()) - pieces.UNKNOWN_PENALTY
+    best = [0.0] + [-math.inf] * len(text)
+    for end in range(1, len(text) + 1):
+        for start in range(max(0, end - longest), end):
+            score = by_text.get(text[start:end])
+            if score is None and end - start == 1:
+                score = floor
+            if score is not None:
+                best[end] = max(best[end], best[start] + score)
+    return best[-1]
+
+
+def test_pieces_are_the_best_segmentation():
+    known = vocabulary()
+    encoder = pieces.Encoder(known)
+    assert encoder.splits
+    texts = [t[:400] for _, t in documents()[:25]] + ["  two  spaces ", "x¤☃퟿漢字\n\n\tz", "³² ².a.² 12 34"]
+    for text in texts:
+        ids, score = encoder.encode(text)
+        marked = pieces.SPACE + text.replace(" ", pieces.SPACE)
+        assert score == pytest.approx(best_score(known, marked), rel=1e-9)
+        assert score == pytest.approx(encoder.segment(marked)[1], rel=1e-9)
+
+
+def test_pieces_round_trip(spark):
+    known = vocabulary()
+    docs = awkward(spark).select("doc_id", "text", "score", "n")
+    back = pieces.decode(pieces.encode(docs, known), known).collect()
+    assert Counter((r.doc_id, r.text) for r in back) == Counter((r.doc_id, r.text or "") for r in docs.collect())
+    assert pieces.encode(none(spark).select("doc_id", "text"), known).count() == 0
+
+
+# Benchmark passages.
+
+
+def test_leaks_equal_brute_force(spark):
+    rng = random.Random(7)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.randrange(15, 60)))) for i in range(12)]
+    docs = []
+    for i in range(60):
+        text = rng.choices(vocabulary, k=120)
+        if i % 3 == 0:
+            item = items[i % 12][1].split()
+            if i % 2 and len(item) > 55:
+                item[len(item) // 2] = "edited"
+            text[40:40] = item
+        docs.append((i, " ".join(text)))
+    weights = Counter(s for _, t in items for s in shingles(t))
+    want = set()
+    for i, text in docs:
+        w = words(text)
+        for item, target in items:
+            n, own = len(words(target)), shingles(target)
+            for b in range(len(w)):
+                window = shingles(" ".join(w[b : b + n]))
+                shared = sum(1 / weights[s] for s in window & own)
+                if shared / (sum(1 / weights[s] for s in own) + len(window - own)) >= 0.8:
+                    want.add((i, item))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and len(want) >= 20
+
+
+def test_blocks_guarantee_the_radius(spark):
+    rng = random.Random(1)
+    pairs = []
+    for _ in range(200):
+        a, b = rng.getrandbits(64), 0
+        b = a
+        for bit in rng.sample(range(64), decontaminate.RADIUS):
+            b ^= 1 << bit
+        pairs.append(tuple(x - (1 << 64) if x >> 63 else x for x in (a, b)))
+    df = spark.createDataFrame(pairs, "a long, b long")
+    cut = lambda c: decontaminate.blocks(F.col(c), decontaminate.RADIUS)
+    assert df.where(F.size(F.array_intersect(cut("a"), cut("b"))) > 0).count() == 200
+
+
+def test_leaks_awkward(spark):
+    items = spark.createDataFrame([(1, None), (2, ""), (3, "the quick brown fox jumps over the lazy dog again and again"), (3, "the quick brown fox jumps over the lazy dog again and again")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(awkward(spark), items).collect()}
+    assert got == {(1, 3), (6, 3)}
+    assert decontaminate.matches(none(spark), items).count() == 0
+    assert decontaminate.matches(awkward(spark), items.where("false")).count() == 0
+    assert decontaminate.clean(awkward(spark), items).count() == 6
+
+
+# The n-gram join.
+
+
+def brute_links(rows, threshold=0.8):
+    sets = [shingles(t) for _, t in rows]
+    n, root = [0] * len(rows), list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        shared = len(sets[a] & sets[b])
+        if shared and shared >= threshold * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+            n[a] += 1
+            n[b] += 1
+            root[find(a)] = find(b)
+    least = defaultdict(list)
+    for i in range(len(rows)):
+        least[find(i)].append(rows[i][0])
+    return Counter((rows[i][0], min((x for x in least[find(i)] if x is not None), default=None), n[i]) for i in range(len(rows)))
+
+
+def near_copies():
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(130)]
+    rows = []
+    for i in range(90):
+        text = list(base)
+        for _ in range(rng.randrange(3)):
+            text[rng.randrange(130)] = f"e{rng.randrange(50)}"
+        rows.append((i, " ".join(text)))
+    return rows + [(200 + i, f"short one number {i % 3}") for i in range(9)]
+
+
+@pytest.mark.parametrize("block", [512, 16])
+def test_join_equals_brute_force(spark, block):
+    rows = near_copies()
+    got = ngram_join.links(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(rows)
+
+
+def test_join_on_given_documents(spark):
+    rows = documents()
+    got = ngram_join.links(spark.read.parquet(f"{SMALL}/documents.parquet")).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(rows)
+
+
+def test_join_awkward(spark):
+    docs = awkward(spark)
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.links(docs).collect())
+    assert got == brute_links([(r.doc_id, r.text) for r in docs.collect()])
+    assert ngram_join.links(none(spark)).count() == 0
+    kept = ngram_join.one_of_each(docs)
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "4", "5", "7", "None"]
+
+
+def test_components_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
+    got = {(r.node, r.label) for r in ngram_join.components(edges).collect()}
+    assert got == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+
+
+# Matching models.
+
+
+def brute_ppm(train, texts, order):
+    counts = [defaultdict(Counter) for _ in range(order + 1)]
+    border = [ppm.BORDER]
+    for text in train:
+        s = border * order + list(text) + border
+        for i in range(order, len(s)):
+            for k in range(order + 1):
+                counts[k][tuple(s[i - k : i])][s[i]] += 1
+    out = []
+    for text in texts:
+        s, total = border * order + list(text) + border, 0.0
+        for i in range(order, len(s)):
+            p, gone = 1.0, set()
+            for k in range(order, -1, -1):
+                seen = {x: n for x, n in counts[k].get(tuple(s[i - k : i]), {}).items() if x not in gone}
+                if not seen:
+                    continue
+                whole = sum(seen.values()) + len(seen)
+                if s[i] in seen:
+                    p *= seen[s[i]] / whole
+                    break
+                p *= len(seen) / whole
+                gone |= set(seen)
+            else:
+                p /= ppm.SYMBOLS - len(gone)
+            total += math.log10(p)
+        out.append(total)
+    return out
+
+
+def test_ppm_equals_brute_force(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("abcab ", k=rng.randrange(0, 60))) for _ in range(40)] + ["Zebra!", "", "é e e", "e"]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ppm.score(df, F.col("doc_id") % 3 != 0).collect()}
+    low = [t.lower().encode() for t in texts]
+    train = [t for i, t in enumerate(low) if i % 3]
+    count = Counter(w for t in train for w in [*t.split(), None])
+    n, kinds = sum(count.values()), len(count)
+    for i, want in enumerate(brute_ppm(train, low, ppm.ORDER)):
+        tokens = [*low[i].split(), None]
+        assert got[i].score == pytest.approx(want, rel=1e-9)
+        assert got[i].base_score == pytest.approx(sum(math.log10((count[w] + 1) / (n + kinds + 1)) for w in tokens))
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(count[w] > 0 for w in tokens), n)
+
+
+def test_ppm_probabilities_sum_to_one():
+    train = [b"abracadabra", b"abba", b""]
+    for context in (b"", b"abra", b"zz"):
+        whole = 0.0
+        for last in [*range(256), None]:
+            # The probability of one more symbol is that of the longer text over that of its beginning.
+            text = context + (bytes([last]) if last is not None else b"")
+            long, short = brute_prefix(train, text, last is None), brute_prefix(train, context, False)
+            whole += 10 ** (long - short)
+        assert whole == pytest.approx(1)
+
+
+def brute_prefix(train, text, ended):
+    """Of a text without its end, or with it."""
+    full = brute_ppm(train, [text], 3)[0]
+    if ended:
+        return full
+    keys = [text[: i] for i in range(len(text) + 1)]
+    return full - (brute_ppm(train, [keys[-1]], 3)[0] - prefix_only(train, text))
+
+
+def prefix_only(train, text):
+    symbols = []
+    for i in range(len(text)):
+        symbols.append(single(train, text[:i], text[i]))
+    return sum(symbols)
+
+
+def single(train, context, symbol):
+    counts = [defaultdict(Counter) for _ in range(4)]
+    for t in train:
+        s = [256] * 3 + list(t) + [256]
+        for i in range(3, len(s)):
+            for k in range(4):
+                counts[k][tuple(s[i - k : i])][s[i]] += 1
+    s, p, gone = [256] * 3 + list(context), 1.0, set()
+    for k in range(3, -1, -1):
+        seen = {x: n for x, n in counts[k].get(tuple(s[len(s) - k :]), {}).items() if x not in gone}
+        if not seen:
+            continue
+        whole = sum(seen.values()) + len(seen)
+        if symbol in seen:
+            return math.log10(p * seen[symbol] / whole)
+        p *= len(seen) / whole
+        gone |= set(seen)
+    return math.log10(p / (257 - len(gone)))
+
+
+def test_ppm_awkward(spark):
+    rows = ppm.score(awkward(spark), F.col("doc_id").isNotNull()).collect()
+    assert len(rows) == 9
+    assert all(math.isfinite(r.score) and r.score <= 0 for r in rows)
+    untrained = ppm.score(awkward(spark), F.lit(False)).where("doc_id = 3").first()
+    assert untrained.score == pytest.approx(-math.log10(257)) and untrained.train_tokens == 0
+    assert ppm.score(none(spark), F.lit(True)).count() == 0
+
+
+# Fingerprints.
+
+
+@pytest.mark.parametrize("per_range", [3, 1000])
+def test_next_document_by_range(spark, per_range):
+    rows = [(i * 7 % 101, f"text {i}") for i in range(40)] + [(None, "last")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.next_text for r in fingerprint.with_next(df, ["text"], per_range).collect()}
+    order = sorted((r for r in rows if r[0] is not None), reverse=True) + [(None, "last")]
+    assert got == {a[0]: b[1] for a, b in zip(order, order[1:] + order[:1])}
+
+
+def test_full_sketches_give_the_exact_likeness(spark):
+    rows = [(i, t) for i, t in documents()][:60]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = fingerprint.fingerprints(df, scale=1)
+    got = {
+        r.doc_id: (r.n, r.e, r.edited)
+        for r in made.select(
+            "doc_id",
+            "edited",
+            fingerprint.jaccard(F.col("sketch"), F.col("next_sketch")).alias("n"),
+            fingerprint.jaccard(F.col("sketch"), F.col("edited_sketch")).alias("e"),
+        ).collect()
+    }
+    order = sorted(rows, reverse=True)
+    likeness = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        assert got[i][2] == edited
+        assert got[i][0] == pytest.approx(likeness(shingles(text), shingles(after)))
+        assert got[i][1] == pytest.approx(likeness(shingles(text), shingles(edited)))
+
+
+def test_sketches_estimate_and_merge(spark):
+    rng = random.Random(9)
+    big = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
+    rows = [(1, " ".join(big)), (2, " ".join(big[:1500])), (3, " ".join(big[3000:]))]
+    df = fingerprint.with_sketch(spark.createDataFrame(rows, "doc_id long, text string"), "text", "s")
+    s = {r.doc_id: set(r.s) for r in df.collect()}
+    assert len(s[2] & s[1]) / len(s[2]) > 0.98
+    assert abs(len(s[1]) - 6000 / fingerprint.SCALE) < 120
+    assert len((s[2] | s[3]) - s[1]) <= 1
+
+
+def test_fingerprints_awkward(spark):
+    rows = fingerprint.fingerprints(awkward(spark)).collect()
+    assert Counter(r.doc_id for r in rows) == Counter([1, 1, 2, 3, None, 4, 5, 6, 7])
+    same = [tuple(r.sketch) for r in rows if r.doc_id in (1, 6)]
+    assert len(set(same)) == 1
+    assert fingerprint.fingerprints(none(spark)).count() == 0
+    one = fingerprint.fingerprints(spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")).first()
+    assert one.edited == "abcdab"
