@@ -12,6 +12,7 @@ different stretch between such borders is segmented once a slice.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass
 
 import ahocorasick
@@ -119,7 +120,7 @@ class Encoder:
         self.unknown_score = min(scores, default=0.0) - UNKNOWN_PENALTY
         # Borders may be cut at only if no piece holds two stretches, but for runs of spaces, which a cut ends anyway.
         self.splits = all(len(_STRETCH.findall(p[0])) == 1 for p in vocabulary.pieces if p is not None)
-        self.known: dict[str, tuple[list[int], float]] = {}
+        self.forget()
 
     def segment(self, text: str) -> tuple[list[int], float]:
         """Identifiers and score of the best segmentation; of equal scores the one whose last piece begins first."""
@@ -162,23 +163,41 @@ class Encoder:
 
     def encode(self, text: str) -> tuple[list[int], float]:
         """Identifiers and score of a text; the empty text has none and 0."""
-        if not text:
-            return [], 0.0
-        text = (SPACE if self.vocabulary.dummy_prefix else "") + text.replace(" ", SPACE)
-        if not self.splits:
-            return self.segment(text)
+        ids, _, scores = self.encode_all([text])
+        return ids.tolist(), float(scores[0])
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The identifiers of all texts one after the other, where each text's begin and end, and the scores."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, ids, total = self.known, [], 0.0
-        for stretch in _STRETCH.findall(text):
-            found = known.get(stretch)
-            if found is None:
-                found = self.segment(stretch)
-                if len(stretch) <= 64:
-                    known[stretch] = found
-            ids += found[0]
-            total += found[1]
-        return ids, total
+            self.forget()
+        known, codes, bounds = self.known, [], [0]
+        for text in texts:
+            if text:
+                text = (SPACE if self.vocabulary.dummy_prefix else "") + text.replace(" ", SPACE)
+                stretches = _STRETCH.findall(text) if self.splits else [text]
+                for new in set(stretches).difference(known):
+                    ids, score = self.segment(new)
+                    known[new] = len(self.scores)
+                    self.flat.extend(ids)
+                    self.ends.append(len(self.flat))
+                    self.scores.append(score)
+                codes += [known[stretch] for stretch in stretches]
+            bounds.append(len(codes))
+        codes = np.array(codes, np.int64)
+        ends = np.array(self.ends)
+        first, size = ends[codes], ends[codes + 1] - ends[codes]
+        upto = np.concatenate(([0], np.cumsum(size)))
+        # Of each stretch its identifiers from where they are kept to where they go.
+        at = np.arange(upto[-1]) + np.repeat(first - upto[:-1], size)
+        bounds = np.array(bounds)
+        each = np.array(self.scores)[codes]
+        scores = np.array([each[i:j].sum() for i, j in zip(bounds, bounds[1:])])
+        return np.array(self.flat)[at], upto[bounds], scores
+
+    def forget(self) -> None:
+        """Empties what is remembered of stretches: their number, identifiers one after the other, ends and scores."""
+        self.known: dict[str, int] = {}
+        self.flat, self.ends, self.scores = array("i"), array("q", [0]), array("d")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -193,14 +212,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         encoder = Encoder(sent.value)
 
         def work(texts: list[str]) -> list[pa.Array]:
-            ids, offsets, scores = [], [0], []
-            for text in texts:
-                found, total = encoder.encode(text)
-                ids += found
-                offsets.append(len(ids))
-                scores.append(total)
-            flat = pa.array(np.array(ids, np.int32))
-            return [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat), pa.array(scores, pa.float64())]
+            ids, bounds, scores = encoder.encode_all(texts)
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+            return [lists, pa.array(scores)]
 
         return work
 
@@ -222,20 +236,29 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches):
         vocabulary = sent.value
-        # Pieces as bytes by identifier, so that a row is one join.
-        spell = [p[0].encode() if p else b"" for p in vocabulary.pieces]
+        # Pieces as bytes by identifier; the last stands for identifiers that there are not.
+        spell = [p[0].replace(SPACE, " ").encode() if p else b"" for p in vocabulary.pieces] + [b""]
         for byte, identifier in enumerate(vocabulary.byte_ids or ()):
             spell[identifier] = bytes([byte])
-        space = SPACE.encode()
+        table = pa.array(spell, pa.binary())
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
+                lists = part.column("ids")
+                flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                ids = np.where((flat >= 0) & (flat < len(spell) - 1), flat, len(spell) - 1)
+                # Taken in order, the pieces lie one after the other in one buffer.
+                taken = table.take(pa.array(ids))
+                ends = np.concatenate(([0], np.cumsum(pa.compute.binary_length(taken).to_numpy(zero_copy_only=False))))
+                data = b"".join(memoryview(b)[: ends[-1]] for b in taken.buffers()[2:] if b) if len(ids) else b""
+                sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                bounds = ends[np.concatenate(([0], np.cumsum(sizes)))]
                 texts = []
-                for ids in part.column("ids").to_pylist():
-                    data = b"".join([spell[i] for i in ids or () if 0 <= i < len(spell)]).replace(space, b" ")
-                    if vocabulary.dummy_prefix and data.startswith(b" "):
-                        data = data[1:]
-                    texts.append(data.decode("utf-8", "replace"))
+                for a, b in zip(bounds, bounds[1:]):
+                    own = data[a:b]
+                    if vocabulary.dummy_prefix and own.startswith(b" "):
+                        own = own[1:]
+                    texts.append(own.decode("utf-8", "replace"))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(f.name) for f in kept), pa.array(texts, pa.string())], names=[f.name for f in schema.fields]
                 )
