@@ -61,6 +61,7 @@ SENTENCES = (
 # How a location is written in a sentence.
 LOCATION_WORDS = (("user_data", "user data"), ("top_level", "the top level"))
 NOT_HELD = "the box is larger than the reader holds"
+NOT_THERE = "the recorded file was not found"
 
 
 def digest_outcome(recorded: Column, observed: Column) -> Column:
@@ -81,20 +82,33 @@ def _finding(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def whole_file_findings(recorded: DataFrame, observed: DataFrame) -> DataFrame:
-    """``recorded(file_id, sha256 NULL)`` against ``observed(file_id, sha256)``."""
-    joined = recorded.select("file_id", F.col("sha256").alias("r")).join(
-        observed.select("file_id", F.col("sha256").alias("o")), "file_id"
-    )
-    outcome = F.when(F.col("r").isNull(), "not_recorded").otherwise(digest_outcome(F.col("r"), F.col("o")))
+    """``recorded(file_id, sha256 NULL)`` against ``observed(file_id, sha256)``.
+
+    A recorded file without an observed digest is not checkable, and says why.
+    """
+    joined = _both_digests(recorded, observed)
+    outcome = F.when(F.col("r").isNull(), "not_recorded").otherwise(_outcome_if_seen())
     return _finding(
         joined,
         subject=F.lit("whole_file"),
         outcome=outcome,
         recorded=shown(outcome, F.col("r")),
         observed=shown(outcome, F.col("o")),
+        reason=F.when(outcome == "not_checkable", F.lit(NOT_THERE)),
     )
 
 
+def _both_digests(recorded: DataFrame, observed: DataFrame) -> DataFrame:
+    """Every recorded file with its digests r and o, NULL where it was not observed."""
+    return recorded.select("file_id", F.col("sha256").alias("r")).join(
+        observed.select("file_id", F.col("sha256").alias("o")), "file_id", "left"
+    )
+
+
+def _outcome_if_seen() -> Column:
+    return F.when(F.col("o").isNull(), "not_checkable").otherwise(digest_outcome(F.col("r"), F.col("o")))
+
+
 def track_findings(recorded: DataFrame, observed: DataFrame, unreadable: DataFrame) -> DataFrame:
     """Tracks by position; the decoder configuration is compared before the payload.
 
@@ -194,17 +208,16 @@ def vendor_findings(recorded: DataFrame, observed: DataFrame, block: Column) ->
 
 
 def structure_findings(recorded: DataFrame, observed: DataFrame) -> DataFrame:
-    """Structural digests, one per file on each side."""
-    joined = recorded.select("file_id", F.col("sha256").alias("r")).join(
-        observed.select("file_id", F.col("sha256").alias("o")), "file_id"
-    )
-    outcome = digest_outcome(F.col("r"), F.col("o"))
+    """Structural digests, one per file on each side; a recorded file that is gone is not checkable."""
+    joined = _both_digests(recorded, observed)
+    outcome = _outcome_if_seen()
     return _finding(
         joined,
         subject=F.lit("structure"),
         outcome=outcome,
         recorded=shown(outcome, F.col("r")),
         observed=shown(outcome, F.col("o")),
+        reason=F.when(outcome == "not_checkable", F.lit(NOT_THERE)),
     )
 
 

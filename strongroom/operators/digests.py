@@ -50,10 +50,10 @@ def _stream_digests(keys: list[str], value: str, schema: pa.Schema):
     """Hashes a partition sorted by key and order; only the hash state is held."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state, count, size = None, None, 0, 0
+        current, state, count, size, whole = None, None, 0, 0, True
 
         def row():
-            fields = [*current, state.hexdigest(), count, size]
+            fields = [*current, state.hexdigest() if whole else None, count, size]
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, fields))], schema=schema)
 
         for batch in batches:
@@ -63,11 +63,14 @@ def _stream_digests(keys: list[str], value: str, schema: pa.Schema):
                 if key != current:
                     if current is not None:
                         yield row()
-                    current, state, count, size = key, hashlib.sha256(), 0, 0
+                    current, state, count, size, whole = key, hashlib.sha256(), 0, 0, True
                 payload = payloads[position].as_py()
-                state.update(payload)
                 count += 1
-                size += len(payload)
+                if payload is None:
+                    whole = False
+                else:
+                    state.update(payload)
+                    size += len(payload)
         if current is not None:
             yield row()
 
@@ -77,7 +80,11 @@ def _stream_digests(keys: list[str], value: str, schema: pa.Schema):
 def ordered_digests(
     samples: DataFrame, keys: list[str], order: list[str], value: str, row_bytes: int = ROW_BYTES
 ) -> DataFrame:
-    """SHA-256 of a group's binary values joined in order, with how many there were and their bytes."""
+    """SHA-256 of a group's binary values joined in order, with how many there were and their bytes.
+
+    A group with a NULL value has no digest, however large it is: what was not read proves nothing. Its
+    count holds every value, its bytes those that were read.
+    """
     sizes = samples.groupBy(*keys).agg(F.sum(F.length(value)).cast("bigint").alias("__bytes"))
     large = sizes.where(F.col("__bytes") > row_bytes).select(*keys)
 
@@ -86,9 +93,11 @@ def ordered_digests(
         samples.join(large, keys, "left_anti")
         .groupBy(*keys)
         .agg(
-            F.expr(f"sha2(listagg({value}) WITHIN GROUP (ORDER BY {listing}), 256)").alias("sha256"),
+            F.expr(
+                f"CASE WHEN NOT bool_or({value} IS NULL) THEN sha2(listagg({value}) WITHIN GROUP (ORDER BY {listing}), 256) END"
+            ).alias("sha256"),
             F.count(F.lit(1)).alias("count"),
-            F.sum(F.length(value)).cast("bigint").alias("bytes"),
+            F.coalesce(F.sum(F.length(value)), F.lit(0)).cast("bigint").alias("bytes"),
         )
     )
     fields = {field.name: field.dataType for field in samples.schema.fields}

@@ -114,28 +114,26 @@ def chunk_runs(samples: DataFrame) -> DataFrame:
 
 
 def with_exact_time(chunks: DataFrame) -> DataFrame:
-    """Decode time as whole seconds and an exact remainder over one denominator per export.
+    """Decode time as whole seconds and the fraction's first 64 binary digits, in two halves.
 
-    The denominator is the product of the export's distinct timescales; no rounding decides an order.
+    Two different fractions with denominators under 2^32 differ by more than 2^-64, and equal ones have
+    equal digits, so the order is exact whatever the timescales are, and no product can overflow.
     """
-    scales = chunks.groupBy("export_id").agg(F.collect_set("timescale").alias("scales"))
-    one = F.lit(1).cast("decimal(38,0)")
-    others = F.aggregate(
-        F.filter("scales", lambda x: x != F.col("timescale")),
-        one,
-        lambda acc, x: (acc * F.greatest(x, F.lit(1))).cast("decimal(38,0)"),
+    wide = lambda c: c.cast("decimal(38,0)")
+    scale = F.greatest(F.col("timescale"), F.lit(1)).cast("bigint")
+    half = F.lit(1 << 32)
+    digits = chunks.withColumn("second", F.expr("time DIV greatest(timescale, 1)")).withColumn(
+        "__left", wide(F.col("time") % scale) * half
     )
-    scale = F.greatest(F.col("timescale"), F.lit(1))
-    remainder = (F.col("time") % scale).cast("decimal(20,0)")
     return (
-        chunks.join(scales, "export_id")
-        .withColumn("second", F.expr("time DIV greatest(timescale, 1)"))
-        .withColumn("part", (remainder * others).cast("decimal(38,0)"))
-        .drop("scales")
+        digits.withColumn("part", F.floor(F.col("__left") / wide(scale)).cast("bigint"))
+        .withColumn("__left", wide(F.col("__left") % wide(scale)) * half)
+        .withColumn("part_low", F.floor(F.col("__left") / wide(scale)).cast("bigint"))
+        .drop("__left")
     )
 
 
-INTERLEAVED = ["second", "part", "slot", "first"]
+INTERLEAVED = ["second", "part", "part_low", "slot", "first"]
 
 
 def interleave(chunks: DataFrame, seconds_per_block: int = 3600) -> DataFrame:
@@ -269,13 +267,27 @@ def lineage(outputs: DataFrame, sources: DataFrame) -> DataFrame:
     )
 
 
-def canonical_path(path: Column) -> Column:
-    """One spelling per path: case folded, repeated and single-dot steps and the last slash removed."""
-    collapsed = F.regexp_replace(F.lower(path), r"/(?:\.?/)+", "/")
-    return F.regexp_replace(collapsed, r"/\.?\z", "")
+def canonical_path(path: Column, fold_case: bool = True) -> Column:
+    """One spelling per path: empty and single-dot steps removed, double-dot steps taken, the last slash too.
+
+    At the root a double-dot step stays there; a relative path keeps those it cannot take. Case is folded
+    for stores that do not tell it apart.
+    """
+    rooted = path.startswith("/")
+    none = F.array().cast("array<string>")
+    steps = F.filter(F.split(F.lower(path) if fold_case else path, "/"), lambda s: (s != "") & (s != "."))
+    walked = F.aggregate(
+        steps,
+        none,
+        lambda acc, s: F.when(s != "..", F.concat(acc, F.array(s)))
+        .when((F.size(acc) > 0) & (F.coalesce(F.get(acc, F.size(acc) - 1), F.lit("")) != ".."), F.slice(acc, 1, F.size(acc) - 1))
+        .when(rooted, acc)
+        .otherwise(F.concat(acc, F.array(s))),
+    )
+    return F.concat(F.when(rooted, "/").otherwise(""), F.array_join(walked, "/"))
 
 
-def output_is_input(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
+def output_is_input(outputs: DataFrame, inputs: DataFrame, fold_case: bool = True) -> DataFrame:
     """Exports that would write over one of their own inputs."""
-    keyed = lambda df: df.withColumn("canonical", canonical_path(F.col("path")))
+    keyed = lambda df: df.withColumn("canonical", canonical_path(F.col("path"), fold_case))
     return keyed(outputs).join(keyed(inputs).select("export_id", "canonical"), ["export_id", "canonical"], "left_semi")

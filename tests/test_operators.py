@@ -339,3 +339,64 @@ def test_canonical_identifiers(spark):
     cases = {"P01": 1, "P10": 10, "P1": None, "P00": None, "P012": None, "P70000": None, "P65535": 65535}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r[0]: r[1] for r in df.select("t", register.canonical(F.col("t"))).collect()} == cases
+
+
+@pytest.mark.parametrize("row_bytes", [1 << 20, 0])
+def test_an_unread_sample_leaves_no_digest(spark, row_bytes):
+    rows = [("a", 0, b"x"), ("a", 1, None), ("a", 2, b"z"), ("b", 0, b"x"), ("b", 1, b"y"), ("c", 0, None)]
+    samples = spark.createDataFrame(rows, "file_id string, idx int, value binary")
+    got = {r.file_id: (r.sha256, r["count"], r.bytes) for r in digests.ordered_digests(samples, ["file_id"], ["idx"], "value", row_bytes).collect()}
+    assert got == {"a": (None, 3, 2), "b": (hashlib.sha256(b"xy").hexdigest(), 2, 2), "c": (None, 1, 0)}
+
+
+def test_a_recorded_file_that_is_gone_is_a_finding(spark):
+    recorded = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", None)], "file_id string, sha256 string")
+    observed = spark.createDataFrame([("a", "1")], "file_id string, sha256 string")
+    for findings, unrecorded in ((compare.whole_file_findings, "not_recorded"), (compare.structure_findings, "not_checkable")):
+        got = {r.file_id: (r.outcome, r.reason) for r in findings(recorded, observed).collect()}
+        assert got["a"] == ("identical", None)
+        assert got["b"] == ("not_checkable", compare.NOT_THERE)
+        assert got["c"][0] == unrecorded
+    rolled = compare.roll_up(compare.whole_file_findings(recorded, observed)).collect()
+    assert {r.file_id: r.every_compared_is_identical for r in rolled} == {"a": True, "b": False, "c": False}
+
+
+def test_paths_are_resolved(spark):
+    spelled = {
+        "/a/b/../in.mp4": "/a/in.mp4",
+        "/a/./b//c/": "/a/b/c",
+        "/../x": "/x",
+        "a/../../x": "../x",
+        "../../X": "../../x",
+        "/": "/",
+        "": "",
+    }
+    df = spark.createDataFrame([(p,) for p in spelled], "path string")
+    path = F.col("path")
+    got = {r.path: r.c for r in df.select("path", export_plan.canonical_path(path).alias("c")).collect()}
+    assert got == spelled
+    kept = df.where("path = '../../X'").select(export_plan.canonical_path(path, False).alias("c")).first().c
+    assert kept == "../../X"
+
+
+def test_any_timescales_give_an_exact_order(spark):
+    from fractions import Fraction
+
+    scales = [1, 44100, 48000, 90000, 30000, 24000, 60000, 1001, 2**32 - 1, 2**32 - 2, 7919, 104729]
+    rows = [(1, slot, i, 10, int(scale * 3 * i / 7) + i, scale) for slot, scale in enumerate(scales) for i in range(5)]
+    chunks = spark.createDataFrame(rows, "export_id int, slot int, first int, bytes long, time long, timescale long")
+    placed = sorted(export_plan.interleave(chunks).collect(), key=lambda r: r.place)
+    want = sorted(rows, key=lambda r: (Fraction(r[4], r[5]), r[1], r[2]))
+    assert [(r.slot, r.first) for r in placed] == [(r[1], r[2]) for r in want]
+
+
+def test_unreadable_files_are_rows(spark, tmp_path):
+    odd = tmp_path / "a b%20#é.mp4"
+    odd.write_bytes((8).to_bytes(4, "big") + b"free")
+    many = tmp_path / "many.mp4"
+    many.write_bytes(((8).to_bytes(4, "big") + b"free") * 5000)
+    paths = [str(odd), f"file://{odd}", str(many), str(tmp_path / "gone.mp4"), "nowhere://host/x"]
+    got = {r.file_id: r for r in archive.header_segments(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert [got[p].length for p in paths] == [8, 8, 40000, None, None]
+    assert got[paths[2]].reason is None and len(got[paths[2]].segments) == B.MAX_TOP_LEVEL + 1
+    assert all(got[p].reason and got[p].segments is None for p in paths[3:])
