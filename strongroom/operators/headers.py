@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strongroom.functions.binding import let
 from strongroom.functions.bytes import code, i16, i32, i64, one_of, shown, slice_, u8, u16, u32, u64, unsigned, versioned
 from strongroom.operators.boxes import AUDIO, VISUAL, read
+from strongroom.operators.samples import SPAN
 
 # Decoder configuration boxes, and the handlers of the two kinds of track.
 CONFIGURATIONS = ("avcC", "hvcC", "esds", "dac3", "dec3")
@@ -304,8 +305,9 @@ def parameter_sets(parts: DataFrame) -> DataFrame:
 
 
 def _counted(payload: Column, head: int, width: int) -> Column:
-    """How many records of a counted table its payload holds, no more than it declares."""
-    return F.least(u32(payload, head - 4), F.floor((F.length(payload) - head) / width)).cast("int")
+    """How many records a counted table declares; NULL where its payload holds fewer."""
+    declared = u32(payload, head - 4)
+    return F.when(declared * width + head <= F.length(payload), declared).cast("int")
 
 
 def _records(payload: Column, head: int, width: int, make) -> Column:
@@ -356,17 +358,19 @@ def stsc(parts: DataFrame) -> DataFrame:
 
 
 def stsz(parts: DataFrame) -> DataFrame:
-    """Sizes from the plain or the compact table; a constant size is repeated per sample."""
+    """Sizes from the plain or the compact table; a constant size is repeated per sample.
+
+    A constant is listed span by span, so no array is longer than a span, whatever count is declared.
+    """
     p, c = F.col("stsz"), F.col("stz2")
-    constant, declared = u32(p, 4), u32(p, 8).cast("int")
+    constant, declared = u32(p, 4), u32(p, 8).cast("bigint")
     one = lambda value: F.struct(value.alias("size"))
     listed = _records(p, 12, 4, lambda at: one(u32(p, at)))
-    repeated = F.when(declared > 0, F.transform(F.sequence(F.lit(0), declared - 1), lambda i: one(constant)))
     bits = u8(c, 7)
     nibbles = F.when(
-        u32(c, 8) > 0,
+        (u32(c, 8) > 0) & (u32(c, 8) <= (F.length(c) - 12) * 2),
         F.transform(
-            F.sequence(F.lit(0), F.least(u32(c, 8), (F.length(c) - 12) * 2).cast("int") - 1),
+            F.sequence(F.lit(0), u32(c, 8).cast("int") - 1),
             lambda i: one(
                 let(
                     u8(c, F.floor(i / 2) + 12),
@@ -380,8 +384,22 @@ def stsz(parts: DataFrame) -> DataFrame:
         .when(bits == 8, _records(c, 12, 1, lambda at: one(u8(c, at))))
         .when(bits == 16, _records(c, 12, 2, lambda at: one(u16(c, at))))
     )
-    sizes = F.when(p.isNull(), compact).when(constant != 0, repeated).otherwise(listed)
-    return _table(parts, sizes, "idx")
+    given = F.when(p.isNull(), compact).when(constant == 0, listed)
+    start = lambda at: at.cast("bigint").alias("start")
+    repeated = F.transform(
+        F.sequence(F.lit(0), F.floor((declared - 1) / SPAN).cast("int")),
+        lambda s: F.struct(start(s.cast("bigint") * SPAN), F.least(declared, (s.cast("bigint") + 1) * SPAN).cast("bigint").alias("end"), given.alias("sizes")),
+    )
+    whole = F.array(F.struct(start(F.lit(0)), F.lit(0).cast("bigint").alias("end"), given.alias("sizes")))
+    spans = F.when(p.isNotNull() & (constant != 0), F.when(declared > 0, repeated)).otherwise(whole)
+    cut = parts.select("file_id", "track_index", constant.alias("__constant"), F.explode(spans).alias("__span"))
+    again = F.when(
+        F.col("__span.end") > F.col("__span.start"),
+        F.transform(F.sequence(F.col("__span.start"), F.col("__span.end") - 1), lambda i: one(F.col("__constant"))),
+    )
+    return cut.select(
+        "file_id", "track_index", "__span", F.posexplode(F.coalesce("__span.sizes", again)).alias("__i", "r")
+    ).select("file_id", "track_index", (F.col("__span.start") + F.col("__i")).alias("idx"), "r.*")
 
 
 def stco(parts: DataFrame) -> DataFrame:
@@ -407,12 +425,13 @@ def ctts(parts: DataFrame) -> DataFrame:
 
 
 def run_tables(parts: DataFrame) -> tuple[DataFrame, ...]:
-    """The six tables in the order the sample operators take them."""
+    """The six tables in the order the sample operators take them, of the tracks whose tables are sound."""
+    parts = sound(parts)
     return stts(parts), stsc(parts), stsz(parts), stco(parts), stss(parts), ctts(parts)
 
 
-def table_problems(parts: DataFrame) -> DataFrame:
-    """Run tables shorter than they declare, and required parts a track lacks."""
+def _problems() -> Column:
+    """What is wrong with a track's run tables, as an array."""
     sizes, offsets = F.coalesce("stsz", "stz2"), F.coalesce("co64", "stco")
     present = {"sizes": sizes, "offsets": offsets}
     missing = [
@@ -430,9 +449,17 @@ def table_problems(parts: DataFrame) -> DataFrame:
     compact, bits = F.col("stz2"), u8(F.col("stz2"), 7)
     short.append(F.when(~bits.isin(4, 8, 16), F.concat(F.lit("stz2 has the unknown version "), bits.cast("string"))))
     short.append(F.when(u32(compact, 8) * bits > (F.length(compact) - 12) * 8, F.lit("stz2 is truncated")))
-    return parts.select(
-        "file_id", "track_index", F.explode(F.array_compact(F.array(*missing, *short))).alias("problem")
-    )
+    return F.array_compact(F.array(*missing, *short))
+
+
+def table_problems(parts: DataFrame) -> DataFrame:
+    """Run tables shorter than they declare, and required parts a track lacks."""
+    return parts.select("file_id", "track_index", F.explode(_problems()).alias("problem"))
+
+
+def sound(parts: DataFrame) -> DataFrame:
+    """The tracks without a table problem: the only ones whose samples may be listed."""
+    return parts.where(F.size(_problems()) == 0)
 
 
 def duration_ms(duration: Column, timescale: Column) -> Column:

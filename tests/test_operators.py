@@ -400,3 +400,37 @@ def test_unreadable_files_are_rows(spark, tmp_path):
     assert [got[p].length for p in paths] == [8, 8, 40000, None, None]
     assert got[paths[2]].reason is None and len(got[paths[2]].segments) == B.MAX_TOP_LEVEL + 1
     assert all(got[p].reason and got[p].segments is None for p in paths[3:])
+
+
+def test_a_short_table_lists_no_sample(spark):
+    parts = stored(headers.track_parts(B.walk(B.whole_files(_corpus(spark)))))
+    short = parts.withColumn(
+        "stts",
+        F.when((F.col("file_id") == "f0") & (F.col("track_index") == 0), F.expr("substring(stts, 1, length(stts) - 1)")).otherwise(
+            F.col("stts")
+        ),
+    )
+    assert rows(headers.table_problems(short), "file_id", "track_index", "problem") == [("f0", 0, "stts is truncated")]
+    listed = samples.samples(*headers.run_tables(short)).select("file_id", "track_index").distinct()
+    everyone = parts.select("file_id", "track_index").where("NOT (file_id = 'f0' AND track_index = 0)")
+    assert rows(listed, "file_id", "track_index") == rows(everyone, "file_id", "track_index")
+    assert headers.stts(short).where("file_id = 'f0' AND track_index = 0").count() == 0
+
+
+def test_constant_sizes_are_listed_by_spans(spark):
+    def table(size, count):
+        return bytearray(bytes(4) + size.to_bytes(4, "big") + count.to_bytes(4, "big"))
+
+    parts = spark.createDataFrame(
+        [("a", 0, table(7, 150_000), None), ("b", 0, table(9, 0), None), ("c", 0, table(5, 2**32 - 1), None)],
+        "file_id string, track_index int, stsz binary, stz2 binary",
+    )
+    got = headers.stsz(parts.where("file_id <> 'c'"))
+    assert got.agg(F.count("*"), F.min("idx"), F.max("idx"), F.countDistinct("idx"), F.sum("size")).first()[:] == (
+        150_000,
+        0,
+        149_999,
+        150_000,
+        1_050_000,
+    )
+    assert headers.stsz(parts.where("file_id = 'c'")).limit(3).count() == 3
