@@ -94,6 +94,17 @@ def map_texts(
     return df.mapInArrow(run, schema)
 
 
+def longs(values: list[int | None]) -> Column:
+    """A literal array of 64-bit numbers, as one expression: a column for each number would be slow to make."""
+
+    def spelled(value: int | None) -> str:
+        if value is None:
+            return "CAST(NULL AS BIGINT)"
+        return f"{value}L" if value > -(1 << 63) else f"({value + 1}L - 1L)"
+
+    return F.expr(f"array({', '.join(map(spelled, values))})")
+
+
 # Everything in ASCII that is neither a digit nor a letter in lower case parts words.
 BETWEEN_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strongroom.llm.common import whole_text, with_shingles, words_of
+from strongroom.llm.common import longs, whole_text, with_shingles, words_of
 
 # One in so many shingle hashes is kept.
 SCALE = 8
@@ -66,7 +66,7 @@ def with_next(docs: DataFrame, columns: list[str], rows: int = RANGE_ROWS) -> Da
     # Binary search: the number of borders below the identifier. Null identifiers are in the lowest range.
     of = F.lit(0)
     if borders:
-        held, step = F.lit(borders), 1 << (len(borders).bit_length() - 1)
+        held, step = longs(borders), 1 << (len(borders).bit_length() - 1)
         steps = []
         while step:
             steps.append(step)
@@ -88,11 +88,11 @@ def with_next(docs: DataFrame, columns: list[str], rows: int = RANGE_ROWS) -> Da
     order = sorted(firsts)
     # The range that comes before each in descending order; the topmost comes after the lowest.
     before = {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}
-    first_of = F.lit([firsts.get(r) for r in range(order[-1] + 1)]) if any(v is not None for v in firsts.values()) else None
-    before_of = F.lit([before.get(r, 0) for r in range(order[-1] + 1)])
-    is_first = F.col("doc_id").eqNullSafe(F.get(first_of, F.col("_range"))) if first_of is not None else F.lit(True)
+    first_of = longs([firsts.get(r) for r in range(order[-1] + 1)])
+    before_of = longs([before.get(r, 0) for r in range(order[-1] + 1)])
+    is_first = F.col("doc_id").eqNullSafe(F.get(first_of, F.col("_range")))
     place = lambda r, shown: F.struct(r.alias("range"), F.lit(shown).alias("shown"))
-    own, shown = place(F.col("_range"), True), place(F.get(before_of, F.col("_range")), False)
+    own, shown = place(F.col("_range").cast("bigint"), True), place(F.get(before_of, F.col("_range")), False)
     placed = ranged.withColumn("_place", F.explode(F.when(is_first, F.array(own, shown)).otherwise(F.array(own))))
     along = Window.partitionBy("_place.range").orderBy(
         F.desc("_place.shown"), F.desc_nulls_last("doc_id"), *([F.asc("text")] if "text" in docs.columns else [])

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strongroom.llm.common import stored, whole_text
+from strongroom.llm.common import longs, stored, whole_text
 
 @dataclass(frozen=True)
 class Ring:
@@ -42,7 +42,7 @@ def arc_of(ring: Ring, key: Column) -> Column:
     """The index of the arc that a 64-bit key falls on; past the last point it is the first arc's."""
     ends = [p for p, _ in ring.points]
     steps = [1 << i for i in reversed(range(len(ends).bit_length()))]
-    held = F.lit(ends)
+    held = longs(ends)
     # Binary search for the number of ends below the key.
     below = F.aggregate(
         F.lit(steps),
