@@ -191,8 +191,7 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: np.ndarray, ord
             away = ~found & (kinds > 0)
             logs = np.where(away, logs + np.log10(kinds / (total + kinds)), logs)
 
-    # What the next longer context has seen: the same for all grams of that context.
-    gone_total, gone_kinds = None, None
+    # The next longer context of each gram, and the gram's count there.
     previous = None
     for k in range(order, -1, -1):
         if k >= 2:
@@ -209,12 +208,16 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, low: np.ndarray, ord
             total, kinds = table.sum(1)[context].astype(float), (table > 0).sum(1)[context].astype(float)
         if previous is not None:
             # Counts, in this context, of the symbols that the longer one has seen.
-            longer, longer_count = previous
-            first, member = np.unique(longer, return_inverse=True)
-            pairs, one = np.unique(_suffix(keys, k + 2), return_index=True)
-            counted = np.bincount(member[one], np.where(longer_count[one] > 0, count[one], 0), len(first))
-            kinds_gone = np.bincount(member[one], longer_count[one] > 0, len(first))
-            gone_total, gone_kinds = counted[member], kinds_gone[member]
+            if k == 0:
+                gone_total = ((low > 0) * low.sum(0)).sum(1)[context].astype(float)
+                gone_kinds = (low > 0).sum(1)[context].astype(float)
+            else:
+                longer, longer_count = previous
+                first, member = np.unique(longer, return_inverse=True)
+                _, one = np.unique(_suffix(keys, k + 2), return_index=True)
+                there = longer_count[one] > 0
+                gone_total = np.bincount(member[one], np.where(there, count[one], 0), len(first))[member]
+                gone_kinds = np.bincount(member[one], there, len(first))[member]
             step(count, total - gone_total, kinds - gone_kinds)
         else:
             step(count, total, kinds)
