@@ -135,11 +135,17 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     )
     current = stored(edges.where("a != b").select(turned.alias("e")).select("e.u", "e.v").distinct(), "edges")
 
-    def mark(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    def settled(df: DataFrame) -> bool:
+        """Whether every node is tied to one other at most, and none that is tied has others tied to it."""
+        ends = df.select("u", F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            df.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+        )
+        sums = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+        return not sums.agg(F.count_if((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("into") > 0)))).first()[0]
 
-    last = mark(current)
     for _ in range(most_rounds):
+        if settled(current):
+            break
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         # Greater neighbours go to the least.
@@ -150,10 +156,6 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
             small.select("u", F.col("m").alias("v"))
         )
         current = stored(tied.where("u != v").distinct(), "edges")
-        now = mark(current)
-        if now == last:
-            break
-        last = now
     else:
         raise RuntimeError("components did not settle")
     return current.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
