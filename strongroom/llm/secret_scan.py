@@ -3,6 +3,7 @@
 A credential is often written in parts: an identifier, a secret and an endpoint. Each part alone looks like ordinary
 text, so weak candidates count only when linked. Every part reaches ``reach`` code points to both sides within its scope
 (a block of lines between empty lines); a secret is linked when an identifier's or an endpoint's reach overlaps its own.
+The value of a key=value pair can be a secret to one part and an identifier to another, but never vouches for itself.
 The parts of a text are sorted, so the interval join is a binary search and no pair is ever listed.
 """
 
@@ -32,11 +33,14 @@ IDENTIFIER = re.compile(
     r"(?:client|account|user|key|tenant|project)[_ -]?(?:id|name)?[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9@._-]{3,})",
     re.ASCII | re.IGNORECASE,
 )
-MIXED = re.compile(r"(?<![A-Za-z0-9+/_=.@-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=.@-])")
-ENDPOINT = re.compile(
-    r"(?<![A-Za-z0-9.@-])(?:[a-z][a-z0-9+]*://)?(?:[A-Za-z0-9-]+\.)+(?:com|net|org|io|dev|internal|local)(?::[0-9]+)?(?![A-Za-z0-9-])"
-    r"|(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?(?![0-9.])"
-)
+# It may follow a key's '=' and end before a sentence's '.'.
+TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+MIXED = re.compile(r"(?<![A-Za-z0-9+/_.@-])" + TOKEN + r"(?!\.?[A-Za-z0-9+/_=@-])")
+NAMED_HOST = r"(?:[A-Za-z0-9-]+\.)+(?:com|net|org|io|dev|internal|local)(?::[0-9]+)?(?![A-Za-z0-9-])"
+ADDRESS = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?(?![0-9.])"
+ENDPOINT = re.compile(rf"(?<![A-Za-z0-9.@-])(?:[a-z][a-z0-9+]*://)?{NAMED_HOST}|(?<![0-9.]){ADDRESS}")
+# A secret and a named host in an address such as db://user:secret@host; numbered ones are endpoints anyway.
+LOGIN = re.compile(rf"://[^\s/:@]*:({TOKEN})@({NAMED_HOST})?")
 SCOPE_END = re.compile(r"\n[\x20\t]*\n")
 
 PART = T.StructType(
@@ -72,13 +76,20 @@ def _is_mixed(token: str) -> bool:
 
 
 def _nearest(span: tuple[int, int], others: list[tuple[int, int]], reach: int) -> int | None:
-    """The start of the closest interval whose reach overlaps the span's; others are sorted and don't overlap."""
+    """The start of the closest interval beside the span whose reach overlaps the span's.
+
+    Others are sorted and don't overlap one another. Those that overlap the span are the same text, so no other part.
+    """
     at = bisect.bisect_left(others, span)
     best = None
-    for other in others[max(0, at - 1) : at + 1]:
-        gap = max(other[0] - span[1], span[0] - other[1], 0)
-        if gap <= 2 * reach and other != span and (best is None or gap < best[0]):
-            best = (gap, other[0])
+    for side in (range(at - 1, -1, -1), range(at, len(others))):
+        for other in (others[i] for i in side):
+            if other[0] < span[1] and span[0] < other[1]:
+                continue
+            gap = max(other[0] - span[1], span[0] - other[1])
+            if gap <= 2 * reach and (best is None or gap < best[0]):
+                best = (gap, other[0])
+            break
     return None if best is None else best[1]
 
 
@@ -95,12 +106,15 @@ def find_parts(text: str, reach: int = 100) -> list[tuple[str, int, int, int | N
         at = bisect.bisect_left(taken, (end, end))
         return not any(s < end and e > start for s, e in taken[max(0, at - 3) : at])
 
-    mixed = [m.span() for m in MIXED.finditer(text) if _is_mixed(m[0]) and free(*m.span())]
+    logins = [m for m in LOGIN.finditer(text) if _is_mixed(m[1])] if "://" in text else []
+    mixed = [m.span() for m in MIXED.finditer(text) if _is_mixed(m[0])] + [m.span(1) for m in logins]
+    mixed = [span for span in mixed if free(*span)]
     held_secrets = [(s, e) for kind, s, e in strong if kind != "access"]
     if not mixed and not held_secrets:
         return [(kind, s, e, None) for kind, s, e in sorted(strong, key=lambda p: (p[1], KINDS.index(p[0])))]
     named = [m.span() for m in IDENTIFIER.finditer(text) if free(*m.span())]
-    hosts = [m.span() for m in ENDPOINT.finditer(text) if free(*m.span())]
+    hosts = [m.span() for m in ENDPOINT.finditer(text)] + [m.span(2) for m in logins if m[2]]
+    hosts = [span for span in hosts if free(*span)]
     secrets = sorted([*mixed, *held_secrets])
     identifiers = sorted([*named, *((s, e) for kind, s, e in strong if kind == "access")])
     hosts.sort()
