@@ -384,6 +384,31 @@ def test_leaks_equal_brute_force(spark):
     assert got == want and len(want) >= 20
 
 
+def test_leaks_just_above_the_similarity_equal_brute_force(spark):
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    items, docs = [], []
+    for i in range(90):
+        item = rng.choices(vocabulary, k=(45, 60, 100)[i % 3])
+        items.append((i, " ".join(item)))
+        # The passage is cut at its end by some tenth of its words, and other text follows.
+        cut = len(item) - len(item) // 10 + rng.choice((-1, 0, 0, 1))
+        docs.append((i, " ".join(rng.choices(vocabulary, k=20) + item[:cut] + rng.choices(vocabulary, k=40))))
+    want = set()
+    for (i, text), (item, target) in itertools.product(docs, items):
+        w, n, own = words(text), len(words(target)), shingles(target)
+        for b in range(len(w)) if i == item else ():
+            window = shingles(" ".join(w[b : b + n]))
+            if len(window & own) >= 0.8 * len(window | own):
+                want.add((i, item))
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.matches(df, known).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want and 45 <= len(want) < 90
+    assert max(r.distance for r in found) > decontaminate.RADIUS
+    near = decontaminate.matches(df, known, radius=decontaminate.RADIUS).collect()
+    assert set(near) == {r for r in found if r.distance <= decontaminate.RADIUS}
+
+
 def test_blocks_guarantee_the_radius(spark):
     rng = random.Random(1)
     pairs = []
