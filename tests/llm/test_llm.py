@@ -409,6 +409,20 @@ def test_leaks_just_above_the_similarity_equal_brute_force(spark):
     assert set(near) == {r for r in found if r.distance <= decontaminate.RADIUS}
 
 
+def test_leaks_of_items_that_share_a_template(spark):
+    rng = random.Random(11)
+    template = [f"t{i}" for i in range(55)]
+    items = [(i, " ".join([*template, *(f"own{i}x{k}" for k in range(5))])) for i in range(100)]
+    edited = items[7][1].split()
+    edited[20] = "edited"
+    docs = [(1, " ".join([*rng.choices([f"v{i}" for i in range(400)], k=30), *edited, "and", "so", "on"])), (2, "t1 t2 t3 t4 t5 t6")]
+    found = decontaminate.matches(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    ).collect()
+    own = {r.item_id: r.similarity for r in found}
+    assert {r.doc_id for r in found} == {1} and own[7] == pytest.approx(51 / 61) and len(own) == 1
+
+
 def test_blocks_guarantee_the_radius(spark):
     rng = random.Random(1)
     pairs = []
