@@ -21,6 +21,8 @@ CLOCKS = (
 )
 # Records in one part of a document.
 PART = 4096
+# Boxes whose kinds are listed at once.
+LISTED = 4096
 
 SCHEMA = T.StructType(
     [
@@ -91,26 +93,28 @@ def vendor_records(user_data: DataFrame, unknown: DataFrame) -> DataFrame:
     return numbered(both, ["file_id"], ["offset"], by_rows("offset"), "position")
 
 
-def structure_records(top: DataFrame, limit: int = 4096) -> DataFrame:
+def structure_records(top: DataFrame) -> DataFrame:
     """Order of kinds, place of the movie box, and the tail, per file.
 
-    ``top(file_id, ord, kind string, offset, size, clipped)``. A file holds ``limit`` boxes at most;
-    one with more is refused by the walk, and here reads as a structure that could not be told.
+    ``top(file_id, ord, kind string, offset, size, clipped)``. The walk refuses files of too many boxes; here every group
+    is whole. Kinds are listed per block of the order first, so no task sorts a large group's rows at once.
     """
-    facts = top.groupBy("file_id").agg(
-        F.count(F.lit(1)).alias("boxes"),
+    block = F.floor(F.col("ord") / LISTED).alias("block")
+    pieces = top.groupBy("file_id", block).agg(
         F.min(F.when(F.col("kind") == "moov", F.struct("ord", "offset", "size"))).alias("moov"),
         F.min(F.when(F.col("kind") == "mdat", F.col("ord"))).alias("mdat"),
         F.max_by(F.struct("clipped", "size"), "ord").alias("last"),
+        F.expr("listagg(kind, ' ') WITHIN GROUP (ORDER BY ord)").alias("piece"),
     )
-    order = (
-        top.where(F.col("ord") < limit)
-        .groupBy("file_id")
-        .agg(F.expr("listagg(kind, ' ') WITHIN GROUP (ORDER BY ord)").alias("top_level"))
+    whole = pieces.groupBy("file_id").agg(
+        F.min("moov").alias("moov"),
+        F.min("mdat").alias("mdat"),
+        F.max_by("last", "block").alias("last"),
+        F.expr("listagg(piece, ' ') WITHIN GROUP (ORDER BY block)").alias("top_level"),
     )
-    return facts.join(order, "file_id", "left").select(
+    return whole.select(
         "file_id",
-        F.when(F.col("boxes") <= limit, F.col("top_level")).alias("top_level"),
+        "top_level",
         (F.col("moov.ord") < F.col("mdat")).alias("moov_before_mdat"),
         F.col("moov.offset").alias("moov_offset"),
         F.col("moov.size").alias("moov_size"),

@@ -434,3 +434,16 @@ def test_constant_sizes_are_listed_by_spans(spark):
         1_050_000,
     )
     assert headers.stsz(parts.where("file_id = 'c'")).limit(3).count() == 3
+
+
+def test_structure_of_a_large_group_is_whole(spark):
+    kind = F.when(F.col("id") == 9000, "moov").when(F.col("id") % 5 == 4, "mdat").otherwise("free")
+    top = spark.range(10_000).select(
+        F.lit(1).alias("file_id"), F.col("id").alias("ord"), kind.alias("kind"), (F.col("id") * 8).alias("offset"),
+        F.lit(8).alias("size"), (F.col("id") == 9999).alias("clipped"),
+    )
+    small = top.where("ord < 3").withColumn("file_id", F.lit(2))
+    want = " ".join("moov" if i == 9000 else "mdat" if i % 5 == 4 else "free" for i in range(10_000))
+    assert rows(manifest.structure_records(top.unionByName(small)), "*") == [
+        (1, want, False, 72_000, 8, 8), (2, "free free free", None, None, None, None)
+    ]
