@@ -292,9 +292,14 @@ def avc_sets(payload: Column) -> Column:
     )
 
 
+def avc_tracks(parts: DataFrame) -> DataFrame:
+    """The parts of the tracks with an AVC configuration."""
+    return parts.where(F.col("configuration.kind") == code("avcC"))
+
+
 def parameter_sets(parts: DataFrame) -> DataFrame:
     """Sequence and picture parameter sets of tracks with an AVC configuration."""
-    avc = parts.where(F.col("configuration.kind") == code("avcC"))
+    avc = avc_tracks(parts)
     sets = avc_sets(F.col("configuration.payload"))
     return (
         avc.select("file_id", "track_index", F.col("configuration.payload").alias("payload"), F.inline_outer(F.array(sets)))

@@ -114,22 +114,25 @@ def stored_parts(spark, d):
     return stored(C.track_parts(inventory(spark, d)))
 
 
-@lru_cache(maxsize=4)
-def stored_samples(spark, d):
-    """Video samples with their bytes, located by their tables and cut from their files."""
-    p = stored_parts(spark, d).where("track_index = 0")
+def avc_samples(recordings, parts):
+    """Samples of every track with an AVC configuration, with their bytes, located by their tables and cut from their
+    files."""
+    p = C.avc_tracks(parts)
     _, stsc, stsz, stco, _, _ = C.run_tables(p)
     located = S.locate(stsc, stco, stsz)
     wanted = located.select("file_id", F.struct("track_index", "idx").alias("range_id"), "offset", "size")
-    got = archive.read_ranges(files(spark, d), wanted)
+    got = archive.read_ranges(recordings, wanted)
     widths = C.parameter_sets(p).select("file_id", "track_index", "nal_length_size")
-    return stored(
-        got.select("file_id", "range_id.track_index", F.col("range_id.idx").alias("sample_idx"), "bytes").join(
-            widths, ["file_id", "track_index"]
-        )
+    return got.select("file_id", "range_id.track_index", F.col("range_id.idx").alias("sample_idx"), "bytes").join(
+        widths, ["file_id", "track_index"]
     )
 
 
+@lru_cache(maxsize=4)
+def stored_samples(spark, d):
+    return stored(avc_samples(files(spark, d), stored_parts(spark, d)))
+
+
 UNITS = f"""{LAYOUT}, {SAMPLES},
 u AS (SELECT file_id, i AS sample_idx, 0 AS unit, '6742000A' AS h FROM sm WHERE inner_set
   UNION ALL SELECT file_id, i, inner_set::INT, CASE WHEN sync THEN '6588' ELSE '419A' END || tail FROM sm
