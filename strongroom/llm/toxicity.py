@@ -1,4 +1,6 @@
-"""Toxicity by two class-conditional Kneser-Ney models of words.
+"""Toxicity by the set of a text's words: two class-conditional discounted models of order 1, not Kneser-Ney.
+
+No word pairs and no continuation counts: a combination of ordinary words is ordinary.
 
 Counts are of documents that use a word, near copies once, as a word's repetitions within a text say nothing new about
 it. Each class discounts its counts absolutely; what it takes away goes to a backoff model of the counts that the two
