@@ -22,6 +22,7 @@ MODULES = (
     "ppm",
     "fingerprint",
     "ring",
+    "exact_dedup",
 )
 
 for _name in MODULES:

@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strongroom.llm import decontaminate, fingerprint, license_scan, ngram_join, pieces, ppm, ring, secret_scan, toxicity, warc
+from strongroom.llm import (
+    decontaminate,
+    exact_dedup,
+    fingerprint,
+    license_scan,
+    ngram_join,
+    pieces,
+    ppm,
+    ring,
+    secret_scan,
+    toxicity,
+    warc,
+)
 from strongroom.llm.common import id_remainder
 from strongroom.plans.registry import Query, table
 
@@ -142,3 +154,23 @@ def op10_bounded_ring(spark: SparkSession, directory: str) -> DataFrame:
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@registered
+def op11_exact_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return exact_dedup.duplicates(table(spark, directory, "documents"))
+
+
+ORACLES["op11_exact_dedup"] = r"""
+WITH normal AS (
+    SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents
+)
+SELECT
+    doc_id,
+    min(doc_id) OVER same AS keep_id,
+    count(*) OVER same AS group_size,
+    doc_id = min(doc_id) OVER same AS kept,
+    sha256(text) AS text_sha256
+FROM normal
+WINDOW same AS (PARTITION BY text)
+"""
