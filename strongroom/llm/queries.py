@@ -11,6 +11,7 @@ from strongroom.llm import (
     fingerprint,
     license_scan,
     ngram_join,
+    periodic,
     pieces,
     ppm,
     ring,
@@ -174,3 +175,91 @@ SELECT
 FROM normal
 WINDOW same AS (PARTITION BY text)
 """
+
+
+@registered
+def op13_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
+    hashed = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
+    planted = periodic.with_repeats(F.col("text"), F.floor(hashed / 10))
+    docs = table(spark, directory, "documents").select(
+        "doc_id", F.when(hashed % 10 == 0, planted).otherwise(F.col("text")).alias("text")
+    )
+    found = periodic.find(docs)
+    longest = F.array_min(F.transform("runs", lambda r: F.struct(-r["length"], r["start"], r["period"])))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("longest", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("longest.start").alias("start"),
+        (-F.col("longest.col1")).alias("length"),
+        F.col("longest.period").alias("period"),
+        F.floor(-1000 * F.col("longest.col1") / F.col("longest.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# The checksum as SQL: a table of 256 remainders from the reversed polynomial, and a fold over the digits.
+CRC_TABLE = """
+    SELECT list_transform(range(256), lambda i: list_reduce(
+        range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc
+"""
+CRC_OF_BYTES = "xor(list_reduce({bytes}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+CRC_OF_ID = CRC_OF_BYTES.format(
+    bytes="list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))"
+)
+
+# Equal stretches at each distance come from equal runs of five words, as no run has less in common with itself.
+ORACLES["op13_periodic_runs"] = rf"""
+WITH table_of AS MATERIALIZED ({CRC_TABLE}),
+split AS (
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS ws,
+           {CRC_OF_ID} AS h
+    FROM documents, table_of
+),
+counted AS (SELECT *, len(ws) AS n, h // 10 AS g FROM split),
+placed AS (SELECT *, CASE WHEN n > 0 THEN g % n END AS a FROM counted),
+edited AS MATERIALIZED (
+    SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN
+        list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1]
+            ELSE ws[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END)
+        ELSE ws END AS ws
+    FROM placed
+),
+grams AS MATERIALIZED (
+    SELECT doc_id, n, i, ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3] || ' ' || ws[i + 4] || ' ' || ws[i + 5] AS gram
+    FROM (SELECT doc_id, n, ws, unnest(range(n - 4)) AS i FROM edited WHERE n >= 6)
+),
+apart AS (
+    SELECT a.doc_id, b.i - a.i AS q, a.i FROM grams a JOIN grams b
+    ON a.doc_id = b.doc_id AND a.gram = b.gram AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+),
+islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM apart),
+stretches AS (
+    SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM islands
+    GROUP BY doc_id, q, island HAVING count(*) + 4 >= 3 * q
+),
+runs AS MATERIALIZED (
+    SELECT * FROM stretches r WHERE NOT EXISTS (
+        SELECT 1 FROM stretches s WHERE s.doc_id = r.doc_id AND s.q < r.q AND s.start <= r.start
+        AND s.start + s.length >= r.start + r.length)
+),
+listed AS (
+    SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q))
+        AS runs_sha256
+    FROM runs GROUP BY doc_id
+),
+longest AS (
+    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, q) AS place FROM runs
+),
+dropped AS (SELECT DISTINCT doc_id, unnest(range(start + q, start + length)) AS i FROM runs),
+kept AS (
+    SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.i) AS text
+    FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(n)) AS i FROM edited) w
+    ANTI JOIN dropped d ON w.doc_id = d.doc_id AND w.i = d.i GROUP BY w.doc_id
+)
+SELECT e.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, q AS period, 1000 * length // q AS exponent_milli,
+       coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM edited e LEFT JOIN listed l ON e.doc_id = l.doc_id
+LEFT JOIN longest m ON e.doc_id = m.doc_id AND place = 1 LEFT JOIN kept k ON e.doc_id = k.doc_id
+"""
