@@ -23,6 +23,7 @@ MODULES = (
     "fingerprint",
     "ring",
     "exact_dedup",
+    "spelling",
     "periodic",
 )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from strongroom.llm import (
     ppm,
     ring,
     secret_scan,
+    spelling,
     toxicity,
     warc,
 )
@@ -177,6 +180,77 @@ WINDOW same AS (PARTITION BY text)
 """
 
 
+# The checksum as SQL: a table of 256 remainders from the reversed polynomial, and a fold over the digits.
+CRC_TABLE = """
+    SELECT list_transform(range(256), lambda i: list_reduce(
+        range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc
+"""
+CRC_OF_BYTES = "xor(list_reduce({bytes}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+CRC_OF_ID = CRC_OF_BYTES.format(
+    bytes="list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))"
+)
+
+
+def less_a_letter(doc: str, word: str) -> str:
+    """The word, or where its checksum with the document's identifier is divisible by 31 the word less one letter."""
+    hashed = zlib.crc32(f"{doc}:{word}".encode())
+    return word if hashed % 31 else word[: hashed % len(word)] + word[hashed % len(word) + 1 :]
+
+
+@registered
+def op12_spelling_variants(spark: SparkSession, directory: str) -> DataFrame:
+    words = spelling.count_words(table(spark, directory, "documents"), less_a_letter)
+    return spelling.variants(words).select("word", "n", "n_near", "form", "form_n", "root")
+
+
+# One edit apart: the same with one place left out of both, or the longer one with one place left out is the other.
+ORACLES["op12_spelling_variants"] = rf"""
+WITH RECURSIVE table_of AS MATERIALIZED ({CRC_TABLE}),
+found AS (
+    SELECT doc_id, translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS word FROM documents)
+),
+runs AS (SELECT doc_id, word, count(*) AS n, hex(encode(doc_id || ':' || word)) AS spelled FROM found GROUP BY ALL),
+hashed AS (
+    SELECT word, n, {CRC_OF_BYTES.format(
+        bytes="list_transform(range(len(spelled) // 2), lambda i: CAST('0x' || substr(spelled, 2 * i + 1, 2) AS BIGINT))"
+    )} AS h
+    FROM runs, table_of
+),
+altered AS (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(word, 1, h % len(word)) || substr(word, h % len(word) + 2) ELSE word END AS word, n
+    FROM hashed
+),
+words AS MATERIALIZED (
+    SELECT word, CAST(sum(n) AS BIGINT) AS n FROM altered GROUP BY word HAVING len(word) >= 7 AND sum(n) >= 2
+),
+less AS MATERIALIZED (
+    SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest
+    FROM (SELECT word, n, unnest(range(len(word))) AS i FROM words)
+),
+pairs AS (
+    SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM words a JOIN less b ON b.rest = a.word
+    UNION SELECT b.word, a.word, a.n FROM words a JOIN less b ON b.rest = a.word
+),
+ranked AS (
+    SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near,
+           row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM pairs
+),
+forms AS MATERIALIZED (
+    SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form,
+           CASE WHEN near_n >= 10 * n THEN near_n END AS form_n
+    FROM words w LEFT JOIN ranked r ON w.word = r.word AND place = 1
+),
+followed AS (
+    SELECT word, word AS root, 0 AS step FROM forms
+    UNION ALL SELECT f.word, g.form, step + 1 FROM followed f JOIN forms g ON f.root = g.word WHERE g.form IS NOT NULL
+)
+SELECT f.word, n, n_near, form, form_n, max_by(root, step) AS root
+FROM forms f JOIN followed r ON f.word = r.word GROUP BY ALL
+"""
+
+
 @registered
 def op13_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
     hashed = F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8"))
@@ -199,21 +273,12 @@ def op13_periodic_runs(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-# The checksum as SQL: a table of 256 remainders from the reversed polynomial, and a fold over the digits.
-CRC_TABLE = """
-    SELECT list_transform(range(256), lambda i: list_reduce(
-        range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc
-"""
-CRC_OF_BYTES = "xor(list_reduce({bytes}, lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
-CRC_OF_ID = CRC_OF_BYTES.format(
-    bytes="list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))"
-)
-
 # Equal stretches at each distance come from equal runs of five words, as no run has less in common with itself.
 ORACLES["op13_periodic_runs"] = rf"""
 WITH table_of AS MATERIALIZED ({CRC_TABLE}),
 split AS (
-    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-]+'), lambda w: w <> '') AS ws,
+    SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ 	-
+]+'), lambda w: w <> '') AS ws,
            {CRC_OF_ID} AS h
     FROM documents, table_of
 ),
