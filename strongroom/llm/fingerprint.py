@@ -25,9 +25,9 @@ MOST_RANGES = 1 << 16
 
 def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> DataFrame:
     """df with the sketch of a text column: the sorted different shingle hashes below the threshold, and the least."""
-    below = F.lit(-(1 << 63) + (1 << 64) // scale)
+    most = F.lit(-(1 << 63) + (1 << 64) // scale - 1)
     shingled = with_shingles(df.withColumn("_w", words_of(F.col(text))), "_w", "_s").drop("_w")
-    kept = F.filter("_s", lambda h: h < below)
+    kept = F.filter("_s", lambda h: h <= most)
     least = F.when(F.size("_s") > 0, F.array(F.array_min("_s"))).otherwise(F.array().cast("array<bigint>"))
     return shingled.withColumn(name, F.array_sort(F.array_union(kept, least))).drop("_s")
 
