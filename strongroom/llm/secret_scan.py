@@ -38,7 +38,9 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 MIXED = re.compile(r"(?<![A-Za-z0-9+/_.@-])" + TOKEN + r"(?!\.?[A-Za-z0-9+/_=@-])")
 NAMED_HOST = r"(?:[A-Za-z0-9-]+\.)+(?:com|net|org|io|dev|internal|local)(?::[0-9]+)?(?![A-Za-z0-9-])"
 ADDRESS = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]+)?(?![0-9.])"
-ENDPOINT = re.compile(rf"(?<![A-Za-z0-9.@-])(?:[a-z][a-z0-9+]*://)?{NAMED_HOST}|(?<![0-9.]){ADDRESS}")
+ENDPOINT = re.compile(rf"(?<![A-Za-z0-9.@-])(?P<named>{NAMED_HOST})|(?<![0-9.]){ADDRESS}")
+# What comes before a host's "://", read backwards from there, so that a long run of such signs is read once.
+SCHEME_SIGNS = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+")
 # A secret and a named host in an address such as db://user:secret@host; numbered ones are endpoints anyway.
 LOGIN = re.compile(rf"://[^\s/:@]*:({TOKEN})@({NAMED_HOST})?")
 SCOPE_END = re.compile(r"\n[\x20\t]*\n")
@@ -93,6 +95,18 @@ def _nearest(span: tuple[int, int], others: list[tuple[int, int]], reach: int) -
     return None if best is None else best[1]
 
 
+def _with_scheme(text: str, start: int) -> int:
+    """Where the address of a host begins: at its scheme, which begins with a letter and after none, or at the host."""
+    if not text.startswith("://", start - 3) or start < 4:
+        return start
+    at, first = start - 3, start
+    while at and text[at - 1] in SCHEME_SIGNS:
+        at -= 1
+        if text[at].isalpha() and not (at and (text[at - 1].isascii() and text[at - 1].isalnum() or text[at - 1] in ".@-")):
+            first = at
+    return first
+
+
 def find_parts(text: str, reach: int = 100) -> list[tuple[str, int, int, int | None]]:
     """(kind, start, end, start of the part it is linked with) by start, then kind as KINDS lists them.
 
@@ -113,7 +127,8 @@ def find_parts(text: str, reach: int = 100) -> list[tuple[str, int, int, int | N
     if not mixed and not held_secrets:
         return [(kind, s, e, None) for kind, s, e in sorted(strong, key=lambda p: (p[1], KINDS.index(p[0])))]
     named = [m.span() for m in IDENTIFIER.finditer(text) if free(*m.span())]
-    hosts = [m.span() for m in ENDPOINT.finditer(text)] + [m.span(2) for m in logins if m[2]]
+    hosts = [(_with_scheme(text, m.start()) if m["named"] else m.start(), m.end()) for m in ENDPOINT.finditer(text)]
+    hosts += [m.span(2) for m in logins if m[2]]
     hosts = [span for span in hosts if free(*span)]
     secrets = sorted([*mixed, *held_secrets])
     identifiers = sorted([*named, *((s, e) for kind, s, e in strong if kind == "access")])
@@ -180,20 +195,19 @@ def redacted(text: str, mark: str = "[secret]", reach: int = 100) -> str:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]", reach: int = 100) -> DataFrame:
-    """docs with secrets masked in text and n_chars to match; rows without secrets are unchanged, nulls included."""
+    """docs with secrets masked in text and n_chars to match; rows without secrets are unchanged, nulls included.
+
+    All columns stay, whatever their names: a row is carried as one column beside its text.
+    """
     changed = map_texts(
-        docs.withColumn("_old", F.col("text")),
+        docs.select(F.struct(*docs.columns).alias("row"), "text"),
         lambda: lambda texts: [pa.array([redacted(t, mark, reach) for t in texts], pa.string())],
-        [T.StructField("_new", T.StringType())],
-    )
-    touched = F.coalesce(F.col("_old"), F.lit("")) != F.col("_new")
-    return changed.select(
-        *(
-            F.when(touched, F.col("_new")).otherwise(F.col("_old")).alias("text")
-            if name == "text"
-            else F.when(touched, F.length("_new").cast(docs.schema[name].dataType)).otherwise(F.col(name)).alias(name)
-            if name == "n_chars"
-            else F.col(name)
-            for name in docs.columns
-        )
+        [T.StructField("new", T.StringType())],
     )
+    old = F.col("row")["text"]
+    touched = F.coalesce(old, F.lit("")) != F.col("new")
+    masked = {"text": F.when(touched, F.col("new")).otherwise(old)}
+    if "n_chars" in docs.columns:
+        size = F.length("new").cast(docs.schema["n_chars"].dataType)
+        masked["n_chars"] = F.when(touched, size).otherwise(F.col("row")["n_chars"])
+    return changed.select(*(masked.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
