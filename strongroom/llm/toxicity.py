@@ -18,12 +18,13 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,11 +76,16 @@ def likelihoods(model: Model, word: str) -> tuple[float, float]:
     )
 
 
-def _scorer(model_of):
+def _sent(spark: SparkSession, model: Model) -> Broadcast:
+    """The model's values as a broadcast of plain ones, which workers read without this package."""
+    return spark.sparkContext.broadcast(tuple(getattr(model, f.name) for f in fields(model)))
+
+
+def _scorer(sent: Broadcast):
     """Per text: different words, and the two length-normalised log-likelihoods (0 for texts without words)."""
 
     def make():
-        model = model_of()
+        model = Model(*sent.value)
         # Listed words only: the others all have the same values, so the table is bounded by the model.
         at = {word: i + 1 for i, word in enumerate(model.counts)}
         table = np.array([likelihoods(model, ""), *(likelihoods(model, word) for word in model.counts)])
@@ -203,8 +209,8 @@ def fit(labelled: DataFrame, discounts: tuple[float, ...] = DISCOUNTS) -> Model:
     for i, pair in enumerate(taken):
         weights = tuple(sums[2 * i + c] / totals[c] for c in (0, 1))
         model = Model(counts, totals, (sums[-2] or 0, sums[-1] or 0), weights, pair)
-        sent = spark.sparkContext.broadcast(model)
-        points = map_texts(sample.where("_fit").select("text", "toxic"), _scorer(lambda: sent.value), LIKELIHOODS).toPandas()
+        sent = _sent(spark, model)
+        points = map_texts(sample.where("_fit").select("text", "toxic"), _scorer(sent), LIKELIHOODS).toPandas()
         y = points["toxic"].to_numpy(float)
         if not len(y) or y.min() == y.max():
             best = (0.0, model)
@@ -222,10 +228,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """The columns of docs but the text, with n_scored, the two log-likelihoods, score and predicted.
 
     A text without words (empty, null, signs only) has likelihoods of 0 and the curve's value there. One row for each
-    row of docs; whole texts.
+    row of docs; whole texts. Columns of docs named as one of these give way to it.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    scored = map_texts(docs, _scorer(lambda: sent.value), LIKELIHOODS)
+    scored = map_texts(docs, _scorer(_sent(docs.sparkSession, model)), LIKELIHOODS)
     slope, middle = float(model.slope), float(model.middle)
     apart = F.col("toxic_likelihood") - F.col("ordinary_likelihood")
     value = 1 / (1 + F.exp(-F.lit(slope) * (apart - F.lit(middle))))
