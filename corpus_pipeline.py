@@ -17,10 +17,13 @@ from strongroom.plans.registry import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents judged toxic go. The model is fitted on the labelled rows of the documents table."""
+    """Documents judged toxic go; the others stay with all their columns, null and empty texts among them.
+
+    The model is fitted on the labelled rows of the documents table. Repeated rows are judged alike.
+    """
     model = queries.toxicity_model(spark, sf_dir)
-    scored = toxicity.score(docs.withColumn("_text", F.col("text")), model)
-    return scored.where("predicted = 0").withColumnRenamed("_text", "text").select(*docs.columns)
+    scored = toxicity.score(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return scored.where("predicted = 0").select("row.*")
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,17 +42,18 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def to_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its piece identifiers; text is what they decode to, kept where it equals the document's."""
-    known = queries.vocabulary()
-    encoded = pieces.encode(docs.withColumn("_text", F.col("text")), known)
-    decoded = pieces.decode(encoded.withColumn("_ids", F.col("ids")), known)
-    same = F.col("text") == F.coalesce(F.col("_text"), F.lit(""))
-    return decoded.select(
-        *(F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns),
-        F.col("_ids").alias("ids"),
-        F.size("_ids").alias("n_ids"),
-        same.alias("round_trip"),
-    )
+    """Every document with its piece identifiers, and whether they decode to its text, a null one as the empty one.
+
+    Columns of the documents named ids, n_ids or round_trip give way to those of this stage.
+    """
+    made = pieces.encode_and_decode(docs.select(F.struct(*docs.columns).alias("row"), "text"), queries.vocabulary())
+    own = {
+        "ids": F.col("ids"),
+        "n_ids": F.size("ids"),
+        "round_trip": F.col("decoded") == F.coalesce(F.col("row")["text"], F.lit("")),
+    }
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c not in own]
+    return made.select(*kept, *(value.alias(name) for name, value in own.items()))
 
 
 STAGES = [

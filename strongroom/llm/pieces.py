@@ -11,6 +11,7 @@ different stretch between such borders is segmented once a slice.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from dataclasses import dataclass
@@ -27,8 +28,12 @@ SPACE = "▁"
 # Fixed values of the model format: kinds of pieces, and by how much an unknown character is worse than the worst piece.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
-# Stretches that a task remembers.
-REMEMBERED = 300_000
+# Characters of the stretches that a task remembers, which bounds their identifiers too. A slice's own come on top.
+REMEMBERED = 2_000_000
+# Scores of a merge model are ranks. They are read as the frequencies of a Zipf-Mandelbrot law, 1 / (rank + this), so
+# that a sum of scores is a logarithm of a probability; as they stand, two short pieces would beat any long one.
+RANK_OFFSET = 100
+MERGES = 2
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 # Spaces and then letters, signs or one digit; a superscript numeral goes with the signs. See Encoder.splits.
 _STRETCH = re.compile(rf"{SPACE}*[^\W\d_²]+|{SPACE}*(?:[^\w{SPACE}]|[_²])+|{SPACE}*\d|{SPACE}+")
@@ -75,11 +80,11 @@ def _fields(data: bytes):
 def read_vocabulary(path: str) -> Vocabulary:
     """The vocabulary of a SentencePiece model file, read once on the driver.
 
-    Of the normaliser only the identity with white space kept is supported; any other is an error.
+    Scores are those of the file, but for a merge model, whose ranks become logarithms of frequencies. Of the normaliser only the identity with white space kept is supported; any other is an error.
     """
     with open(path, "rb") as file:
         data = file.read()
-    pieces, bytes_of, unknown, prefix = [], {}, 0, True
+    pieces, bytes_of, unknown, prefix, merges = [], {}, 0, True, False
     for number, value in _fields(data):
         if number == 1:
             piece, score, kind = "", 0.0, NORMAL
@@ -95,11 +100,16 @@ def read_vocabulary(path: str) -> Vocabulary:
             elif kind == UNKNOWN:
                 unknown = len(pieces)
             pieces.append((piece, score) if kind in (NORMAL, USER) else None)
+        elif number == 2:
+            merges = dict(_fields(value)).get(3, 1) == MERGES
         elif number == 3:
             spec = dict(_fields(value))
             if spec.get(1, b"identity") != b"identity" or spec.get(4, 1):
                 raise ValueError("only the identity normaliser that keeps white space is supported")
             prefix = bool(spec.get(3, 1))
+    if merges:
+        total = sum(1 / (rank + RANK_OFFSET) for rank in range(len(pieces)))
+        pieces = [p and (p[0], -math.log((RANK_OFFSET - p[1]) * total)) for p in pieces]
     return Vocabulary(tuple(pieces), tuple(bytes_of[b] for b in range(256)) if len(bytes_of) == 256 else None, unknown, prefix)
 
 
@@ -168,7 +178,7 @@ class Encoder:
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The identifiers of all texts one after the other, where each text's begin and end, and the scores."""
-        if len(self.known) > REMEMBERED:
+        if self.characters > REMEMBERED:
             self.forget()
         known, codes, bounds = self.known, [], [0]
         for text in texts:
@@ -178,6 +188,7 @@ class Encoder:
                 for new in set(stretches).difference(known):
                     ids, score = self.segment(new)
                     known[new] = len(self.scores)
+                    self.characters += len(new)
                     self.flat.extend(ids)
                     self.ends.append(len(self.flat))
                     self.scores.append(score)
@@ -197,68 +208,106 @@ class Encoder:
     def forget(self) -> None:
         """Empties what is remembered of stretches: their number, identifiers one after the other, ends and scores."""
         self.known: dict[str, int] = {}
+        self.characters = 0
         self.flat, self.ends, self.scores = array("i"), array("q", [0]), array("d")
 
 
+class Decoder:
+    """Identifiers to text. Unknown identifiers give nothing."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        # Pieces as bytes by identifier; the last stands for identifiers that there are not.
+        spell = [p[0].replace(SPACE, " ").encode() if p else b"" for p in vocabulary.pieces] + [b""]
+        for byte, identifier in enumerate(vocabulary.byte_ids or ()):
+            spell[identifier] = bytes([byte])
+        self.table = pa.array(spell, pa.binary())
+        self.dummy_prefix = vocabulary.dummy_prefix
+
+    def decode_all(self, flat: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The texts of lists of identifiers that stand one behind the other."""
+        strange = len(self.table) - 1
+        ids = np.where((flat >= 0) & (flat < strange), flat, strange)
+        # Taken in order, the pieces lie one after the other in one buffer.
+        taken = self.table.take(pa.array(ids))
+        ends = np.concatenate(([0], np.cumsum(pa.compute.binary_length(taken).to_numpy(zero_copy_only=False))))
+        data = b"".join(memoryview(b)[: ends[-1]] for b in taken.buffers()[2:] if b) if len(ids) else b""
+        texts = []
+        for a, b in zip(ends[bounds], ends[bounds][1:], strict=False):
+            own = data[a:b]
+            if self.dummy_prefix and own.startswith(b" "):
+                own = own[1:]
+            texts.append(own.decode("utf-8", "replace"))
+        return texts
+
+
+IDS = [
+    T.StructField("ids", T.ArrayType(T.IntegerType(), False), False),
+    T.StructField("piece_score", T.DoubleType(), False),
+]
+
+
+def _sent(docs: DataFrame, vocabulary: Vocabulary):
+    """The vocabulary's values as a broadcast of plain tuples, which workers read without this package."""
+    plain = (vocabulary.pieces, vocabulary.byte_ids, vocabulary.unknown, vocabulary.dummy_prefix)
+    return docs.sparkSession.sparkContext.broadcast(plain)
+
+
+def _encoded(encoder: Encoder, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    ids, bounds, scores = encoder.encode_all(texts)
+    lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
+    return ids, bounds, [lists, pa.array(scores)]
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """The columns of docs but the text, with ids (array of int) and piece_score (the sum of the pieces' scores).
 
-    A null or empty text has no identifiers and 0. One row for each row of docs; whole texts. The vocabulary is
-    broadcast: its size is the model file's.
+    A null or empty text has no identifiers and 0. One row for each row of docs; whole texts. Columns of docs named ids
+    or piece_score are replaced. The vocabulary is broadcast: its size is the model file's.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    sent = _sent(docs, vocabulary)
+
+    def make():
+        encoder = Encoder(Vocabulary(*sent.value))
+        return lambda texts: _encoded(encoder, texts)[2]
+
+    return map_texts(docs, make, IDS)
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """As encode, and decoded: what the identifiers decode to. One pass, with one copy of the vocabulary a task."""
+    sent = _sent(docs, vocabulary)
 
     def make():
-        encoder = Encoder(sent.value)
+        known = Vocabulary(*sent.value)
+        encoder, decoder = Encoder(known), Decoder(known)
 
         def work(texts: list[str]) -> list[pa.Array]:
-            ids, bounds, scores = encoder.encode_all(texts)
-            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
-            return [lists, pa.array(scores)]
+            ids, bounds, columns = _encoded(encoder, texts)
+            return [*columns, pa.array(decoder.decode_all(ids, bounds), pa.string())]
 
         return work
 
-    return map_texts(
-        docs,
-        make,
-        [
-            T.StructField("ids", T.ArrayType(T.IntegerType(), False), False),
-            T.StructField("piece_score", T.DoubleType(), False),
-        ],
-    )
+    return map_texts(docs, make, [*IDS, T.StructField("decoded", T.StringType(), False)])
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """The columns of encoded but ids, with text. Null ids give the empty text; unknown identifiers give nothing."""
-    sent = encoded.sparkSession.sparkContext.broadcast(vocabulary)
-    kept = [f for f in encoded.schema.fields if f.name != "ids"]
+    """The columns of encoded but ids, with text. Null ids give the empty text; unknown identifiers give nothing.
+
+    A column of encoded named text is replaced.
+    """
+    sent = _sent(encoded, vocabulary)
+    kept = [f for f in encoded.schema.fields if f.name not in ("ids", "text")]
     schema = T.StructType([*kept, T.StructField("text", T.StringType(), False)])
 
     def run(batches):
-        vocabulary = sent.value
-        # Pieces as bytes by identifier; the last stands for identifiers that there are not.
-        spell = [p[0].replace(SPACE, " ").encode() if p else b"" for p in vocabulary.pieces] + [b""]
-        for byte, identifier in enumerate(vocabulary.byte_ids or ()):
-            spell[identifier] = bytes([byte])
-        table = pa.array(spell, pa.binary())
+        decoder = Decoder(Vocabulary(*sent.value))
         for batch in batches:
             for first in range(0, batch.num_rows, 256):
                 part = batch.slice(first, 256)
                 lists = part.column("ids")
                 flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
-                ids = np.where((flat >= 0) & (flat < len(spell) - 1), flat, len(spell) - 1)
-                # Taken in order, the pieces lie one after the other in one buffer.
-                taken = table.take(pa.array(ids))
-                ends = np.concatenate(([0], np.cumsum(pa.compute.binary_length(taken).to_numpy(zero_copy_only=False))))
-                data = b"".join(memoryview(b)[: ends[-1]] for b in taken.buffers()[2:] if b) if len(ids) else b""
                 sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
-                bounds = ends[np.concatenate(([0], np.cumsum(sizes)))]
-                texts = []
-                for a, b in zip(bounds, bounds[1:]):
-                    own = data[a:b]
-                    if vocabulary.dummy_prefix and own.startswith(b" "):
-                        own = own[1:]
-                    texts.append(own.decode("utf-8", "replace"))
+                texts = decoder.decode_all(flat, np.concatenate(([0], np.cumsum(sizes))))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(f.name) for f in kept), pa.array(texts, pa.string())], names=[f.name for f in schema.fields]
                 )

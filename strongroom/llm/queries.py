@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ from strongroom.plans.registry import Query, table
 TOKENIZERS = "/opt/tokenizers"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+# Functions of this module that run in workers are shipped by value, as those of the operators are.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def registered(function: Query) -> Query:
@@ -42,17 +46,10 @@ def vocabulary(path: str | None = None) -> pieces.Vocabulary:
 
 @registered
 def op1_pieces(spark: SparkSession, directory: str) -> DataFrame:
-    docs = table(spark, directory, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    known = vocabulary()
-    encoded = pieces.encode(docs, known).withColumn("n_ids", F.size("ids")).withColumn("kept_ids", F.col("ids"))
-    decoded = pieces.decode(encoded, known)
-    return decoded.select(
-        "doc_id",
-        "n_ids",
-        "piece_score",
-        F.col("kept_ids").alias("ids"),
-        (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"),
-    )
+    docs = table(spark, directory, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    made = pieces.encode_and_decode(docs, vocabulary())
+    same = F.sha2("decoded", 256) == F.col("sha")
+    return made.select("doc_id", F.size("ids").alias("n_ids"), "piece_score", "ids", same.alias("round_trip"))
 
 
 def toxicity_model(spark: SparkSession, directory: str) -> toxicity.Model:
