@@ -39,13 +39,13 @@ SAMPLE = 1 << 16
 # Of a block: what a row of two blocks holds twice.
 BLOCK_WORDS, BLOCK_LETTERS = 2048, 1 << 18
 # Points that are compared one by one.
-LEAF = 24
+LEAF = 64
 # Different words a task counts before it hands them on.
 HELD = 1 << 17
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 # Counts up and down of one edit, by the role of the word that asks.
 POINT, REPLACED, INSERTED = 0, 1, 2
-ALLOWED = {REPLACED: (1, 1), INSERTED: (1, 0)}
+ALLOWED = {POINT: (0, 0), REPLACED: (1, 1), INSERTED: (1, 0)}
 # A box is a number, or (letter, count, below, from it on).
 Box = int | tuple
 
@@ -138,35 +138,44 @@ def reached(box: Box, at: np.ndarray, up: int, down: int) -> Iterator[tuple[int,
 
 
 def near_points(held: np.ndarray, asked: np.ndarray, up: int, down: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of held and asked that lie within so many counts up and down, by a k-d tree over the held ones."""
+    """Rows of held and asked that lie within so many counts up and down, by a k-d tree over the held ones.
+
+    Letters stand first, as letter after letter is summed over all rows at once. Sums of far points may wrap round in
+    eight bits, which can only let them through; those within the bounds are small.
+    """
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    told = np.flatnonzero((held != held[:1]).any(axis=0) | (asked != held[:1]).any(axis=0)) if len(held) else []
+    letters, questions = np.ascontiguousarray(held[:, told].T), np.ascontiguousarray(asked[:, told].T)
+
+    def over(differences: np.ndarray) -> np.ndarray:
+        return np.add.reduce(np.maximum(differences, 0), axis=0, dtype=np.int8)
 
     def visit(inside: np.ndarray, rows: np.ndarray) -> None:
-        at = held[inside]
-        low, high = at.min(axis=0), at.max(axis=0)
-        own = asked[rows]
-        keep = (np.maximum(low - own, 0).sum(axis=1) <= up) & (np.maximum(own - high, 0).sum(axis=1) <= down)
-        rows = rows[keep]
+        at, own = letters[:, inside], questions[:, rows]
+        low, high = at.min(axis=1, keepdims=True), at.max(axis=1, keepdims=True)
+        rows = rows[(over(low - own) <= up) & (over(own - high) <= down)]
         if not len(rows):
             return
-        split = parted(at) if len(inside) > LEAF else None
-        if split is None:
-            # All points in one place are as near as their box; others are compared, some questions at a time.
-            step = len(rows) if (low == high).all() else max(1, (1 << 16) // len(inside))
-            for k in range(0, len(rows), step):
-                some = rows[k : k + step]
-                if (low == high).all():
-                    i, j = np.indices((len(some), len(inside))).reshape(2, -1)
-                else:
-                    apart = at[None, :, :] - asked[some][:, None, :]
-                    fits = (np.maximum(apart, 0).sum(axis=2) <= up) & (np.maximum(-apart, 0).sum(axis=2) <= down)
-                    i, j = np.nonzero(fits)
-                found.append((inside[j], some[i]))
+        one_place = (low == high).all()
+        if len(inside) > LEAF and not one_place:
+            split = parted(at.T)
+            below = at[split[0]] < split[1]
+            visit(inside[below], rows)
+            visit(inside[~below], rows)
             return
-        letter, count = split
-        below = at[:, letter] < count
-        visit(inside[below], rows)
-        visit(inside[~below], rows)
+        step = max(1, (1 << 20) // len(inside))
+        for k in range(0, len(rows), step):
+            some = rows[k : k + step]
+            if one_place:
+                # All points are as near as their box.
+                i, j = np.indices((len(some), len(inside))).reshape(2, -1)
+            else:
+                # Lengths fix the difference of counts up and down, so the counts up decide.
+                ups = np.zeros((len(some), len(inside)), dtype=np.int8)
+                for letter in range(len(told)):
+                    ups += np.maximum(at[letter][None, :] - questions[letter, some][:, None], 0)
+                i, j = np.nonzero((ups >= 0) & (ups <= up))
+            found.append((inside[j], some[i]))
 
     if len(held) and len(asked):
         visit(np.arange(len(held)), np.arange(len(asked)))
@@ -199,29 +208,30 @@ def near_words(held: list[str], asked: list[str], role: int) -> tuple[np.ndarray
 
 
 def dealt(words: DataFrame, trees: dict[int, Box]) -> DataFrame:
-    """length, box, role, word, n: every word in its own box, and once more in each box that it asks."""
+    """length, box, role, word, n: every word in its own box, and once more in each other box that it asks.
+
+    Of two boxes of one length the words in the one with the lower number ask the other.
+    """
     names = ["length", "box", "role", "word", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "word"):
-                by_length = defaultdict(list)
-                for word, n in zip(part.column("word").to_pylist(), part.column("n").to_pylist(), strict=True):
-                    by_length[len(word)].append((word, n))
-                for length, listed in by_length.items():
-                    at = points([w for w, _ in listed])
-                    for role, size, up, down in (
-                        (POINT, length, 0, 0),
-                        (REPLACED, length, *ALLOWED[REPLACED]),
-                        (INSERTED, length + 1, *ALLOWED[INSERTED]),
-                    ):
-                        for box, rows in reached(trees.get(size, 0), at, up, down):
-                            some = [listed[r] for r in rows.tolist()]
-                            columns = [
-                                *(pa.array(np.full(len(some), x, dtype=np.int32)) for x in (size, box, role)),
-                                pa.array([w for w, _ in some], pa.string()),
-                                pa.array([n for _, n in some], pa.int64()),
-                            ]
+                words, n = part.column("word"), part.column("n")
+                sizes = pa.compute.utf8_length(words).to_numpy(zero_copy_only=False)
+                for length in np.unique(sizes).tolist():
+                    own = np.flatnonzero(sizes == length)
+                    at = points(words.take(pa.array(own)).to_pylist())
+                    home = np.zeros(len(own), dtype=np.int64)
+                    for role, size in ((POINT, length), (REPLACED, length), (INSERTED, length + 1)):
+                        for box, rows in reached(trees.get(size, 0), at, *ALLOWED[role]):
+                            if role == POINT:
+                                home[rows] = box
+                            elif role == REPLACED:
+                                rows = rows[home[rows] < box]
+                            some = pa.array(own[rows])
+                            place = (pa.array(np.full(len(some), x, dtype=np.int32)) for x in (size, box, role))
+                            columns = [*place, words.take(some), n.take(some)]
                             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return words.mapInArrow(run, "length int, box int, role int, word string, n long")
@@ -250,20 +260,24 @@ def near(
         F.collect_list("word").alias("words"), F.collect_list("n").alias("counts")
     )
     held = blocks.where(F.col("role") == POINT).select(
-        "length", "box", F.col("words").alias("held"), F.col("counts").alias("held_n")
+        "length", "box", F.col("block").alias("held_block"), F.col("words").alias("held"), F.col("counts").alias("held_n")
     )
-    asking = blocks.where(F.col("role") != POINT).select("length", "box", "role", "words", "counts")
-    met = asking.join(held, ["length", "box"]).select("role", "held", "held_n", "words", "counts")
+    # The words of a box ask it too: its blocks meet each other and themselves.
+    once = (F.col("role") != POINT) | (F.col("block") >= F.col("held_block"))
+    alone = (F.col("role") == POINT) & (F.col("block") == F.col("held_block"))
+    met = blocks.join(held, ["length", "box"]).where(once)
+    met = met.select((F.col("role") == INSERTED).alias("longer"), alone.alias("alone"), "held", "held_n", "words", "counts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                role, held, held_n, words, counts = (column[k].as_py() for column in batch.columns)
-                i, j = near_words(held, words, role)
+                longer, alone, held, held_n, words, counts = (column[k].as_py() for column in batch.columns)
+                i, j = near_words(held, words, INSERTED if longer else REPLACED)
                 left, right = pa.array(held, pa.string()).take(pa.array(i)), pa.array(words, pa.string()).take(pa.array(j))
                 of_left, of_right = pa.array(np.array(held_n)[i], pa.int64()), pa.array(np.array(counts)[j], pa.int64())
                 yield pa.RecordBatch.from_arrays([right, left, of_left], names=["word", "near", "near_n"])
-                if role == INSERTED:
+                # A block that meets itself finds every pair from both sides.
+                if not alone:
                     yield pa.RecordBatch.from_arrays([left, right, of_right], names=["word", "near", "near_n"])
 
     return met.mapInArrow(run, "word string, near string, near_n long")
