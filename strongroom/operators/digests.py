@@ -193,14 +193,23 @@ def unit_places(data: Column, width: Column) -> Column:
 
 
 def units(samples: DataFrame) -> DataFrame:
-    """Units of ``samples(file_id, track_index, sample_idx, bytes, nal_length_size)``, one row each."""
+    """Units of ``samples(file_id, track_index, sample_idx, bytes, nal_length_size)``, one row each.
+
+    ``broken`` says of every unit whether its sample fails to split under its prefixes: the units before the break are
+    there to be looked at, and prove nothing.
+    """
     placed = samples.withColumn("places", unit_places(F.col("bytes"), F.col("nal_length_size").cast("int")))
     rows = placed.select(
-        "file_id", "track_index", "sample_idx", F.col("bytes").alias("sample"), F.posexplode_outer("places.units").alias("unit", "u")
+        "file_id",
+        "track_index",
+        "sample_idx",
+        F.col("bytes").alias("sample"),
+        F.col("places.broken").alias("broken"),
+        F.posexplode_outer("places.units").alias("unit", "u"),
     ).where("u IS NOT NULL")
     data = F.substring(F.col("sample"), F.col("u.at") + 1, F.col("u.size"))
     byte = lambda at: F.conv(F.hex(F.substring(F.col("bytes"), F.lit(at + 1), F.lit(1))), 16, 10).cast("int")
-    return rows.select("file_id", "track_index", "sample_idx", "unit", data.alias("bytes")).withColumns(
+    return rows.select("file_id", "track_index", "sample_idx", "unit", "broken", data.alias("bytes")).withColumns(
         {
             "type": F.coalesce(byte(0).bitwiseAND(0x1F), F.lit(0)),
             "opens_picture": F.coalesce(byte(1).bitwiseAND(0x80) != 0, F.lit(False)),
@@ -216,9 +225,8 @@ def malformed_samples(samples: DataFrame) -> DataFrame:
     )
 
 
-# The unit types that steer parameter-set insertion and the two start codes.
+# The unit types that steer parameter-set insertion.
 SEQUENCE_SET, PICTURE_SET, REFRESH_SLICE = 7, 8, 5
-LONG_START, SHORT_START = "00000001", "000001"
 
 
 def parameter_set_insertions(units: DataFrame, block: Column, sample_block: Column) -> DataFrame:
@@ -266,48 +274,6 @@ def parameter_set_insertions(units: DataFrame, block: Column, sample_block: Colu
     ).drop("takes_both", "before", "sequence_sets", "picture_sets")
 
 
-def stream_units(marked: DataFrame, sets: DataFrame) -> DataFrame:
-    """The start-coded bytes each unit adds to the elementary stream.
-
-    ``sets(file_id, track_index, sps array<binary>, pps array<binary>)``. The first bytes of a
-    sample and every inserted set take the long start code, later units the short one.
-    """
-    def coded(column: str) -> Column:
-        return F.array_join(
-            F.transform(F.col(column), lambda unit: F.concat(F.lit(LONG_START), F.hex(unit))), ""
-        )
-
-    joined = marked.join(sets, ["file_id", "track_index"])
-    inserted = (
-        F.when(F.col("inserted") == "both", F.concat(coded("sps"), coded("pps")))
-        .when(F.col("inserted") == "pictures", coded("pps"))
-        .otherwise(F.lit(""))
-    )
-    opens = (F.col("unit") == 0) & (inserted == "")
-    start = F.when(opens, LONG_START).otherwise(SHORT_START)
-    return joined.select(
-        "file_id",
-        "track_index",
-        "sample_idx",
-        "unit",
-        "inserted",
-        F.unhex(F.concat(inserted, start, F.hex("bytes"))).alias("coded"),
-    )
-
-
-def stream_digests(stream: DataFrame) -> DataFrame:
-    """Elementary-stream digest, bytes, access units and insertions per track."""
-    keys = ["file_id", "track_index"]
-    digest = ordered_digests(stream, keys, ["sample_idx", "unit"], "coded").select(
-        *keys, F.col("sha256").alias("stream_sha256"), F.col("bytes").alias("stream_bytes")
-    )
-    counts = stream.groupBy(*keys).agg(
-        F.sum((F.col("unit") == 0).cast("bigint")).alias("access_units"),
-        F.count(F.when(F.col("inserted") == "both", 1)).alias("insertions"),
-    )
-    return digest.join(counts, keys)
-
-
 def _quoted(text: Column) -> Column:
     """A text in double quotes, quotes and backslashes escaped."""
     return F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\])', r"\\$1"), F.lit('"'))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from strongroom.functions.binding import let
 from strongroom.functions.bytes import code, i16, i32, i64, one_of, shown, slice_, u8, u16, u32, u64, unsigned, versioned
 from strongroom.operators.boxes import AUDIO, VISUAL, read
-from strongroom.operators.samples import SPAN
+from strongroom.operators.samples import RULES, SPAN
 
 # Decoder configuration boxes, and the handlers of the two kinds of track.
 CONFIGURATIONS = ("avcC", "hvcC", "esds", "dac3", "dec3")
@@ -46,8 +46,9 @@ def _whole(box: Column, movie: Column) -> Column:
     return slice_(movie["bytes"], box["offset"] - movie["offset"], box["size"])
 
 
-def track_parts(walked: DataFrame) -> DataFrame:
-    """One row per track with the payload of every box its description needs, NULL where absent."""
+def track_parts(walked: DataFrame, *keep: str) -> DataFrame:
+    """One row per track with the payload of every box its description needs, NULL where absent, beside columns of the
+    file that are kept."""
     tracks = F.filter("boxes", lambda b: (b["path"] == "moov/trak") & b["error"].isNull())
 
     # Bound once: a field read out of a row is a copy of it.
@@ -92,7 +93,7 @@ def track_parts(walked: DataFrame) -> DataFrame:
         return let(_child(track, "mdia"), media)
 
     described = let(movie_box, lambda movie: F.transform(tracks, lambda track, index: parts(track, index, movie)))
-    return walked.select("file_id", F.inline_outer(described)).where("track_index IS NOT NULL")
+    return walked.select("file_id", *keep, F.inline_outer(described)).where("track_index IS NOT NULL")
 
 
 def _listed(parent: Column) -> Column:
@@ -292,9 +293,14 @@ def avc_sets(payload: Column) -> Column:
     )
 
 
+def is_avc() -> Column:
+    """Whether a track has an AVC configuration."""
+    return F.coalesce(F.col("configuration.kind") == code("avcC"), F.lit(False))
+
+
 def avc_tracks(parts: DataFrame) -> DataFrame:
     """The parts of the tracks with an AVC configuration."""
-    return parts.where(F.col("configuration.kind") == code("avcC"))
+    return parts.where(is_avc())
 
 
 def parameter_sets(parts: DataFrame) -> DataFrame:
@@ -354,21 +360,24 @@ def stts(parts: DataFrame) -> DataFrame:
     return _table(parts, _records(p, 8, 8, lambda at: F.struct(u32(p, at).alias("n"), u32(p, at + 4).alias("delta"))), "run")
 
 
-def stsc(parts: DataFrame) -> DataFrame:
+def chunk_runs() -> Column:
+    """The sample-to-chunk table as an array, empty where it lists nothing."""
     p = F.col("stsc")
     make = lambda at: F.struct(
         u32(p, at).alias("first_chunk"), u32(p, at + 4).alias("per_chunk"), u32(p, at + 8).alias("description")
     )
-    return _table(parts, _records(p, 8, 12, make), "run")
+    nothing = F.array().cast("array<struct<first_chunk:bigint,per_chunk:bigint,description:bigint>>")
+    return F.coalesce(_records(p, 8, 12, make), nothing)
 
 
-def stsz(parts: DataFrame) -> DataFrame:
-    """Sizes from the plain or the compact table; a constant size is repeated per sample.
+def stsc(parts: DataFrame) -> DataFrame:
+    return _table(parts, chunk_runs(), "run")
 
-    A constant is listed span by span, so no array is longer than a span, whatever count is declared.
-    """
+
+def size_lists() -> tuple[Column, Column]:
+    """The constant of a plain size table, and the sizes that a plain or compact table lists."""
     p, c = F.col("stsz"), F.col("stz2")
-    constant, declared = u32(p, 4), u32(p, 8).cast("bigint")
+    constant = u32(p, 4)
     one = lambda value: F.struct(value.alias("size"))
     listed = _records(p, 12, 4, lambda at: one(u32(p, at)))
     bits = u8(c, 7)
@@ -389,7 +398,18 @@ def stsz(parts: DataFrame) -> DataFrame:
         .when(bits == 8, _records(c, 12, 1, lambda at: one(u8(c, at))))
         .when(bits == 16, _records(c, 12, 2, lambda at: one(u16(c, at))))
     )
-    given = F.when(p.isNull(), compact).when(constant == 0, listed)
+    return constant, F.when(p.isNull(), compact).when(constant == 0, listed)
+
+
+def stsz(parts: DataFrame) -> DataFrame:
+    """Sizes from the plain or the compact table; a constant size is repeated per sample.
+
+    A constant is listed span by span, so no array is longer than a span, whatever count is declared.
+    """
+    p = F.col("stsz")
+    declared = u32(p, 8).cast("bigint")
+    constant, given = size_lists()
+    one = lambda value: F.struct(value.alias("size"))
     start = lambda at: at.cast("bigint").alias("start")
     repeated = F.transform(
         F.sequence(F.lit(0), F.floor((declared - 1) / SPAN).cast("int")),
@@ -407,12 +427,17 @@ def stsz(parts: DataFrame) -> DataFrame:
     ).select("file_id", "track_index", (F.col("__span.start") + F.col("__i")).alias("idx"), "r.*")
 
 
-def stco(parts: DataFrame) -> DataFrame:
-    """Chunk offsets, from the wide table when there is one; chunks count from one."""
+def chunk_offsets() -> Column:
+    """Chunk offsets as an array, from the wide table when there is one."""
     n, w = F.col("stco"), F.col("co64")
     narrow = _records(n, 8, 4, lambda at: F.struct(u32(n, at).alias("offset")))
     wide = _records(w, 8, 8, lambda at: F.struct(u64(w, at).cast("bigint").alias("offset")))
-    return _table(parts, F.when(w.isNotNull(), wide).otherwise(narrow), "chunk", 1)
+    return F.when(w.isNotNull(), wide).otherwise(narrow)
+
+
+def stco(parts: DataFrame) -> DataFrame:
+    """Chunk offsets; chunks count from one."""
+    return _table(parts, chunk_offsets(), "chunk", 1)
 
 
 def stss(parts: DataFrame) -> DataFrame:
@@ -462,9 +487,68 @@ def table_problems(parts: DataFrame) -> DataFrame:
     return parts.select("file_id", "track_index", F.explode(_problems()).alias("problem"))
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(F.coalesce(values, F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+
+
+def contradiction() -> Column:
+    """The first cross-check that a track's run tables break, decided on runs and counts alone, or NULL.
+
+    The order is that of RULES, rules two to four run by run.
+    """
+    p = {name: F.col(name) for name in RUN_TABLES}
+    sized = F.when(p["stsz"].isNotNull(), u32(p["stsz"], 8)).otherwise(u32(p["stz2"], 8)).cast("bigint")
+    chunks = F.when(p["co64"].isNotNull(), u32(p["co64"], 4)).otherwise(u32(p["stco"], 4)).cast("bigint")
+    timed = _total(_records(p["stts"], 8, 8, lambda at: u32(p["stts"], at)))
+    composed = F.when(u32(p["ctts"], 4) > 0, _total(_records(p["ctts"], 8, 8, lambda at: u32(p["ctts"], at))))
+    syncs = F.coalesce(_records(p["stss"], 8, 4, lambda at: u32(p["stss"], at)), F.array().cast("array<bigint>"))
+
+    def checked(runs: Column, numbers: Column, known: Column) -> Column:
+        first, sized, chunks = (lambda i: F.get(runs, i)["first_chunk"]), known["sized"], known["chunks"]
+        # A run past the last chunk holds none; whatever else it says is told by the rules before the seventh.
+        held = F.transform(
+            runs,
+            lambda r, i: F.greatest(F.least(F.coalesce(first(i + 1), chunks + 1), chunks + 1) - r["first_chunk"], F.lit(0))
+            * r["per_chunk"],
+        )
+        broken = F.transform(
+            runs,
+            lambda r, i: F.when((r["first_chunk"] == 0) | ((i > 0) & (r["first_chunk"] <= first(i - 1))), 2)
+            .when(r["first_chunk"] > chunks, 3)
+            .when(r["per_chunk"] == 0, 4),
+        )
+        misplaced = F.exists(
+            F.transform(
+                numbers, lambda s, i: (s <= F.coalesce(F.get(numbers, i - 1), F.lit(0))) | (s > sized)
+            ),
+            lambda wrong: wrong,
+        )
+        return F.coalesce(
+            F.when(known["timed"] != sized, 1),
+            F.get(F.filter(broken, lambda rule: rule.isNotNull()), F.lit(0)),
+            F.when((sized > 0) & ((F.size(runs) == 0) | (chunks == 0)), 5),
+            F.when(first(F.lit(0)) != 1, 6),
+            F.when(_total(held) != sized, 7),
+            F.when(misplaced, 8),
+            F.when(known["composed"] != sized, 9),
+        )
+
+    known = F.struct(
+        sized.alias("sized"), chunks.alias("chunks"), timed.alias("timed"), composed.alias("composed")
+    )
+    rule = let(chunk_runs(), lambda r: let(syncs, lambda s: let(known, lambda k: checked(r, s, k))))
+    texts = F.create_map(*[F.lit(part) for rule in RULES for part in rule])
+    return texts[rule]
+
+
+def refusal() -> Column:
+    """Why a track may not be listed: a missing or short table, or the first contradiction; else NULL."""
+    return F.coalesce(F.get(_problems(), F.lit(0)), contradiction())
+
+
 def sound(parts: DataFrame) -> DataFrame:
-    """The tracks without a table problem: the only ones whose samples may be listed."""
-    return parts.where(F.size(_problems()) == 0)
+    """The tracks that say nothing wrong: the only ones whose samples may be listed or totalled."""
+    return parts.where(refusal().isNull())
 
 
 def duration_ms(duration: Column, timescale: Column) -> Column:

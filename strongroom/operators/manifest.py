@@ -67,14 +67,17 @@ def bit_rate(size: Column, milliseconds: Column) -> Column:
 def track_records(
     tracks: DataFrame, totals: DataFrame, fingerprints: DataFrame | None = None, streams: DataFrame | None = None
 ) -> DataFrame:
-    """One record per track. Without fingerprints and streams their digests are not in the plan at all."""
+    """One record per track. Without fingerprints and streams their digests are not in the plan at all.
+
+    A track that has no totals, as its tables are refused, keeps its record.
+    """
     keys = ["file_id", "track_index"]
-    records = tracks.join(totals, keys).withColumn(
+    records = tracks.join(totals, keys, "left").withColumn(
         "average_bit_rate", bit_rate(F.col("sample_bytes"), F.col("duration_ms"))
     )
     for digests, columns in (
-        (fingerprints, ("payload_sha256", "configuration_sha256")),
-        (streams, ("stream_sha256", "stream_bytes", "access_units", "insertions")),
+        (fingerprints, ("payload_sha256", "payload_version", "configuration_sha256")),
+        (streams, ("stream_sha256", "stream_version", "stream_bytes", "access_units", "insertions")),
     ):
         if digests is not None:
             records = records.join(digests.select(*keys, *columns), keys, "left")

@@ -9,11 +9,10 @@ from pyspark.sql import functions as F
 from strongroom.operators import boxes as B
 from strongroom.operators import digests as E
 from strongroom.operators import headers as C
-from strongroom.operators import samples as S
+from strongroom.operators import media as M
 from strongroom.plans.headers import CONFIGURATION, TRACKS, parts
-from strongroom.plans.recordings import LAYOUT, ROWS, SAMPLES, files, inventory, walked
+from strongroom.plans.recordings import LAYOUT, REFUSED, ROWS, SAMPLES, SPLITS_NOT, faulty, files, inventory, walked
 from strongroom.plans.registry import query, table
-from strongroom.sources import archive
 from strongroom.sources.stored import stored
 
 
@@ -114,23 +113,11 @@ def stored_parts(spark, d):
     return stored(C.track_parts(inventory(spark, d)))
 
 
-def avc_samples(recordings, parts):
-    """Samples of every track with an AVC configuration, with their bytes, located by their tables and cut from their
-    files."""
-    p = C.avc_tracks(parts)
-    _, stsc, stsz, stco, _, _ = C.run_tables(p)
-    located = S.locate(stsc, stco, stsz)
-    wanted = located.select("file_id", F.struct("track_index", "idx").alias("range_id"), "offset", "size")
-    got = archive.read_ranges(recordings, wanted)
-    widths = C.parameter_sets(p).select("file_id", "track_index", "nal_length_size")
-    return got.select("file_id", "range_id.track_index", F.col("range_id.idx").alias("sample_idx"), "bytes").join(
-        widths, ["file_id", "track_index"]
-    )
-
-
-@lru_cache(maxsize=4)
-def stored_samples(spark, d):
-    return stored(avc_samples(files(spark, d), stored_parts(spark, d)))
+def media_places(recordings):
+    """The tracks of whole files with what their tables place, beside the content; narrow."""
+    parts = C.track_parts(B.walk(B.whole_files(recordings)), "length", "segments")
+    content = F.get("segments", F.lit(0))["bytes"]
+    return M.places(parts.withColumn("content", content).drop("segments"))
 
 
 UNITS = f"""{LAYOUT}, {SAMPLES},
@@ -141,12 +128,13 @@ u AS (SELECT file_id, i AS sample_idx, 0 AS unit, '6742000A' AS h FROM sm WHERE
 
 @query(
     "e6_unit_split",
-    f"""WITH {UNITS} SELECT file_id, sample_idx, unit, h AS bytes, CASE left(h, 2) WHEN '67' THEN 7 WHEN '65' THEN 5 ELSE 1 END AS type,
+    f"""WITH {UNITS} SELECT file_id, 0 AS track_index, sample_idx, unit, h AS bytes, CASE left(h, 2) WHEN '67' THEN 7 WHEN '65' THEN 5 ELSE 1 END AS type,
           substr(h, 3, 2) IN ('88', '9A') AS opens_picture FROM u""",
 )
 def unit_split(spark, d):
-    return E.units(stored_samples(spark, d)).select(
-        "file_id", "sample_idx", "unit", F.hex("bytes").alias("bytes"), "type", "opens_picture"
+    held = M.samples(media_places(files(spark, d))).where("width IS NOT NULL").withColumnRenamed("width", "nal_length_size")
+    return E.units(held).where("NOT broken").select(
+        "file_id", "track_index", "sample_idx", "unit", F.hex("bytes").alias("bytes"), "type", "opens_picture"
     )
 
 
@@ -199,21 +187,51 @@ def insertion_points(spark, d):
     return marked.select("unit.event_id", "file_id", "segment", "inserted")
 
 
+PAYLOADS = """
+ph AS (SELECT file_id, i, CASE WHEN inner_set THEN lpad('4', w * 2, '0') || '6742000A' ELSE '' END || lpad('8', w * 2, '0') || CASE WHEN sync THEN '6588' ELSE '419A' END || tail
+           || CASE WHEN m = 2 THEN lpad('8', w * 2, '0') || CASE WHEN sync THEN '6500' ELSE '4100' END || tail ELSE '' END AS h FROM sm),
+pd AS (SELECT file_id, 0 AS track_index, sha256(unhex(string_agg(h, '' ORDER BY i))) AS payload_sha256, (sum(length(h)) // 2)::BIGINT AS bytes, count(*) AS samples FROM ph GROUP BY 1
+       UNION ALL SELECT file_id, 1, sha256(unhex(string_agg(printf('%08X', file_id) || printf('%08X', i), '' ORDER BY i))), (8 * count(*))::BIGINT, count(*) FROM sm WHERE st <> 'P' GROUP BY 1)"""
+
+
+@query(
+    "e3_media_payload",
+    f"""WITH {LAYOUT}, {SAMPLES}, {PAYLOADS},
+        faults AS (SELECT file_id, CASE WHEN pr = '1-URGENT' AND st = 'O' THEN '7FFFFFFF' END AS over, {REFUSED} AS refused FROM f),
+        mended AS (SELECT ph.file_id, sha256(unhex(string_agg(CASE WHEN i = 0 AND over IS NOT NULL THEN over || substr(h, 9) ELSE h END, '' ORDER BY i))) AS over_sha256
+                   FROM ph JOIN faults ON faults.file_id = ph.file_id GROUP BY 1)
+        SELECT pd.file_id, track_index, CASE WHEN track_index = 1 OR refused IS NULL OR refused = 'out of bounds' THEN samples END AS samples,
+          CASE WHEN track_index = 1 OR refused IS NULL THEN bytes END AS bytes,
+          CASE WHEN track_index = 1 THEN payload_sha256 WHEN refused IS NULL THEN over_sha256 END AS payload_sha256,
+          CASE WHEN track_index = 0 THEN refused END AS payload_reason, 'payload/1' AS payload_version
+        FROM pd JOIN faults ON faults.file_id = pd.file_id JOIN mended ON mended.file_id = pd.file_id""",
+)
+def media_payload(spark, d):
+    """Payload digests of every track of a corpus with faults, audio too, each NULL with its reason."""
+    return M.digests(media_places(faulty(spark, d))).select(
+        "file_id", "track_index", "samples", "bytes", "payload_sha256", "payload_reason", "payload_version"
+    )
+
+
 @query(
     "e8_elementary_stream",
     f"""WITH {UNITS}, x AS (SELECT u.*, sync, inner_set, m,
             CASE WHEN sync AND NOT inner_set AND unit = 0 THEN '0000000167640028' || '0000000168EE3C' WHEN inner_set AND left(h, 2) = '65' THEN '0000000168EE3C' ELSE '' END AS ins
           FROM u JOIN sm ON sm.file_id = u.file_id AND sm.i = u.sample_idx),
-        y AS (SELECT *, ins || CASE WHEN unit = 0 AND ins = '' THEN '00000001' ELSE '000001' END || h AS coded FROM x)
-        SELECT file_id, sha256(unhex(string_agg(coded, '' ORDER BY sample_idx, unit))) AS stream_sha256, (sum(length(coded)) // 2)::BIGINT AS stream_bytes,
-          count(DISTINCT sample_idx) AS access_units, count(*) FILTER (sync AND NOT inner_set AND unit = 0) AS insertions FROM y GROUP BY 1""",
+        y AS (SELECT *, ins || CASE WHEN unit = 0 AND ins = '' THEN '00000001' ELSE '000001' END || h AS coded FROM x),
+        s AS (SELECT file_id, sha256(unhex(string_agg(coded, '' ORDER BY sample_idx, unit))) AS stream_sha256, (sum(length(coded)) // 2)::BIGINT AS stream_bytes,
+          count(DISTINCT sample_idx) AS access_units, count(*) FILTER (sync AND NOT inner_set AND unit = 0) AS insertions FROM y GROUP BY 1),
+        r AS (SELECT file_id, coalesce({REFUSED}, {SPLITS_NOT}) AS stream_reason FROM f)
+        SELECT s.file_id, 0 AS track_index, CASE WHEN stream_reason IS NULL THEN stream_sha256 END AS stream_sha256, CASE WHEN stream_reason IS NULL THEN stream_bytes END AS stream_bytes,
+          CASE WHEN stream_reason IS NULL THEN access_units END AS access_units, CASE WHEN stream_reason IS NULL THEN insertions END AS insertions, stream_reason, 'stream/1' AS stream_version
+        FROM s JOIN r ON r.file_id = s.file_id""",
 )
 def elementary_stream(spark, d):
-    units = E.units(stored_samples(spark, d))
-    block = F.floor(F.col("sample_idx") / 4096)
-    marked = E.parameter_set_insertions(units, block, F.floor(F.col("unit") / 4096))
-    stream = E.stream_units(marked, C.parameter_sets(stored_parts(spark, d)))
-    return E.stream_digests(stream).drop("track_index")
+    """Streams of a corpus with faults: a track with one has no digest and the reason."""
+    made = M.digests(media_places(faulty(spark, d)).where("track_index = 0 OR avc IS NOT NULL"))
+    return made.select(
+        "file_id", "track_index", "stream_sha256", "stream_bytes", "access_units", "insertions", "stream_reason", "stream_version"
+    )
 
 
 @query(

@@ -6,9 +6,13 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
+from strongroom.operators import boxes as B
 from strongroom.operators import headers as C
-from strongroom.plans.recordings import LAYOUT, SAMPLES, walked
+from strongroom.operators import media
+from strongroom.operators import samples as S
+from strongroom.plans.recordings import LAYOUT, REFUSED, SAMPLES, faulty, walked
 from strongroom.plans.registry import query, table
+from strongroom.sources.stored import stored
 
 
 @lru_cache(maxsize=8)
@@ -201,3 +205,34 @@ def chunk_offsets(spark, d):
 )
 def composition_runs(spark, d):
     return C.ctts(parts(spark, d))
+
+
+@query(
+    "c13_table_problems",
+    f"""WITH {LAYOUT} SELECT file_id, 0 AS track_index, 'stts is truncated' AS problem FROM f WHERE pr = '1-URGENT' AND st = 'F'""",
+)
+def table_problems(spark, d):
+    """Run tables that are shorter than they say, over a corpus with faults."""
+    return C.table_problems(C.track_parts(B.walk(B.whole_files(faulty(spark, d)))))
+
+
+@query(
+    "d8_refused_tracks",
+    f"""WITH {LAYOUT}, r AS (SELECT file_id, 0 AS track_index, {REFUSED} AS reason FROM f)
+        SELECT * FROM r WHERE reason IS NOT NULL AND reason <> 'out of bounds'""",
+)
+def refused_tracks(spark, d):
+    """Tracks that have no samples, digests or totals, as their tables are short or contradict each other."""
+    return media.refusals(C.track_parts(B.walk(B.whole_files(faulty(spark, d)))))
+
+
+@query(
+    "d14_gated_totals",
+    f"""WITH {TRACKS}, r AS (SELECT *, CASE WHEN track_index = 0 THEN {REFUSED} END AS reason FROM t)
+        SELECT file_id, track_index, n AS sample_count, CASE kind WHEN 'video' THEN vb ELSE ab END AS sample_bytes, CASE kind WHEN 'video' THEN mv ELSE n END AS sync_sample_count
+        FROM r WHERE reason IS NULL OR reason = 'out of bounds'""",
+)
+def gated_totals(spark, d):
+    """Totals of the tracks that say nothing wrong, from their tables alone."""
+    _, _, stsz, _, stss, ctts = C.run_tables(stored(C.track_parts(B.walk(B.whole_files(faulty(spark, d))))))
+    return S.totals(stsz, stss, ctts).drop("composition_offsets")

@@ -8,11 +8,12 @@ from strongroom.operators import digests as E
 from strongroom.operators import headers as C
 from strongroom.operators import library as L
 from strongroom.operators import manifest as M
+from strongroom.operators import media
 from strongroom.operators import samples as S
 from strongroom.operators.running import running_totals
-from strongroom.plans.digests import stored_parts, stored_samples
-from strongroom.plans.headers import TRACKS
-from strongroom.plans.recordings import SAMPLES
+from strongroom.plans.digests import PAYLOADS, media_places, stored_parts
+from strongroom.plans.headers import CONFIGURATION, TRACKS
+from strongroom.plans.recordings import SAMPLES, files
 from strongroom.plans.registry import query, table
 from strongroom.plans.samples import BASE, LINE_ORDER
 from strongroom.plans.sources import JSON, order_documents
@@ -20,21 +21,18 @@ from strongroom.plans.sources import JSON, order_documents
 
 @query(
     "f1_track_records",
-    f"""WITH {TRACKS}, {SAMPLES}, p AS (SELECT file_id, sha256(unhex(string_agg(h, '' ORDER BY i))) AS payload_sha256 FROM (
-            SELECT file_id, i, CASE WHEN inner_set THEN lpad('4', w * 2, '0') || '6742000A' ELSE '' END || lpad('8', w * 2, '0') || CASE WHEN sync THEN '6588' ELSE '419A' END || tail
-              || CASE WHEN m = 2 THEN lpad('8', w * 2, '0') || CASE WHEN sync THEN '6500' ELSE '4100' END || tail ELSE '' END AS h FROM sm) GROUP BY 1)
-        SELECT t.file_id, track_index, track_id, kind, CASE kind WHEN 'video' THEN 'avc1' ELSE 'mp4a' END AS coding, CASE kind WHEN 'video' THEN 'avc1.640028' END AS codec_string,
+    f"""WITH {TRACKS}, {SAMPLES}, {PAYLOADS}
+        SELECT t.file_id, t.track_index, track_id, kind, CASE kind WHEN 'video' THEN 'avc1' ELSE 'mp4a' END AS coding, CASE kind WHEN 'video' THEN 'avc1.640028' END AS codec_string,
           CASE kind WHEN 'video' THEN 64 END AS width, CASE kind WHEN 'video' THEN 48 END AS height, CASE kind WHEN 'audio' THEN 44100 END AS sample_rate, CASE kind WHEN 'audio' THEN 2 END AS channels,
           timescale, ticks AS duration_ticks, ticks * 1000 // timescale AS duration_ms, n AS sample_count, CASE kind WHEN 'video' THEN mv ELSE n END AS sync_sample_count,
           kind = 'video' AND ct > 0 AS composition_offsets, 3 AS flags, true AS enabled, CASE WHEN kind = 'video' AND ed > 0 THEN 1 ELSE 0 END AS edits,
-          CASE kind WHEN 'video' THEN vb ELSE ab END * 8000 // (ticks * 1000 // timescale) AS average_bit_rate, CASE kind WHEN 'video' THEN payload_sha256 END AS payload_sha256
-        FROM t JOIN p ON p.file_id = t.file_id""",
+          CASE kind WHEN 'video' THEN vb ELSE ab END * 8000 // (ticks * 1000 // timescale) AS average_bit_rate, payload_sha256, 'payload/1' AS payload_version, sha256(unhex({CONFIGURATION})) AS configuration_sha256
+        FROM t JOIN pd ON pd.file_id = t.file_id AND pd.track_index = t.track_index""",
 )
 def track_records(spark, d):
     parts = stored_parts(spark, d)
     _, _, stsz, _, stss, ctts = C.run_tables(parts)
-    samples = stored_samples(spark, d)
-    payload = E.ordered_digests(samples, S.TRACK, ["sample_idx"], "bytes").withColumnRenamed("sha256", "payload_sha256")
+    payload = media.digests(media_places(files(spark, d))).select(*S.TRACK, "payload_sha256", "payload_version")
     configured = C.sample_entries(parts).select(*S.TRACK, E.sha256("configuration_payload").alias("configuration_sha256"))
     prints = configured.join(payload, S.TRACK, "left")
     edits = C.edit_lists(parts).groupBy(*S.TRACK).agg(F.count(F.lit(1)).alias("edits"))
@@ -49,7 +47,6 @@ def track_records(spark, d):
         "table_children",
         "entry_children",
         "sample_bytes",
-        "configuration_sha256",
     )
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strongroom.functions.bytes import big_endian, code, slice_, u32
@@ -64,6 +64,35 @@ def inventory(spark, d: str) -> DataFrame:
     return stored(B.held_only(walked(spark, d)))
 
 
+@lru_cache(maxsize=8)
+def faulty(spark, d: str) -> DataFrame:
+    """The corpus with a fault in the media or in the run tables of some files, which one told by status and priority.
+
+    A unit prefix that runs past its sample, a chunk outside the file, a table shorter than it says, and tables that
+    contradict each other. Only urgent and low orders have one.
+    """
+    c, st, pr = F.col("content"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    told = table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), st, pr)
+    text = F.decode(c, "ISO-8859-1")
+
+    def over(kind: str, at: int, data: Column) -> Column:
+        """The content with bytes put over those that lie so far behind the first box code of a kind."""
+        start = F.instr(text, kind) + (4 + at)
+        return F.overlay(c, data, start)
+
+    past = F.lit(bytes.fromhex("7FFFFFFF"))
+    fault = (
+        F.when((pr == "1-URGENT") & (st == "O"), over("mdat", 0, past))
+        .when((pr == "1-URGENT") & (st == "P"), over("stco", 8, past))
+        .when((pr == "1-URGENT") & (st == "F"), over("stts", 4, F.lit(bytes.fromhex("000003E8"))))
+        .when((pr == "5-LOW") & (st == "O"), over("stts", 8, past))
+        .when((pr == "5-LOW") & (st == "P"), over("stss", 8, F.lit(bytes.fromhex("00000000"))))
+        .otherwise(c)
+    )
+    broken = files(spark, d).join(told, "file_id").select("file_id", fault.alias("content"))
+    return broken.select("file_id", F.length("content").cast("bigint").alias("length"), "content")
+
+
 LAYOUT = """
 o1 AS (SELECT o_orderkey AS file_id, o_orderstatus AS st, o_orderpriority AS pr, length(o_orderpriority) + 2 AS n,
          CASE o_orderpriority WHEN '2-HIGH' THEN 2 ELSE 4 END AS w, CASE o_orderpriority WHEN '1-URGENT' THEN 2 ELSE 1 END AS m,
@@ -188,3 +217,9 @@ e AS (SELECT file_id, length, CASE
     WHEN pr = '3-MEDIUM' AND st = 'O' THEN {'code': 'truncated', 'kind': 'moov', 'at': 24}
     WHEN pr = '3-MEDIUM' AND st = 'F' THEN {'code': 'overrun', 'kind': 'mvhd', 'at': 32}
     WHEN pr = '3-MEDIUM' AND st = 'P' THEN {'code': 'too_deep', 'kind': NULL, 'at': 128} END AS e FROM f)"""
+
+# What the planted faults of the first track are told as, and what the digests of its stream are refused for.
+REFUSED = """CASE WHEN pr = '1-URGENT' AND st = 'P' THEN 'out of bounds' WHEN pr = '1-URGENT' AND st = 'F' THEN 'stts is truncated'
+    WHEN pr = '5-LOW' AND st = 'O' THEN 'the time-to-sample table covers a different number of samples than the size table'
+    WHEN pr = '5-LOW' AND st = 'P' THEN 'the sync sample table is not ascending within the sample count' END"""
+SPLITS_NOT = "CASE WHEN pr = '1-URGENT' AND st = 'O' THEN 'a unit''s length prefix runs past the sample' END"

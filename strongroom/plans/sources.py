@@ -8,8 +8,8 @@ from strongroom.operators import boxes as B
 from strongroom.operators import library as L
 from strongroom.operators import manifest as M
 from strongroom.operators import headers as C
-from strongroom.operators import samples as S
-from strongroom.plans.digests import stored_parts
+from strongroom.operators import media
+from strongroom.plans.digests import media_places, stored_parts
 from strongroom.plans.recordings import FAULTS, LAYOUT, SAMPLES, damaged, files, inventory
 from strongroom.plans.registry import query, table
 from strongroom.plans.samples import lines
@@ -25,19 +25,20 @@ def discovery(spark, d):
 
 @query(
     "a3_range_reads",
-    f"""WITH {LAYOUT}, {SAMPLES}, p AS (SELECT file_id, i, (media + sum(size) OVER (PARTITION BY file_id ORDER BY i) - size)::BIGINT AS "offset", size FROM sm)
-        SELECT file_id, i AS range_id, "offset", size, size AS got, NULL::VARCHAR AS problem FROM p
-        UNION ALL SELECT file_id, -1, length - 4, 8, NULL, 'out of bounds' FROM f""",
+    f"""WITH {LAYOUT}, {SAMPLES}, p AS (SELECT file_id, 0 AS track_index, i, (media + sum(size) OVER (PARTITION BY file_id ORDER BY i) - size)::BIGINT AS "offset", size FROM sm
+          UNION ALL SELECT file_id, 1, i, media + vb + 8 * i, 8 FROM sm WHERE st <> 'P')
+        SELECT file_id, track_index, i AS range_id, "offset", size, size AS got, NULL::VARCHAR AS problem FROM p
+        UNION ALL SELECT file_id, NULL, -1, length - 4, 8, NULL, 'out of bounds' FROM f""",
 )
 def range_reads(spark, d):
-    """Every video sample by its place in the file, and one range past the end of each file."""
-    p = stored_parts(spark, d).where("track_index = 0")
-    _, stsc, stsz, stco, _, _ = C.run_tables(p)
-    wanted = S.locate(stsc, stco, stsz).select("file_id", F.col("idx").alias("range_id"), "offset", "size")
+    """Every sample of every track by its place in the file, and one range past the end of each file."""
     f = files(spark, d)
-    past = f.select("file_id", F.lit(-1).cast("bigint").alias("range_id"), (F.col("length") - 4).alias("offset"), F.lit(8).cast("bigint").alias("size"))
-    got = archive.read_ranges(f, wanted.unionByName(past))
-    return got.select("file_id", "range_id", "offset", "size", F.length("bytes").cast("bigint").alias("got"), "problem")
+    got = media.samples(media_places(f)).withColumnRenamed("sample_idx", "range_id").drop("width")
+    ends = F.struct(F.lit(-1).cast("bigint").alias("range_id"), (F.col("length") - 4).alias("offset"), F.lit(8).cast("bigint").alias("size"))
+    past = archive.cut_ranges(f, F.array(ends)).withColumn("track_index", F.lit(None).cast("int"))
+    return got.unionByName(past).select(
+        "file_id", "track_index", "range_id", "offset", "size", F.length("bytes").cast("bigint").alias("got"), "problem"
+    )
 
 
 def order_documents(spark, d):

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ from strongroom.operators.boxes import (
     UNKNOWN_BOX_HOLD_CAP,
 )
 
+# Functions that run in workers are shipped by value: a cluster needs no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Fixed value: the largest sample held at once.
 MAX_SAMPLE_SIZE = 64 * 1024 * 1024
 
@@ -40,16 +45,14 @@ def range_problem(length: Column, offset: Column, size: Column) -> Column:
     )
 
 
-def read_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Bytes of ``ranges(file_id, range_id, offset, size)``, or the problem that refused each.
+def cut_ranges(files: DataFrame, ranges: Column) -> DataFrame:
+    """Bytes of ``ranges`` (array of range_id, offset, size) of each file's content, or the problem that refused each.
 
-    A file meets its ranges once, one row to one row, so its content is never copied per range. The
-    ranges of a file are bounded by the movie box that listed them.
+    Narrow: the ranges are worked out in the file's own row. They are bounded by the movie box that listed them.
     """
-    asked = ranges.groupBy("file_id").agg(F.collect_list(F.struct("range_id", "offset", "size")).alias("ranges"))
     problem = lambda r: range_problem(F.col("length"), r["offset"], r["size"])
     cut = F.transform(
-        "ranges",
+        ranges,
         lambda r: F.struct(
             r["range_id"].alias("range_id"),
             r["offset"].alias("offset"),
@@ -61,7 +64,23 @@ def read_ranges(files: DataFrame, ranges: DataFrame) -> DataFrame:
             problem(r).alias("problem"),
         ),
     )
-    return files.join(asked, "file_id").select("file_id", F.inline_outer(cut))
+    return files.select("file_id", F.inline_outer(cut))
+
+
+def opened(path: str):
+    """The store and the name in it. Names are taken as they are: spaces, signs and percent signs included."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":")
+    if not colon or "/" in scheme:
+        return fs.LocalFileSystem(), path
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    host, _, name = rest.removeprefix("//").partition("/")
+    if scheme in ("s3", "s3a", "s3n"):
+        return fs.S3FileSystem(), f"{host}/{name}"
+    system, _ = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return system, f"/{name}"
 
 
 def header_segments(paths: DataFrame) -> DataFrame:
@@ -84,22 +103,6 @@ def header_segments(paths: DataFrame) -> DataFrame:
     stepped = {code.encode("latin-1") for code in STEPPED_OVER}
     caps, hold, most = {b"moov": MOVIE_BOX_CAP, b"ftyp": FILE_TYPE_BOX_CAP}, UNKNOWN_BOX_HOLD_CAP, MAX_TOP_LEVEL + 1
 
-    # The helpers are inside, so that workers get them with the function and need no installed package.
-    def opened(path: str):
-        """The store and the name in it. Names are taken as they are: spaces, signs and percent signs included."""
-        from pyarrow import fs
-
-        scheme, colon, rest = path.partition(":")
-        if not colon or "/" in scheme:
-            return fs.LocalFileSystem(), path
-        if scheme == "file":
-            return fs.LocalFileSystem(), "/" + rest.lstrip("/")
-        host, _, name = rest.removeprefix("//").partition("/")
-        if scheme in ("s3", "s3a", "s3n"):
-            return fs.S3FileSystem(), f"{host}/{name}"
-        system, _ = fs.FileSystem.from_uri(f"{scheme}://{host}/")
-        return system, f"/{name}"
-
     def held(stream, length: int) -> list[dict]:
         """Headers of the top-level boxes, whole bytes of the ones worth holding; media is stepped over."""
         found, at, seen = [], 0, False

@@ -447,15 +447,3 @@ def test_structure_of_a_large_group_is_whole(spark):
     assert rows(manifest.structure_records(top.unionByName(small)), "*") == [
         (1, want, False, 72_000, 8, 8), (2, "free free free", None, None, None, None)
     ]
-
-
-def test_samples_of_every_avc_track_are_read(spark):
-    from strongroom.plans.digests import avc_samples
-
-    made = _corpus(spark)
-    parts = stored(headers.track_parts(B.walk(B.whole_files(made))))
-    # A second camera that lies on the same bytes as the first.
-    second = parts.where("track_index = 0").withColumn("track_index", F.lit(2).cast(parts.schema["track_index"].dataType))
-    read = avc_samples(made, parts.unionByName(second)).groupBy("track_index").agg(F.count("bytes").alias("n"))
-    n = sum(i + 4 for i in range(6))
-    assert rows(read, "track_index", "n") == [(0, n), (2, n)]
