@@ -1,14 +1,16 @@
 """Benchmark passages in documents, by item-sized windows that shingles seed.
 
-A window has as many words as the item and begins where the item would: a document's shingle that some item has at an
-offset puts the window's begin that many words before it. A window that reaches the similarity has such a shingle. Every
-seeded window is verified on its shingles, both plain and weighted by how few items have them: the weights alone would
-let one edited word cost an item that shares a template with others far more than the similarity says.
+A window has as many words as the item. Stretches of shingles that a document shares with an item, its runs, put
+windows where the item would lie, where a run begins and where one ends; among all windows of a document one with most
+of the item's shingles is among these, also where its parts stand in another order. Every such window is verified on its
+shingles, both plain and weighted by how few items have them: the weights alone would let one edited word cost an item
+that shares a template with others far more than the similarity says.
 
 Windows and items have a fingerprint too, the SimHash of their words. Their distance is told but doesn't decide: a window
-with a tenth of its words replaced, which is still similar enough, is often more bits away than any radius of use. Only
-where a radius is asked for are candidates those within it, by a multi-index: with radius r the 64 bits are cut into
-r + 1 blocks, and two fingerprints within r bits agree on one block at least.
+with a tenth of its words replaced, which is still similar enough, is often more bits away than any radius of use, and
+the fingerprints of all windows of all item lengths, some 60 for each word of the corpus, are too dear for DataFrame
+functions. Only where a radius is asked for are candidates those within it, by a multi-index: with radius r the 64 bits
+are cut into r + 1 blocks, and two fingerprints within r bits agree on one block at least.
 
 DataFrame functions only.
 """
@@ -76,17 +78,37 @@ def item_table(items: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def windows(docs: DataFrame, items: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, key, begin, words: the item-sized windows of docs that begin where the item would, each once."""
-    seeds = items.select("key", "n_words", F.posexplode("hashes").alias("offset", "hash")).distinct()
+    """doc_id, key, begin, words, aside: the item-sized windows of docs in which a run of shared shingles fixes the place.
+
+    A run is a stretch of a document's shingles that follow each other in the item too. A run's first shingle gives the
+    window that lies as the item does and the one that begins with the run, its last one the window that ends with the
+    run. Of all windows one that holds most of the item's shingles, whatever their order, is among these: moved to either
+    side, a window loses none before its edge comes to a run's end. ``aside`` are those that don't lie as the item does.
+    """
+    beside = lambda hashes: F.transform(
+        hashes, lambda h, i: F.struct(h.alias("hash"), F.get(hashes, i - 1).alias("before"), F.get(hashes, i + 1).alias("after"))
+    )
+    seeds = items.select("key", "n_words", F.posexplode(beside(F.col("hashes"))).alias("offset", "seed"))
+    seeds = seeds.select("key", "n_words", "offset", "seed.hash", *(F.col(f"seed.{c}").alias(f"own_{c}") for c in ("before", "after")))
+    seeds = seeds.distinct()
     if seeds.count() <= BROADCAST_ROWS:
         seeds = F.broadcast(seeds)
     spelled = with_shingles(docs.select("doc_id", words_of(F.col("text")).alias("words")), "words", "hashes", size)
-    places = spelled.select("doc_id", "words", F.posexplode("hashes").alias("at", "hash"))
-    begin = F.greatest(F.col("at") - F.col("offset"), F.lit(0))
-    return (
-        places.join(seeds, "hash")
-        .select("doc_id", "key", begin.alias("begin"), F.slice("words", begin + 1, F.col("n_words")).alias("words"))
-        .distinct()
+    places = spelled.select("doc_id", "words", F.posexplode(beside(F.col("hashes"))).alias("at", "place"))
+    places = places.select("doc_id", "words", "at", "place.hash", "place.before", "place.after")
+    starts = ~F.coalesce(F.col("before") == F.col("own_before"), F.lit(False))
+    ends = ~F.coalesce(F.col("after") == F.col("own_after"), F.lit(False))
+    place = lambda at, aside: F.struct(F.greatest(at, F.lit(0)).alias("begin"), F.lit(aside).alias("aside"))
+    nowhere = F.array().cast("array<struct<begin:int,aside:boolean>>")
+    begins = F.concat(
+        F.when(starts, F.array(place(F.col("at") - F.col("offset"), False), place(F.col("at"), True))).otherwise(nowhere),
+        F.when(ends, F.array(place(F.col("at") + size - F.col("n_words"), True))).otherwise(nowhere),
+    )
+    placed = places.join(seeds, "hash").where(starts | ends)
+    placed = placed.select("doc_id", "key", "words", "n_words", F.inline(begins))
+    cut = F.slice("words", F.col("begin") + 1, F.col("n_words")).alias("words")
+    return placed.select("doc_id", "key", "begin", "aside", cut).groupBy("doc_id", "key", "begin", "words").agg(
+        F.min("aside").alias("aside")
     )
 
 
@@ -108,12 +130,14 @@ def matches(
 
     The similarity of a window and an item is the weight of the shingles they share over that of the shingles either
     has; shingles that the item hasn't weigh 1. It is the plain Jaccard similarity, every weight 1, where that is more.
-    With a radius, windows farther from the item in bits are left out,
-    similar or not. Null and empty texts match nothing. Rows that repeat a doc_id count as one document. An item of fewer
+    Of equally similar windows one that lies as the item does is the best, then the first. With a radius, only windows
+    that lie so are looked at, and those farther from the item in bits are left out, similar or not. Null and empty texts match nothing. Rows that repeat a doc_id count as one document. An item of fewer
     than ``size`` words matches only documents of just these words. Empty tables give an empty result.
     """
     known = stored(item_table(items, size), "leak-items")
     found = windows(docs, known, size)
+    if radius is not None:
+        found = found.where("NOT aside")
     if radius is None:
         pairs = with_shingles(found, "words", "hashes", size).join(known.drop("hashes"), "key")
     else:
@@ -128,14 +152,15 @@ def matches(
         return F.greatest(plain, weight(both) / (weight(F.col("shingles")) + strange))
 
     likeness = let(shared, alike)
-    near = pairs.select("doc_id", "item_id", "begin", "words", "fingerprint", likeness.alias("similarity")).where(
+    in_place = (~F.col("aside")).alias("in_place")
+    near = pairs.select("doc_id", "item_id", "begin", "words", "fingerprint", in_place, likeness.alias("similarity")).where(
         F.col("similarity") >= similarity
     )
     return (
         with_simhash(near, "words", "print")
         .withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint"))))
         .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("similarity", (-F.col("begin")).alias("early"), "distance")).alias("_best"))
+        .agg(F.max(F.struct("similarity", "in_place", (-F.col("begin")).alias("early"), "distance")).alias("_best"))
         .select(
             "doc_id",
             "item_id",
