@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from strongroom.functions.binding import let
 from strongroom.functions.bytes import code, one_of, shown, slice_, u16, u32, u64
+from strongroom.operators.running import running_maximum
 
 # Bounds on what is read and enumerated.
 MOVIE_BOX_CAP = 64 * 1024 * 1024
@@ -317,6 +318,18 @@ def walk(files: DataFrame) -> DataFrame:
     return walked.select(*files.columns, "__w.boxes", "__w.movie")
 
 
+def walk_top(files: DataFrame) -> DataFrame:
+    """Adds ``boxes``, the top-level boxes of each file, by their headers alone: no box is entered.
+
+    What the top level shows needs no more, whatever the movie box holds.
+    """
+
+    def top(segments: Column) -> Column:
+        return _siblings(lambda at, size: read(segments, at, size), F.lit(0).cast("bigint"), F.col("length"), None, True)
+
+    return files.withColumn("boxes", let(F.col("segments"), top))
+
+
 def boxes(walked: DataFrame, *keep: str) -> DataFrame:
     """One row per box. The offset identifies a box within its file.
 
@@ -460,6 +473,38 @@ def gaps(rows: DataFrame, parents: DataFrame) -> DataFrame:
     )
 
 
+def coverage(ranges: DataFrame, parents: DataFrame, block: Column) -> DataFrame:
+    """Where the ranges of a parent leave it uncovered or lie on each other, and where they end short of it or past it.
+
+    ``ranges(file_id, parent, offset, size)`` in any order and number, ``parents(file_id, parent, start, end)``; each
+    finding is ``(file_id, parent, kind, offset, size)``. A sweep by offset knows how far earlier ranges reach, as a
+    running maximum over blocks, so a parent with most of the ranges is many tasks. ``block`` must never decrease along
+    the offset.
+    """
+    keys = ["file_id", "parent"]
+    end = F.col("offset") + F.col("size")
+    swept = running_maximum(ranges, keys, ["offset", "size"], block, "reach", end).join(parents, keys)
+    reach = F.greatest(F.coalesce("reach", "start"), F.col("start"))
+    found = swept.select(*keys, "offset", end.alias("until"), reach.alias("reach"))
+    within = found.select(
+        *keys,
+        F.when(F.col("offset") > F.col("reach"), "gap").otherwise("overlap").alias("kind"),
+        F.least("offset", "reach").alias("offset"),
+        F.when(F.col("offset") > F.col("reach"), F.col("offset") - F.col("reach"))
+        .otherwise(F.least("reach", "until") - F.col("offset"))
+        .alias("size"),
+    ).where("size > 0")
+    last = ranges.groupBy(*keys).agg(F.max(end).alias("last"))
+    ended = parents.join(last, keys, "left").withColumn("last", F.greatest(F.coalesce("last", "start"), F.col("start")))
+    after = ended.select(
+        *keys,
+        F.when(F.col("last") < F.col("end"), "short").otherwise("past").alias("kind"),
+        F.least("last", "end").alias("offset"),
+        F.abs(F.col("end") - F.col("last")).alias("size"),
+    ).where("size > 0")
+    return within.unionByName(after)
+
+
 def movie_before_media(top: DataFrame) -> DataFrame:
     """Whether the movie box precedes the first media box; NULL when either is absent."""
     at = lambda kind: F.min(F.when(F.col("kind") == code(kind), F.col("offset")))

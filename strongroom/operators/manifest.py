@@ -19,8 +19,8 @@ CLOCKS = (
     ("file_name", "the file name"),
     ("system_clock_at_manifest", "the system clock at the time of the manifest"),
 )
-# Records in one part of a document.
-PART = 4096
+# Track records that are put in order at once.
+ASSEMBLED = 4096
 # Boxes whose kinds are listed at once.
 LISTED = 4096
 
@@ -172,15 +172,17 @@ def clock_disagreement(said: DataFrame) -> DataFrame:
 
 
 def documents(files: DataFrame, tracks: DataFrame, said: DataFrame) -> DataFrame:
-    """Nested documents, cut into parts of ``PART`` track records.
+    """Nested documents, one of each file whatever it holds.
 
     ``files(file_id, name, size, sha256)``, ``tracks(file_id, index, coding, sample_count,
-    payload_sha256)``. Part zero carries the times; a recording fits in it, a table that makes one file
-    of a third of its rows does not, and is then several rows.
+    payload_sha256)``. Track records are put in order per block of the index, then the blocks: no task sorts a large
+    file's records at once.
     """
-    cut = tracks.withColumn("part", F.floor(F.col("index") / PART).cast("int"))
-    listed = cut.groupBy("file_id", "part").agg(
-        F.sort_array(F.collect_list(F.struct("index", "coding", "sample_count", "payload_sha256"))).alias("tracks")
+    record = F.struct("index", "coding", "sample_count", "payload_sha256")
+    block = F.floor(F.col("index") / ASSEMBLED).alias("block")
+    pieces = tracks.groupBy("file_id", block).agg(F.sort_array(F.collect_list(record)).alias("piece"))
+    listed = pieces.groupBy("file_id").agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block", "piece"))), lambda p: p["piece"])).alias("tracks")
     )
     clocks = said.groupBy("file_id").agg(
         F.transform(
@@ -194,12 +196,11 @@ def documents(files: DataFrame, tracks: DataFrame, said: DataFrame) -> DataFrame
         .join(clocks, "file_id", "left")
         .select(
             "file_id",
-            F.coalesce("part", F.lit(0)).alias("part"),
             F.struct(
                 F.lit(FORMAT).alias("format"),
                 F.struct("name", "size", "sha256").alias("file"),
                 F.coalesce("tracks", F.array().cast(SCHEMA["tracks"].dataType)).alias("tracks"),
-                F.when(F.coalesce("part", F.lit(0)) == 0, F.coalesce("times", none)).otherwise(none).alias("times"),
+                F.coalesce("times", none).alias("times"),
             ).alias("manifest"),
         )
     )
@@ -209,7 +210,7 @@ def to_canonical_json(manifests: DataFrame) -> DataFrame:
     """Documents as canonical text with a last line break."""
     kind = manifests.schema["manifest"].dataType
     return manifests.select(
-        "file_id", "part", F.concat(canonical(F.col("manifest"), kind), F.lit("\n")).alias("json")
+        "file_id", F.concat(canonical(F.col("manifest"), kind), F.lit("\n")).alias("json")
     )
 
 

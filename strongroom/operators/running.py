@@ -63,6 +63,18 @@ def running_totals(
     )
 
 
+def running_maximum(df: DataFrame, keys: list[str], order: list[str], block: Column, name: str, value: Column) -> DataFrame:
+    """Adds the greatest value over the earlier rows of the same key, NULL for the first; blocks as in running_totals."""
+    blocked = df.withColumns({BLOCK: block, "__v": value})
+    within = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    bases = blocked.groupBy(*keys, BLOCK).agg(F.max("__v").alias("__m"))
+    bases = bases.withColumn("__b", F.max("__m").over(across)).drop("__m")
+    local = blocked.withColumn("__l", F.max("__v").over(within)).drop("__v")
+    joined = local.join(bases, [*keys, BLOCK])
+    return joined.select(*[F.col(c) for c in df.columns if c != name], F.greatest("__b", "__l").alias(name))
+
+
 def numbered(df: DataFrame, keys: list[str], order: list[str], block: Column, name: str) -> DataFrame:
     """The zero-based position of every row within its key."""
     return running_totals(df, keys, order, block, {name: F.lit(1).cast("bigint")})

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from strongroom.functions.bytes import shown, slice_
 from strongroom.operators import boxes as B
-from strongroom.plans.recordings import FAULTS, LAYOUT, ROWS, damaged, inventory, walked
-from strongroom.plans.registry import query
+from strongroom.plans.recordings import FAULTS, LAYOUT, ROWS, damaged, files, inventory, walked
+from strongroom.plans.registry import query, table
 
 
 def rows(spark, d):
@@ -15,7 +15,8 @@ def rows(spark, d):
 
 
 def top(spark, d):
-    return rows(spark, d).where("depth = 0")
+    """The top level alone, which is walked without what lies below."""
+    return B.boxes(B.walk_top(B.whole_files(files(spark, d))))
 
 
 @query(
@@ -87,6 +88,35 @@ def tiling(spark, d):
     return B.gaps(every, holders.unionByName(whole))
 
 
+RANGES = """
+r AS (SELECT l_orderkey AS file_id, 0 AS parent, ((l_linenumber - 1) * 20 + l_partkey % 7)::BIGINT AS "offset", (l_quantity % 25)::BIGINT AS size FROM lineitem),
+p AS (SELECT o_orderkey AS file_id, 0 AS parent, 3 AS start, 60 + o_orderkey % 90 AS "end" FROM orders),
+w AS (SELECT r.file_id, r.parent, "offset", "offset" + size AS until, greatest(start, coalesce(max("offset" + size) OVER (PARTITION BY r.file_id ORDER BY "offset", size
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), start)) AS reach FROM r JOIN p ON p.file_id = r.file_id),
+l AS (SELECT p.file_id, p.parent, "end", greatest(start, coalesce(max(r."offset" + size), start)) AS last FROM p LEFT JOIN r ON r.file_id = p.file_id GROUP BY p.file_id, p.parent, start, "end")"""
+
+
+@query(
+    "b11_coverage",
+    f"""WITH {RANGES}
+        SELECT file_id, parent, 'gap' AS kind, reach AS "offset", "offset" - reach AS size FROM w WHERE "offset" > reach
+        UNION ALL SELECT file_id, parent, 'overlap', "offset", least(reach, until) - "offset" FROM w WHERE "offset" < reach AND least(reach, until) > "offset"
+        UNION ALL SELECT file_id, parent, 'short', last, "end" - last FROM l WHERE last < "end"
+        UNION ALL SELECT file_id, parent, 'past', "end", last - "end" FROM l WHERE last > "end" """,
+)
+def coverage(spark, d):
+    """Lines as ranges of an order that leave gaps, lie on each other and end short of it or past it."""
+    parent = F.lit(0).alias("parent")
+    offset = ((F.col("l_linenumber") - 1) * 20 + F.col("l_partkey") % 7).cast("bigint")
+    ranges = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("file_id"), parent, offset.alias("offset"), (F.col("l_quantity") % 25).cast("bigint").alias("size")
+    )
+    orders = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("file_id"), parent, F.lit(3).alias("start"), (60 + F.col("o_orderkey") % 90).alias("end")
+    )
+    return B.coverage(ranges, orders, F.floor(F.col("offset") / 64))
+
+
 @query("b12_movie_before_media", f"WITH {LAYOUT} SELECT file_id, moov_at < mdat_at AS moov_before_mdat FROM f")
 def movie_before_media(spark, d):
     return B.movie_before_media(top(spark, d))

@@ -180,7 +180,7 @@ def clock_disagreement(spark, d):
 
 @query(
     "f10_nested_document",
-    f"""WITH {JSON} SELECT o_orderkey AS file_id, 0 AS part, coalesce(c.n, 0) AS tracks, coalesce(c.list, '') AS codings, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS times
+    f"""WITH {JSON} SELECT o_orderkey AS file_id, coalesce(c.n, 0) AS tracks, coalesce(c.list, '') AS codings, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END AS times
         FROM orders LEFT JOIN (SELECT file_id, count(*) AS n, string_agg(i || coding || n || coalesce(left(p, 8), ''), ' ' ORDER BY i) AS list FROM b GROUP BY 1) c ON c.file_id = o_orderkey""",
 )
 def nested_document(spark, d):
@@ -193,7 +193,6 @@ def nested_document(spark, d):
     )
     return order_documents(spark, d).select(
         "file_id",
-        "part",
         F.size(tracks).cast("bigint").alias("tracks"),
         F.array_join(shown, " ").alias("codings"),
         F.size("manifest.times").alias("times"),

@@ -81,7 +81,7 @@ js AS (SELECT o_orderkey AS file_id, '{' || chr(10) || '  "format": "strongroom-
        FROM orders LEFT JOIN tr ON tr.file_id = o_orderkey)"""
 
 
-@query("a4_canonical_json", f"WITH {JSON} SELECT file_id, 0 AS part, json FROM js")
+@query("a4_canonical_json", f"WITH {JSON} SELECT file_id, json FROM js")
 def canonical_json(spark, d):
     return M.to_canonical_json(order_documents(spark, d))
 

@@ -447,3 +447,48 @@ def test_structure_of_a_large_group_is_whole(spark):
     assert rows(manifest.structure_records(top.unionByName(small)), "*") == [
         (1, want, False, 72_000, 8, 8), (2, "free free free", None, None, None, None)
     ]
+
+
+def test_the_top_level_alone_is_the_walk_at_depth_zero(spark):
+    whole = B.whole_files(_corpus(spark))
+    keep = ("file_id", "path", "offset", "size", "ord", "clipped")
+    assert rows(B.boxes(B.walk_top(whole)), *keep) == rows(B.boxes(B.walk(whole)).where("depth = 0"), *keep)
+
+
+def test_coverage_tells_gaps_overlaps_and_ends(spark):
+    draw = random.Random(6)
+    ranges, want = [], []
+    for parent in range(60):
+        # The first parent holds nine tenths of the ranges.
+        own = sorted((draw.randrange(400 if parent else 90_000), draw.randrange(30)) for _ in range(3000 if parent == 0 else 5))
+        start, end = draw.randrange(20), draw.randrange(380, 430) if parent else 90_010
+        reach = start
+        for offset, size in own:
+            if offset > reach:
+                want.append((parent, "gap", reach, offset - reach))
+            elif min(reach, offset + size) > offset:
+                want.append((parent, "overlap", offset, min(reach, offset + size) - offset))
+            reach = max(reach, offset + size)
+        if reach != end:
+            want.append((parent, "short" if reach < end else "past", min(reach, end), abs(end - reach)))
+        ranges += [(1, parent, *r, start, end) for r in own]
+    df = spark.createDataFrame(ranges, "file_id int, parent int, offset bigint, size bigint, start bigint, end bigint")
+    parents = df.select("file_id", "parent", "start", "end").distinct()
+    empty = spark.createDataFrame([(1, 99, 10, 30)], parents.schema)
+    got = B.coverage(df.select("file_id", "parent", "offset", "size"), parents.unionByName(empty), F.floor(F.col("offset") / 50))
+    assert rows(got, "parent", "kind", "offset", "size") == sorted([*want, (99, "short", 10, 20)])
+
+
+def test_a_file_of_many_tracks_is_one_document(spark):
+    tracks = spark.range(5000).select(
+        F.lit(1).alias("file_id"), F.col("id").alias("index"), F.lit("avc1").alias("coding"), (F.col("id") * 3).alias("sample_count"),
+        F.lit(None).cast("string").alias("payload_sha256"),
+    ).repartition(7)
+    files = spark.createDataFrame([(1, "a", 5, None), (2, "b", 6, None)], "file_id int, name string, size bigint, sha256 string")
+    clocks = spark.createDataFrame([(1, "2020-01-01T00:00:00", None, None, None)], "file_id int, " + ", ".join(f"{c} string" for c, _ in manifest.CLOCKS))
+    made = manifest.documents(files, tracks, manifest.times(clocks))
+    got = {r.file_id: r.manifest for r in made.collect()}
+    assert made.count() == 2 and got[2].tracks == [] and len(got[1].times) == 1
+    assert [(t["index"], t.sample_count) for t in got[1].tracks] == [(i, 3 * i) for i in range(5000)]
+    read = manifest.from_json(manifest.to_canonical_json(made)).where("file_id = 1").first()
+    assert read.reason is None and len(read.manifest.tracks) == 5000
