@@ -63,6 +63,8 @@ _BOX = (
     "detail_kind:binary,detail_offset:bigint,parent:bigint,depth:int,ord:int,path:string,child:bigint,policy:string>"
 )
 _STRETCH = 32
+# Bytes of a file in which ranges and what is held of it meet.
+BUCKET = 1 << 20
 
 
 def _null(kind: str) -> Column:
@@ -369,21 +371,31 @@ def held_bytes(walked: DataFrame) -> DataFrame:
 
 
 def bytes_of(ranges: DataFrame, held_ranges: DataFrame) -> DataFrame:
-    """Bytes of ranges from the hold that contains each entirely, NULL where none does.
+    """Bytes of ranges from the hold that contains each entirely, NULL where none does; the first hold of several.
 
-    ``ranges(file_id, offset, size)``, ``held_ranges(file_id, hold_offset, bytes)``. A file holds few
-    runs, at most one per top-level box.
+    ``ranges(file_id, offset, size)``, ``held_ranges(file_id, hold_offset, bytes)``. Ranges meet the extents of the holds
+    first, by the bucket of ``BUCKET`` bytes that a range begins in and each that a hold lies in, so no range looks at
+    all the holds of its file. The bytes of a hold then meet the list of its own ranges once, and are never copied per
+    range or bucket.
     """
-    inside = (
-        (F.col("r.file_id") == F.col("h.file_id"))
-        & (F.col("h.hold_offset") <= F.col("r.offset"))
-        & (F.col("r.offset") + F.col("r.size") <= F.col("h.hold_offset") + F.length("h.bytes"))
-    )
-    return (
-        ranges.alias("r")
-        .join(held_ranges.alias("h"), inside, "left")
-        .select("r.*", slice_(F.col("h.bytes"), F.col("r.offset") - F.col("h.hold_offset"), F.col("r.size")).alias("bytes"))
+    extents = held_ranges.select("file_id", "hold_offset", (F.col("hold_offset") + F.length("bytes")).alias("hold_end"))
+    last = F.floor(F.greatest(F.col("hold_end") - 1, F.col("hold_offset")) / BUCKET)
+    extents = extents.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("hold_offset") / BUCKET), last)))
+    asked = ranges.distinct().withColumn("bucket", F.floor(F.col("offset") / BUCKET))
+    met = asked.join(extents, ["file_id", "bucket"])
+    inside = (F.col("hold_offset") <= F.col("offset")) & (F.col("offset") + F.col("size") <= F.col("hold_end"))
+    one = met.where(inside).groupBy("file_id", "offset", "size").agg(F.min("hold_offset").alias("hold_offset"))
+    lists = one.groupBy("file_id", "hold_offset").agg(F.collect_list(F.struct("offset", "size")).alias("ranges"))
+    cut = F.transform(
+        "ranges",
+        lambda r: F.struct(
+            r["offset"].alias("offset"),
+            r["size"].alias("size"),
+            slice_(F.col("bytes"), r["offset"] - F.col("hold_offset"), r["size"]).alias("bytes"),
+        ),
     )
+    found = held_ranges.join(lists, ["file_id", "hold_offset"]).select("file_id", F.inline(cut))
+    return ranges.join(found, ["file_id", "offset", "size"], "left")
 
 
 def errors(walked: DataFrame) -> DataFrame:

@@ -240,7 +240,20 @@ def recordings(probes: DataFrame) -> DataFrame:
     return grouped.unionByName(single)
 
 
-def sibling_facts(probes: DataFrame, key: list[str]) -> DataFrame:
+# Parts that a population's names are dealt in: there are few grammars, each with a good part of all names, and many
+# times, each mostly with few.
+GRAMMAR_PARTS, TIME_PARTS = 1024, 16
+
+
+def attached(names: DataFrame, facts: DataFrame, key: list[str], parts: int) -> DataFrame:
+    """Names with the one row of their population. The row is repeated for each part of the names, so that names are
+    never shuffled by the population alone; where the rows are few, Spark broadcasts them."""
+    repeated = facts.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = names.withColumn("__part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int"))
+    return dealt.join(repeated, [*key, "__part"]).drop("__part")
+
+
+def sibling_facts(probes: DataFrame, key: list[str], parts: int) -> tuple[DataFrame, DataFrame]:
     """What the other *names* of each population say, one row per population and name.
 
     ``probes(name, grammar, time, video_tracks, vendor_boxes, width, height, readable)``. A name is folded
@@ -259,9 +272,9 @@ def sibling_facts(probes: DataFrame, key: list[str]) -> DataFrame:
         F.sum("vendor").alias("all_vendor"),
         F.max(F.when(F.col("size").isNotNull(), F.struct("size", "name"))).alias("best"),
     )
-    beside = names.join(whole, key)
+    beside = attached(names, whole.where("best IS NOT NULL").select(*key, "best"), key, parts)
     second = (
-        beside.where(F.col("best").isNotNull() & (F.col("name") != F.col("best.name")))
+        beside.where(F.col("name") != F.col("best.name"))
         .groupBy(*key)
         .agg(F.max("size").alias("second"))
     )
@@ -271,12 +284,12 @@ def sibling_facts(probes: DataFrame, key: list[str]) -> DataFrame:
     ), names.select(*key, "name", "two", "vendor")
 
 
-def _population(probes: DataFrame, key: list[str], label: str) -> DataFrame:
+def _population(probes: DataFrame, key: list[str], label: str, parts: int) -> DataFrame:
     """Per file: does another name of its population have two tracks or vendor boxes, and the largest size."""
-    whole, own = sibling_facts(probes, key)
+    whole, own = sibling_facts(probes, key, parts)
     mine = own.select(*key, "name", F.col("two").alias("own_two"), F.col("vendor").alias("own_vendor"))
     asked = probes.select("name", *key).distinct()
-    joined = asked.join(whole, key).join(mine, [*key, "name"], "left")
+    joined = attached(asked, whole, key, parts).join(mine, [*key, "name"], "left")
     return joined.select(
         "name",
         *key,
@@ -288,9 +301,9 @@ def _population(probes: DataFrame, key: list[str], label: str) -> DataFrame:
 
 def with_siblings(probes: DataFrame) -> DataFrame:
     """Each file with what its siblings show: same grammar, or the same time in the name."""
-    by_grammar = _population(probes, ["grammar"], "g")
+    by_grammar = _population(probes, ["grammar"], "g", GRAMMAR_PARTS)
     fitted = probes.where("grammar IS NOT NULL AND time IS NOT NULL")
-    by_time = _population(fitted, ["time"], "t")
+    by_time = _population(fitted, ["time"], "t", TIME_PARTS)
     joined = probes.join(by_grammar, ["name", "grammar"], "left").join(by_time, ["name", "time"], "left")
     fits = F.col("grammar").isNotNull()
     either = lambda what: fits & (

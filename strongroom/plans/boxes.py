@@ -159,6 +159,31 @@ def held_bytes(spark, d):
     return B.held_bytes(walked(spark, d)).select("file_id", "path", "offset", F.length("bytes").cast("bigint").alias("held"))
 
 
+@query(
+    "b17_ranges_of_holds",
+    """WITH t AS (SELECT doc_id AS file_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
+        r AS (SELECT *, (k * 97) % (n + 20) AS "offset", 1 + (k * 41) % 60 AS size FROM (SELECT *, unnest(range(6)) AS k FROM t))
+        SELECT file_id, "offset", size, CASE WHEN "offset" + size <= n // 2 THEN substr(h, 2 * "offset" + 1, 2 * size)
+          WHEN "offset" >= n // 2 + 16 AND "offset" + size <= n + 16 THEN substr(h, 2 * ("offset" - 16) + 1, 2 * size) END AS bytes
+        FROM r""",
+)
+def ranges_of_holds(spark, d):
+    """Six ranges of each text, of which both halves are held with a hole of 16 bytes between: some lie across a border."""
+    held = table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), F.encode("text", "UTF-8").alias("all"))
+    n = F.length("all").cast("bigint")
+    half = F.floor(n / 2)
+    parts = F.array(
+        F.struct(F.lit(0).cast("bigint").alias("hold_offset"), slice_(F.col("all"), 0, half).alias("bytes")),
+        F.struct((half + 16).alias("hold_offset"), slice_(F.col("all"), half, n - half).alias("bytes")),
+    )
+    k = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(5).cast("bigint"))).alias("k")
+    asked = held.select("file_id", n.alias("n"), k).select(
+        "file_id", ((F.col("k") * 97) % (F.col("n") + 20)).alias("offset"), (1 + (F.col("k") * 41) % 60).alias("size")
+    )
+    found = B.bytes_of(asked, held.select("file_id", F.inline(parts)))
+    return found.select("file_id", "offset", "size", F.hex("bytes").alias("bytes"))
+
+
 def broken(spark, d):
     return B.walk(B.whole_files(damaged(spark, d)))
 
