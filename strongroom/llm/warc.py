@@ -225,12 +225,14 @@ def read(index: DataFrame) -> DataFrame:
     """The records of an index, read back from their bundles: RECORD, one row for each.
 
     The records of a frame are asked for together (a frame bounds their number), the table of a bundle is read once a
-    task. The digest of a payload that is there is computed anew; a difference is an error.
+    task. Frames are dealt by bundle over as many partitions as there are bundles: the index is small, what it points to
+    isn't. The digest of a payload that is there is computed anew; a difference is an error.
     """
+    bundles = index.select("bundle").distinct().count()
     frames = (
         index.groupBy("bundle", "frame")
         .agg(F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("places"))
-        .repartition("bundle")
+        .repartition(max(1, bundles), "bundle")
         .sortWithinPartitions("bundle", "frame")
     )
 
