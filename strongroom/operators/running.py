@@ -3,16 +3,21 @@
 A window partitioned by the key alone sorts a whole key in one task. Here a key is cut into
 blocks that follow the order: totals per block are pre-aggregated on the map side, prefixed
 over the (few) blocks of a key, and added to a window that never crosses a block. The result
-is the same number a single window gives.
+is the same number a single window gives. Blocks of equal rows come from the quantiles of what
+leads the order (``borders``), so a day that holds most of the rows is many blocks as well.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = "__block"
+# Rows of a whole table that a block of equal rows should hold, and the most blocks there are.
+BLOCK_ROWS, MOST_BLOCKS = 1 << 20, 1 << 14
 
 
 def by_rows(index: str, rows: int = 65536) -> Column:
@@ -20,6 +25,33 @@ def by_rows(index: str, rows: int = 65536) -> Column:
     return F.floor(F.col(index) / F.lit(rows)).cast("bigint")
 
 
+def borders(df: DataFrame, value: Column, rows: int = BLOCK_ROWS, most: int = MOST_BLOCKS) -> list[int]:
+    """Values that cut a table into blocks of about so many rows; none where it is one block anyway.
+
+    What the driver gets is bounded by ``most``; a table with more rows has larger blocks. A value that many rows share
+    is in one block, so take one that tells rows apart, such as a moment and not its day.
+    """
+    blocks = min(most, math.ceil(df.count() / rows))
+    if blocks <= 1:
+        return []
+    shares = [k / blocks for k in range(1, blocks)]
+    found = df.select(F.percentile_approx(value.cast("bigint"), shares, max(10_000, 4 * blocks))).first()[0]
+    return sorted(set(found or []))
+
+
+def block_of(cuts: list[int], value: Column) -> Column:
+    """The block of a value: the number of borders below it, by binary search. It never decreases along the value."""
+    if not cuts:
+        return F.lit(0).cast("bigint")
+    held = F.expr(f"array({', '.join(f'{c}L' for c in cuts)})")
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+
+    def further(at: Column, step: Column) -> Column:
+        return F.when((at + step <= len(cuts)) & (F.get(held, at + step - 1) < value), at + step).otherwise(at)
+
+    return F.aggregate(F.lit(steps), F.lit(0), further).cast("bigint")
+
+
 def running_totals(
     df: DataFrame,
     keys: list[str],

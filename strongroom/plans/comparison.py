@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strongroom.operators import compare
 from strongroom.operators.digests import listing_digests, sha256
-from strongroom.plans.registry import query, table
+from strongroom.plans.registry import by_moment, query, table
 
 
 def text_id(prefix: str, column: str):
@@ -88,10 +88,6 @@ def boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return recorded, observed
 
 
-def by_day():
-    return F.datediff(F.col("offset.ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
-
-
 def shapes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, d, "conversations").select(
         text_id("conv", "conv_id").alias("file_id"), "turn", "role", F.length("text").alias("n")
@@ -109,7 +105,7 @@ def every_finding(spark: SparkSession, d: str) -> DataFrame:
     return compare.all_findings(
         compare.whole_file_findings(*documents(spark, d)),
         compare.track_findings(recorded, observed, unreadable),
-        compare.vendor_findings(*boxes(spark, d), by_day()),
+        compare.vendor_findings(*boxes(spark, d), by_moment(spark, d, "offset.ts")),
         compare.structure_findings(*shapes(spark, d)),
     )
 
@@ -205,7 +201,7 @@ def track_by_position(spark, d):
 
 @query("g3_kth_occurrence", f"WITH {VENDOR} SELECT * EXCLUDE (subject) FROM vendor_f")
 def kth_occurrence(spark, d):
-    return compare.vendor_findings(*boxes(spark, d), by_day()).drop("subject")
+    return compare.vendor_findings(*boxes(spark, d), by_moment(spark, d, "offset.ts")).drop("subject")
 
 
 @query("g4_structure_digest", f"WITH {SHAPE} SELECT file_id, outcome, recorded, observed FROM shape_f")

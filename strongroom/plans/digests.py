@@ -12,7 +12,7 @@ from strongroom.operators import headers as C
 from strongroom.operators import media as M
 from strongroom.plans.headers import CONFIGURATION, TRACKS, parts
 from strongroom.plans.recordings import LAYOUT, REFUSED, ROWS, SAMPLES, SPLITS_NOT, faulty, files, inventory, walked
-from strongroom.plans.registry import query, table
+from strongroom.plans.registry import by_moment, query, table
 from strongroom.sources.stored import stored
 
 
@@ -182,8 +182,8 @@ def event_units(spark, d):
 
 @query("e7_insertion_points", f"WITH {EVENT_UNITS} SELECT event_id, file_id, segment::BIGINT AS segment, inserted FROM m")
 def insertion_points(spark, d):
-    hour = F.hour("unit.ts").cast("bigint")
-    marked = E.parameter_set_insertions(event_units(spark, d), F.col("sample_idx").cast("bigint"), hour)
+    block = by_moment(spark, d, "unit.ts")
+    marked = E.parameter_set_insertions(event_units(spark, d), block, block)
     return marked.select("unit.event_id", "file_id", "segment", "inserted")
 
 

@@ -9,7 +9,7 @@ from strongroom.operators import samples as S
 from strongroom.operators.digests import sha256
 from strongroom.operators.running import numbered
 from strongroom.plans.comparison import text_id
-from strongroom.plans.registry import query, table
+from strongroom.plans.registry import by_moment, query, table
 from strongroom.plans.samples import BASE, consistent
 
 # Timescale of each event type when it stands for a track.
@@ -17,14 +17,10 @@ SCALES = (("click", 30000), ("error", 1000), ("purchase", 44100), ("signup", 480
 ORIGIN = "2024-01-01"
 
 
-def day():
-    return F.datediff(F.col("ts").cast("date"), F.lit(ORIGIN).cast("date")).cast("bigint")
-
-
 def tracks(spark, d):
     """Every event is a track of its user; the index follows time."""
     e = table(spark, d, "events").select("user_id", "ts", "event_id", "event_type", "value", "props")
-    placed = numbered(e, ["user_id"], ["ts", "event_id"], day(), "track_index")
+    placed = numbered(e, ["user_id"], ["ts", "event_id"], by_moment(spark, d), "track_index")
     kind = F.when(F.col("event_type") == "purchase", "audio").when(F.col("value") > 15, "video").otherwise("other")
     return placed.select(
         F.col("user_id").alias("file_id"), "track_index", kind.alias("kind"), "ts", F.col("event_id").alias("source_track_id"), "props"
@@ -48,7 +44,7 @@ v AS (SELECT *, row_number() OVER (PARTITION BY file_id, kind ORDER BY track_ind
         UNION ALL SELECT DISTINCT 'refused rear', file_id, NULL::BIGINT, '{X.NO_REAR}' FROM v WHERE videos < 2""",
 )
 def track_selection(spark, d):
-    t, block = tracks(spark, d), day()
+    t, block = tracks(spark, d), by_moment(spark, d)
     kept = None
     for selection in ("front", "rear", "both"):
         rows = X.select_camera(t, selection, block).select(
@@ -98,7 +94,7 @@ def two_file_join(spark, d):
         .select(half.alias("export_id"), (half * 2).alias("first_id"), (half * 2 + 1).alias("second_id"))
         .distinct()
     )
-    return X.join_two(pairs, tracks(spark, d), day()).select("export_id", "input", "file_id", "track_index", "kind")
+    return X.join_two(pairs, tracks(spark, d), by_moment(spark, d)).select("export_id", "input", "file_id", "track_index", "kind")
 
 
 @query(
@@ -172,7 +168,7 @@ def export_samples(spark, d):
         scale.alias("timescale"),
         micros.alias("micros"),
     )
-    placed = numbered(rows, ["export_id", "slot"], ["ts", "event_id"], day(), "idx")
+    placed = numbered(rows, ["export_id", "slot"], ["ts", "event_id"], by_moment(spark, d), "idx")
     return placed.select(
         "export_id",
         "slot",
@@ -350,8 +346,8 @@ def export_class(spark, d):
 )
 def source_records(spark, d):
     t = tracks(spark, d)
-    kept = X.select_camera(t, "front", day()).withColumn("export_id", F.col("file_id"))
-    placed = numbered(kept, ["export_id"], ["track_index"], day(), "output_index")
+    kept = X.select_camera(t, "front", by_moment(spark, d)).withColumn("export_id", F.col("file_id"))
+    placed = numbered(kept, ["export_id"], ["track_index"], by_moment(spark, d), "output_index")
     prints = t.select("file_id", "track_index", sha256("props").alias("payload_sha256"))
     return X.source_records(placed.select("export_id", "file_id", "track_index", "output_index"), prints)
 

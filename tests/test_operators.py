@@ -11,7 +11,7 @@ from strongroom.functions import bytes as by
 from strongroom.functions.markdown import lines_with_fences
 from strongroom.operators import boxes as B
 from strongroom.operators import compare, digests, export_plan, headers, library, manifest, reads, register, samples, textscan
-from strongroom.operators.running import numbered, running_totals
+from strongroom.operators.running import block_of, borders, numbered, running_totals
 from strongroom.sources import archive, corpus
 from strongroom.sources.stored import stored
 
@@ -492,3 +492,30 @@ def test_a_file_of_many_tracks_is_one_document(spark):
     assert [(t["index"], t.sample_count) for t in got[1].tracks] == [(i, 3 * i) for i in range(5000)]
     read = manifest.from_json(manifest.to_canonical_json(made)).where("file_id = 1").first()
     assert read.reason is None and len(read.manifest.tracks) == 5000
+
+
+def test_blocks_hold_equal_rows_of_one_key_and_one_day(spark):
+    """Nine tenths of the rows are one key's on one day; no block holds much more than its share of them."""
+    hot = F.col("id") % 10 != 0
+    day = 1_700_000_000_000_000
+    df = stored(
+        spark.range(20_000).select(
+            F.when(hot, 0).otherwise(F.col("id") % 7).alias("k"),
+            F.when(hot, day + F.col("id") * 3).otherwise(day + (F.col("id") % 900 - 450) * 86_400_000_000).alias("at"),
+            "id",
+            (F.col("id") % 13).alias("v"),
+        )
+    )
+    cuts = borders(df, F.col("at"), rows=1000)
+    block = block_of(cuts, F.col("at"))
+    sizes = [r["count"] for r in df.groupBy(block.alias("b")).count().collect()]
+    assert len(cuts) == 19 and max(sizes) < 1500
+    want = df.where(F.col("id") % 997 == 0).collect()
+    import bisect
+
+    got = {r.id: r.b for r in df.select("id", block.alias("b")).collect()}
+    assert all(got[r.id] == bisect.bisect_left(cuts, r.at) for r in want)
+    w = Window.partitionBy("k").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1)
+    plain = df.select("k", "id", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("before"))
+    assert rows(running_totals(df, ["k"], ["at", "id"], block, {"before": F.col("v")}), "k", "id", "before") == rows(plain, "k", "id", "before")
+    assert borders(df, F.col("at")) == [] and borders(df.where("false"), F.col("at"), rows=1) == []
