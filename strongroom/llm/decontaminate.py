@@ -173,5 +173,5 @@ def matches(
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs whose doc_id matches no item; null identifiers are kept only if no null one matches."""
-    hit = matches(docs, items, **options).select("doc_id").distinct().withColumnRenamed("doc_id", "_hit")
-    return docs.join(stored(hit, "leak-hits"), docs["doc_id"].eqNullSafe(F.col("_hit")), "left_anti")
+    hit = stored(matches(docs, items, **options).select("doc_id").distinct(), "leak-hits")
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
