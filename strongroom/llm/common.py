@@ -73,16 +73,19 @@ def map_texts(
     make: Callable[[], Callable[[list[str]], list[pa.Array]]],
     fields: list[T.StructField],
     text: str = "text",
+    keep_text: bool = False,
 ) -> DataFrame:
     """The columns of df but the text, and those that a function makes of the texts, in the order of fields.
 
+    With ``keep_text`` the text stays too, as it came: a worker that reads it anyway gets it once.
+
     A column of df named as one of the fields gives way to it: what an operator makes keeps its name.
 
     ``make`` is called once a task and gives the function, which takes texts (null as empty) and gives one Arrow
     array for each field. No shuffle; a worker holds one slice of texts at a time.
     """
     own = {f.name for f in fields}
-    kept = [f for f in df.schema.fields if f.name != text and f.name not in own]
+    kept = [f for f in df.schema.fields if (keep_text or f.name != text) and f.name not in own]
     schema = T.StructType([*kept, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNKNOWN_PENALTY = 10.0
 # Characters of the stretches that a task remembers, which bounds their identifiers too. A slice's own come on top.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 # Scores of a merge model are ranks. They are read as the frequencies of a Zipf-Mandelbrot law, 1 / (rank + this), so
 # that a sum of scores is a logarithm of a probability; as they stand, two short pieces would beat any long one.
 RANK_OFFSET = 100
@@ -273,8 +273,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return map_texts(docs, make, IDS)
 
 
-def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """As encode, and decoded: what the identifiers decode to. One pass, with one copy of the vocabulary a task."""
+def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary, keep_text: bool = False) -> DataFrame:
+    """As encode, and decoded: what the identifiers decode to. One pass, with one copy of the vocabulary a task.
+
+    With ``keep_text`` the text stays as a column.
+    """
     sent = _sent(docs, vocabulary)
 
     def make():
@@ -287,7 +290,7 @@ def encode_and_decode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
         return work
 
-    return map_texts(docs, make, [*IDS, T.StructField("decoded", T.StringType(), False)])
+    return map_texts(docs, make, [*IDS, T.StructField("decoded", T.StringType(), False)], keep_text=keep_text)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:

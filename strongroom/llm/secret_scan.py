@@ -197,17 +197,18 @@ def redacted(text: str, mark: str = "[secret]", reach: int = 100) -> str:
 def redact(docs: DataFrame, mark: str = "[secret]", reach: int = 100) -> DataFrame:
     """docs with secrets masked in text and n_chars to match; rows without secrets are unchanged, nulls included.
 
-    All columns stay, whatever their names: a row is carried as one column beside its text.
+    All columns stay, whatever their names: the others are carried as one column beside the text.
     """
+    others = F.struct(F.lit(0).alias("nothing"), *(c for c in docs.columns if c != "text")).alias("row")
     changed = map_texts(
-        docs.select(F.struct(*docs.columns).alias("row"), "text"),
+        docs.select(others, "text"),
         lambda: lambda texts: [pa.array([redacted(t, mark, reach) for t in texts], pa.string())],
         [T.StructField("new", T.StringType())],
+        keep_text=True,
     )
-    old = F.col("row")["text"]
-    touched = F.coalesce(old, F.lit("")) != F.col("new")
-    masked = {"text": F.when(touched, F.col("new")).otherwise(old)}
+    touched = F.coalesce("text", F.lit("")) != F.col("new")
+    masked = {"text": F.when(touched, F.col("new")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         size = F.length("new").cast(docs.schema["n_chars"].dataType)
         masked["n_chars"] = F.when(touched, size).otherwise(F.col("row")["n_chars"])
-    return changed.select(*(masked.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return changed.select(*((masked[c] if c in masked else F.col("row")[c]).alias(c) for c in docs.columns))

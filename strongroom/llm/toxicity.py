@@ -224,13 +224,14 @@ def fit(labelled: DataFrame, discounts: tuple[float, ...] = DISCOUNTS) -> Model:
     return best[1]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of docs but the text, with n_scored, the two log-likelihoods, score and predicted.
+def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """The columns of docs but the text (with it where it is to be kept), n_scored, the two log-likelihoods, score and
+    predicted.
 
     A text without words (empty, null, signs only) has likelihoods of 0 and the curve's value there. One row for each
     row of docs; whole texts. Columns of docs named as one of these give way to it.
     """
-    scored = map_texts(docs, _scorer(_sent(docs.sparkSession, model)), LIKELIHOODS)
+    scored = map_texts(docs, _scorer(_sent(docs.sparkSession, model)), LIKELIHOODS, keep_text=keep_text)
     slope, middle = float(model.slope), float(model.middle)
     apart = F.col("toxic_likelihood") - F.col("ordinary_likelihood")
     value = 1 / (1 + F.exp(-F.lit(slope) * (apart - F.lit(middle))))
