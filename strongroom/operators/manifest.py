@@ -132,8 +132,8 @@ def scoped(files: DataFrame, scope: str) -> DataFrame:
 
 
 def civil(seconds: Column) -> Column:
-    """Seconds since 1970 as civil time without a zone."""
-    return F.date_format(F.timestamp_seconds(seconds.cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss")
+    """Seconds since 1970 as civil time without a zone; a year past 9999 has more digits and no sign."""
+    return F.ltrim(F.date_format(F.timestamp_seconds(seconds.cast("bigint")), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+"))
 
 
 def civil_1904(seconds: Column) -> Column:
