@@ -1,20 +1,22 @@
 """Box inventory: the structure of every file as rows.
 
 A file is one row whose ``segments(offset, bytes)`` hold the parts that were read: the whole file,
-or only its headers and small boxes. The tree is enumerated inside the row, siblings by a fold over
-the parent's bytes and levels by a fold over depth, so the walk is one narrow projection with no
-shuffle and no recursion in the plan.
+or only its headers and small boxes. The trees of many files are enumerated at once, level by level
+over arrays of positions, so the walk is one narrow projection with no shuffle and no recursion in the plan.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from strongroom.functions.binding import let
-from strongroom.functions.bytes import code, one_of, shown, slice_, u16, u32, u64
+from strongroom.functions.bytes import code, one_of, shown, slice_, u32
 from strongroom.operators.running import running_maximum
+from strongroom.operators.tree import RUN_TABLES, walker
 
 # Bounds on what is read and enumerated.
 MOVIE_BOX_CAP = 64 * 1024 * 1024
@@ -33,6 +35,7 @@ VISUAL = ("avc1", "avc3", "hvc1", "hev1", "mp4v", "encv")
 AUDIO = ("mp4a", "enca", "ac-3", "ec-3")
 VISUAL_FIXED, AUDIO_FIXED = 86, (36, 52, 72)
 SAMPLE_DESCRIPTION_FIELDS = 8
+CONFIGURATIONS = ("avcC", "hvcC", "esds", "dac3", "dec3")
 # Children of user data that a standard defines.
 STANDARD_USER_DATA = (
     "cprt",
@@ -58,11 +61,16 @@ STANDARD_USER_DATA = (
     "name",
 )
 
+# A box in a file's row, and a track with the payloads of the boxes that describe it.
 _BOX = (
     "struct<kind:binary,offset:bigint,size:bigint,header:int,fields:int,clipped:boolean,error:string,"
-    "detail_kind:binary,detail_offset:bigint,parent:bigint,depth:int,ord:int,path:string,child:bigint,policy:string>"
+    "detail_kind:binary,detail_offset:bigint,parent:bigint,depth:int,ord:int,path:string>"
+)
+_TRACK = (
+    "struct<track_index:int,trak_offset:bigint,tkhd:binary,mdhd:binary,hdlr:binary,elst:binary,stbl:bigint,stsd:binary,"
+    "entry_kind:binary,entry_header:int,entry:binary,configuration:struct<kind:binary,payload:binary>,track_children:string,"
+    f"table_children:string,entry_children:string,{','.join(f'{kind}:binary' for kind in RUN_TABLES)}>"
 )
-_STRETCH = 32
 # Bytes of a file in which ranges and what is held of it meet.
 BUCKET = 1 << 20
 
@@ -85,239 +93,45 @@ def read(segments: Column, at: Column, size: Column) -> Column:
     return let(F.get(held, F.lit(0)), lambda s: slice_(s["bytes"], at - s["offset"], size))
 
 
-def fixed_fields(kind: Column, entry: Column) -> Column:
-    """Bytes of a sample entry before its children, header included; NULL for an unknown layout."""
-    version = u16(entry, 16)
-    audio = F.when(version == 0, AUDIO_FIXED[0]).when(version == 1, AUDIO_FIXED[1]).when(version == 2, AUDIO_FIXED[2])
-    return F.when(one_of(kind, VISUAL), VISUAL_FIXED).when(one_of(kind, AUDIO), audio)
-
-
-def header(head: Column, at: Column, limit: Column) -> Column:
-    """A box header from its first bytes: code, size, header width, and what is wrong with it."""
-
-    def decode(size32: Column) -> Column:
-        # A size past the signed range is past any file: held at the largest number there is.
-        wide, most = u64(head, 8), F.lit(str((1 << 63) - 1)).cast("decimal(20,0)")
-        large = F.when(wide > most, most).otherwise(wide).cast("bigint")
-        size = F.when(size32 == 0, limit - at).when(size32 == 1, large).otherwise(size32)
-        width = F.when(size32 == 1, 16).otherwise(8)
-        return let(
-            size,
-            lambda s: F.struct(
-                slice_(head, 4, 4).alias("kind"),
-                s.alias("size"),
-                width.alias("header"),
-                F.when(s.isNull(), "truncated").when(s < width, "undersized").alias("problem"),
-            ),
-        )
-
-    return let(u32(head, 0), decode)
-
-
 def opens_a_file(head: Column) -> Column:
     """Whether the first bytes could open a container: a listed code and a plausible size."""
     size = u32(head, 0)
     return one_of(slice_(head, 4, 4), OPENING) & ((size == 1) | (size >= 8) | (size == 0))
 
 
-def _entry(**given: Column) -> Column:
-    values = {
-        "kind": _null("binary"),
-        "offset": _null("bigint"),
-        "size": _null("bigint"),
-        "header": F.lit(0),
-        "fields": F.lit(0),
-        "clipped": F.lit(False),
-        "error": _null("string"),
-        "detail_kind": _null("binary"),
-        "detail_offset": _null("bigint"),
-        "parent": _null("bigint"),
-        "depth": F.lit(0),
-        "ord": F.lit(0),
-        "path": _null("string"),
-        "child": _null("bigint"),
-        "policy": _null("string"),
-        **given,
-    }
-    return F.struct(*[c.alias(n) for n, c in values.items()]).cast(_BOX)
-
-
-def _children_of(kind, offset, size, width, head, parent_kind, top: bool):
-    """Where a box's children start, how they are read, and how many own fields precede them."""
-    if top:
-        descends = kind == code("moov")
-        return F.when(descends, offset + width), F.when(descends, "strict"), F.lit(0)
-    body = size - width
-    entry = parent_kind == code("stsd")
-    fixed = F.when(entry, fixed_fields(kind, head))
-    fits = fixed.isNotNull() & (fixed <= size)
-    own = F.least(F.lit(SAMPLE_DESCRIPTION_FIELDS).cast("bigint"), body)
-    child = (
-        F.when(one_of(kind, DESCENDED) | (kind == code("udta")), offset + width)
-        .when(kind == code("stsd"), offset + width + own)
-        .when(fits, offset + fixed)
-    )
-    policy = F.when(one_of(kind, DESCENDED), "strict").when(child.isNotNull(), "lenient")
-    fields = F.when(kind == code("stsd"), own).when(fits & ~one_of(kind, DESCENDED), fixed - width).otherwise(0)
-    return child, policy, fields
-
-
-# How a place in the file reads, besides the errors: a box, a box cut short, or a tail that is no box.
-_FOUND, _CUT, _TAIL = "box", "cut", "tail"
-
-
-def _verdict(head: Column, h: Column, at: Column, left: Column, tolerant: Column, count: Column, top: bool) -> Column:
-    """What stands at a position: a box, a cut box, a tail, or the error a reader stops with."""
-    size, kind, problem = h["size"], h["kind"], h["problem"]
-    cut = size > left
-    said = F.when(count >= (MAX_TOP_LEVEL if top else MAX_CHILDREN), "too_many")
-    if top:
-        zeros = F.hex(kind).rlike("^(..)*00")
-        over = F.when(kind == code("moov"), size > MOVIE_BOX_CAP).when(kind == code("ftyp"), size > FILE_TYPE_BOX_CAP)
-        said = (
-            said.when(left < 8, _TAIL)
-            .when((at == 0) & ~opens_a_file(head), "not_a_container")
-            .when(tolerant & (zeros | problem.isNotNull()), _TAIL)
-            .when(problem.isNotNull(), problem)
-            .when(cut, F.when(tolerant, _CUT).otherwise("overrun"))
-            .when(tolerant & (kind == code("moov")), "two_movie_boxes")
-            .when(over, "oversized")
-        )
-    else:
-        bad = F.when(left < 8, "truncated").when(problem.isNotNull(), problem)
-        said = said.when(bad.isNotNull(), F.when(tolerant, _TAIL).otherwise(bad)).when(
-            cut, F.when(tolerant, _CUT).otherwise("overrun")
-        )
-    return said.otherwise(_FOUND)
-
-
-def _siblings(fetch, start: Column, end: Column, parent, top: bool) -> Column:
-    """The boxes between two positions, in order; an error ends the run as an entry of its own.
-
-    ``fetch(at, size)`` gives bytes. ``parent`` is None at the top level.
-    """
-    most = MAX_TOP_LEVEL if top else MAX_CHILDREN
-    depth = F.lit(0) if top else parent["depth"] + 1
-    parent_offset = _null("bigint") if top else parent["offset"]
-    parent_kind = _null("binary") if top else parent["kind"]
-    parent_path = F.lit("") if top else parent["path"]
-
-    def next_box(state: Column) -> Column:
-        at, left = state["at"], end - state["at"]
-        tolerant = state["moov"] if top else parent["policy"] == "lenient"
-
-        def read_one(x: Column) -> Column:
-            head, h = x["head"], x["h"]
-            said = _verdict(head, h, at, left, tolerant, F.size(state["out"]), top)
-            return let(said, lambda verdict: describe(head, h, verdict))
-
-        def describe(head: Column, h: Column, said: Column) -> Column:
-            failed = ~said.isin(_FOUND, _CUT, _TAIL)
-            child, policy, fields = _children_of(h["kind"], at, h["size"], h["header"], head, parent_kind, top)
-            tail = F.substring(F.concat(slice_(head, 0, 4), F.lit(b"\0\0\0\0")), 1, 4)
-            kind = F.when(said == _TAIL, tail).otherwise(h["kind"])
-            # Too many children and a child with no room for a header are told of the parent.
-            of_parent = said.isin("too_many") | ((left < 8) & failed)
-            return let(
-                kind,
-                lambda k: _entry(
-                    kind=k,
-                    offset=at,
-                    size=F.when(said == _FOUND, h["size"]).when(~failed, left),
-                    header=F.when(said.isin(_FOUND, _CUT), h["header"]).otherwise(0),
-                    fields=F.when(said == _FOUND, fields).otherwise(0),
-                    clipped=said.isin(_CUT, _TAIL),
-                    error=F.when(failed, said),
-                    detail_kind=F.when(of_parent, parent_kind).when(said != "not_a_container", k),
-                    detail_offset=F.when(of_parent, parent_offset).otherwise(at),
-                    parent=parent_offset,
-                    depth=depth,
-                    ord=F.size(state["out"]),
-                    path=F.concat(parent_path, F.lit("" if top else "/"), shown(k)),
-                    child=F.when(said == _FOUND, child),
-                    policy=F.when(said == _FOUND, policy),
-                ),
-            )
-
-        def advance(found: Column) -> Column:
-            done = found["error"].isNotNull() | found["clipped"]
-            return F.struct(
-                F.when(done, end).otherwise(at + found["size"]).alias("at"),
-                (state["moov"] | (found["error"].isNull() & (found["kind"] == code("moov")))).alias("moov"),
-                F.concat(state["out"], F.array(found)).alias("out"),
-            )
-
-        headed = let(
-            fetch(at, F.least(F.lit(16 if top else 20).cast("bigint"), left)),
-            lambda head: let(header(head, at, end), lambda h: F.struct(head.alias("head"), h.alias("h"))),
-        )
-        return let(let(headed, read_one), advance)
-
-    def step(state: Column, _: Column) -> Column:
-        return F.when(state["at"] >= end, state).otherwise(next_box(state))
-
-    def stretch(state: Column, _: Column) -> Column:
-        return F.when(state["at"] >= end, state).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(_STRETCH)), state, step))
-
-    empty = F.struct(start.alias("at"), F.lit(False).alias("moov"), F.array().cast(f"array<{_BOX}>").alias("out"))
-    # A box has eight bytes at least; folding in stretches keeps a long payload with few boxes cheap.
-    stretches = F.least(F.lit(most + 1).cast("bigint"), F.floor((end - start) / 8) + 1) / _STRETCH
-    return F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.floor(stretches)), empty, stretch)["out"]
+RULES = {
+    "MOVIE_BOX_CAP": MOVIE_BOX_CAP,
+    "FILE_TYPE_BOX_CAP": FILE_TYPE_BOX_CAP,
+    "MAX_DEPTH": MAX_DEPTH,
+    "MAX_CHILDREN": MAX_CHILDREN,
+    "MAX_TOP_LEVEL": MAX_TOP_LEVEL,
+    "OPENING": OPENING,
+    "DESCENDED": DESCENDED,
+    "VISUAL": VISUAL,
+    "AUDIO": AUDIO,
+    "VISUAL_FIXED": VISUAL_FIXED,
+    "AUDIO_FIXED": AUDIO_FIXED,
+    "SAMPLE_DESCRIPTION_FIELDS": SAMPLE_DESCRIPTION_FIELDS,
+    "CONFIGURATIONS": CONFIGURATIONS,
+}
 
 
 def walk(files: DataFrame) -> DataFrame:
-    """Adds ``boxes``, every box of each file breadth first, and ``movie``, the bytes of its movie box.
+    """Adds ``boxes``, every box of each file breadth first, ``movie``, the bytes of its movie box, and ``tracks``, its
+    tracks with the payloads that describe them.
 
-    The bytes are bound once per file: a field read out of a row copies it, a bound value does not, and
-    a movie box is read a few times per box it holds.
+    Files of an Arrow batch are walked together, see ``tree``; the other columns never leave the JVM.
     """
-
-    def tree(segments: Column) -> Column:
-        top = _siblings(
-            lambda at, size: read(segments, at, size), F.lit(0).cast("bigint"), F.col("length"), None, True
-        )
-        return let(top, lambda found: let(movie_of(segments, found), lambda movie: below(found, movie)))
-
-    def movie_of(segments: Column, top: Column) -> Column:
-        first = F.get(F.filter(top, lambda b: b["child"].isNotNull()), F.lit(0))
-        return let(
-            first,
-            lambda b: F.struct(b["offset"].alias("offset"), read(segments, b["offset"], b["size"]).alias("bytes")),
-        )
-
-    def below(top: Column, movie: Column) -> Column:
-        def fetch(at: Column, size: Column) -> Column:
-            return slice_(movie["bytes"], at - movie["offset"], size)
-
-        def level(state: Column, depth: Column) -> Column:
-            parents = F.filter(state["frontier"], lambda b: b["child"].isNotNull())
-            too_deep = F.transform(
-                parents,
-                lambda b: _entry(
-                    kind=b["kind"],
-                    offset=b["offset"],
-                    error=F.lit("too_deep"),
-                    detail_offset=b["child"],
-                    parent=b["offset"],
-                    depth=b["depth"] + 1,
-                    path=b["path"],
-                ),
-            )
-            children = F.flatten(
-                F.transform(parents, lambda b: _siblings(fetch, b["child"], b["offset"] + b["size"], b, False))
-            )
-            return let(
-                F.when(depth > MAX_DEPTH, too_deep).otherwise(children),
-                lambda found: F.struct(found.alias("frontier"), F.concat(state["all"], found).alias("all")),
-            )
-
-        start = F.struct(top.alias("frontier"), top.alias("all"))
-        boxes = F.aggregate(F.sequence(F.lit(1), F.lit(MAX_DEPTH + 1)), start, level)["all"]
-        return F.struct(boxes.alias("boxes"), movie.alias("movie"))
-
-    held = F.transform("segments", lambda s: F.struct(s["offset"].alias("offset"), s["bytes"].alias("bytes")))
-    walked = files.withColumn("__w", let(held, tree))
-    return walked.select(*files.columns, "__w.boxes", "__w.movie")
+    made = f"struct<boxes:array<{_BOX}>,movie_offset:bigint,movie_size:bigint,tracks:array<{_TRACK}>>"
+    trees = F.arrow_udf(walker(RULES, to_arrow_type(T._parse_datatype_string(_TRACK))), made)
+    walked = files.withColumn("__w", trees("length", "segments"))
+    at, size = F.col("__w.movie_offset"), F.col("__w.movie_size")
+    return walked.select(
+        *files.columns,
+        F.col("__w.boxes").alias("boxes"),
+        F.struct(at.alias("offset"), read(F.col("segments"), at, size).alias("bytes")).alias("movie"),
+        F.col("__w.tracks").alias("tracks"),
+    )
 
 
 def walk_top(files: DataFrame) -> DataFrame:
@@ -325,11 +139,8 @@ def walk_top(files: DataFrame) -> DataFrame:
 
     What the top level shows needs no more, whatever the movie box holds.
     """
-
-    def top(segments: Column) -> Column:
-        return _siblings(lambda at, size: read(segments, at, size), F.lit(0).cast("bigint"), F.col("length"), None, True)
-
-    return files.withColumn("boxes", let(F.col("segments"), top))
+    top = F.arrow_udf(walker(RULES, None), f"array<{_BOX}>")
+    return files.withColumn("boxes", top("length", "segments"))
 
 
 def boxes(walked: DataFrame, *keep: str) -> DataFrame:
@@ -340,7 +151,7 @@ def boxes(walked: DataFrame, *keep: str) -> DataFrame:
     return (
         walked.select("file_id", *keep, F.inline_outer("boxes"))
         .where("error IS NULL AND offset IS NOT NULL")
-        .drop("error", "detail_kind", "detail_offset", "policy", "child")
+        .drop("error", "detail_kind", "detail_offset")
     )
 
 
@@ -357,7 +168,7 @@ def held_only(walked: DataFrame) -> DataFrame:
     bytes_ = F.transform(
         kept, lambda b: F.struct(b["offset"].alias("offset"), read(F.col("segments"), b["offset"], b["size"]).alias("bytes"))
     )
-    return walked.select("file_id", "length", bytes_.alias("segments"), "boxes", "movie")
+    return walked.select("file_id", "length", bytes_.alias("segments"), "boxes", "movie", "tracks")
 
 
 def held_bytes(walked: DataFrame) -> DataFrame:
@@ -367,7 +178,7 @@ def held_bytes(walked: DataFrame) -> DataFrame:
         F.col("depth") == 0,
         F.when(held(F.col("kind"), F.col("size")) & ~F.col("clipped"), read(F.col("segments"), F.col("offset"), F.col("size"))),
     ).otherwise(slice_(F.col("movie.bytes"), F.col("offset") - F.col("movie.offset"), F.col("size")))
-    return rows.withColumn("bytes", kept).drop("segments", "movie", "error", "detail_kind", "detail_offset", "policy", "child")
+    return rows.withColumn("bytes", kept).drop("segments", "movie", "error", "detail_kind", "detail_offset")
 
 
 def bytes_of(ranges: DataFrame, held_ranges: DataFrame) -> DataFrame:

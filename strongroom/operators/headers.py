@@ -1,7 +1,7 @@
 """Typed headers and run tables, projected from the payloads of the movie box.
 
-The parts of a track are looked up inside the file's row, first match at each step, so a table of
-tracks costs one generator and no join. Fields are fixed-offset expressions over the payloads.
+The walk looks the parts of a track up, first match at each step, so a table of tracks costs one
+generator and no join. Fields are fixed-offset expressions over the payloads.
 """
 
 from __future__ import annotations
@@ -13,11 +13,10 @@ from strongroom.functions.binding import let
 from strongroom.functions.bytes import code, i16, i32, i64, one_of, shown, slice_, u8, u16, u32, u64, unsigned, versioned
 from strongroom.operators.boxes import AUDIO, VISUAL, read
 from strongroom.operators.samples import RULES, SPAN
+from strongroom.operators.tree import RUN_TABLES
 
-# Decoder configuration boxes, and the handlers of the two kinds of track.
-CONFIGURATIONS = ("avcC", "hvcC", "esds", "dac3", "dec3")
+# The handlers of the two kinds of track, and the parts it needs.
 HANDLERS = (("vide", "video"), ("soun", "audio"))
-RUN_TABLES = ("stts", "stsc", "stsz", "stz2", "stco", "co64", "stss", "ctts")
 REQUIRED = (
     ("tkhd", "track header"),
     ("mdhd", "media header"),
@@ -31,75 +30,14 @@ REQUIRED = (
 )
 
 
-def _child(parent: Column, *kinds: str) -> Column:
-    found = F.filter(
-        "boxes", lambda b: (b["parent"] == parent["offset"]) & one_of(b["kind"], kinds) & b["error"].isNull()
-    )
-    return F.get(found, F.lit(0))
-
-
 def _payload(box: Column, movie: Column) -> Column:
     return slice_(movie["bytes"], box["offset"] + box["header"] - movie["offset"], box["size"] - box["header"])
 
 
-def _whole(box: Column, movie: Column) -> Column:
-    return slice_(movie["bytes"], box["offset"] - movie["offset"], box["size"])
-
-
 def track_parts(walked: DataFrame, *keep: str) -> DataFrame:
     """One row per track with the payload of every box its description needs, NULL where absent, beside columns of the
     file that are kept."""
-    tracks = F.filter("boxes", lambda b: (b["path"] == "moov/trak") & b["error"].isNull())
-
-    # Bound once: a field read out of a row is a copy of it.
-    movie_box = F.struct(F.col("movie.offset").alias("offset"), F.col("movie.bytes").alias("bytes"))
-
-    def parts(track: Column, index: Column, movie: Column) -> Column:
-        def media(mdia: Column) -> Column:
-            return let(_child(mdia, "minf"), lambda minf: let(_child(minf, "stbl"), lambda stbl: table(mdia, stbl)))
-
-        def table(mdia: Column, stbl: Column) -> Column:
-            return let(_child(stbl, "stsd"), lambda stsd: described(mdia, stbl, stsd))
-
-        def described(mdia: Column, stbl: Column, stsd: Column) -> Column:
-            entries = F.filter("boxes", lambda b: (b["parent"] == stsd["offset"]) & ~b["clipped"] & b["error"].isNull())
-            return let(F.get(entries, F.lit(0)), lambda entry: fields(mdia, stbl, stsd, entry))
-
-        def fields(mdia: Column, stbl: Column, stsd: Column, entry: Column) -> Column:
-            configuration = _child(entry, *CONFIGURATIONS)
-            tables = [_payload(_child(stbl, kind), movie).alias(kind) for kind in RUN_TABLES]
-            return F.struct(
-                index.alias("track_index"),
-                track["offset"].alias("trak_offset"),
-                _payload(_child(track, "tkhd"), movie).alias("tkhd"),
-                _payload(_child(mdia, "mdhd"), movie).alias("mdhd"),
-                _payload(_child(mdia, "hdlr"), movie).alias("hdlr"),
-                let(_child(track, "edts"), lambda e: _payload(_child(e, "elst"), movie)).alias("elst"),
-                stbl["offset"].alias("stbl"),
-                _payload(stsd, movie).alias("stsd"),
-                entry["kind"].alias("entry_kind"),
-                entry["header"].alias("entry_header"),
-                _whole(entry, movie).alias("entry"),
-                let(
-                    configuration,
-                    lambda c: F.struct(c["kind"].alias("kind"), _payload(c, movie).alias("payload")),
-                ).alias("configuration"),
-                _listed(track).alias("track_children"),
-                _listed(stbl).alias("table_children"),
-                _listed(entry).alias("entry_children"),
-                *tables,
-            )
-
-        return let(_child(track, "mdia"), media)
-
-    described = let(movie_box, lambda movie: F.transform(tracks, lambda track, index: parts(track, index, movie)))
-    return walked.select("file_id", *keep, F.inline_outer(described)).where("track_index IS NOT NULL")
-
-
-def _listed(parent: Column) -> Column:
-    """Kinds of the direct children, in order, separated by spaces."""
-    children = F.filter("boxes", lambda b: (b["parent"] == parent["offset"]) & b["error"].isNull())
-    return F.array_join(F.transform(children, lambda b: shown(b["kind"])), " ")
+    return walked.select("file_id", *keep, F.inline_outer("tracks")).where("track_index IS NOT NULL")
 
 
 def file_types(walked: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from strongroom.operators import boxes as B
 from strongroom.operators import headers as C
 from strongroom.operators import media
 from strongroom.operators import samples as S
-from strongroom.plans.recordings import LAYOUT, REFUSED, SAMPLES, faulty, walked
+from strongroom.plans.recordings import LAYOUT, REFUSED, SAMPLES, faulty, files, walked
 from strongroom.plans.registry import query, table
 from strongroom.sources.stored import stored
 
@@ -30,7 +30,7 @@ TRACKS = f"""{LAYOUT}, t AS (
     "SELECT o_orderkey AS file_id, 'isom' AS major_brand, 512 AS minor_version, 'isom avc1' AS compatible_brands FROM orders",
 )
 def file_type(spark, d):
-    return C.file_types(walked(spark, d)).withColumn("compatible_brands", F.array_join("compatible_brands", " "))
+    return C.file_types(B.walk_top(B.whole_files(files(spark, d)))).withColumn("compatible_brands", F.array_join("compatible_brands", " "))
 
 
 @query(

@@ -25,6 +25,8 @@ def specifications(spark, d: str) -> DataFrame:
         o,
         F.col("o_orderkey"),
         F.col("o_orderkey"),
+        status,
+        priority,
         samples=F.length(priority) + 2,
         width=F.when(priority == "2-HIGH", 2).otherwise(4),
         created=created,
@@ -72,7 +74,6 @@ def faulty(spark, d: str) -> DataFrame:
     contradict each other. Only urgent and low orders have one.
     """
     c, st, pr = F.col("content"), F.col("o_orderstatus"), F.col("o_orderpriority")
-    told = table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), st, pr)
     text = F.decode(c, "ISO-8859-1")
 
     def over(kind: str, at: int, data: Column) -> Column:
@@ -89,7 +90,8 @@ def faulty(spark, d: str) -> DataFrame:
         .when((pr == "5-LOW") & (st == "P"), over("stss", 8, F.lit(bytes.fromhex("00000000"))))
         .otherwise(c)
     )
-    broken = files(spark, d).join(told, "file_id").select("file_id", fault.alias("content"))
+    told = corpus.build(specifications(spark, d), "o_orderstatus", "o_orderpriority")
+    broken = told.select("file_id", fault.alias("content"))
     return broken.select("file_id", F.length("content").cast("bigint").alias("length"), "content")
 
 
@@ -183,7 +185,6 @@ ROWS = LAYOUT + ", b AS (" + " UNION ALL ".join(
 def damaged(spark, d: str) -> DataFrame:
     """The corpus with a fault in some files, which one told by status and priority."""
     c, st, pr = F.col("content"), F.col("o_orderstatus"), F.col("o_orderpriority")
-    told = table(spark, d, "orders").select(F.col("o_orderkey").alias("file_id"), st, pr)
     moov = u32(c, 24)
     rest = lambda at: F.substring(c, F.lit(at + 1) if isinstance(at, int) else (at + 1).cast("int"), F.length(c))
     nested = F.concat(*[F.concat(big_endian(8 * left, 4), code("moov")) for left in range(14, 0, -1)])
@@ -202,7 +203,8 @@ def damaged(spark, d: str) -> DataFrame:
         .when((pr == "3-MEDIUM") & (st == "P"), F.concat(slice_(c, 0, 24), nested))
         .otherwise(c)
     )
-    broken = files(spark, d).join(told, "file_id").select("file_id", fault.alias("content"))
+    told = corpus.build(specifications(spark, d), "o_orderstatus", "o_orderpriority")
+    broken = told.select("file_id", fault.alias("content"))
     return broken.select("file_id", F.length("content").cast("bigint").alias("length"), "content")
 
 
