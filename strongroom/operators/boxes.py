@@ -251,6 +251,13 @@ def children_of(parents: DataFrame, rows: DataFrame, kind: str | None = None, fi
     return found.join(picked, ["file_id", "parent", "offset"], "left_semi")
 
 
+def children_at(walked: DataFrame, path: str) -> DataFrame:
+    """Children of the boxes of a path, looked up inside the file's row like ``descend``."""
+    at = F.transform(F.filter("boxes", lambda b: (b["path"] == path) & b["error"].isNull()), lambda b: b["offset"])
+    below = let(at, lambda parents: F.filter("boxes", lambda b: F.array_contains(parents, b["parent"]) & b["error"].isNull()))
+    return boxes(walked.select("file_id", below.alias("boxes")))
+
+
 def descend(walked: DataFrame, start: str, path: list[str]) -> DataFrame:
     """Follows a path of kinds from the first top-level box of a kind, the first match at each step.
 

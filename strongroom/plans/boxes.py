@@ -129,9 +129,7 @@ def unknown_top_level(spark, d):
 
 @query("b14_user_data_children", f"WITH {ROWS} SELECT file_id, path, \"offset\", size FROM b WHERE starts_with(path, 'moov/udta/')")
 def user_data_children(spark, d):
-    found = rows(spark, d)
-    holders = found.where("path = 'moov/udta'")
-    return B.children_of(holders, found).select("file_id", "path", "offset", "size")
+    return B.children_at(walked(spark, d), "moov/udta").select("file_id", "path", "offset", "size")
 
 
 @query(
