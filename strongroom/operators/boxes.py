@@ -286,21 +286,27 @@ def gaps(rows: DataFrame, parents: DataFrame) -> DataFrame:
     """Parents whose children do not tile them: a gap, an overlap, or an end short of the parent's.
 
     ``rows(file_id, parent, ord, offset, size)`` with dense ``ord``; ``parents(file_id, parent, start, end)``.
-    Neighbours meet in an equi-join on their place, so a parent with most of the boxes is many tasks.
+    Neighbours meet in a group of their place and parents in the group of their children, so a parent with most of the
+    boxes is many tasks and no side is broadcast, however small it is taken to be.
     """
     keys = ["file_id", "parent"]
-    ahead = rows.select(*keys, (F.col("ord") - 1).alias("ord"), F.col("offset").alias("next_offset"))
-    met = rows.join(ahead, [*keys, "ord"], "left")
-    facts = met.groupBy(*keys).agg(
-        F.count_if(F.col("next_offset").isNotNull() & (F.col("offset") + F.col("size") != F.col("next_offset"))).alias("breaks"),
-        F.min("offset").alias("first"),
-        F.max(F.col("offset") + F.col("size")).alias("last"),
+    end, none = F.col("offset") + F.col("size"), _null("bigint")
+    here = rows.select(*keys, "ord", "offset", end.alias("end"), none.alias("before"))
+    ahead = rows.select(*keys, F.col("ord") + 1, none, none, end)
+    met = here.union(ahead).groupBy(*keys, "ord").agg(F.max("offset").alias("offset"), F.max("end").alias("end"), F.max("before").alias("before"))
+    children = met.where("offset IS NOT NULL").select(
+        *keys, "offset", "end", (F.col("before") != F.col("offset")).alias("broken"), none.alias("from"), none.alias("to")
     )
-    return (
-        parents.join(facts, keys)
-        .withColumn("tiles", (F.col("breaks") == 0) & (F.col("first") == F.col("start")) & (F.col("last") == F.col("end")))
-        .select(*keys, "breaks", "tiles")
+    given = parents.select(*keys, none, none, F.lit(None).cast("boolean"), "start", "end")
+    facts = children.union(given).groupBy(*keys).agg(
+        F.count_if("broken").alias("breaks"),
+        F.min("offset").alias("first"),
+        F.max("end").alias("last"),
+        F.max("from").alias("start"),
+        F.max("to").alias("end"),
     )
+    tiles = (F.col("breaks") == 0) & (F.col("first") == F.col("start")) & (F.col("last") == F.col("end"))
+    return facts.where("first IS NOT NULL AND start IS NOT NULL").select(*keys, "breaks", tiles.alias("tiles"))
 
 
 def coverage(ranges: DataFrame, parents: DataFrame, block: Column) -> DataFrame:
