@@ -9,8 +9,8 @@ from strongroom.operators import library as L
 from strongroom.operators import manifest as M
 from strongroom.operators import headers as C
 from strongroom.operators import media
-from strongroom.plans.digests import media_places, stored_parts
-from strongroom.plans.recordings import FAULTS, LAYOUT, SAMPLES, damaged, files, inventory
+from strongroom.plans.digests import media_places
+from strongroom.plans.recordings import FAULTS, LAYOUT, SAMPLES, damaged, files, inventory, walked
 from strongroom.plans.registry import query, table
 from strongroom.plans.samples import lines
 from strongroom.sources import archive, cache
@@ -162,15 +162,15 @@ def corpus_files(spark, d):
     )
 
 
-def probe_tables(spark, d):
-    w = inventory(spark, d)
+def probe_boxes(w):
+    """The top-level boxes and the children of user data of each file."""
     held = B.held_bytes(w)
     place = (
         F.when(F.col("path").startswith("moov/udta/"), "user_data")
         .when((F.col("depth") == 0) & ~B.one_of(F.col("kind"), B.KNOWN_TOP_LEVEL) & ~F.col("clipped"), "unknown")
         .when(F.col("depth") == 0, "top_level")
     )
-    boxes = held.select(
+    return held.select(
         "file_id",
         place.alias("place"),
         B.shown(F.col("kind")).alias("kind"),
@@ -178,8 +178,12 @@ def probe_tables(spark, d):
         B.is_standard(F.col("kind")).alias("standard"),
         F.when(place == "user_data", F.col("bytes")).alias("content"),
     ).where("place IS NOT NULL")
+
+
+def probe_tables(spark, d):
+    w = inventory(spark, d)
     movies = C.movie_headers(w).select("file_id", M.civil_1904(F.col("creation_time").cast("bigint")).alias("container_time"))
-    return C.tracks(stored_parts(spark, d)), boxes, movies
+    return C.tracks(C.track_parts(w)), probe_boxes(w), movies
 
 
 @query(
@@ -200,7 +204,7 @@ def probe_summary(spark, d):
 
 @query("h5_foreign_tags", f"WITH {LAYOUT} SELECT file_id, 'Lavf' AS tags FROM f WHERE st = 'P' AND pr <> '3-MEDIUM'")
 def foreign_tags(spark, d):
-    _, boxes, _ = probe_tables(spark, d)
+    boxes = probe_boxes(walked(spark, d))
     found = L.foreign_tags(boxes.where("place = 'user_data'"))
     return found.select("file_id", F.array_join("foreign_muxer_tags", ",").alias("tags"))
 
@@ -210,6 +214,6 @@ def foreign_tags(spark, d):
     f"""WITH {LAYOUT} SELECT file_id, CASE WHEN pr = '3-MEDIUM' THEN 0 ELSE 1 END + (st = 'F')::INT AS vendor_boxes FROM f""",
 )
 def vendor_count(spark, d):
-    _, boxes, _ = probe_tables(spark, d)
+    boxes = probe_boxes(walked(spark, d))
     counted = ((F.col("place") == "user_data") & ~F.col("standard")) | (F.col("place") == "unknown")
     return boxes.groupBy("file_id").agg(F.count_if(counted).alias("vendor_boxes"))
