@@ -71,6 +71,7 @@ _TRACK = (
     "entry_kind:binary,entry_header:int,entry:binary,configuration:struct<kind:binary,payload:binary>,track_children:string,"
     f"table_children:string,entry_children:string,{','.join(f'{kind}:binary' for kind in RUN_TABLES)}>"
 )
+_TREE = f"boxes:array<{_BOX}>,movie_offset:bigint,movie_size:bigint"
 # Bytes of a file in which ranges and what is held of it meet.
 BUCKET = 1 << 20
 
@@ -122,24 +123,41 @@ def walk(files: DataFrame) -> DataFrame:
 
     Files of an Arrow batch are walked together, see ``tree``; the other columns never leave the JVM.
     """
-    made = f"struct<boxes:array<{_BOX}>,movie_offset:bigint,movie_size:bigint,tracks:array<{_TRACK}>>"
-    trees = F.arrow_udf(walker(RULES, to_arrow_type(T._parse_datatype_string(_TRACK))), made)
+    made = f"struct<{_TREE},tracks:array<{_TRACK}>>"
+    return _trees(files, F.arrow_udf(walker(RULES, to_arrow_type(T._parse_datatype_string(_TRACK))), made), "tracks")
+
+
+def _trees(files: DataFrame, trees, *more: str) -> DataFrame:
     walked = files.withColumn("__w", trees("length", "segments"))
     at, size = F.col("__w.movie_offset"), F.col("__w.movie_size")
     return walked.select(
         *files.columns,
         F.col("__w.boxes").alias("boxes"),
         F.struct(at.alias("offset"), read(F.col("segments"), at, size).alias("bytes")).alias("movie"),
-        F.col("__w.tracks").alias("tracks"),
+        *[F.col(f"__w.{name}").alias(name) for name in more],
     )
 
 
+def walk_boxes(files: DataFrame) -> DataFrame:
+    """The walk without ``tracks``, for what looks at boxes only: no payload is cut or sent."""
+    return _trees(files, F.arrow_udf(walker(RULES, None), f"struct<{_TREE}>"))
+
+
+def walk_tracks(files: DataFrame, *names: str) -> DataFrame:
+    """Adds only ``tracks``, each with its number and the named columns: no box is listed, no other payload cut or sent."""
+    every = T._parse_datatype_string(_TRACK)
+    track = T.StructType([f for f in every.fields if f.name == "track_index" or f.name in names])
+    if len(track) <= len(set(names) - {"track_index"}):
+        raise ValueError(f"unknown columns of a track: {sorted(set(names) - set(every.names))}")
+    return files.withColumn("tracks", F.arrow_udf(walker(RULES, to_arrow_type(track), boxes=False), T.ArrayType(track))("length", "segments"))
+
+
 def walk_top(files: DataFrame) -> DataFrame:
     """Adds ``boxes``, the top-level boxes of each file, by their headers alone: no box is entered.
 
     What the top level shows needs no more, whatever the movie box holds.
     """
-    top = F.arrow_udf(walker(RULES, None), f"array<{_BOX}>")
+    top = F.arrow_udf(walker(RULES, None, below=False), f"array<{_BOX}>")
     return files.withColumn("boxes", top("length", "segments"))
 
 

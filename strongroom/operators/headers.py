@@ -28,6 +28,8 @@ REQUIRED = (
     ("sizes", "sample size table"),
     ("offsets", "chunk offset table"),
 )
+# The columns of a track that tell whether its tables are sound, and what they place.
+TABLES = ("tkhd", "mdhd", "hdlr", "stbl", "stsd", *RUN_TABLES)
 
 
 def _payload(box: Column, movie: Column) -> Column:

@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from strongroom.functions.bytes import shown, slice_
 from strongroom.operators import boxes as B
-from strongroom.plans.recordings import FAULTS, LAYOUT, ROWS, damaged, files, inventory, walked
+from strongroom.plans.recordings import FAULTS, LAYOUT, ROWS, damaged, files, inventory, listed
 from strongroom.plans.registry import query, table
 
 
 def rows(spark, d):
-    return B.boxes(walked(spark, d))
+    return B.boxes(listed(spark, d))
 
 
 def top(spark, d):
@@ -67,7 +67,7 @@ def paths_in_file_order(spark, d):
     f"""WITH {ROWS} SELECT file_id, min("offset") AS "offset" FROM b WHERE path = 'moov/trak/mdia/minf/stbl/stsd' GROUP BY 1""",
 )
 def descend(spark, d):
-    return B.descend(walked(spark, d), "moov", ["trak", "mdia", "minf", "stbl", "stsd"]).select("file_id", "offset")
+    return B.descend(listed(spark, d), "moov", ["trak", "mdia", "minf", "stbl", "stsd"]).select("file_id", "offset")
 
 
 @query(
@@ -129,7 +129,7 @@ def unknown_top_level(spark, d):
 
 @query("b14_user_data_children", f"WITH {ROWS} SELECT file_id, path, \"offset\", size FROM b WHERE starts_with(path, 'moov/udta/')")
 def user_data_children(spark, d):
-    return B.children_at(walked(spark, d), "moov/udta").select("file_id", "path", "offset", "size")
+    return B.children_at(listed(spark, d), "moov/udta").select("file_id", "path", "offset", "size")
 
 
 @query(
@@ -154,7 +154,7 @@ def kind_display(spark, d):
     f"""WITH {ROWS} SELECT file_id, path, "offset", CASE WHEN path = 'mdat' OR header = 0 THEN NULL ELSE size END AS held FROM b""",
 )
 def held_bytes(spark, d):
-    return B.held_bytes(walked(spark, d)).select("file_id", "path", "offset", F.length("bytes").cast("bigint").alias("held"))
+    return B.held_bytes(listed(spark, d)).select("file_id", "path", "offset", F.length("bytes").cast("bigint").alias("held"))
 
 
 @query(
@@ -183,7 +183,7 @@ def ranges_of_holds(spark, d):
 
 
 def broken(spark, d):
-    return B.walk(B.whole_files(damaged(spark, d)))
+    return B.walk_boxes(B.whole_files(damaged(spark, d)))
 
 
 @query(

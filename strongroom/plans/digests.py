@@ -10,8 +10,8 @@ from strongroom.operators import boxes as B
 from strongroom.operators import digests as E
 from strongroom.operators import headers as C
 from strongroom.operators import media as M
-from strongroom.plans.headers import CONFIGURATION, TRACKS, parts
-from strongroom.plans.recordings import LAYOUT, REFUSED, ROWS, SAMPLES, SPLITS_NOT, faulty, files, inventory, walked
+from strongroom.plans.headers import CONFIGURATION, ENTRY, TRACKS, parts
+from strongroom.plans.recordings import LAYOUT, REFUSED, ROWS, SAMPLES, SPLITS_NOT, faulty, files, inventory, listed
 from strongroom.plans.registry import by_moment, query, table
 from strongroom.sources.stored import stored
 
@@ -68,7 +68,7 @@ def tree_digest(spark, d):
 
 @query("e4_configuration", f"WITH {TRACKS} SELECT file_id, track_index, sha256(unhex({CONFIGURATION})) AS configuration_sha256 FROM t")
 def configuration(spark, d):
-    return C.sample_entries(parts(spark, d)).select(
+    return C.sample_entries(parts(spark, d, *ENTRY)).select(
         "file_id", "track_index", E.sha256("configuration_payload").alias("configuration_sha256")
     )
 
@@ -115,7 +115,7 @@ def stored_parts(spark, d):
 
 def media_places(recordings):
     """The tracks of whole files with what their tables place, beside the content; narrow."""
-    parts = C.track_parts(B.walk(B.whole_files(recordings)), "length", "segments")
+    parts = C.track_parts(B.walk_tracks(B.whole_files(recordings), *C.TABLES, "configuration"), "length", "segments")
     content = F.get("segments", F.lit(0))["bytes"]
     return M.places(parts.withColumn("content", content).drop("segments"))
 
@@ -241,5 +241,5 @@ def elementary_stream(spark, d):
         FROM b WHERE path = 'zzzz' OR starts_with(path, 'moov/udta/')""",
 )
 def vendor_digest(spark, d):
-    held = B.held_bytes(walked(spark, d)).where("path LIKE 'moov/udta/%' OR path = 'zzzz'")
+    held = B.held_bytes(listed(spark, d)).where("path LIKE 'moov/udta/%' OR path = 'zzzz'")
     return held.select("file_id", "path", "offset", E.sha256("bytes").alias("sha256"))

@@ -10,14 +10,18 @@ from strongroom.operators import boxes as B
 from strongroom.operators import headers as C
 from strongroom.operators import media
 from strongroom.operators import samples as S
-from strongroom.plans.recordings import LAYOUT, REFUSED, SAMPLES, faulty, files, walked
+from strongroom.plans.recordings import LAYOUT, REFUSED, SAMPLES, faulty, files, listed
 from strongroom.plans.registry import query, table
 from strongroom.sources.stored import stored
 
 
-@lru_cache(maxsize=8)
-def parts(spark, d):
-    return C.track_parts(walked(spark, d))
+@lru_cache(maxsize=32)
+def parts(spark, d, *names):
+    """The tracks of the corpus with the named columns, which are all that the walk cuts and sends."""
+    return C.track_parts(B.walk_tracks(B.whole_files(files(spark, d)), *names))
+
+
+ENTRY = ("stsd", "entry_kind", "entry_header", "entry", "configuration")
 
 
 TRACKS = f"""{LAYOUT}, t AS (
@@ -38,7 +42,7 @@ def file_type(spark, d):
     f"WITH {LAYOUT} SELECT file_id, 0 AS version, created AS creation_time, 60000 AS timescale, n * 2000 AS duration, 3 AS next_track_id FROM f",
 )
 def movie_header(spark, d):
-    found = C.movie_headers(walked(spark, d)).where("error IS NULL")
+    found = C.movie_headers(listed(spark, d)).where("error IS NULL")
     return found.select("file_id", "version", "creation_time", "timescale", "duration", "next_track_id")
 
 
@@ -48,12 +52,12 @@ def movie_header(spark, d):
           256 AS volume, CASE kind WHEN 'video' THEN 64 * 65536 ELSE 0 END AS width_fixed, CASE kind WHEN 'video' THEN 48 * 65536 ELSE 0 END AS height_fixed FROM t""",
 )
 def track_header(spark, d):
-    return C.track_headers(parts(spark, d)).drop("creation_time", "modification_time", "error")
+    return C.track_headers(parts(spark, d, "tkhd")).drop("creation_time", "modification_time", "error")
 
 
 @query("c4_media_header", f"WITH {TRACKS} SELECT file_id, track_index, timescale, ticks AS duration_ticks, 'und' AS language FROM t")
 def media_header(spark, d):
-    return C.media_headers(parts(spark, d)).drop("error")
+    return C.media_headers(parts(spark, d, "mdhd")).drop("error")
 
 
 @query(
@@ -62,7 +66,7 @@ def media_header(spark, d):
           CASE kind WHEN 'video' THEN 'VideoHandler' ELSE 'SoundHandler' END AS handler_name FROM t""",
 )
 def handler(spark, d):
-    return C.handlers(parts(spark, d)).select("file_id", "track_index", "handler_type", "handler_name")
+    return C.handlers(parts(spark, d, "hdlr")).select("file_id", "track_index", "handler_type", "handler_name")
 
 
 @query(
@@ -74,7 +78,7 @@ def handler(spark, d):
           CASE WHEN NOT v THEN 44100 END AS sample_rate FROM x""",
 )
 def sample_entry(spark, d):
-    return C.sample_entries(parts(spark, d)).drop("configuration_kind", "configuration_payload", "codec_string", "nal_length_size")
+    return C.sample_entries(parts(spark, d, *ENTRY)).drop("configuration_kind", "configuration_payload", "codec_string", "nal_length_size")
 
 
 AVC = "'01640028' || CASE w WHEN 4 THEN 'FF' ELSE 'FD' END || 'E100046764002801000368EE3C'"
@@ -86,7 +90,7 @@ CONFIGURATION = f"CASE kind WHEN 'video' THEN {AVC} ELSE '000000000380' END"
     f"WITH {TRACKS} SELECT file_id, track_index, CASE kind WHEN 'video' THEN 'avcC' ELSE 'esds' END AS configuration_kind, {CONFIGURATION} AS payload FROM t",
 )
 def decoder_configuration(spark, d):
-    return C.sample_entries(parts(spark, d)).select(
+    return C.sample_entries(parts(spark, d, *ENTRY)).select(
         "file_id", "track_index", "configuration_kind", F.hex("configuration_payload").alias("payload")
     )
 
@@ -97,7 +101,7 @@ def decoder_configuration(spark, d):
 )
 def avc_configuration(spark, d):
     joined = lambda c: F.array_join(F.transform(c, F.hex), " ")
-    return C.parameter_sets(parts(spark, d)).select(
+    return C.parameter_sets(parts(spark, d, "configuration")).select(
         "file_id", "track_index", joined("sps").alias("sps"), joined("pps").alias("pps"), "nal_length_size"
     )
 
@@ -107,7 +111,7 @@ def avc_configuration(spark, d):
     f"WITH {TRACKS} SELECT file_id, track_index, CASE kind WHEN 'video' THEN 'avc1.640028' END AS codec_string FROM t",
 )
 def codec_string(spark, d):
-    return C.sample_entries(parts(spark, d)).select("file_id", "track_index", "codec_string")
+    return C.sample_entries(parts(spark, d, *ENTRY)).select("file_id", "track_index", "codec_string")
 
 
 @query(
@@ -115,12 +119,12 @@ def codec_string(spark, d):
     f"WITH {LAYOUT} SELECT file_id, 0 AS track_index, 0 AS ord, n * 2000 AS segment_duration, -1 AS media_time, 65536 AS media_rate FROM f WHERE ed > 0",
 )
 def edit_list(spark, d):
-    return C.edit_lists(parts(spark, d))
+    return C.edit_lists(parts(spark, d, "elst"))
 
 
 @query("c11_track_kind", f"WITH {TRACKS} SELECT file_id, track_index, kind FROM t")
 def track_kind(spark, d):
-    return C.handlers(parts(spark, d)).select("file_id", "track_index", "kind")
+    return C.handlers(parts(spark, d, "hdlr")).select("file_id", "track_index", "kind")
 
 
 @query(
@@ -142,7 +146,7 @@ def duration(spark, d):
           || CASE WHEN tr > 0 THEN ' tref' ELSE '' END || ' mdia' ELSE 'tkhd mdia' END AS track_children FROM (SELECT * REPLACE (CASE kind WHEN 'video' THEN w ELSE 2 END AS w) FROM t)""",
 )
 def track_assembly(spark, d):
-    return C.tracks(parts(spark, d)).select(
+    return C.tracks(parts(spark, d, "tkhd", "mdhd", "hdlr", *ENTRY, "track_children", "table_children", "entry_children")).select(
         "file_id",
         "track_index",
         "track_id",
@@ -162,7 +166,7 @@ def track_assembly(spark, d):
         UNION ALL SELECT file_id, 1, 0, n, 1024 FROM f WHERE ta > 0""",
 )
 def time_runs(spark, d):
-    return C.stts(parts(spark, d))
+    return C.stts(parts(spark, d, "stts"))
 
 
 @query(
@@ -171,7 +175,7 @@ def time_runs(spark, d):
         UNION ALL SELECT file_id, 0, 1, mv, n - 3 * (mv - 1), 1 FROM f UNION ALL SELECT file_id, 1, 0, 1, n, 1 FROM f WHERE ta > 0""",
 )
 def chunk_runs(spark, d):
-    return C.stsc(parts(spark, d))
+    return C.stsc(parts(spark, d, "stsc"))
 
 
 @query(
@@ -180,12 +184,12 @@ def chunk_runs(spark, d):
         UNION ALL SELECT file_id, 1, i, 8 FROM sm WHERE st <> 'P'""",
 )
 def sizes(spark, d):
-    return C.stsz(parts(spark, d).where("stsz IS NOT NULL"))
+    return C.stsz(parts(spark, d, "stsz", "stz2").where("stsz IS NOT NULL"))
 
 
 @query("d4_compact_sizes", f"WITH {LAYOUT}, {SAMPLES} SELECT file_id, 0 AS track_index, i AS idx, size FROM sm WHERE pr = '2-HIGH'")
 def compact_sizes(spark, d):
-    return C.stsz(parts(spark, d).where("stz2 IS NOT NULL"))
+    return C.stsz(parts(spark, d, "stsz", "stz2").where("stz2 IS NOT NULL"))
 
 
 @query(
@@ -195,7 +199,7 @@ def compact_sizes(spark, d):
         UNION ALL SELECT file_id, 1, 1, mdat_at + 8 + vb FROM f WHERE ta > 0""",
 )
 def chunk_offsets(spark, d):
-    return C.stco(parts(spark, d))
+    return C.stco(parts(spark, d, "stco", "co64"))
 
 
 @query(
@@ -204,7 +208,7 @@ def chunk_offsets(spark, d):
         UNION ALL SELECT file_id, 0, 1, n - 1, -5 FROM f WHERE ct > 0""",
 )
 def composition_runs(spark, d):
-    return C.ctts(parts(spark, d))
+    return C.ctts(parts(spark, d, "ctts"))
 
 
 @query(
@@ -213,7 +217,7 @@ def composition_runs(spark, d):
 )
 def table_problems(spark, d):
     """Run tables that are shorter than they say, over a corpus with faults."""
-    return C.table_problems(C.track_parts(B.walk(B.whole_files(faulty(spark, d)))))
+    return C.table_problems(C.track_parts(B.walk_tracks(B.whole_files(faulty(spark, d)), *C.TABLES)))
 
 
 @query(
@@ -223,7 +227,7 @@ def table_problems(spark, d):
 )
 def refused_tracks(spark, d):
     """Tracks that have no samples, digests or totals, as their tables are short or contradict each other."""
-    return media.refusals(C.track_parts(B.walk(B.whole_files(faulty(spark, d)))))
+    return media.refusals(C.track_parts(B.walk_tracks(B.whole_files(faulty(spark, d)), *C.TABLES)))
 
 
 @query(
@@ -234,5 +238,5 @@ def refused_tracks(spark, d):
 )
 def gated_totals(spark, d):
     """Totals of the tracks that say nothing wrong, from their tables alone."""
-    _, _, stsz, _, stss, ctts = C.run_tables(stored(C.track_parts(B.walk(B.whole_files(faulty(spark, d))))))
+    _, _, stsz, _, stss, ctts = C.run_tables(stored(C.track_parts(B.walk_tracks(B.whole_files(faulty(spark, d)), *C.TABLES))))
     return S.totals(stsz, stss, ctts).drop("composition_offsets")

@@ -60,6 +60,12 @@ def walked(spark, d: str) -> DataFrame:
     return B.walk(B.whole_files(files(spark, d)))
 
 
+@lru_cache(maxsize=8)
+def listed(spark, d: str) -> DataFrame:
+    """The walk for what needs no track."""
+    return B.walk_boxes(B.whole_files(files(spark, d)))
+
+
 @lru_cache(maxsize=8)
 def inventory(spark, d: str) -> DataFrame:
     """The walk with headers and small boxes only, written once for queries that read it several times."""
