@@ -10,9 +10,12 @@ digest beside it is a separate, versioned number whose work splits over any numb
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,9 @@ from strongroom.operators.headers import file_types, movie_headers
 from strongroom.operators.headers import tracks as typed_tracks
 from strongroom.operators.running import by_rows, running_totals
 
+# Functions that run in workers are shipped by value: a cluster needs no installed package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The most bytes of one group that are concatenated into a row.
 ROW_BYTES = 64 * 1024 * 1024
 # Samples under one inner node of the tree digest.
@@ -162,34 +168,44 @@ def listing_digests(lines: DataFrame, keys: list[str], order: list[str], line: s
 
 
 _UNITS = "array<struct<at:int,size:int>>"
-_STRETCH = 32
+
+
+def _places(data: pa.Array, width: pa.Array) -> pa.Array:
+    """Units of the samples of a batch: every sample has a cursor, and one step reads a prefix at each."""
+    known = data.is_valid().to_numpy(zero_copy_only=False) & width.is_valid().to_numpy(zero_copy_only=False)
+    _, ends, held = data.buffers()
+    ends = np.frombuffer(ends, np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    held = np.frombuffer(held, np.uint8) if held is not None and held.size else np.zeros(1, np.uint8)
+    width = width.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    start, length = ends[:-1], ends[1:] - ends[:-1]
+    at, broken = np.zeros(len(data), np.int64), np.zeros(len(data), bool)
+    rows, made = np.flatnonzero(known & (length > 0)), []
+    while len(rows):
+        here, wide = at[rows], width[rows]
+        size = np.zeros(len(rows), np.int64)
+        for k in range(int(wide.max())):
+            byte = held[np.minimum(start[rows] + here + k, len(held) - 1)]
+            size = np.where(k < wide, size << 8 | byte, size)
+        fits = (wide > 0) & (here + wide + size <= length[rows])
+        broken[rows[~fits]] = True
+        rows, here, size = rows[fits], (here + wide)[fits], size[fits]
+        made.append((rows, here, size))
+        at[rows] = here + size
+        rows = rows[at[rows] < length[rows]]
+    row, here, size = (np.concatenate([np.zeros(0, np.int64), *(m[i] for m in made)]) for i in range(3))
+    order = np.argsort(row, kind="stable")
+    counts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(data)))))
+    units = pa.StructArray.from_arrays([pa.array(v[order].astype(np.int32)) for v in (here, size)], ["at", "size"])
+    listed = pa.ListArray.from_arrays(pa.array(counts.astype(np.int32)), units)
+    return pa.StructArray.from_arrays([listed, pa.array(broken)], ["units", "broken"], mask=pa.array(~known))
 
 
 def unit_places(data: Column, width: Column) -> Column:
     """Places of the length-prefixed units of a sample, and whether a prefix ran past its end.
 
-    Folded in stretches inside the row; a sample is bounded by what is read at once.
+    The samples of an Arrow batch are split together; a sample is bounded by what is read at once.
     """
-    length = F.length(data)
-
-    def step(state: Column, _: Column) -> Column:
-        at = state["at"]
-        prefix = F.conv(F.hex(F.substring(data, at + 1, width)), 16, 10).cast("bigint")
-        fits = (at + width <= length) & (at + width + prefix <= length)
-        unit = F.array(F.struct((at + width).cast("int").alias("at"), prefix.cast("int").alias("size"))).cast(_UNITS)
-        return F.when(at >= length, state).otherwise(
-            F.struct(
-                F.when(fits, at + width + prefix).otherwise(length).cast("int").alias("at"),
-                F.when(fits, F.concat(state["units"], unit)).otherwise(state["units"]).alias("units"),
-                (state["broken"] | ~F.coalesce(fits, F.lit(False))).alias("broken"),
-            )
-        )
-
-    def stretch(state: Column, _: Column) -> Column:
-        return F.when(state["at"] >= length, state).otherwise(F.aggregate(F.sequence(F.lit(1), F.lit(_STRETCH)), state, step))
-
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast(_UNITS).alias("units"), F.lit(False).alias("broken"))
-    return F.aggregate(F.sequence(F.lit(0), F.floor(length / width / _STRETCH).cast("int")), empty, stretch)
+    return F.arrow_udf(_places, f"struct<units:{_UNITS},broken:boolean>")(data, width)
 
 
 def units(samples: DataFrame) -> DataFrame:

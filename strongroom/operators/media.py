@@ -33,6 +33,8 @@ from strongroom.sources.archive import MAX_SAMPLE_SIZE, opened
 PAYLOAD_VERSION, STREAM_VERSION = "payload/1", "stream/1"
 # Bytes read at once where single samples don't matter.
 PIECE = 8 * 1024 * 1024
+# The most samples that are handed on at once.
+ROWS = 1 << 14
 # Unit types that steer the insertion of parameter sets, and the start codes.
 SEQUENCE_SET, PICTURE_SET, REFRESH_SLICE = 7, 8, 5
 LONG_START, SHORT_START = bytes.fromhex("00000001"), bytes.fromhex("000001")
@@ -153,8 +155,8 @@ class Media:
     def __init__(self, content: pa.Scalar | None, path: str | None):
         self.stream = None
         if content is not None:
-            self.buffer = content.as_buffer()
-            self.length = self.buffer.size
+            self.view = memoryview(content.as_buffer())
+            self.length = len(self.view)
         else:
             system, name = opened(path)
             self.stream = system.open_input_file(name)
@@ -162,7 +164,7 @@ class Media:
 
     def read(self, at: int, size: int) -> bytes:
         if self.stream is None:
-            return self.buffer.slice(at, size).to_pybytes()
+            return self.view[at : at + size].tobytes()
         return self.stream.read_at(size, at)
 
     def close(self) -> None:
@@ -173,22 +175,23 @@ class Media:
 class Track:
     """What a row of ``places`` says: samples in decode order."""
 
-    def __init__(self, row: dict[str, pa.Scalar]):
-        chunks = row["chunks"].values
-        self.offsets, self.counts = (chunks.field(n).to_numpy() for n in ("offset", "n"))
-        self.samples = int(self.counts.sum())
-        self.size = row["size"].as_py()
+    def __init__(self, offsets: np.ndarray, counts: np.ndarray, size: int | None, sizes: np.ndarray):
+        self.offsets, self.counts, self.size = offsets, counts, size
+        self.samples = int(counts.sum())
         if self.size is None and self.samples:
-            self.sizes = row["sizes"].values.to_numpy().astype(np.int64)
-            self.ends = np.concatenate(([0], np.cumsum(self.sizes)))
+            self.sizes = sizes
+            self.ends = np.concatenate(([0], np.cumsum(sizes)))
 
     def chunks(self) -> Iterator[tuple[int, int, int, int]]:
         """The first sample of each chunk, how many it holds, its offset and its bytes."""
-        first = 0
-        for offset, n in zip(self.offsets.tolist(), self.counts.tolist(), strict=True):
-            size = n * self.size if self.size is not None else int(self.ends[first + n] - self.ends[first])
-            yield first, n, offset, size
-            first += n
+        if not len(self.counts):
+            return iter(())
+        last = np.cumsum(self.counts)
+        if self.size is not None:
+            sizes = [n * self.size for n in self.counts.tolist()]
+        else:
+            sizes = (self.ends[last] - self.ends[last - self.counts]).tolist() if self.samples else [0] * len(last)
+        return zip((last - self.counts).tolist(), self.counts.tolist(), self.offsets.tolist(), sizes, strict=True)
 
     def sizes_of(self, first: int, n: int) -> Iterable[int]:
         return (self.size for _ in range(n)) if self.size is not None else self.sizes[first : first + n].tolist()
@@ -201,27 +204,28 @@ class Track:
         return TOO_LARGE if self.samples and largest > MAX_SAMPLE_SIZE else None
 
 
-def _digest(media: Media, track: Track, avc: dict | None) -> list:
-    """The fields of DIGESTS."""
+def _digest(media: Media, track: Track, avc: dict | None, payload: bool, stream: bool) -> list:
+    """The fields of DIGESTS; those of a digest that isn't asked for are NULL."""
     reason = track.problem(media.length)
     if reason:
         return [track.samples, None, None, reason, None, None, None, None, reason if avc else None]
-    payload, total = hashlib.sha256(), 0
-    stream = Stream(avc["width"], avc["sps"], avc["pps"]) if avc else None
+    state, total = hashlib.sha256() if payload else None, 0
+    stream = Stream(avc["width"], avc["sps"], avc["pps"]) if avc and stream else None
     for first, n, offset, size in track.chunks():
         at, total = offset, total + size
         if stream is None or stream.reason:
-            while at < offset + size:
+            while payload and at < offset + size:
                 piece = media.read(at, min(PIECE, offset + size - at))
-                payload.update(piece)
+                state.update(piece)
                 at += len(piece)
             continue
         for held in track.sizes_of(first, n):
             sample = media.read(at, held)
-            payload.update(sample)
+            if payload:
+                state.update(sample)
             stream.add(sample)
             at += held
-    row = [track.samples, total, payload.hexdigest(), None]
+    row = [track.samples, total, state.hexdigest() if payload else None, None]
     if stream is None:
         return [*row, None, None, None, None, None]
     if stream.reason:
@@ -229,10 +233,27 @@ def _digest(media: Media, track: Track, avc: dict | None) -> list:
     return [*row, stream.state.hexdigest(), stream.size, stream.access_units, stream.insertions, None]
 
 
-def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, pa.Scalar]]:
-    for batch in batches:
-        for k in range(batch.num_rows):
-            yield {name: batch.column(name)[k] for name in batch.schema.names}
+class Batch:
+    """The tracks of a batch of ``places`` rows, and the files they lie in; columns are looked at as arrays, once."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        column = {name: batch.column(name) for name in batch.schema.names}
+        self.rows = batch.num_rows
+        self.keys = [column["file_id"].to_pylist(), column["track_index"].to_pylist()]
+        self.reason, self.avc, self.size = (column[n].to_pylist() for n in ("reason", "avc", "size"))
+        self.offsets, self.counts = (column["chunks"].flatten().field(n).to_numpy() for n in ("offset", "n"))
+        self.sizes = column["sizes"].flatten().to_numpy().astype(np.int64)
+        self.chunk_at, self.size_at = (
+            np.concatenate(([0], np.cumsum(column[n].value_lengths().fill_null(0).to_numpy()))).tolist() for n in ("chunks", "sizes")
+        )
+        self.content, self.path = column.get("content"), column["path"].to_pylist() if "path" in column else None
+
+    def track(self, k: int) -> Track:
+        chunks, sizes = slice(*self.chunk_at[k : k + 2]), slice(*self.size_at[k : k + 2])
+        return Track(self.offsets[chunks], self.counts[chunks], self.size[k], self.sizes[sizes])
+
+    def open(self, k: int) -> Media:
+        return Media(self.content[k], None) if self.content is not None else Media(None, self.path[k])
 
 
 def _kept(placed: DataFrame, ddl: str) -> tuple[DataFrame, T.StructType, list[str]]:
@@ -244,39 +265,41 @@ def _kept(placed: DataFrame, ddl: str) -> tuple[DataFrame, T.StructType, list[st
     return needed, T.StructType([*keys, *made.fields]), [f.name for f in made.fields]
 
 
-def _open(row: dict[str, pa.Scalar]) -> Media:
-    if "content" in row:
-        return Media(row["content"], None)
-    return Media(None, row["path"].as_py())
-
-
 def _unreadable(error: Exception) -> str:
     return f"{type(error).__name__}: {str(error)[:200]}"
 
 
-def digests(placed: DataFrame) -> DataFrame:
-    """One row per track of ``places`` rows with ``content`` or ``path``: see DIGESTS, with the versions of the digests."""
+def _columns(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else ([] for _ in schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def digests(placed: DataFrame, payload: bool = True, stream: bool = True) -> DataFrame:
+    """One row per track of ``places`` rows with ``content`` or ``path``: see DIGESTS, with the versions of the digests.
+
+    A digest that isn't asked for isn't worked out: its columns are NULL, as is ``stream_reason`` of a broken unit.
+    """
     needed, schema, _ = _kept(placed, DIGESTS)
     arrow = None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            reason, avc = row["reason"].as_py(), row["avc"].as_py()
-            if reason is None:
-                try:
-                    media = _open(row)
+        for batch in map(Batch, batches):
+            rows = []
+            for k, (reason, *keys) in enumerate(zip(batch.reason, *batch.keys, strict=True)):
+                if reason is None:
                     try:
-                        made = _digest(media, Track(row), avc)
-                    finally:
-                        media.close()
-                except (OSError, ValueError) as error:
-                    reason = _unreadable(error)
-            if reason is not None:
-                made = [None, None, None, reason, None, None, None, None, reason]
-            keys = [row["file_id"].as_py(), row["track_index"].as_py()]
-            yield pa.RecordBatch.from_pylist([dict(zip(names, [*keys, *made], strict=True))], schema=arrow)
+                        media = batch.open(k)
+                        try:
+                            made = _digest(media, batch.track(k), batch.avc[k], payload, stream)
+                        finally:
+                            media.close()
+                    except (OSError, ValueError) as error:
+                        reason = _unreadable(error)
+                if reason is not None:
+                    made = [None, None, None, reason, None, None, None, None, reason]
+                rows.append([*keys, *made])
+            yield _columns(rows, arrow)
 
-    names = schema.names
     arrow = _arrow(schema)
     rows = needed.mapInArrow(run, schema)
     return rows.withColumns({"payload_version": F.lit(PAYLOAD_VERSION), "stream_version": F.lit(STREAM_VERSION)})
@@ -289,7 +312,7 @@ def samples(placed: DataFrame, with_bytes: bool = True) -> DataFrame:
     nothing but the length of the file is looked at.
     """
     needed, schema, _ = _kept(placed.where("reason IS NULL"), SAMPLES)
-    arrow, names = _arrow(schema), schema.names
+    arrow = _arrow(schema)
 
     def of_track(media: Media, track: Track, width: int | None) -> Iterator[list]:
         for first, n, offset, _ in track.chunks():
@@ -300,24 +323,24 @@ def samples(placed: DataFrame, with_bytes: bool = True) -> DataFrame:
                 at += size
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            keys, held, size = [row["file_id"].as_py(), row["track_index"].as_py()], [], 0
-            try:
-                media = _open(row)
-            except (OSError, ValueError) as error:
-                nothing = dict(zip(names, [*keys, None, None, None, None, None, _unreadable(error)], strict=True))
-                yield pa.RecordBatch.from_pylist([nothing], schema=arrow)
-                continue
-            avc = row["avc"].as_py()
-            for made in of_track(media, Track(row), avc and avc["width"]):
-                held.append(dict(zip(names, [*keys, *made], strict=True)))
-                size += len(made[4] or b"")
-                if size > PIECE or len(held) == 4096:
-                    yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                    held, size = [], 0
-            media.close()
+        for batch in map(Batch, batches):
+            held, size = [], 0
+            for k, keys in enumerate(zip(*batch.keys, strict=True)):
+                try:
+                    media = batch.open(k)
+                except (OSError, ValueError) as error:
+                    held.append([*keys, None, None, None, None, None, _unreadable(error)])
+                    continue
+                avc = batch.avc[k]
+                for made in of_track(media, batch.track(k), avc and avc["width"]):
+                    held.append([*keys, *made])
+                    size += len(made[4] or b"")
+                    if size > PIECE or len(held) == ROWS:
+                        yield _columns(held, arrow)
+                        held, size = [], 0
+                media.close()
             if held:
-                yield pa.RecordBatch.from_pylist(held, schema=arrow)
+                yield _columns(held, arrow)
 
     return needed.mapInArrow(run, schema)
 

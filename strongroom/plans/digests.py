@@ -208,7 +208,7 @@ pd AS (SELECT file_id, 0 AS track_index, sha256(unhex(string_agg(h, '' ORDER BY
 )
 def media_payload(spark, d):
     """Payload digests of every track of a corpus with faults, audio too, each NULL with its reason."""
-    return M.digests(media_places(faulty(spark, d))).select(
+    return M.digests(media_places(faulty(spark, d)), stream=False).select(
         "file_id", "track_index", "samples", "bytes", "payload_sha256", "payload_reason", "payload_version"
     )
 
@@ -228,7 +228,7 @@ def media_payload(spark, d):
 )
 def elementary_stream(spark, d):
     """Streams of a corpus with faults: a track with one has no digest and the reason."""
-    made = M.digests(media_places(faulty(spark, d)).where("track_index = 0 OR avc IS NOT NULL"))
+    made = M.digests(media_places(faulty(spark, d)).where("track_index = 0 OR avc IS NOT NULL"), payload=False)
     return made.select(
         "file_id", "track_index", "stream_sha256", "stream_bytes", "access_units", "insertions", "stream_reason", "stream_version"
     )
