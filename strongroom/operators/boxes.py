@@ -381,6 +381,12 @@ def clipped_tail(top: DataFrame) -> DataFrame:
     return last.where("b.clipped").select("file_id", "b.kind", "b.offset", "b.size")
 
 
+def boxes_in_file_order(files: DataFrame) -> DataFrame:
+    """``in_file_order`` of files, with no exchange: the walk knows the place of each box."""
+    made = f"struct<{_TREE}>".replace("path:string>", "path:string,place:bigint>")
+    return boxes(_trees(files, F.arrow_udf(walker(RULES, None, places=True), made)))
+
+
 def in_file_order(rows: DataFrame) -> DataFrame:
     """Depth-first place of every box: by offset, the container before what it holds."""
     by_file = Window.partitionBy("file_id").orderBy("offset", "depth")

@@ -19,9 +19,9 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strongroom.functions.bytes import one_of, shown
+from strongroom.functions.bytes import one_of, shown, u8, u32
 from strongroom.operators.boxes import KNOWN_TOP_LEVEL
-from strongroom.operators.headers import file_types, movie_headers
+from strongroom.operators.headers import brands, file_type_payload, header_error, movie_header_payload
 from strongroom.operators.headers import tracks as typed_tracks
 from strongroom.operators.running import by_rows, running_totals
 
@@ -298,18 +298,20 @@ def _quoted(text: Column) -> Column:
 def structural_fingerprints(walked: DataFrame, parts: DataFrame) -> DataFrame:
     """What a container's shape shows, one observation per line, and the digest of the lines.
 
-    A listing is bounded by the caps of the walk, so it is built in the file's own row; the tracks
-    join it once.
+    A listing is bounded by the caps of the walk, so it is built in the file's own row, its brands and its scale too;
+    only the tracks join it.
     """
-    usable = F.filter("boxes", lambda b: b["error"].isNull())
-    top = F.filter(usable, lambda b: b["depth"] == 0)
+    top = F.filter("boxes", lambda b: (b["depth"] == 0) & b["error"].isNull())
     kinds = lambda boxes: F.array_join(F.transform(boxes, lambda b: shown(b["kind"])), " ")
     listed = lambda prefix, boxes: F.transform(
         boxes, lambda b: F.concat(F.lit(prefix), shown(b["kind"]), F.lit(" "), b["size"].cast("string"))
     )
     unknown = F.filter(top, lambda b: ~one_of(b["kind"], KNOWN_TOP_LEVEL) & ~b["clipped"])
     tail = F.filter(F.slice(top, -1, 1), lambda b: b["clipped"])
-    under = lambda path: F.filter(usable, lambda b: (b["path"] == F.concat(F.lit(path), shown(b["kind"]))) & (b["depth"] > 0))
+    # A code has four bytes, so a path that begins so is one below.
+    under = lambda path: F.filter(
+        "boxes", lambda b: (b["depth"] == path.count("/")) & b["path"].startswith(path) & b["error"].isNull()
+    )
     shape = walked.select(
         "file_id",
         F.concat(F.lit("top-level "), kinds(top)).alias("order"),
@@ -317,17 +319,19 @@ def structural_fingerprints(walked: DataFrame, parts: DataFrame) -> DataFrame:
         listed("top-level-clipped ", tail).alias("tail"),
         F.concat(F.lit("moov "), kinds(under("moov/"))).alias("movie_children"),
         listed("udta ", under("moov/udta/")).alias("user_data"),
+        F.inline_outer(F.array(F.struct(file_type_payload().alias("type"), movie_header_payload().alias("header")))),
     )
-    brands = file_types(walked).select(
-        "file_id",
-        F.array(
-            F.concat(F.lit("brand "), F.col("major_brand")),
-            F.concat(F.lit("compatible "), F.array_join("compatible_brands", " ")),
-        ).alias("brands"),
-    )
-    scales = movie_headers(walked).where("error IS NULL").select(
-        "file_id", F.array(F.concat(F.lit("movie-timescale "), F.col("timescale").cast("string"))).alias("scale")
-    )
+    major, compatible = brands(F.col("type"))
+    named = F.array(F.concat(F.lit("brand "), major), F.concat(F.lit("compatible "), F.array_join(compatible, " ")))
+    header, version = F.col("header"), u8(F.col("header"), 0)
+    scale = F.when(version == 0, u32(header, 12)).when(version == 1, u32(header, 20)).cast("string")
+    read_well = header_error(header, version, "mvhd", 100, 112).isNull()
+    shape = shape.withColumns(
+        {
+            "brands": F.when(F.length("type") >= 8, named),
+            "scale": F.when(read_well, F.array(F.concat(F.lit("movie-timescale "), scale))),
+        }
+    ).drop("type", "header")
     t = typed_tracks(parts)
     line = F.concat_ws(
         " ",
@@ -364,9 +368,7 @@ def structural_fingerprints(walked: DataFrame, parts: DataFrame) -> DataFrame:
         F.coalesce("tracks", none),
     )
     return (
-        shape.join(brands, "file_id", "left")
-        .join(scales, "file_id", "left")
-        .join(tracks, "file_id", "left")
+        shape.join(tracks, "file_id", "left")
         .select("file_id", lines.alias("observations"))
         .withColumn("sha256", sha256(F.array_join("observations", "\n")))
     )

@@ -42,32 +42,41 @@ def track_parts(walked: DataFrame, *keep: str) -> DataFrame:
     return walked.select("file_id", *keep, F.inline_outer("tracks")).where("track_index IS NOT NULL")
 
 
-def file_types(walked: DataFrame) -> DataFrame:
-    """Brand, version and compatible brands of files that have a file type box."""
+def file_type_payload() -> Column:
+    """The payload of a file's type box, or NULL."""
     first = F.get(
         F.filter("boxes", lambda b: (b["depth"] == 0) & (b["kind"] == code("ftyp")) & b["error"].isNull() & ~b["clipped"]), F.lit(0)
     )
-    payload = let(first, lambda b: read(F.col("segments"), b["offset"] + b["header"], b["size"] - b["header"]))
-    rows = walked.select("file_id", F.inline_outer(F.array(F.struct(payload.alias("payload")))))
-    p = F.col("payload")
-    brands = F.transform(
+    return let(first, lambda b: read(F.col("segments"), b["offset"] + b["header"], b["size"] - b["header"]))
+
+
+def brands(p: Column) -> tuple[Column, Column]:
+    """The brand and the compatible brands that the payload of a file type box of at least eight bytes names."""
+    listed = F.transform(
         F.sequence(F.lit(0), F.floor((F.length(p) - 8) / 4).cast("int") - 1), lambda i: shown(slice_(p, i * 4 + 8, 4))
     )
+    return shown(slice_(p, 0, 4)), F.when(F.length(p) < 12, F.array().cast("array<string>")).otherwise(listed)
+
+
+def file_types(walked: DataFrame) -> DataFrame:
+    """Brand, version and compatible brands of files that have a file type box."""
+    rows = walked.select("file_id", F.inline_outer(F.array(F.struct(file_type_payload().alias("payload")))))
+    p = F.col("payload")
+    major, compatible = brands(p)
     return rows.where(F.length("payload") >= 8).select(
-        "file_id",
-        shown(slice_(p, 0, 4)).alias("major_brand"),
-        u32(p, 4).alias("minor_version"),
-        F.when(F.length(p) < 12, F.array().cast("array<string>")).otherwise(brands).alias("compatible_brands"),
+        "file_id", major.alias("major_brand"), u32(p, 4).alias("minor_version"), compatible.alias("compatible_brands")
     )
 
 
+def movie_header_payload() -> Column:
+    """The payload of a file's movie header, or NULL."""
+    first = F.get(F.filter("boxes", lambda b: (b["path"] == "moov/mvhd") & b["error"].isNull()), F.lit(0))
+    return let(first, lambda b: _payload(b, F.col("movie")))
+
+
 def movie_headers(walked: DataFrame) -> DataFrame:
     """Times, timescale, duration and next identifier; versions 0 and 1 only."""
-    payload = let(
-        F.get(F.filter("boxes", lambda b: (b["path"] == "moov/mvhd") & b["error"].isNull()), F.lit(0)),
-        lambda b: _payload(b, F.col("movie")),
-    )
-    rows = walked.select("file_id", F.inline_outer(F.array(F.struct(payload.alias("payload")))))
+    rows = walked.select("file_id", F.inline_outer(F.array(F.struct(movie_header_payload().alias("payload")))))
     p, version = F.col("payload"), u8(F.col("payload"), 0)
     return rows.select(
         "file_id",
@@ -491,6 +500,33 @@ def sound(parts: DataFrame) -> DataFrame:
     return parts.where(refusal().isNull())
 
 
+def totals(parts: DataFrame) -> DataFrame:
+    """What ``samples.totals`` says, of the tracks that say nothing wrong and list a sample, from their tables alone.
+
+    Every table is in its track's row, so nothing is listed sample by sample or exchanged.
+    """
+    constant, given = size_lists()
+    p, c, v = F.col("stsz"), F.col("ctts"), u8(F.col("ctts"), 0)
+    declared = u32(p, 8).cast("bigint")
+    repeated = p.isNotNull() & (constant != 0)
+    listed = let(given, lambda sizes: F.struct(
+        F.size(sizes).cast("bigint").alias("sample_count"), _total(F.transform(sizes, lambda s: s["size"].cast("bigint"))).alias("sample_bytes")
+    ))
+    summed = F.when(repeated, F.struct(declared.alias("sample_count"), (declared * constant).cast("bigint").alias("sample_bytes"))).otherwise(listed)
+    moves = _records(c, 8, 8, lambda at: F.when(v == 0, u32(c, at + 4)).otherwise(i32(c, at + 4)))
+    syncs = _counted(F.col("stss"), 8, 4).cast("bigint")
+    rows = sound(parts).select(
+        "file_id",
+        "track_index",
+        F.when(syncs > 0, syncs).alias("listed"),
+        F.coalesce(F.exists(moves, lambda o: o != 0), F.lit(False)).alias("composition_offsets"),
+        F.inline_outer(F.array(summed)),
+    )
+    return rows.where("sample_count > 0").select(
+        "file_id", "track_index", "sample_count", "sample_bytes", F.coalesce("listed", "sample_count").alias("sync_sample_count"), "composition_offsets"
+    )
+
+
 def duration_ms(duration: Column, timescale: Column) -> Column:
     """Whole milliseconds, NULL when the timescale is zero."""
     scaled = (duration.cast("decimal(20,0)") * 1000).cast("decimal(28,0)")

@@ -59,7 +59,7 @@ def clipped_tails(spark, d):
     f"""WITH {ROWS} SELECT file_id, path, "offset", row_number() OVER (PARTITION BY file_id ORDER BY "offset") - 1 AS place FROM b""",
 )
 def paths_in_file_order(spark, d):
-    return B.in_file_order(rows(spark, d)).select("file_id", "path", "offset", "place")
+    return B.boxes_in_file_order(B.whole_files(files(spark, d))).select("file_id", "path", "offset", "place")
 
 
 @query(

@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 from strongroom.operators import boxes as B
 from strongroom.operators import headers as C
 from strongroom.operators import media
-from strongroom.operators import samples as S
 from strongroom.plans.recordings import LAYOUT, REFUSED, SAMPLES, faulty, files, listed
 from strongroom.plans.registry import query, table
-from strongroom.sources.stored import stored
 
 
 @lru_cache(maxsize=32)
@@ -238,5 +236,4 @@ def refused_tracks(spark, d):
 )
 def gated_totals(spark, d):
     """Totals of the tracks that say nothing wrong, from their tables alone."""
-    _, _, stsz, _, stss, ctts = C.run_tables(stored(C.track_parts(B.walk_tracks(B.whole_files(faulty(spark, d)), *C.TABLES))))
-    return S.totals(stsz, stss, ctts).drop("composition_offsets")
+    return C.totals(C.track_parts(B.walk_tracks(B.whole_files(faulty(spark, d)), *C.TABLES))).drop("composition_offsets")

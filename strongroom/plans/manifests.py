@@ -31,12 +31,11 @@ from strongroom.plans.sources import JSON, order_documents
 )
 def track_records(spark, d):
     parts = stored_parts(spark, d)
-    _, _, stsz, _, stss, ctts = C.run_tables(parts)
     payload = media.digests(media_places(files(spark, d)), stream=False).select(*S.TRACK, "payload_sha256", "payload_version")
     configured = C.sample_entries(parts).select(*S.TRACK, E.sha256("configuration_payload").alias("configuration_sha256"))
     prints = configured.join(payload, S.TRACK, "left")
     edits = C.edit_lists(parts).groupBy(*S.TRACK).agg(F.count(F.lit(1)).alias("edits"))
-    records = M.track_records(C.tracks(parts), S.totals(stsz, stss, ctts), prints).join(edits, S.TRACK, "left")
+    records = M.track_records(C.tracks(parts), C.totals(parts), prints).join(edits, S.TRACK, "left")
     return records.withColumn("edits", F.coalesce("edits", F.lit(0))).drop(
         "handler_name",
         "compressor",
