@@ -72,6 +72,7 @@ _TRACK = (
     f"table_children:string,entry_children:string,{','.join(f'{kind}:binary' for kind in RUN_TABLES)}>"
 )
 _TREE = f"boxes:array<{_BOX}>,movie_offset:bigint,movie_size:bigint"
+_SEGMENTS = "segments:array<struct<offset:bigint,bytes:binary>>"
 # Bytes of a file in which ranges and what is held of it meet.
 BUCKET = 1 << 20
 
@@ -103,10 +104,12 @@ def opens_a_file(head: Column) -> Column:
 RULES = {
     "MOVIE_BOX_CAP": MOVIE_BOX_CAP,
     "FILE_TYPE_BOX_CAP": FILE_TYPE_BOX_CAP,
+    "UNKNOWN_BOX_HOLD_CAP": UNKNOWN_BOX_HOLD_CAP,
     "MAX_DEPTH": MAX_DEPTH,
     "MAX_CHILDREN": MAX_CHILDREN,
     "MAX_TOP_LEVEL": MAX_TOP_LEVEL,
     "OPENING": OPENING,
+    "STEPPED_OVER": STEPPED_OVER,
     "DESCENDED": DESCENDED,
     "VISUAL": VISUAL,
     "AUDIO": AUDIO,
@@ -143,13 +146,64 @@ def walk_boxes(files: DataFrame) -> DataFrame:
     return _trees(files, F.arrow_udf(walker(RULES, None), f"struct<{_TREE}>"))
 
 
+def _walked(files: DataFrame, made, tracks=None, **asked) -> Column:
+    """The walk over segments; or, of files that have none, over contents.
+
+    Contents that a function makes in the same plan go to the walk where they are made: both run in one pass.
+    """
+    held = ("length", "segments") if "segments" in files.columns else ("content",)
+    return F.arrow_udf(walker(RULES, tracks, whole=len(held) == 1, **asked), made)(*held)
+
+
+def list_boxes(files: DataFrame, *names: str, path: str | None = None) -> DataFrame:
+    """Adds only ``boxes``, for what needs no bytes, with the named columns of a box beside its offset and error.
+
+    Without names a box has all its columns. Where a path is named, only the boxes that have it or lie above it are listed.
+    ``files`` have segments, or ``content`` where they are held whole.
+    """
+    every = T._parse_datatype_string(_BOX)
+    if unknown := set(names) - set(every.names):
+        raise ValueError(f"unknown columns of a box: {sorted(unknown)}")
+    asked = {"offset", "error", *names} if names else set(every.names)
+    box = T.StructType([f for f in every.fields if f.name in asked])
+    return files.withColumn("boxes", _walked(files, T.ArrayType(box), movie=False, path=path, names=tuple(box.names)))
+
+
+def walk_held(files: DataFrame, *names: str) -> DataFrame:
+    """The walk of files with ``content`` for what looks at bytes of held boxes: ``segments`` are the held top-level boxes,
+    ``boxes`` have the named columns beside what tells which are held, or all, ``movie`` is the movie box. No media leaves
+    the walk.
+    """
+    every = T._parse_datatype_string(_BOX)
+    if unknown := set(names) - set(every.names):
+        raise ValueError(f"unknown columns of a box: {sorted(unknown)}")
+    asked = {"kind", "offset", "size", "clipped", "error", "depth", *names} if names else set(every.names)
+    box = T.StructType([f for f in every.fields if f.name in asked])
+    made = T._parse_datatype_string(f"boxes:array<{box.simpleString()}>,movie_offset:bigint,movie_size:bigint,{_SEGMENTS}")
+    walked = files.withColumn("__w", _walked(files, made, names=tuple(box.names), holds=True))
+    walked = walked.select(*[c for c in files.columns if c not in ("content", "segments")], "__w.*")
+    movie = F.struct(F.col("movie_offset").alias("offset"), read(F.col("segments"), F.col("movie_offset"), F.col("movie_size")).alias("bytes"))
+    return walked.withColumn("movie", movie).drop("movie_offset", "movie_size")
+
+
+def walk_types(files: DataFrame) -> DataFrame:
+    """The top level of files with ``content``, with the file type boxes as ``segments``: nothing else leaves the walk."""
+    made = f"struct<boxes:array<{_BOX}>,{_SEGMENTS}>"
+    walked = files.withColumn("__w", _walked(files, made, below=False, holds=("ftyp",)))
+    return walked.select(*[c for c in files.columns if c not in ("content", "segments")], "__w.*")
+
+
 def walk_tracks(files: DataFrame, *names: str) -> DataFrame:
-    """Adds only ``tracks``, each with its number and the named columns: no box is listed, no other payload cut or sent."""
+    """Adds only ``tracks``, each with its number and the named columns: no box is listed, no other payload cut or sent,
+    and no container entered that holds none of them.
+
+    ``files`` have segments, or ``content`` where they are held whole.
+    """
     every = T._parse_datatype_string(_TRACK)
     track = T.StructType([f for f in every.fields if f.name == "track_index" or f.name in names])
     if len(track) <= len(set(names) - {"track_index"}):
         raise ValueError(f"unknown columns of a track: {sorted(set(names) - set(every.names))}")
-    return files.withColumn("tracks", F.arrow_udf(walker(RULES, to_arrow_type(track), boxes=False), T.ArrayType(track))("length", "segments"))
+    return files.withColumn("tracks", _walked(files, T.ArrayType(track), to_arrow_type(track), boxes=False))
 
 
 def walk_top(files: DataFrame) -> DataFrame:
@@ -157,8 +211,7 @@ def walk_top(files: DataFrame) -> DataFrame:
 
     What the top level shows needs no more, whatever the movie box holds.
     """
-    top = F.arrow_udf(walker(RULES, None, below=False), f"array<{_BOX}>")
-    return files.withColumn("boxes", top("length", "segments"))
+    return files.withColumn("boxes", _walked(files, f"array<{_BOX}>", below=False))
 
 
 def boxes(walked: DataFrame, *keep: str) -> DataFrame:

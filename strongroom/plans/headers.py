@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from strongroom.operators import boxes as B
 from strongroom.operators import headers as C
 from strongroom.operators import media
-from strongroom.plans.recordings import LAYOUT, REFUSED, SAMPLES, faulty, files, listed
+from strongroom.plans.recordings import LAYOUT, REFUSED, SAMPLES, faulty, files
 from strongroom.plans.registry import query, table
 
 
 @lru_cache(maxsize=32)
 def parts(spark, d, *names):
     """The tracks of the corpus with the named columns, which are all that the walk cuts and sends."""
-    return C.track_parts(B.walk_tracks(B.whole_files(files(spark, d)), *names))
+    return C.track_parts(B.walk_tracks(files(spark, d), *names))
 
 
 ENTRY = ("stsd", "entry_kind", "entry_header", "entry", "configuration")
@@ -32,7 +32,7 @@ TRACKS = f"""{LAYOUT}, t AS (
     "SELECT o_orderkey AS file_id, 'isom' AS major_brand, 512 AS minor_version, 'isom avc1' AS compatible_brands FROM orders",
 )
 def file_type(spark, d):
-    return C.file_types(B.walk_top(B.whole_files(files(spark, d)))).withColumn("compatible_brands", F.array_join("compatible_brands", " "))
+    return C.file_types(B.walk_types(files(spark, d))).withColumn("compatible_brands", F.array_join("compatible_brands", " "))
 
 
 @query(
@@ -40,7 +40,7 @@ def file_type(spark, d):
     f"WITH {LAYOUT} SELECT file_id, 0 AS version, created AS creation_time, 60000 AS timescale, n * 2000 AS duration, 3 AS next_track_id FROM f",
 )
 def movie_header(spark, d):
-    found = C.movie_headers(listed(spark, d)).where("error IS NULL")
+    found = C.movie_headers(B.walk_held(files(spark, d), "path", "header")).where("error IS NULL")
     return found.select("file_id", "version", "creation_time", "timescale", "duration", "next_track_id")
 
 

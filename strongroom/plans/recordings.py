@@ -16,6 +16,9 @@ from strongroom.sources import corpus
 from strongroom.plans.registry import table
 from strongroom.sources.stored import stored
 
+# Files that one task writes and reads again, at most or about.
+FILES_A_TASK = 1 << 16
+
 
 def specifications(spark, d: str) -> DataFrame:
     o = table(spark, d, "orders")
@@ -46,8 +49,10 @@ def specifications(spark, d: str) -> DataFrame:
         top_vendor=status == "F",
         tail=F.when((status == "O") & (priority == "5-LOW"), 5).otherwise(0),
     )
-    # A row of a few numbers becomes a file: the rows are spread before they grow.
-    return specs.repartition(spark.sparkContext.defaultParallelism, "file_id")
+    # A row of a few numbers becomes a file: the rows are spread before they grow, into tasks of a bounded number of files
+    # however many cores there are, or are known of yet.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-o.count() // FILES_A_TASK))
+    return specs.repartition(tasks, "file_id")
 
 
 @lru_cache(maxsize=8)
