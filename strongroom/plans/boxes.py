@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 
 from strongroom.functions.bytes import shown, slice_
 from strongroom.operators import boxes as B
-from strongroom.plans.recordings import FAULTS, LAYOUT, ROWS, damaged, files, inventory, listed
+from strongroom.plans.recordings import FAULTS, LAYOUT, ROWS, damaged, files, inventory
 from strongroom.plans.registry import query, table
 
 
-def rows(spark, d):
-    return B.boxes(listed(spark, d))
+def rows(spark, d, *names):
+    """The boxes of the corpus with the named columns, which are all that the walk makes."""
+    return B.boxes(B.list_boxes(files(spark, d), *names))
 
 
 def top(spark, d):
     """The top level alone, which is walked without what lies below."""
-    return B.boxes(B.walk_top(B.whole_files(files(spark, d))))
+    return B.boxes(B.walk_top(files(spark, d)))
 
 
 @query(
@@ -24,7 +25,7 @@ def top(spark, d):
     f"WITH {ROWS} SELECT file_id, regexp_extract(path, '[^/]*$') AS kind, \"offset\", size, header FROM b WHERE header > 0",
 )
 def header_decode(spark, d):
-    found = rows(spark, d).where("header > 0")
+    found = rows(spark, d, "kind", "size", "header").where("header > 0")
     return found.select("file_id", shown(F.col("kind")).alias("kind"), "offset", "size", "header")
 
 
@@ -41,12 +42,12 @@ def top_level_walk(spark, d):
     f"""WITH {ROWS} SELECT file_id, path, "offset", size, length(path) - length(replace(path, '/', '')) AS depth FROM b""",
 )
 def nested_enumeration(spark, d):
-    return rows(spark, d).select("file_id", "path", "offset", "size", "depth")
+    return rows(spark, d, "path", "size", "depth").select("file_id", "path", "offset", "size", "depth")
 
 
 @query("b4_fixed_fields", f"WITH {ROWS} SELECT file_id, path, \"offset\", fields FROM b WHERE fields > 0")
 def fixed_fields(spark, d):
-    return rows(spark, d).where("fields > 0").select("file_id", "path", "offset", "fields")
+    return rows(spark, d, "path", "fields").where("fields > 0").select("file_id", "path", "offset", "fields")
 
 
 @query("b6_clipped_tails", f"WITH {LAYOUT} SELECT file_id, length - tail AS \"offset\", tail AS size FROM f WHERE tail > 0")
@@ -67,7 +68,8 @@ def paths_in_file_order(spark, d):
     f"""WITH {ROWS} SELECT file_id, min("offset") AS "offset" FROM b WHERE path = 'moov/trak/mdia/minf/stbl/stsd' GROUP BY 1""",
 )
 def descend(spark, d):
-    return B.descend(listed(spark, d), "moov", ["trak", "mdia", "minf", "stbl", "stsd"]).select("file_id", "offset")
+    path = ["moov", "trak", "mdia", "minf", "stbl", "stsd"]
+    return B.descend(B.list_boxes(files(spark, d), path="/".join(path)), path[0], path[1:]).select("file_id", "offset")
 
 
 @query(
@@ -129,7 +131,7 @@ def unknown_top_level(spark, d):
 
 @query("b14_user_data_children", f"WITH {ROWS} SELECT file_id, path, \"offset\", size FROM b WHERE starts_with(path, 'moov/udta/')")
 def user_data_children(spark, d):
-    return B.children_at(listed(spark, d), "moov/udta").select("file_id", "path", "offset", "size")
+    return B.children_at(B.list_boxes(files(spark, d)), "moov/udta").select("file_id", "path", "offset", "size")
 
 
 @query(
@@ -137,7 +139,7 @@ def user_data_children(spark, d):
     f"WITH {ROWS} SELECT file_id, \"offset\", path = 'moov/udta/name' AS standard FROM b WHERE starts_with(path, 'moov/udta/')",
 )
 def standard_kinds(spark, d):
-    found = rows(spark, d).where("path LIKE 'moov/udta/%'")
+    found = rows(spark, d, "kind", "path").where("path LIKE 'moov/udta/%'")
     return found.select("file_id", "offset", B.is_standard(F.col("kind")).alias("standard"))
 
 
@@ -146,7 +148,7 @@ def standard_kinds(spark, d):
     f"WITH {ROWS} SELECT regexp_extract(path, '[^/]*$') AS kind, count(*) AS boxes FROM b GROUP BY 1",
 )
 def kind_display(spark, d):
-    return rows(spark, d).groupBy(shown(F.col("kind")).alias("kind")).agg(F.count(F.lit(1)).alias("boxes"))
+    return rows(spark, d, "kind").groupBy(shown(F.col("kind")).alias("kind")).agg(F.count(F.lit(1)).alias("boxes"))
 
 
 @query(
@@ -154,7 +156,7 @@ def kind_display(spark, d):
     f"""WITH {ROWS} SELECT file_id, path, "offset", CASE WHEN path = 'mdat' OR header = 0 THEN NULL ELSE size END AS held FROM b""",
 )
 def held_bytes(spark, d):
-    return B.held_bytes(listed(spark, d)).select("file_id", "path", "offset", F.length("bytes").cast("bigint").alias("held"))
+    return B.held_bytes(B.walk_held(files(spark, d), "path")).select("file_id", "path", "offset", F.length("bytes").cast("bigint").alias("held"))
 
 
 @query(
