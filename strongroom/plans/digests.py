@@ -11,7 +11,7 @@ from strongroom.operators import digests as E
 from strongroom.operators import headers as C
 from strongroom.operators import media as M
 from strongroom.plans.headers import CONFIGURATION, ENTRY, TRACKS, parts
-from strongroom.plans.recordings import LAYOUT, REFUSED, ROWS, SAMPLES, SPLITS_NOT, faulty, files, inventory, listed
+from strongroom.plans.recordings import LAYOUT, REFUSED, ROWS, SAMPLES, SPLITS_NOT, faulty, files, inventory
 from strongroom.plans.registry import by_moment, query, table
 from strongroom.sources.stored import stored
 
@@ -103,7 +103,7 @@ def structural_listing(spark, d):
 )
 def structural_fingerprint(spark, d):
     tracks = parts(spark, d, "tkhd", "mdhd", "hdlr", *ENTRY, "track_children", "table_children", "entry_children")
-    return E.structural_fingerprints(listed(spark, d), tracks).select(
+    return E.structural_fingerprints(B.walk_held(files(spark, d)), tracks).select(
         "file_id", "sha256", F.size("observations").cast("bigint").alias("lines")
     )
 
@@ -242,5 +242,5 @@ def elementary_stream(spark, d):
         FROM b WHERE path = 'zzzz' OR starts_with(path, 'moov/udta/')""",
 )
 def vendor_digest(spark, d):
-    held = B.held_bytes(listed(spark, d)).where("path LIKE 'moov/udta/%' OR path = 'zzzz'")
+    held = B.held_bytes(B.walk_held(files(spark, d), "path")).where("path LIKE 'moov/udta/%' OR path = 'zzzz'")
     return held.select("file_id", "path", "offset", E.sha256("bytes").alias("sha256"))

@@ -10,7 +10,7 @@ from strongroom.operators import manifest as M
 from strongroom.operators import headers as C
 from strongroom.operators import media
 from strongroom.plans.digests import media_places
-from strongroom.plans.recordings import FAULTS, LAYOUT, SAMPLES, damaged, files, inventory, listed
+from strongroom.plans.recordings import FAULTS, LAYOUT, SAMPLES, damaged, files, inventory
 from strongroom.plans.registry import query, table
 from strongroom.plans.samples import lines
 from strongroom.sources import archive, cache
@@ -204,7 +204,7 @@ def probe_summary(spark, d):
 
 @query("h5_foreign_tags", f"WITH {LAYOUT} SELECT file_id, 'Lavf' AS tags FROM f WHERE st = 'P' AND pr <> '3-MEDIUM'")
 def foreign_tags(spark, d):
-    boxes = probe_boxes(listed(spark, d))
+    boxes = probe_boxes(B.walk_held(files(spark, d), "path"))
     found = L.foreign_tags(boxes.where("place = 'user_data'"))
     return found.select("file_id", F.array_join("foreign_muxer_tags", ",").alias("tags"))
 
@@ -214,6 +214,6 @@ def foreign_tags(spark, d):
     f"""WITH {LAYOUT} SELECT file_id, CASE WHEN pr = '3-MEDIUM' THEN 0 ELSE 1 END + (st = 'F')::INT AS vendor_boxes FROM f""",
 )
 def vendor_count(spark, d):
-    boxes = probe_boxes(listed(spark, d))
+    boxes = probe_boxes(B.walk_held(files(spark, d), "path"))
     counted = ((F.col("place") == "user_data") & ~F.col("standard")) | (F.col("place") == "unknown")
     return boxes.groupBy("file_id").agg(F.count_if(counted).alias("vendor_boxes"))
