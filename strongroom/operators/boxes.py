@@ -169,18 +169,28 @@ def list_boxes(files: DataFrame, *names: str, path: str | None = None) -> DataFr
     return files.withColumn("boxes", _walked(files, T.ArrayType(box), movie=False, path=path, names=tuple(box.names)))
 
 
-def walk_held(files: DataFrame, *names: str) -> DataFrame:
+def _track(*names: str) -> T.StructType:
+    """The type of a track with its number and the named columns."""
+    every = T._parse_datatype_string(_TRACK)
+    if unknown := set(names) - set(every.names):
+        raise ValueError(f"unknown columns of a track: {sorted(unknown)}")
+    return T.StructType([f for f in every.fields if f.name == "track_index" or f.name in names])
+
+
+def walk_held(files: DataFrame, *names: str, tracks: tuple[str, ...] = ()) -> DataFrame:
     """The walk of files with ``content`` for what looks at bytes of held boxes: ``segments`` are the held top-level boxes,
     ``boxes`` have the named columns beside what tells which are held, or all, ``movie`` is the movie box. No media leaves
-    the walk.
+    the walk. Where columns of a track are named, ``tracks`` are there too, each with its number and these.
     """
     every = T._parse_datatype_string(_BOX)
     if unknown := set(names) - set(every.names):
         raise ValueError(f"unknown columns of a box: {sorted(unknown)}")
     asked = {"kind", "offset", "size", "clipped", "error", "depth", *names} if names else set(every.names)
     box = T.StructType([f for f in every.fields if f.name in asked])
-    made = T._parse_datatype_string(f"boxes:array<{box.simpleString()}>,movie_offset:bigint,movie_size:bigint,{_SEGMENTS}")
-    walked = files.withColumn("__w", _walked(files, made, names=tuple(box.names), holds=True))
+    track = _track(*tracks) if tracks else None
+    described = f",tracks:array<{track.simpleString()}>" if tracks else ""
+    made = T._parse_datatype_string(f"boxes:array<{box.simpleString()}>,movie_offset:bigint,movie_size:bigint,{_SEGMENTS}{described}")
+    walked = files.withColumn("__w", _walked(files, made, track and to_arrow_type(track), names=tuple(box.names), holds=True))
     walked = walked.select(*[c for c in files.columns if c not in ("content", "segments")], "__w.*")
     movie = F.struct(F.col("movie_offset").alias("offset"), read(F.col("segments"), F.col("movie_offset"), F.col("movie_size")).alias("bytes"))
     return walked.withColumn("movie", movie).drop("movie_offset", "movie_size")
@@ -199,10 +209,7 @@ def walk_tracks(files: DataFrame, *names: str) -> DataFrame:
 
     ``files`` have segments, or ``content`` where they are held whole.
     """
-    every = T._parse_datatype_string(_TRACK)
-    track = T.StructType([f for f in every.fields if f.name == "track_index" or f.name in names])
-    if len(track) <= len(set(names) - {"track_index"}):
-        raise ValueError(f"unknown columns of a track: {sorted(set(names) - set(every.names))}")
+    track = _track(*names)
     return files.withColumn("tracks", _walked(files, T.ArrayType(track), to_arrow_type(track), boxes=False))
 
 
@@ -380,6 +387,16 @@ def gaps(rows: DataFrame, parents: DataFrame) -> DataFrame:
     return facts.where("first IS NOT NULL AND start IS NOT NULL").select(*keys, "breaks", tiles.alias("tiles"))
 
 
+def tilings(files: DataFrame) -> DataFrame:
+    """``gaps`` of the boxes of files, with no exchange: the walk has the children of every box. The parent of the boxes
+    of the top level is -1.
+
+    ``files`` have segments, or ``content`` where they are held whole.
+    """
+    made = _walked(files, "array<struct<parent:bigint,breaks:bigint,tiles:boolean>>", tiles=True)
+    return files.select("file_id", made.alias("tilings")).select("file_id", F.inline_outer("tilings")).where("parent IS NOT NULL")
+
+
 def coverage(ranges: DataFrame, parents: DataFrame, block: Column) -> DataFrame:
     """Where the ranges of a parent leave it uncovered or lie on each other, and where they end short of it or past it.
 

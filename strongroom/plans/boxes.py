@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strongroom.functions.bytes import shown, slice_
 from strongroom.operators import boxes as B
-from strongroom.plans.recordings import FAULTS, LAYOUT, ROWS, damaged, files, inventory
+from strongroom.plans.recordings import FAULTS, LAYOUT, ROWS, damaged, files
 from strongroom.plans.registry import query, table
 
 
@@ -80,14 +80,7 @@ def descend(spark, d):
         SELECT file_id, parent, 0 AS breaks, true AS tiles FROM p""",
 )
 def tiling(spark, d):
-    found = inventory(spark, d)
-    every = B.boxes(found, "length").withColumn("parent", F.coalesce("parent", F.lit(-1).cast("bigint")))
-    start = F.col("offset") + F.col("header") + F.col("fields")
-    holders = every.select("file_id", F.col("offset").alias("parent"), start.alias("start"), (F.col("offset") + F.col("size")).alias("end"))
-    whole = every.where("ord = 0 AND depth = 0").select(
-        "file_id", "parent", F.lit(0).cast("bigint").alias("start"), F.col("length").alias("end")
-    )
-    return B.gaps(every, holders.unionByName(whole))
+    return B.tilings(files(spark, d))
 
 
 RANGES = """
