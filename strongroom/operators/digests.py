@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,7 @@ from strongroom.functions.bytes import one_of, shown, u8, u32
 from strongroom.operators.boxes import KNOWN_TOP_LEVEL
 from strongroom.operators.headers import brands, file_type_payload, header_error, movie_header_payload
 from strongroom.operators.headers import tracks as typed_tracks
+from strongroom.operators.headers import typed
 from strongroom.operators.running import by_rows, running_totals
 
 # Functions that run in workers are shipped by value: a cluster needs no installed package.
@@ -295,11 +296,33 @@ def _quoted(text: Column) -> Column:
     return F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\])', r"\\$1"), F.lit('"'))
 
 
-def structural_fingerprints(walked: DataFrame, parts: DataFrame) -> DataFrame:
+def _track_line(part: Callable[[str], Column]) -> Column:
+    """What a track's shape shows; ``part`` gives a typed column by its name."""
+    return F.concat_ws(
+        " ",
+        F.lit("track"),
+        part("track_index"),
+        part("kind"),
+        part("coding"),
+        F.concat(F.lit("["), part("entry_children"), F.lit("]")),
+        F.lit("compressor"),
+        _quoted(F.coalesce(part("compressor"), F.lit(""))),
+        F.lit("handler"),
+        _quoted(part("handler_name")),
+        F.lit("flags"),
+        F.concat(F.lit("0x"), F.lower(F.hex(part("flags")))),
+        F.lit("timescale"),
+        part("timescale"),
+        F.concat(F.lit("trak ["), part("track_children"), F.lit("]")),
+        F.concat(F.lit("stbl ["), part("table_children"), F.lit("]")),
+    )
+
+
+def structural_fingerprints(walked: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """What a container's shape shows, one observation per line, and the digest of the lines.
 
-    A listing is bounded by the caps of the walk, so it is built in the file's own row, its brands and its scale too;
-    only the tracks join it.
+    A listing is bounded by the caps of the walk, so it is built in the file's own row, its brands, its scale and its
+    tracks too. Only ``parts``, where tracks are given as rows of their own, join it.
     """
     top = F.filter("boxes", lambda b: (b["depth"] == 0) & b["error"].isNull())
     kinds = lambda boxes: F.array_join(F.transform(boxes, lambda b: shown(b["kind"])), " ")
@@ -312,6 +335,7 @@ def structural_fingerprints(walked: DataFrame, parts: DataFrame) -> DataFrame:
     under = lambda path: F.filter(
         "boxes", lambda b: (b["depth"] == path.count("/")) & b["path"].startswith(path) & b["error"].isNull()
     )
+    tracks = F.transform("tracks", lambda t: _track_line(typed(lambda name: t[name]).__getitem__))
     shape = walked.select(
         "file_id",
         F.concat(F.lit("top-level "), kinds(top)).alias("order"),
@@ -319,6 +343,7 @@ def structural_fingerprints(walked: DataFrame, parts: DataFrame) -> DataFrame:
         listed("top-level-clipped ", tail).alias("tail"),
         F.concat(F.lit("moov "), kinds(under("moov/"))).alias("movie_children"),
         listed("udta ", under("moov/udta/")).alias("user_data"),
+        *([tracks.alias("tracks")] if parts is None else []),
         F.inline_outer(F.array(F.struct(file_type_payload().alias("type"), movie_header_payload().alias("header")))),
     )
     major, compatible = brands(F.col("type"))
@@ -332,30 +357,10 @@ def structural_fingerprints(walked: DataFrame, parts: DataFrame) -> DataFrame:
             "scale": F.when(read_well, F.array(F.concat(F.lit("movie-timescale "), scale))),
         }
     ).drop("type", "header")
-    t = typed_tracks(parts)
-    line = F.concat_ws(
-        " ",
-        F.lit("track"),
-        "track_index",
-        "kind",
-        "coding",
-        F.concat(F.lit("["), F.col("entry_children"), F.lit("]")),
-        F.lit("compressor"),
-        _quoted(F.coalesce("compressor", F.lit(""))),
-        F.lit("handler"),
-        _quoted(F.col("handler_name")),
-        F.lit("flags"),
-        F.concat(F.lit("0x"), F.lower(F.hex("flags"))),
-        F.lit("timescale"),
-        "timescale",
-        F.concat(F.lit("trak ["), F.col("track_children"), F.lit("]")),
-        F.concat(F.lit("stbl ["), F.col("table_children"), F.lit("]")),
-    )
-    tracks = (
-        t.select("file_id", F.struct("track_index", line.alias("line")).alias("t"))
-        .groupBy("file_id")
-        .agg(F.transform(F.sort_array(F.collect_list("t")), lambda x: x["line"]).alias("tracks"))
-    )
+    if parts is not None:
+        t = typed_tracks(parts).select("file_id", F.struct("track_index", _track_line(F.col).alias("line")).alias("t"))
+        listing = t.groupBy("file_id").agg(F.transform(F.sort_array(F.collect_list("t")), lambda x: x["line"]).alias("tracks"))
+        shape = shape.join(listing, "file_id", "left")
     none = F.array().cast("array<string>")
     lines = F.concat(
         F.coalesce("brands", F.array(F.lit("brand none"))),
@@ -368,7 +373,6 @@ def structural_fingerprints(walked: DataFrame, parts: DataFrame) -> DataFrame:
         F.coalesce("tracks", none),
     )
     return (
-        shape.join(tracks, "file_id", "left")
-        .select("file_id", lines.alias("observations"))
+        shape.select("file_id", lines.alias("observations"))
         .withColumn("sha256", sha256(F.array_join("observations", "\n")))
     )

@@ -6,6 +6,8 @@ generator and no join. Fields are fixed-offset expressions over the payloads.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,8 +278,8 @@ def _records(payload: Column, head: int, width: int, make) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: make(i * width + head)))
 
 
-def edit_lists(parts: DataFrame) -> DataFrame:
-    """Edit list entries, one row each; the media time is signed."""
+def edits() -> Column:
+    """The entries of a track's edit list as an array, NULL where it lists none; the media time is signed."""
     p, v = F.col("elst"), u8(F.col("elst"), 0)
     narrow = _records(
         p,
@@ -293,8 +295,12 @@ def edit_lists(parts: DataFrame) -> DataFrame:
         20,
         lambda at: F.struct(u64(p, at).alias("segment_duration"), i64(p, at + 8).alias("media_time"), u32(p, at + 16).alias("media_rate")),
     )
-    entries = F.when(v == 0, narrow).when(v == 1, wide)
-    return parts.where("elst IS NOT NULL").select("file_id", "track_index", F.posexplode(entries).alias("ord", "e")).select(
+    return F.when(v == 0, narrow).when(v == 1, wide)
+
+
+def edit_lists(parts: DataFrame) -> DataFrame:
+    """Edit list entries, one row each."""
+    return parts.where("elst IS NOT NULL").select("file_id", "track_index", F.posexplode(edits()).alias("ord", "e")).select(
         "file_id", "track_index", "ord", "e.*"
     )
 
@@ -500,11 +506,8 @@ def sound(parts: DataFrame) -> DataFrame:
     return parts.where(refusal().isNull())
 
 
-def totals(parts: DataFrame) -> DataFrame:
-    """What ``samples.totals`` says, of the tracks that say nothing wrong and list a sample, from their tables alone.
-
-    Every table is in its track's row, so nothing is listed sample by sample or exchanged.
-    """
+def _totalled() -> tuple[Column, Column, Column]:
+    """Count and bytes of a sound track's samples, how many sync samples it lists, and whether any is moved."""
     constant, given = size_lists()
     p, c, v = F.col("stsz"), F.col("ctts"), u8(F.col("ctts"), 0)
     declared = u32(p, 8).cast("bigint")
@@ -515,62 +518,90 @@ def totals(parts: DataFrame) -> DataFrame:
     summed = F.when(repeated, F.struct(declared.alias("sample_count"), (declared * constant).cast("bigint").alias("sample_bytes"))).otherwise(listed)
     moves = _records(c, 8, 8, lambda at: F.when(v == 0, u32(c, at + 4)).otherwise(i32(c, at + 4)))
     syncs = _counted(F.col("stss"), 8, 4).cast("bigint")
+    return summed, F.when(syncs > 0, syncs), F.coalesce(F.exists(moves, lambda o: o != 0), F.lit(False))
+
+
+def totals(parts: DataFrame) -> DataFrame:
+    """What ``samples.totals`` says, of the tracks that say nothing wrong and list a sample, from their tables alone.
+
+    Every table is in its track's row, so nothing is listed sample by sample or exchanged.
+    """
+    summed, listed, moved = _totalled()
     rows = sound(parts).select(
-        "file_id",
-        "track_index",
-        F.when(syncs > 0, syncs).alias("listed"),
-        F.coalesce(F.exists(moves, lambda o: o != 0), F.lit(False)).alias("composition_offsets"),
-        F.inline_outer(F.array(summed)),
+        "file_id", "track_index", listed.alias("listed"), moved.alias("composition_offsets"), F.inline_outer(F.array(summed))
     )
     return rows.where("sample_count > 0").select(
         "file_id", "track_index", "sample_count", "sample_bytes", F.coalesce("listed", "sample_count").alias("sync_sample_count"), "composition_offsets"
     )
 
 
+def with_totals(placed: DataFrame) -> DataFrame:
+    """Adds what ``totals`` says to rows of ``media.places``, NULL for a track with a reason or without a sample."""
+    summed, listed, moved = _totalled()
+    rows = placed.withColumn("__s", F.when(F.col("reason").isNull(), summed))
+    some = F.col("__s.sample_count") > 0
+    return rows.withColumns(
+        {
+            "sample_count": F.when(some, F.col("__s.sample_count")),
+            "sample_bytes": F.when(some, F.col("__s.sample_bytes")),
+            "sync_sample_count": F.when(some, F.coalesce(listed, F.col("__s.sample_count"))),
+            "composition_offsets": F.when(some, moved),
+        }
+    ).drop("__s")
+
+
 def duration_ms(duration: Column, timescale: Column) -> Column:
     """Whole milliseconds, NULL when the timescale is zero."""
     scaled = (duration.cast("decimal(20,0)") * 1000).cast("decimal(28,0)")
     return F.when(timescale != 0, F.floor(scaled / timescale.cast("decimal(20,0)"))).cast("bigint")
 
 
-def tracks(parts: DataFrame) -> DataFrame:
-    """Typed tracks, all narrow projections of one row per track."""
-    head = track_headers(parts, *[c for c in parts.columns if c not in ("file_id", "track_index")])
-    p, v = F.col("mdhd"), u8(F.col("mdhd"), 0)
+def typed(part: Callable[[str], Column]) -> dict[str, Column]:
+    """The typed columns of a track; ``part`` gives a part by its name, of a row of parts or of one of a file's tracks."""
+    t, p = part("tkhd"), part("mdhd")
+    u, v = u8(t, 0), u8(p, 0)
+    flags = unsigned(t, 1, 3)
     timescale = F.when(v == 0, u32(p, 12)).when(v == 1, u32(p, 20))
     ticks = versioned(p, v, 16, 24)
-    handler = slice_(F.col("hdlr"), 8, 4)
+    handler = slice_(part("hdlr"), 8, 4)
     kind = F.when(handler == code("vide"), "video").when(handler == code("soun"), "audio").otherwise(
         F.concat(F.lit("other:"), shown(handler))
     )
-    entry, at = F.col("entry"), F.col("entry_header")
-    visual, audio = one_of(F.col("entry_kind"), VISUAL), one_of(F.col("entry_kind"), AUDIO)
+    entry, at, entry_kind = part("entry"), part("entry_header"), part("entry_kind")
+    visual, audio = one_of(entry_kind, VISUAL), one_of(entry_kind, AUDIO)
     or_zero = lambda c: F.coalesce(c, F.lit(0))
     named = F.least(or_zero(u8(entry, at + 42)), F.lit(31))
-    a = avc_fields(F.col("configuration.payload"))
-    avc = (F.col("configuration.kind") == code("avcC")) & a["valid"]
-    return head.select(
-        "file_id",
-        "track_index",
-        "track_id",
-        kind.alias("kind"),
-        F.coalesce(shown(F.col("entry_kind")), F.lit("none")).alias("coding"),
-        F.when(avc, F.format_string("%s.%02X%02X%02X", shown(F.col("entry_kind")), a["profile"], a["compatibility"], a["level"])).alias("codec_string"),
-        F.when(visual, or_zero(u16(entry, at + 24))).alias("width"),
-        F.when(visual, or_zero(u16(entry, at + 26))).alias("height"),
-        F.when(audio, F.shiftright(or_zero(u32(entry, at + 24)), 16)).alias("sample_rate"),
-        F.when(audio, or_zero(u16(entry, at + 16))).alias("channels"),
-        timescale.alias("timescale"),
-        ticks.alias("duration_ticks"),
-        duration_ms(ticks, timescale).alias("duration_ms"),
-        "flags",
-        "enabled",
-        without_trailing_zeros(lossy_text(slice_(F.col("hdlr"), 24, F.length("hdlr") - 24))).alias("handler_name"),
-        F.when(visual, without_trailing_zeros(lossy_text(slice_(entry, at + 43, named)))).alias("compressor"),
-        shown(F.col("configuration.kind")).alias("configuration_kind"),
-        F.col("configuration.payload").alias("configuration_payload"),
-        F.when(avc, a["length_size"]).alias("nal_length_size"),
-        "track_children",
-        "table_children",
-        "entry_children",
-    )
+    configuration = part("configuration")
+    a = avc_fields(configuration["payload"])
+    avc = (configuration["kind"] == code("avcC")) & a["valid"]
+    return {
+        "track_index": part("track_index"),
+        "track_id": u32(t, F.when(u == 1, 20).otherwise(12)),
+        "kind": kind,
+        "coding": F.coalesce(shown(entry_kind), F.lit("none")),
+        "codec_string": F.when(avc, F.format_string("%s.%02X%02X%02X", shown(entry_kind), a["profile"], a["compatibility"], a["level"])),
+        "width": F.when(visual, or_zero(u16(entry, at + 24))),
+        "height": F.when(visual, or_zero(u16(entry, at + 26))),
+        "sample_rate": F.when(audio, F.shiftright(or_zero(u32(entry, at + 24)), 16)),
+        "channels": F.when(audio, or_zero(u16(entry, at + 16))),
+        "timescale": timescale,
+        "duration_ticks": ticks,
+        "duration_ms": duration_ms(ticks, timescale),
+        "flags": flags,
+        "enabled": flags.bitwiseAND(1) == 1,
+        "handler_name": without_trailing_zeros(lossy_text(slice_(part("hdlr"), 24, F.length(part("hdlr")) - 24))),
+        "compressor": F.when(visual, without_trailing_zeros(lossy_text(slice_(entry, at + 43, named)))),
+        "configuration_kind": shown(configuration["kind"]),
+        "configuration_payload": configuration["payload"],
+        "nal_length_size": F.when(avc, a["length_size"]),
+        **{name: part(name) for name in ("track_children", "table_children", "entry_children")},
+    }
+
+
+# The parts that the typed columns are made of.
+TYPED = ("tkhd", "mdhd", "hdlr", "stsd", "entry_kind", "entry_header", "entry", "configuration", "track_children", "table_children", "entry_children")
+
+
+def tracks(parts: DataFrame) -> DataFrame:
+    """Typed tracks, all narrow projections of one row per track."""
+    return parts.select("file_id", *[c.alias(name) for name, c in typed(F.col).items()])

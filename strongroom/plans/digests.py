@@ -102,8 +102,7 @@ def structural_listing(spark, d):
         SELECT file_id, sha256(string_agg(line, chr(10) ORDER BY r, s)) AS sha256, count(*) AS lines FROM l GROUP BY 1""",
 )
 def structural_fingerprint(spark, d):
-    tracks = parts(spark, d, "tkhd", "mdhd", "hdlr", *ENTRY, "track_children", "table_children", "entry_children")
-    return E.structural_fingerprints(B.walk_held(files(spark, d)), tracks).select(
+    return E.structural_fingerprints(B.walk_held(files(spark, d), tracks=C.TYPED)).select(
         "file_id", "sha256", F.size("observations").cast("bigint").alias("lines")
     )
 
