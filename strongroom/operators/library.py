@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strongroom.functions.binding import let
+from strongroom.functions.bytes import code, one_of, slice_, u8, versioned
+from strongroom.operators.boxes import KNOWN_TOP_LEVEL, is_standard
+from strongroom.operators.headers import movie_header_payload, typed
+from strongroom.operators.manifest import civil_1904
 
 # Extensions opened by a scan, and those a recording's name may carry.
 SCANNED_EXTENSIONS = ("mp4", "mov", "m4v", "3gp", "3g2")
@@ -120,62 +124,67 @@ def worth_opening(name: Column) -> Column:
     return F.coalesce(extension(name).isin(*SCANNED_EXTENSIONS), F.lit(False)) | parse_name(name).isNotNull()
 
 
-def probe_summary(tracks: DataFrame, boxes: DataFrame, movies: DataFrame) -> DataFrame:
+def probe_summary(walked: DataFrame) -> DataFrame:
     """Eleven facts per file from its tracks, its boxes and its movie header.
 
-    ``tracks(file_id, track_index, kind, enabled, width, height, duration_ms, compressor, handler_name)``;
-    ``boxes(file_id, place, kind, offset, standard, content)`` with place ``top_level``, ``user_data`` or
-    ``unknown``; ``movies(file_id, creation_time)``.
+    ``walked`` is a walk with ``boxes``, ``tracks`` and ``movie``. All of a file is in its row and bounded by the caps of
+    the walk, so each fact is worked out there: nothing is exchanged, joined or stored.
     """
-    video, audio = F.col("kind") == "video", F.col("kind") == "audio"
-    by_track = tracks.groupBy("file_id").agg(
-        F.count(F.when(video, 1)).alias("video_tracks"),
-        F.count(F.when(audio, 1)).alias("audio_tracks"),
-        F.count(F.when(video & F.col("enabled"), 1)).alias("enabled_video_tracks"),
-        F.min_by(F.when(video, F.struct("width", "height")), F.when(video, F.col("track_index"))).alias("first"),
-        F.max("duration_ms").alias("duration_ms"),
+    fine = F.filter("boxes", lambda b: b["error"].isNull() & b["offset"].isNotNull())
+    rows = walked.select("file_id", "movie", movie_header_payload().alias("header"), fine.alias("boxes"), _facts().alias("tracks"))
+    top = F.filter("boxes", lambda b: b["depth"] == 0)
+    under = F.filter("boxes", lambda b: b["path"].startswith("moov/udta/"))
+    unknown = lambda b: (b["depth"] == 0) & ~one_of(b["kind"], KNOWN_TOP_LEVEL) & ~b["clipped"]
+    own = lambda b: b["path"].startswith("moov/udta/") & ~is_standard(b["kind"])
+    at = lambda kind: F.array_min(F.transform(F.filter("top", lambda b: b["kind"] == code(kind)), lambda b: b["offset"]))
+    content = lambda b: slice_(F.col("movie.bytes"), b["offset"] - F.col("movie.offset"), b["size"])
+    foreign = F.transform(
+        "under", lambda b: F.struct(b["offset"].alias("offset"), let(content(b), _foreign).alias("tags"))
     )
-    tags = first_seen(
-        tracks.select(
-            "file_id",
-            F.posexplode(F.array("compressor", "handler_name")).alias("place", "tag"),
-            "track_index",
-        ).where("tag <> ''"),
-        ["file_id"],
-        "tag",
-        ["track_index", "place"],
-    ).withColumnRenamed("tags", "encoder_tags")
-    foreign = foreign_tags(boxes.where("place = 'user_data'"))
-    by_box = boxes.groupBy("file_id").agg(
-        moov_before_mdat().alias("moov_before_mdat"),
-        F.count(
-            F.when(((F.col("place") == "user_data") & ~F.col("standard")) | (F.col("place") == "unknown"), 1)
-        ).alias("vendor_boxes"),
+    version = u8(F.col("header"), 0)
+    many = lambda found: F.size(found).cast("bigint")
+    of = lambda kind: F.filter("tracks", lambda t: t["kind"] == kind)
+    found = rows.select(
+        "file_id",
+        "movie",
+        "tracks",
+        top.alias("top"),
+        under.alias("under"),
+        many(F.filter("boxes", lambda b: F.coalesce(own(b) | unknown(b), F.lit(False)))).alias("vendor_boxes"),
+        civil_1904(versioned(F.col("header"), version, 4, 4).cast("bigint")).alias("container_time"),
+        F.get(of("video"), F.lit(0)).alias("first"),
     )
-    return (
-        by_box.join(by_track, "file_id", "left")
-        .join(tags, "file_id", "left")
-        .join(foreign, "file_id", "left")
-        .join(movies, "file_id", "left")
-        .select(
-            "file_id",
-            *[F.coalesce(n, F.lit(0)).alias(n) for n in ("video_tracks", "audio_tracks", "enabled_video_tracks")],
-            "moov_before_mdat",
-            "vendor_boxes",
-            F.coalesce("encoder_tags", F.array().cast("array<string>")).alias("encoder_tags"),
-            F.col("first.width").alias("width"),
-            F.col("first.height").alias("height"),
-            "duration_ms",
-            "container_time",
-            F.coalesce("foreign_muxer_tags", F.array().cast("array<string>")).alias("foreign_muxer_tags"),
-        )
+    facts = F.struct(
+        many(of("video")).alias("video_tracks"),
+        many(of("audio")).alias("audio_tracks"),
+        many(F.filter("tracks", lambda t: (t["kind"] == "video") & t["enabled"])).alias("enabled_video_tracks"),
+        (at("moov") < at("mdat")).alias("moov_before_mdat"),
+        "vendor_boxes",
+        F.array_distinct(F.flatten(F.transform("tracks", lambda t: F.filter(t["names"], lambda name: name != "")))).alias("encoder_tags"),
+        F.col("first.width").alias("width"),
+        F.col("first.height").alias("height"),
+        F.array_max(F.transform("tracks", lambda t: t["duration_ms"])).alias("duration_ms"),
+        "container_time",
+        F.array_distinct(F.flatten(F.transform(F.array_sort(foreign), lambda b: b["tags"]))).alias("foreign_muxer_tags"),
     )
+    # The outer form of the generator keeps the optimizer from copying the walk into a filter below it.
+    some = F.when(F.size("top") + F.size("under") > 0, facts)
+    return found.select("file_id", F.inline_outer(F.array(some))).where("vendor_boxes IS NOT NULL")
+
+
+# The parts of tracks that a summary looks at.
+SUMMED = ("tkhd", "mdhd", "hdlr", "entry_kind", "entry_header", "entry", "configuration")
+
 
+def _facts() -> Column:
+    """Of each track of a file what a summary shows; its names are the compressor and the handler's."""
+    names = ("kind", "enabled", "width", "height", "duration_ms")
 
-def moov_before_mdat(kind: str = "kind", offset: str = "offset") -> Column:
-    """Whether the movie box precedes the first media box; NULL when either is absent. An aggregate."""
-    at = lambda code: F.min(F.when((F.col("place") == "top_level") & (F.col(kind) == code), F.col(offset)))
-    return at("moov") < at("mdat")
+    def of(track: Column) -> Column:
+        t = typed(lambda name: track[name])
+        return F.struct(*[t[n].alias(n) for n in names], F.array(t["compressor"], t["handler_name"]).alias("names"))
+
+    return F.transform("tracks", of)
 
 
 def first_seen(df: DataFrame, keys: list[str], tag: str, order: list[str]) -> DataFrame:
@@ -191,15 +200,14 @@ def contains_bytes(content: Column, text: str) -> Column:
     return F.instr(F.decode(content, "ISO-8859-1"), text) > 0
 
 
+def _foreign(content: Column) -> Column:
+    """The tags of other muxers that occur in the bytes, as they are listed."""
+    return F.array_compact(F.array(*[F.when(contains_bytes(content, t), F.lit(t)) for t in FOREIGN_TAGS]))
+
+
 def foreign_tags(boxes: DataFrame) -> DataFrame:
     """Tags of other muxers in the user-data children, distinct, first seen first."""
-    found = boxes.select(
-        "file_id",
-        "offset",
-        F.posexplode(
-            F.array_compact(F.array(*[F.when(contains_bytes(F.col("content"), t), F.lit(t)) for t in FOREIGN_TAGS]))
-        ).alias("place", "tag"),
-    )
+    found = boxes.select("file_id", "offset", F.posexplode(_foreign(F.col("content"))).alias("place", "tag"))
     return first_seen(found, ["file_id"], "tag", ["offset", "place"]).withColumnRenamed("tags", "foreign_muxer_tags")
 
 

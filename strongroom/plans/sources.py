@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from strongroom.operators import boxes as B
 from strongroom.operators import library as L
 from strongroom.operators import manifest as M
-from strongroom.operators import headers as C
 from strongroom.operators import media
 from strongroom.plans.digests import media_places
-from strongroom.plans.recordings import FAULTS, LAYOUT, SAMPLES, damaged, files, inventory
+from strongroom.plans.recordings import FAULTS, LAYOUT, SAMPLES, damaged, files
 from strongroom.plans.registry import query, table
 from strongroom.plans.samples import lines
 from strongroom.sources import archive, cache
@@ -180,12 +179,6 @@ def probe_boxes(w):
     ).where("place IS NOT NULL")
 
 
-def probe_tables(spark, d):
-    w = inventory(spark, d)
-    movies = C.movie_headers(w).select("file_id", M.civil_1904(F.col("creation_time").cast("bigint")).alias("container_time"))
-    return C.tracks(C.track_parts(w)), probe_boxes(w), movies
-
-
 @query(
     "h4_probe_summary",
     f"""WITH {LAYOUT} SELECT file_id, 1 AS video_tracks, (ta > 0)::INT AS audio_tracks, 1 AS enabled_video_tracks, moov_at < mdat_at AS moov_before_mdat,
@@ -196,7 +189,7 @@ def probe_tables(spark, d):
           CASE WHEN st = 'P' AND pr <> '3-MEDIUM' THEN 'Lavf' ELSE '' END AS foreign_muxer_tags FROM f""",
 )
 def probe_summary(spark, d):
-    found = L.probe_summary(*probe_tables(spark, d))
+    found = L.probe_summary(B.walk_held(files(spark, d), "path", "header", tracks=L.SUMMED))
     return found.withColumns(
         {name: F.array_join(name, ",") for name in ("encoder_tags", "foreign_muxer_tags")}
     )
