@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strongroom.functions.json import canonical, unknown_keys
+from strongroom.operators import headers, media
 from strongroom.operators.boxes import STANDARD_USER_DATA
 from strongroom.operators.running import by_rows, numbered
 
@@ -64,24 +65,43 @@ def bit_rate(size: Column, milliseconds: Column) -> Column:
     return F.when(milliseconds != 0, F.floor(bits / milliseconds.cast("decimal(20,0)"))).cast("bigint")
 
 
-def track_records(
-    tracks: DataFrame, totals: DataFrame, fingerprints: DataFrame | None = None, streams: DataFrame | None = None
-) -> DataFrame:
-    """One record per track. Without fingerprints and streams their digests are not in the plan at all.
+# The facts of a track that its record holds beside its digests, and the parts they are made of.
+RECORDED = ("track_id", "kind", "coding", "codec_string", "width", "height", "sample_rate", "channels", "timescale", "duration_ticks", "duration_ms")
+RECORD_PARTS = ("entry_kind", "entry_header", "entry", "elst")
 
-    A track that has no totals, as its tables are refused, keeps its record.
+
+def track_records(placed: DataFrame) -> DataFrame:
+    """One record per track of ``media.places`` rows that have ``RECORD_PARTS`` as well, with its payload digest.
+
+    All that is known of a track is in its row and goes along with it to where its media is read: no record is joined. A
+    track that has no totals, as its tables are refused, keeps its record.
     """
-    keys = ["file_id", "track_index"]
-    records = tracks.join(totals, keys, "left").withColumn(
-        "average_bit_rate", bit_rate(F.col("sample_bytes"), F.col("duration_ms"))
+    known = headers.typed(F.col)
+    listed, configuration = headers.edits(), known["configuration_payload"]
+    facts = headers.with_totals(placed).withColumns(
+        {
+            **{name: known[name] for name in (*RECORDED, "flags", "enabled")},
+            "edits": F.when(listed.isNotNull(), F.size(listed)).otherwise(0).cast("bigint"),
+            "configuration_sha256": F.sha2(configuration, 256),
+        }
+    )
+    facts = facts.withColumn("average_bit_rate", bit_rate(F.col("sample_bytes"), F.col("duration_ms")))
+    counted = ("sample_count", "sync_sample_count", "composition_offsets")
+    kept = (*RECORDED, *counted, "flags", "enabled", "average_bit_rate", "configuration_sha256", "edits")
+    made = media.digests(facts, stream=False, keep=kept)
+    return made.select(
+        "file_id",
+        "track_index",
+        *RECORDED,
+        "flags",
+        "enabled",
+        *counted,
+        "average_bit_rate",
+        "payload_sha256",
+        "payload_version",
+        "configuration_sha256",
+        "edits",
     )
-    for digests, columns in (
-        (fingerprints, ("payload_sha256", "payload_version", "configuration_sha256")),
-        (streams, ("stream_sha256", "stream_version", "stream_bytes", "access_units", "insertions")),
-    ):
-        if digests is not None:
-            records = records.join(digests.select(*keys, *columns), keys, "left")
-    return records
 
 
 def vendor_records(user_data: DataFrame, unknown: DataFrame) -> DataFrame:

@@ -256,13 +256,13 @@ class Batch:
         return Media(self.content[k], None) if self.content is not None else Media(None, self.path[k])
 
 
-def _kept(placed: DataFrame, ddl: str) -> tuple[DataFrame, T.StructType, list[str]]:
-    """The columns the readers need, and the schema of their rows: the track's keys and what is made."""
+def _kept(placed: DataFrame, ddl: str, keep: tuple[str, ...] = ()) -> tuple[DataFrame, T.StructType, list[str]]:
+    """The columns the readers need, and the schema of their rows: the track's keys, what is made and what is kept."""
     source = "content" if "content" in placed.columns else "path"
-    needed = placed.select("file_id", "track_index", "reason", "chunks", "size", "sizes", "avc", source)
+    needed = placed.select("file_id", "track_index", "reason", "chunks", "size", "sizes", "avc", source, *keep)
     made = T._parse_datatype_string(ddl)
     keys = [f for f in needed.schema.fields if f.name in ("file_id", "track_index")]
-    return needed, T.StructType([*keys, *made.fields]), [f.name for f in made.fields]
+    return needed, T.StructType([*keys, *made.fields, *[needed.schema[name] for name in keep]]), [f.name for f in made.fields]
 
 
 def _unreadable(error: Exception) -> str:
@@ -274,17 +274,18 @@ def _columns(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def digests(placed: DataFrame, payload: bool = True, stream: bool = True) -> DataFrame:
+def digests(placed: DataFrame, payload: bool = True, stream: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per track of ``places`` rows with ``content`` or ``path``: see DIGESTS, with the versions of the digests.
 
     A digest that isn't asked for isn't worked out: its columns are NULL, as is ``stream_reason`` of a broken unit.
+    Columns named in ``keep`` go along, so what else is known of a track needs no join.
     """
-    needed, schema, _ = _kept(placed, DIGESTS)
+    needed, schema, _ = _kept(placed, DIGESTS, keep)
     arrow = None
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in map(Batch, batches):
-            rows = []
+        for given in batches:
+            batch, rows = Batch(given), []
             for k, (reason, *keys) in enumerate(zip(batch.reason, *batch.keys, strict=True)):
                 if reason is None:
                     try:
@@ -298,9 +299,10 @@ def digests(placed: DataFrame, payload: bool = True, stream: bool = True) -> Dat
                 if reason is not None:
                     made = [None, None, None, reason, None, None, None, None, reason]
                 rows.append([*keys, *made])
-            yield _columns(rows, arrow)
+            columns = [*_columns(rows, arrow).columns, *(given.column(name) for name in keep)]
+            yield pa.RecordBatch.from_arrays(columns, [*arrow.names, *keep])
 
-    arrow = _arrow(schema)
+    arrow = _arrow(T.StructType(schema.fields[: len(schema) - len(keep)]))
     rows = needed.mapInArrow(run, schema)
     return rows.withColumns({"payload_version": F.lit(PAYLOAD_VERSION), "stream_version": F.lit(STREAM_VERSION)})
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 
 from strongroom.operators import boxes as B
@@ -11,9 +9,8 @@ from strongroom.operators import digests as E
 from strongroom.operators import headers as C
 from strongroom.operators import media as M
 from strongroom.plans.headers import CONFIGURATION, ENTRY, TRACKS, parts
-from strongroom.plans.recordings import LAYOUT, REFUSED, ROWS, SAMPLES, SPLITS_NOT, faulty, files, inventory
+from strongroom.plans.recordings import LAYOUT, REFUSED, ROWS, SAMPLES, SPLITS_NOT, faulty, files
 from strongroom.plans.registry import by_moment, query, table
-from strongroom.sources.stored import stored
 
 
 @query(
@@ -107,15 +104,9 @@ def structural_fingerprint(spark, d):
     )
 
 
-@lru_cache(maxsize=4)
-def stored_parts(spark, d):
-    """Track parts, the few bytes of every movie box, written once for the joins that need them often."""
-    return stored(C.track_parts(inventory(spark, d)))
-
-
-def media_places(recordings):
-    """The tracks of whole files with what their tables place, beside the content; narrow."""
-    parts = C.track_parts(B.walk_tracks(B.whole_files(recordings), *C.TABLES, "configuration"), "length", "segments")
+def media_places(recordings, *more):
+    """The tracks of whole files with what their tables place, and more parts by name, beside the content; narrow."""
+    parts = C.track_parts(B.walk_tracks(B.whole_files(recordings), *C.TABLES, "configuration", *more), "length", "segments")
     content = F.get("segments", F.lit(0))["bytes"]
     return M.places(parts.withColumn("content", content).drop("segments"))
 

@@ -5,13 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strongroom.operators import digests as E
-from strongroom.operators import headers as C
 from strongroom.operators import library as L
 from strongroom.operators import manifest as M
-from strongroom.operators import media
-from strongroom.operators import samples as S
 from strongroom.operators.running import running_totals
-from strongroom.plans.digests import PAYLOADS, media_places, stored_parts
+from strongroom.plans.digests import PAYLOADS, media_places
 from strongroom.plans.headers import CONFIGURATION, TRACKS
 from strongroom.plans.recordings import SAMPLES, files
 from strongroom.plans.registry import query, table
@@ -30,23 +27,7 @@ from strongroom.plans.sources import JSON, order_documents
         FROM t JOIN pd ON pd.file_id = t.file_id AND pd.track_index = t.track_index""",
 )
 def track_records(spark, d):
-    parts = stored_parts(spark, d)
-    payload = media.digests(media_places(files(spark, d)), stream=False).select(*S.TRACK, "payload_sha256", "payload_version")
-    configured = C.sample_entries(parts).select(*S.TRACK, E.sha256("configuration_payload").alias("configuration_sha256"))
-    prints = configured.join(payload, S.TRACK, "left")
-    edits = C.edit_lists(parts).groupBy(*S.TRACK).agg(F.count(F.lit(1)).alias("edits"))
-    records = M.track_records(C.tracks(parts), C.totals(parts), prints).join(edits, S.TRACK, "left")
-    return records.withColumn("edits", F.coalesce("edits", F.lit(0))).drop(
-        "handler_name",
-        "compressor",
-        "configuration_kind",
-        "configuration_payload",
-        "nal_length_size",
-        "track_children",
-        "table_children",
-        "entry_children",
-        "sample_bytes",
-    )
+    return M.track_records(media_places(files(spark, d), *M.RECORD_PARTS))
 
 
 @query(
