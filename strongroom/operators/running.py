@@ -25,6 +25,17 @@ def by_rows(index: str, rows: int = 65536) -> Column:
     return F.floor(F.col(index) / F.lit(rows)).cast("bigint")
 
 
+def small_keys(df: DataFrame, keys: list[str], rows: int = BLOCK_ROWS, buckets: int = 1 << 16) -> bool:
+    """Whether no key holds more rows than that, so that a window may hold a whole key.
+
+    Every row is counted, by a hash of its key, so few counts are exchanged; only hashes with more rows are counted key by
+    key. The driver gets those hashes, at most ``buckets``.
+    """
+    hashed = F.pmod(F.xxhash64(*keys), F.lit(buckets))
+    many = [r[0] for r in df.groupBy(hashed.alias("h")).count().where(F.col("count") > rows).select("h").collect()]
+    return not many or df.where(hashed.isin(many)).groupBy(*keys).count().where(F.col("count") > rows).isEmpty()
+
+
 def borders(df: DataFrame, value: Column, rows: int = BLOCK_ROWS, most: int = MOST_BLOCKS) -> list[int]:
     """Values that cut a table into blocks of about so many rows; none where it is one block anyway.
 

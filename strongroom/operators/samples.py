@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strongroom.operators.running import by_rows, neighbour, running_totals
 
@@ -181,6 +182,100 @@ def samples(
     )
 
 
+def _in_track(*order: Column | str):
+    return Window.partitionBy(*TRACK).orderBy(*order)
+
+
+def _filled(value: Column, by) -> Column:
+    """The last value that is there, of the rows up to this one."""
+    return F.last(value, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
+
+
+def _before(value: Column, by) -> Column:
+    """The sum over the earlier rows."""
+    return F.coalesce(F.sum(value).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _marks(df: DataFrame, rank: int, at: Column | str, **mark: Column | str) -> DataFrame:
+    """Rows of a table as marks along the samples: where they begin, and what they say."""
+    fields = [(F.col(c) if isinstance(c, str) else c).cast("bigint").alias(n) for n, c in mark.items()]
+    at = F.col(at) if isinstance(at, str) else at
+    return df.select(*TRACK, at.cast("bigint").alias("pos"), F.lit(rank).alias("rank"), F.struct(*fields).alias(f"m{rank}"))
+
+
+def _along(stsz: DataFrame, *marks: DataFrame) -> DataFrame:
+    """The samples with, of each table of marks, the last that begins at them or before, and whether the track has any of
+    the fourth."""
+    sized = stsz.select(*TRACK, F.col("idx").alias("pos"), F.lit(9).alias("rank"), "size")
+    rows = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), [sized, *marks])
+    names = [c for c in rows.columns if c in ("m1", "m2", "m3", "m4")]
+    by = _in_track("pos", "rank")
+    # A chunk also knows the bytes of all samples before it.
+    rows = rows.withColumn("sum", _before(F.coalesce("size", F.lit(0)), by))
+    rows = rows.withColumn("m1", F.when(F.col("m1").isNotNull(), F.col("m1").withField("sum", F.col("sum"))))
+    filled = {name: _filled(F.col(name), by) for name in names}
+    if "m4" in names:
+        whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        filled["has_table"] = F.coalesce(F.bool_or(F.col("m4").isNotNull()).over(whole), F.lit(False))
+    return rows.withColumns(filled).where("rank = 9")
+
+
+def _chunk_marks(stsc: DataFrame, stco: DataFrame) -> DataFrame:
+    """Chunks that hold samples, at their first."""
+    runs = stsc.select(*TRACK, F.col("first_chunk").cast("bigint").alias("chunk"), F.lit(0).alias("rank"), F.col("per_chunk").cast("bigint").alias("per"))
+    rows = stco.select(*TRACK, F.col("chunk").cast("bigint").alias("chunk"), F.lit(1).alias("rank"), F.col("offset").cast("bigint").alias("offset"))
+    by = _in_track("chunk", "rank")
+    dealt = runs.unionByName(rows, allowMissingColumns=True).withColumn("n", _filled(F.col("per"), by))
+    held = F.when(F.col("rank") == 1, F.col("n")).otherwise(0)
+    first = dealt.withColumn("first", _before(held, by)).where("rank = 1 AND n > 0")
+    return _marks(first, 1, "first", chunk="chunk", offset="offset", end=F.col("first") + F.col("n"), sum=F.lit(0))
+
+
+def _run_marks(runs: DataFrame, rank: int, value: str) -> DataFrame:
+    """Runs of samples at their first, with the sum of the value over all samples before."""
+    by = _in_track("run")
+    n, v = F.col("n").cast("bigint"), F.col(value).cast("bigint")
+    begun = runs.withColumns({"__start": _before(n, by), "__base": _before(n * v, by)}).where("n > 0")
+    return _marks(begun, rank, "__start", start="__start", n="n", value=value, base="__base")
+
+
+def locate_whole(stsc: DataFrame, stco: DataFrame, stsz: DataFrame) -> DataFrame:
+    """``locate`` of tables that agree with each other, where no track is larger than a task takes (``small_keys``).
+
+    The rows of a track are brought together once and read along its samples: nothing is expanded or joined.
+    """
+    rows = _along(stsz, _chunk_marks(stsc, stco))
+    return rows.where("pos < m1.end").select(
+        *TRACK,
+        F.col("pos").alias("idx"),
+        F.col("m1.chunk").alias("chunk"),
+        "size",
+        (F.col("m1.offset") + F.col("sum") - F.col("m1.sum")).alias("offset"),
+    )
+
+
+def samples_whole(
+    stts: DataFrame, stsc: DataFrame, stsz: DataFrame, stco: DataFrame, stss: DataFrame, ctts: DataFrame
+) -> DataFrame:
+    """``samples`` under the terms of ``locate_whole``."""
+    listed = _marks(stss, 4, F.col("sample_number") - 1, idx=F.col("sample_number") - 1)
+    rows = _along(stsz, _chunk_marks(stsc, stco), _run_marks(stts, 2, "delta"), _run_marks(ctts, 3, "offset"), listed)
+    rows = rows.where("pos < m1.end")
+    timed = F.col("pos") < F.col("m2.start") + F.col("m2.n")
+    moved = F.col("pos") < F.col("m3.start") + F.col("m3.n")
+    return rows.select(
+        *TRACK,
+        F.col("pos").alias("idx"),
+        (F.col("m1.offset") + F.col("sum") - F.col("m1.sum")).alias("offset"),
+        "size",
+        F.coalesce(F.when(timed, F.col("m2.base") + (F.col("pos") - F.col("m2.start")) * F.col("m2.value")), F.lit(0)).alias("decode_time"),
+        F.coalesce(F.when(timed, F.col("m2.value")), F.lit(0)).alias("duration"),
+        F.coalesce(F.when(moved, F.col("m3.value")), F.lit(0)).alias("composition_offset"),
+        (F.coalesce(F.col("m4.idx") == F.col("pos"), F.lit(False)) | ~F.col("has_table")).alias("sync"),
+        F.col("m1.chunk").alias("chunk"),
+    )
+
+
 def totals(stsz: DataFrame, stss: DataFrame, ctts: DataFrame) -> DataFrame:
     """Count, bytes, sync count and whether any composition offset is not zero, per track."""
     sizes = stsz.groupBy(*TRACK).agg(
@@ -257,8 +352,62 @@ def violations(
         ).alias("rule_rank"),
         F.lit(0).cast("bigint").alias("run"),
     )
+    return _told(runs.unionByName(syncs).unionByName(whole))
+
+
+def violations_whole(
+    stts: DataFrame, stsc: DataFrame, stsz: DataFrame, stco: DataFrame, stss: DataFrame, ctts: DataFrame
+) -> DataFrame:
+    """``violations`` where no track is larger than a task takes (``small_keys``).
+
+    Counts and sums of a track's tables, its chunk runs and its sync numbers are brought together once: nothing is joined.
+    """
+    number = F.lit(1)
+    facts = [
+        stsz.groupBy(*TRACK).agg(F.count(number).alias("sized")),
+        stts.groupBy(*TRACK).agg(F.sum("n").alias("timed")),
+        chunk_counts(stco),
+        ctts.groupBy(*TRACK).agg(F.sum("n").alias("composed")),
+    ]
+    runs = stsc.select(*TRACK, number.alias("table"), F.col("run").alias("at"), F.col("first_chunk").alias("value"), "per_chunk")
+    syncs = stss.select(*TRACK, F.lit(2).alias("table"), F.col("position").alias("at"), F.col("sample_number").alias("value"))
+    rows = reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), [runs, syncs, *facts])
+    every, by = Window.partitionBy(*TRACK), _in_track("table", "at")
+    here, near = F.struct("table", "at", "value"), lambda n, step: F.when((n["table"] == F.col("table")) & (n["at"] == F.col("at") + step), n["value"])
+    rows = rows.withColumns(
+        {
+            **{name: F.max(name).over(every) for name in ("sized", "timed", "chunks", "composed")},
+            "earlier": F.lag(here).over(by),
+            "later": F.lead(here).over(by),
+            "__nth": F.row_number().over(by),
+        }
+    )
+    sized, chunks, value = F.coalesce("sized", F.lit(0)), F.coalesce("chunks", F.lit(0)), F.col("value")
+    previous = near(F.col("earlier"), -1)
+    held = F.greatest(F.coalesce(near(F.col("later"), 1), chunks + 1) - value, F.lit(0)) * F.col("per_chunk")
+    rows = rows.withColumn("placed", F.sum(F.when(F.col("table") == 1, held)).over(every))
+    run, sync, once = F.col("table") == 1, F.col("table") == 2, F.col("__nth") == 1
+    told = lambda rule, wrong, at: F.when(wrong, F.struct(F.lit(rule).alias("rule_rank"), at.cast("bigint").alias("run")))
+    at, none = F.col("at"), F.lit(0)
+    broken = F.array_compact(
+        F.array(
+            told(2, run & ((value == 0) | (value <= previous)), at),
+            told(3, run & (value > chunks), at),
+            told(4, run & (F.col("per_chunk") == 0), at),
+            told(6, run & (at == 0) & (value != 1), at),
+            told(8, sync & ((value <= F.coalesce(previous, none)) | (value > sized)), at),
+            told(1, once & (F.coalesce("timed", none) != sized), none),
+            told(5, once & (sized > 0) & (F.col("placed").isNull() | (chunks == 0)), none),
+            told(7, once & (F.coalesce("placed", none) != sized), none),
+            told(9, once & (F.col("composed") != sized), none),
+        )
+    )
+    return _told(rows.select(*TRACK, F.inline(broken)))
+
+
+def _told(broken: DataFrame) -> DataFrame:
+    """The rules that are broken, with the first place of each and how often."""
     # Checks two to four are made run by run, so the earlier run wins between them.
-    broken = runs.unionByName(syncs).unionByName(whole)
     stage = F.when(F.col("rule_rank").isin(3, 4), 2).otherwise(F.col("rule_rank"))
     texts = F.create_map(*[F.lit(part) for rule in RULES for part in rule])
     return (

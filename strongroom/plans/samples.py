@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strongroom.operators import samples as S
-from strongroom.operators.running import numbered
+from strongroom.operators.running import numbered, small_keys
 from strongroom.plans.registry import query, table
 from strongroom.sources.stored import stored
 
@@ -24,18 +26,36 @@ LINE_ORDER = [
 ]
 
 
+@lru_cache(maxsize=8)
+def small_orders(spark, d) -> bool:
+    """Whether a task takes any order's lines whole: then they meet once, in windows; else in blocks and joins."""
+    return small_keys(table(spark, d, "lineitem"), ["l_orderkey"])
+
+
+def placed(by, name: str):
+    """The zero-based position in a window, as a column of that name."""
+    return (F.row_number().over(by).cast("bigint") - 1).alias(name)
+
+
 def lines(spark, d):
     """Lines with their zero-based index in the order; the blocks follow line number and part."""
-    rows = table(spark, d, "lineitem").withColumns(
+    given, small = table(spark, d, "lineitem"), small_orders(spark, d)
+    rows = (given.repartition("l_orderkey") if small else given).withColumns(
         {"file_id": F.col("l_orderkey"), "track_index": F.lit(0), "ln": F.col("l_linenumber").cast("bigint")}
     )
+    if small:
+        return rows.select("*", placed(Window.partitionBy(*S.TRACK).orderBy(*LINE_ORDER), "idx"))
     block = F.col("ln") * F.lit(1 << 40) + F.floor(F.col("l_partkey") / 1024)
     return numbered(rows, S.TRACK, LINE_ORDER, block, "idx")
 
 
 def per_number(spark, d):
     """One row per line number of an order: at most as many per order as there are line numbers."""
-    rows = table(spark, d, "lineitem").groupBy(
+    given = table(spark, d, "lineitem")
+    if small_orders(spark, d):
+        # The lines of an order meet for its numbers and for what is worked out along them.
+        given = given.repartition("l_orderkey")
+    rows = given.groupBy(
         F.col("l_orderkey").alias("file_id"),
         F.lit(0).alias("track_index"),
         F.col("l_linenumber").cast("bigint").alias("ln"),
@@ -75,7 +95,10 @@ def consistent(spark, d, keep=lambda df: df):
     )
     stsz = indexed.select(*S.TRACK, "idx", "size")
     returned = indexed.where("l_returnflag = 'R'").select(*S.TRACK, "ln", "idx", (F.col("idx") + 1).alias("sample_number"))
-    stss = numbered(returned, S.TRACK, ["idx"], F.col("ln"), "position").select(*S.TRACK, "position", "sample_number")
+    if small_orders(spark, d):
+        stss = returned.select(*S.TRACK, placed(Window.partitionBy(*S.TRACK).orderBy("idx"), "position"), "sample_number")
+    else:
+        stss = numbered(returned, S.TRACK, ["idx"], F.col("ln"), "position").select(*S.TRACK, "position", "sample_number")
     return stts, stsc, stsz, stco, stss, ctts
 
 
@@ -141,9 +164,13 @@ def cross_checks(spark, d):
         F.col("l_linenumber").cast("bigint").alias("sample_number"),
         *LINE_ORDER[1:6],
     )
-    stss = numbered(returned, S.TRACK, LINE_ORDER[1:6], F.floor(F.col("l_partkey") / 1024), "position")
+    small = small_orders(spark, d)
+    if small:
+        stss = returned.select("*", placed(Window.partitionBy(*S.TRACK).orderBy(*LINE_ORDER[1:6]), "position"))
+    else:
+        stss = numbered(returned, S.TRACK, LINE_ORDER[1:6], F.floor(F.col("l_partkey") / 1024), "position")
     ctts = runs.where("ln <> 3").select(*S.TRACK, "run", "n", F.lit(0).alias("offset"))
-    first = S.first_violation(S.violations(stts, stsc, stsz, stco, stss, ctts))
+    first = S.first_violation((S.violations_whole if small else S.violations)(stts, stsc, stsz, stco, stss, ctts))
     return first.select(
         "file_id",
         F.col("at.rule_rank").alias("first_rule"),
@@ -177,10 +204,14 @@ def chunk_assignment(spark, d):
     return S.assign_chunks(stsc, stco).select("file_id", "idx", "chunk")
 
 
+def located(spark, d):
+    return S.locate_whole if small_orders(spark, d) else S.locate
+
+
 @query("d12_sample_offsets", f'WITH {BASE} SELECT file_id, idx, size, "offset" FROM s')
 def sample_offsets(spark, d):
     _, stsc, stsz, stco, _, _ = consistent(spark, d)
-    return S.locate(stsc, stco, stsz).select("file_id", "idx", "size", "offset")
+    return located(spark, d)(stsc, stco, stsz).select("file_id", "idx", "size", "offset")
 
 
 @query("d13_decode_times", f"WITH {BASE} SELECT file_id, idx, decode_time FROM s")
@@ -191,6 +222,8 @@ def decode_times(spark, d):
 
 @query("d10_d13_sample_table", f"WITH {BASE} SELECT * EXCLUDE (track_index) FROM s")
 def sample_table(spark, d):
+    if small_orders(spark, d):
+        return S.samples_whole(*consistent(spark, d)).drop("track_index")
     return S.samples(*consistent(spark, d, stored)).drop("track_index")
 
 
