@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strongroom.operators.running import by_rows, neighbour, numbered, running_totals
 
@@ -208,12 +209,21 @@ def preserved_boxes(
     return numbered(both, ["file_id"], ["rank", "offset"], block, "position").drop("rank")
 
 
-def read_plan(samples: DataFrame, cap: int = COPY_BUFFER) -> DataFrame:
+def read_plan(samples: DataFrame, cap: int = COPY_BUFFER, whole: bool = False) -> DataFrame:
     """Reads that copy each chunk: one when its samples abut and fit the buffer, else one per sample.
 
-    ``samples(file_id, track_index, idx, chunk, offset, size)``.
+    ``samples(file_id, track_index, idx, chunk, offset, size)``. ``whole`` says that no track is larger than a task takes
+    (``small_keys``): the samples of a chunk then meet once and are neither joined with each other nor with their chunk.
     """
     keys = ["file_id", "track_index", "chunk"]
+    if whole:
+        by, every = Window.partitionBy(*keys).orderBy("idx"), Window.partitionBy(*keys)
+        rows = samples.withColumn("next", F.lead(F.struct("idx", "offset")).over(by))
+        follows = F.col("next").isNull() | (F.col("next.idx") != F.col("idx") + 1) | (F.col("offset") + F.col("size") == F.col("next.offset"))
+        rows = rows.withColumns({"first": F.min("idx").over(every), "bytes": F.sum("size").over(every), "one": F.bool_and(follows).over(every)})
+        rows = rows.withColumn("one", F.col("one") & (F.col("bytes") <= cap)).where(~F.col("one") | (F.col("idx") == F.col("first")))
+        length = F.when(F.col("one"), F.col("bytes")).otherwise(F.col("size"))
+        return rows.select(*keys, F.col("idx").alias("first"), "offset", length.alias("length"))
     ahead = neighbour(samples, keys, "idx", 1, {"offset": "next_offset"})
     abuts = F.col("next_offset").isNull() | (F.col("offset") + F.col("size") == F.col("next_offset"))
     chunks = ahead.groupBy(*keys).agg(

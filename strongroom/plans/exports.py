@@ -10,7 +10,7 @@ from strongroom.operators.digests import sha256
 from strongroom.operators.running import numbered
 from strongroom.plans.comparison import text_id
 from strongroom.plans.registry import by_moment, query, table
-from strongroom.plans.samples import BASE, consistent
+from strongroom.plans.samples import BASE, consistent, located, small_orders
 
 # Timescale of each event type when it stands for a track.
 SCALES = (("click", 30000), ("error", 1000), ("purchase", 44100), ("signup", 48000), ("view", 90000))
@@ -307,13 +307,13 @@ SCALE = 400000
 def read_plan(spark, d):
     """Sizes scaled up to the buffer's order; a gap opens behind the largest lines."""
     _, stsc, stsz, stco, _, _ = consistent(spark, d)
-    located = S.locate(stsc, stco, stsz).withColumns(
+    samples = located(spark, d)(stsc, stco, stsz).withColumns(
         {
             "offset": F.col("offset") * SCALE + F.when(F.col("size") >= 49, 1).otherwise(0),
             "size": F.col("size") * SCALE,
         }
     )
-    return X.read_plan(located).drop("track_index")
+    return X.read_plan(samples, whole=small_orders(spark, d)).drop("track_index")
 
 
 @query(
